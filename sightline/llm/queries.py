@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, licenses, packing, pii, sharding
+from . import chat, decontam, html_extract, jaccard_join, licenses, packing, pii, quality, sharding
 from .common import table
 
 N_SHARDS = 40
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return pairs.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "n_item", "n_shared")
@@ -41,7 +45,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_chat, op4_licenses, op5_packing, op6_sharding, op7_html, op8_pii)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_chat, op4_licenses, op5_packing, op6_sharding, op7_html, op8_pii, op9_jaccard_join)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -86,4 +95,11 @@ p as (select conv_id, row_number() over w as k, count(*) over (partition by conv
 whole as (select text, min(conv_id) as conv_id, count(*) as n_copies, any_value(n) as n_turns from p where k = n group by text)
 select conv_id, n_turns, n_copies, text from whole where not exists (select 1 from p where p.text = whole.text and p.k < p.n)""",
     "op4_licenses": _license_sql(),
+    "op9_jaccard_join": f"""with recursive {_shingles("d", "documents", "doc_id")},
+sizes as (select doc_id, count(*) as n from d group by doc_id),
+shared as (select x.doc_id as a, y.doc_id as b, count(*) as k from d x join d y on x.s = y.s and x.doc_id < y.doc_id group by all),
+links as (select a, b from shared join sizes sa on a = sa.doc_id join sizes sb on b = sb.doc_id where 100 * k >= 75 * (sa.n + sb.n - k)),
+sides as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (select doc_id, doc_id from documents union select doc_id, sides.b from reach join sides on other = sides.a)
+select doc_id, coalesce(any_value(n), 0) as n_shingles, min(other) as component_id from reach left join sizes using (doc_id) group by doc_id""",
 }
