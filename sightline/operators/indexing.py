@@ -7,20 +7,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder, so that later reads don't run what lies before again.
-
-    The folder is the one that the session names in ``spark.checkpoint.dir``; only where it names none, as in
-    local tests, is a temporary one used.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``; where it names none, as in local tests, a temporary one."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder, so that later reads don't run what lies before again."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
