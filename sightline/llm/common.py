@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sightline.operators.indexing import checkpoint_folder
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -23,3 +25,8 @@ def ship(spark: SparkSession) -> None:
     path = env.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
+
+
+def scratch(spark: SparkSession) -> str:
+    """The folder for intermediate tables that the driver and all executors share."""
+    return checkpoint_folder(spark)

@@ -176,3 +176,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
     by_class = checkpointed(joined.join(least, "root").select("fp", "component"))
     return rows.select("key", "fp", "n").join(by_class, "fp", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component one document, that with the least id; all columns kept.
+
+    Documents without words and those with a null id link with nothing here and stay. Of rows that repeat an id with
+    the same component one stays.
+    """
+    found = jaccard_components(docs, id_col, text_col).where("key is not null and n_shingles > 0")
+    gone = found.where("key <> component").select(F.col("key").alias(id_col)).distinct()
+    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    again = found.where("key = component").groupBy("key").count().where("count > 1").select(F.col("key").alias(id_col))
+    once, often = kept.join(again, id_col, "left_anti"), kept.join(again, id_col, "left_semi")
+    return once.unionByName(often.dropDuplicates([id_col])).select(docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_extract, jaccard_join, licenses, packing, pii, quality, sharding
+from . import chat, decontam, embed_dedup, html_extract, jaccard_join, licenses, packing, pii, quality, sharding
 from .common import table
 
 N_SHARDS = 40
@@ -50,7 +50,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_chat, op4_licenses, op5_packing, op6_sharding, op7_html, op8_pii, op9_jaccard_join)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    kept = F.coalesce(F.col("key") == F.col("component"), F.lit(False))
+    return found.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_chat, op4_licenses, op5_packing, op6_sharding, op7_html, op8_pii, op9_jaccard_join, op10_embedding_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -102,4 +108,13 @@ links as (select a, b from shared join sizes sa on a = sa.doc_id join sizes sb o
 sides as (select a, b from links union all select b, a from links),
 reach(doc_id, other) as (select doc_id, doc_id from documents union select doc_id, sides.b from reach join sides on other = sides.a)
 select doc_id, coalesce(any_value(n), 0) as n_shingles, min(other) as component_id from reach left join sizes using (doc_id) group by doc_id""",
+    "op10_embedding_dedup": """with recursive e as (select vec_id, embedding::double[] as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+u as (select vec_id, v, list_dot_product(v, v) as q from e where list_dot_product(v, v) > 0),
+links as (select x.vec_id as a, y.vec_id as b from u x join u y on x.vec_id <> y.vec_id and len(x.v) = len(y.v)
+  where list_dot_product(x.v, y.v) >= 0.95e0 * sqrt(x.q) * sqrt(y.q)),
+reach(vec_id, other) as (select vec_id, vec_id from embeddings union select reach.vec_id, b from reach join links on other = a),
+n as (select a as vec_id, count(*) as n_links from links group by a)
+select vec_id, coalesce(any_value(n_links), 0)::bigint as n_links, min(other) as component_id, vec_id = min(other) as kept
+from reach left join n using (vec_id) group by vec_id""",
 }
