@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +26,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def running_totals(df: DataFrame, order: list[str], sums: tuple[str, ...] = (), index: str = "row_no") -> DataFrame:
+def running_totals(df: DataFrame, order: list[str | Column], sums: tuple[str, ...] = (), index: str = "row_no") -> DataFrame:
     """Adds ``index``, the 0-based position in the order, and ``<x>_before`` and ``<x>_total`` for each summed column.
 
     The rows are range-partitioned and sorted once; each partition's totals (one row a partition) are summed up in

@@ -1,4 +1,496 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries over the derived tables, and their DuckDB equivalents."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..functions import vectors as V
+from ..operators import annotations as A
+from ..operators import clustering as C
+from ..operators import items as I
+from ..operators import learning as L
+from ..operators import mapping as M
+from ..operators import ranking as R
+from ..operators import validation as G
+from ..sources import image_lists, outputs
+from .derived import derive, sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+QUERY_IDS = (3, 17, 42)
+POS, NEG = [("click", "POSITIVE")], [("click", "NEGATIVE")]
+ANY = [("click", "POSITIVE"), ("view", "POSITIVE"), ("purchase", "HARD_NEGATIVE")]
+SEED = 7
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def any_sql(tags: list[tuple[str, str]]) -> str:
+    return "(" + " or ".join(f"(category = '{c}' and mode = '{m}')" for c, m in tags) + ")"
+
+
+def _current(s: SparkSession, d: str) -> DataFrame:
+    return A.current(derive(s, d, "alog"))
+
+
+# Annotation state
+
+
+@query(sql("select item_id, category, mode, is_box, batch_id, count(*) as n from cur group by all", "cur"))
+def current_annotations(s, d):
+    return _current(s, d).groupBy("item_id", "category", "mode", "is_box", "batch_id").agg(F.count("*").alias("n"))
+
+
+@query(sql("select dataset, category, mode, count(*) as n from cur join items using (item_id) group by all", "cur", "items"))
+def category_counts(s, d):
+    return A.category_counts(_current(s, d), derive(s, d, "items"))
+
+
+_FIXED = "'POSITIVE', 'NEGATIVE', 'HARD_NEGATIVE', 'UNSURE'"
+
+
+@query(sql("select category, " + ", ".join(f"count(*) filter (mode = '{m}') as {m}" for m in A.MODES) + f", count(*) filter (mode not in ({_FIXED})) as OTHER from cur join items using (item_id) group by category", "cur", "items"))
+def tag_table(s, d):
+    return A.tag_table(category_counts(s, d)).select("category", *(F.col(x).cast("long").alias(x) for x in (*A.MODES, "OTHER")))
+
+
+@query(sql(f"select category, string_agg(distinct mode, ',' order by mode) as modes from cur where mode not in ({_FIXED}) group by category", "cur"))
+def custom_modes(s, d):
+    return A.custom_modes(_current(s, d)).withColumn("modes", F.array_join("modes", ","))
+
+
+@query(sql("select item_id, coalesce(string_agg(category || ':' || mode, ',' order by category, mode) filter (not is_box), '') as tags from cur group by item_id", "cur"))
+def tags_per_item(s, d):
+    return A.per_item(_current(s, d)).select("item_id", X.tag_text(F.col("tags")).alias("tags"))
+
+
+@query(sql("select item_id, count(*) filter (is_box) as n_boxes, string_agg(category || ':' || mode || '@' || cast(cast(round(x1 * 1000) as bigint) as varchar), ',' order by category, mode, x1, y1, x2, y2) filter (is_box) as boxes from cur group by item_id having count(*) filter (is_box) > 0", "cur"))
+def boxes_per_item(s, d):
+    found = A.per_item(_current(s, d)).where(F.size("boxes") > 0)
+    one = F.transform("boxes", lambda b: F.concat(b["category"], F.lit(":"), b["value"], F.lit("@"), F.round(b["x1"] * 1000).cast("long").cast("string")))
+    return found.select("item_id", F.size("boxes").cast("long").alias("n_boxes"), F.array_join(one, ",").alias("boxes"))
+
+
+@query(sql("select path, string_agg(category || ':' || mode, ',' order by category, mode) filter (not is_box) as tags from cur join items using (item_id) group by path having count(*) filter (not is_box) > 0", "cur", "items"))
+def annotations_by_path(s, d):
+    found = A.per_path(_current(s, d), derive(s, d, "items")).where(F.size("annotations") > 0)
+    return found.select("path", F.array_join(F.transform("annotations", lambda t: F.concat(t["category"], F.lit(":"), t["mode"])), ",").alias("tags"))
+
+
+@query(sql("""select group_id, category, value from (select group_id, category, mode as value, count(*) as n from (select distinct c.item_id, c.item_id % 250 as group_id, category, mode from cur c join items using (item_id)
+  where not is_box) group by all) join (select item_id % 250 as group_id, count(*) as size from items group by all) using (group_id) where n = size""", "cur", "items"))
+def common_tags(s, d):
+    selection = derive(s, d, "items").select("item_id", (F.col("item_id") % 250).alias("group_id"))
+    return A.common_tags(_current(s, d), selection)
+
+
+@query(sql("select category, mode, coalesce(n, 0) as n from (select distinct category, mode from alog) full join (select category, mode, count(*) as n from cur group by all) using (category, mode)", "cur"))
+def merged_counts(s, d):
+    fresh = _current(s, d).groupBy("category", "mode").agg(F.count("*").alias("n"))
+    return A.merge_counts(derive(s, d, "alog"), fresh)
+
+
+@query(sql("select item_id, category, mode, is_box from cur where category in ('click', 'view') and mode in ('POSITIVE', 'blurry') and item_id % 3 = 0", "cur"))
+def retrieved_annotations(s, d):
+    ids = derive(s, d, "items").where("item_id % 3 = 0")
+    return A.retrieve(_current(s, d), ids, ["click", "view"], ["POSITIVE", "blurry"]).select("item_id", "category", "mode", "is_box")
+
+
+@query(sql("select case when category = 'click' then 'tap' else category end as category, mode, count(*) as n from cur group by all", "cur"))
+def rename_category(s, d):
+    return A.rename_category(_current(s, d), "click", "tap").groupBy("category", "mode").agg(F.count("*").alias("n"))
+
+
+@query(sql("select category, mode, count(*) as n from cur where category <> 'click' group by all", "cur"))
+def delete_category(s, d):
+    return A.delete_category(_current(s, d), "click").groupBy("category", "mode").agg(F.count("*").alias("n"))
+
+
+@query(sql("""select item_id, coalesce(string_agg(category || ':' || mode, ',' order by category, mode), '') as merged from (
+  select distinct item_id, category, mode from cur where not is_box and category <> 'click' and not (category = 'view' and mode = 'UNSURE')
+  union select distinct item_id, 'click', 'NEGATIVE' from cur) group by item_id""", "cur"))
+def tag_merge(s, d):
+    tag = lambda c, m: F.struct(F.lit(c).alias("category"), F.lit(m).alias("value"))
+    found = A.per_item(_current(s, d)).withColumn("tags", F.array_distinct("tags"))
+    # several modes of one category can hold together; only the added category's are merged to one
+    others = F.filter("tags", lambda t: t["category"] != "click")
+    mine = A.merge_tags(F.filter("tags", lambda t: t["category"] == "click"), F.array(tag("click", "NEGATIVE")), F.array(tag("view", "UNSURE")))
+    merged = F.array_sort(F.concat(F.array_except(others, F.array(tag("view", "UNSURE"))), mine))
+    return found.select("item_id", X.tag_text(merged).alias("merged"))
+
+
+@query(sql("""select item_id, category, string_agg(distinct mode, ',' order by mode) as added from cur where not is_box and category || mode not in ('clickPOSITIVE')
+  and batch_id >= 8 group by all""", "cur"))
+def tag_changes(s, d):
+    later = _current(s, d).where("not is_box and batch_id >= 8").groupBy("item_id", "category").agg(F.array_sort(F.collect_set(F.struct("category", F.col("mode").alias("value")))).alias("after"))
+    base = F.array(F.struct(F.lit("click").alias("category"), F.lit("POSITIVE").alias("value")))
+    diff = later.withColumn("added", A.tag_difference(base, F.col("after"))["added"]).where(F.size("added") > 0)
+    return diff.select("item_id", "category", F.array_join(F.transform("added", lambda t: t["value"]), ",").alias("added"))
+
+
+# Items, datasets, models
+
+
+def _filter_sql(include: str, exclude: str) -> str:
+    return f"""from items i where not is_val and exists (select 1 from cur c where c.item_id = i.item_id and {include})
+  and not exists (select 1 from cur c where c.item_id = i.item_id and {exclude})"""
+
+
+@query(sql("select item_id, identifier " + _filter_sql(any_sql(ANY), any_sql(NEG)), "items", "cur"))
+def filter_include_exclude(s, d):
+    return I.filter_items(derive(s, d, "items"), _current(s, d), ANY, NEG).select("item_id", "identifier")
+
+
+@query(sql(f"select item_id, is_val from items i where item_id % 4 = 1 and not exists (select 1 from cur c where c.item_id = i.item_id and {any_sql(NEG)})", "items", "cur"))
+def subset_filter(s, d):
+    items = derive(s, d, "items")
+    return I.filter_items(items, _current(s, d), exclude=NEG, split="val", subset=items.where("item_id % 4 = 1")).select("item_id", "is_val")
+
+
+@query(sql("select item_id from items where is_val and item_id % 10 <> 0 order by item_id limit 30 offset 10", "items"))
+def filter_slice(s, d):
+    items = derive(s, d, "items")
+    return I.filter_items(items, _current(s, d), split="val", exclude_ids=items.where("item_id % 10 = 0"), offset=10, num=30).select("item_id")
+
+
+@query(sql(f"select item_id from items i where not is_val and not exists (select 1 from cur c where c.item_id = i.item_id and {any_sql(POS + NEG)})", "items", "cur"))
+def unlabelled_pool(s, d):
+    return L.unlabelled(derive(s, d, "items"), _current(s, d), POS, NEG).select("item_id")
+
+
+@query(sql("select dataset, count(*) filter (not is_val) as num_train, count(*) filter (is_val) as num_val from items group by dataset", "items"))
+def dataset_info(s, d):
+    return I.dataset_info(derive(s, d, "items"))
+
+
+@query(sql("""select name, arg_max(model_id, (last_updated, model_id)) as latest, arg_max(model_id, (last_updated, model_id)) filter (output_directory is not null) as with_output
+  from models where checkpoint_path is not null group by name""", "models"))
+def latest_models(s, d):
+    return I.latest_models(derive(s, d, "models"))
+
+
+@query(sql("select m.model_id, m.epochs_to_run - 1 + case when m.resume_training then coalesce(r.epoch + 1, 0) else 0 end as epoch from models m left join models r on r.model_id = m.resume_model_id", "models"))
+def model_epochs(s, d):
+    return I.epochs(derive(s, d, "models")).select("model_id", "epoch")
+
+
+@query(sql("""select item_id, case when directory like 'gs://%' then 'https://storage.googleapis.com/' || split_part(directory, '/', 3) || '/' || path
+  when directory like 'http%' then path else '/files' || directory || '/' || path end as public_path from items""", "items"))
+def resolved_paths(s, d):
+    return derive(s, d, "items").select("item_id", X.public_path(F.col("directory"), F.col("path")).alias("public_path"))
+
+
+@query(sql("select item_id, string_split(path, '/')[-1] as file_name, regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') as result_id, string_split(string_split(path, '/')[-1], '.')[1] as stack_id from items", "items"))
+def file_names(s, d):
+    path = F.col("path")
+    return derive(s, d, "items").select("item_id", X.file_name(path).alias("file_name"), X.result_id(path).alias("result_id"), X.stack_id(path).alias("stack_id"))
+
+
+# Rankings
+
+_MEAN = f"query as (select list(x order by i) as q from (select i, avg(x) as x from (select unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) as i from emb where item_id in {QUERY_IDS}) group by i))"
+
+
+def _knn_sql(measure: str, order: str, where: str = "") -> str:
+    return f""", {_MEAN}, raw as (select item_id, {measure} as x from emb, query), scaled as (select item_id, (x - min(x) over ()) / nullif(max(x) over () - min(x) over (), 0) as dist from raw)
+  select item_id, dist, row_number() over (order by dist {order}, item_id) - 1 as rank from scaled join items using (item_id) where dist between 0 and 1 {where}"""
+
+
+def _mean_query(s, d) -> DataFrame:
+    return R.query_vector(derive(s, d, "emb").where(F.col("item_id").isin(*QUERY_IDS)))
+
+
+def _ranked(found: DataFrame, metric: str = "l2") -> DataFrame:
+    return R.ranked(found.select("item_id", "dist"), R.order(metric))
+
+
+@query(sql(_knn_sql("list_distance(embedding::double[], q)", "asc", f"and not is_val and exists (select 1 from cur c where c.item_id = items.item_id and {any_sql(ANY)}) and not exists (select 1 from cur c where c.item_id = items.item_id and {any_sql(NEG)})"), "emb", "items", "cur"))
+def knn_l2(s, d):
+    items = I.filter_items(derive(s, d, "items"), _current(s, d), ANY, NEG)
+    return _ranked(R.knn(items, derive(s, d, "emb").select("item_id", "embedding"), _mean_query(s, d)))
+
+
+@query(sql(_knn_sql("list_dot_product(embedding::double[], q)", "desc", "and dist >= 0.3e0"), "emb", "items"))
+def knn_dot(s, d):
+    return _ranked(R.knn(derive(s, d, "items"), derive(s, d, "emb").select("item_id", "embedding"), _mean_query(s, d), "dot", low=0.3), "dot")
+
+
+@query(sql(", q as (select embedding::double[] as q from emb where item_id = 5), raw as (select item_id, list_distance(embedding::double[], q) as x from emb, q) select item_id, (x - (select min(x) from raw)) / (select max(x) - min(x) from raw) as dist from raw order by dist, item_id limit 20", "emb"))
+def find_similar(s, d):
+    emb = derive(s, d, "emb").select("item_id", "embedding")
+    one = emb.where("item_id = 5").select(V.doubles(F.col("embedding")).alias("query"))
+    return R.top(R.knn(derive(s, d, "items"), emb, one), 20, R.order()).select("item_id", "dist")
+
+
+_WEIGHTS = [((i * 37) % 19 - 9) / 10 for i in range(64)]
+
+
+@query(sql(f", raw as (select item_id, list_dot_product(embedding::double[], {_WEIGHTS}::double[]) as x from emb), scaled as (select item_id, (x - min(x) over ()) / (max(x) over () - min(x) over ()) as dist from raw) select item_id, dist, row_number() over (order by dist desc, item_id) - 1 as rank from scaled where dist between 0.25e0 and 1", "emb"))
+def svm_score_query(s, d):
+    found = L.svm_query(derive(s, d, "items"), derive(s, d, "emb").select("item_id", "embedding"), _WEIGHTS, low=0.25)
+    return _ranked(found, "dot")
+
+
+@query(sql("select item_id, score as dist, row_number() over (order by score desc, item_id) - 1 as rank from scores where not is_val and score between 0.1e0 and 0.9e0", "scores"))
+def score_ranking(s, d):
+    scores = derive(s, d, "scores")
+    return _ranked(scores.where("not is_val and score between 0.1 and 0.9").select("item_id", F.col("score").alias("dist")), "dot")
+
+
+@query(sql("select * from (select item_id, score as dist, row_number() over (order by score desc, item_id) - 1 as rank from scores) where rank between 1000 and 1499", "scores"))
+def ranked_page(s, d):
+    return R.page(_ranked(derive(s, d, "scores").select("item_id", F.col("score").alias("dist")), "dot"), 2)
+
+
+@query(sql("select item_id, rank from (select item_id, row_number() over (order by score desc, item_id) - 1 as rank, count(*) over () as n from scores where is_val) where rank >= ceil(n * (1e0 - 0.95e0)) and rank < floor(n * (1e0 - 0.25e0))", "scores"))
+def bulk_slice(s, d):
+    ranking = _ranked(derive(s, d, "scores").where("is_val").select("item_id", F.col("score").alias("dist")), "dot")
+    return R.percentile_slice(ranking, 0.25, 0.95).select("item_id", "rank")
+
+
+@query(sql("select item_id, -1e0 as dist, row_number() over (order by md5(concat_ws('|', item_id, '7')), item_id) - 1 as rank from items where not is_val", "items"))
+def browse_random(s, d):
+    found = R.browse(derive(s, d, "items").where("not is_val").select("item_id"), "random", SEED)
+    return R.ranked(found, ["sort_key", "item_id"]).select("item_id", "dist", "rank")
+
+
+@query(sql("select item_id from (select item_id, row_number() over (order by item_id) - 1 as rank, count(*) over () as n from scores) where rank % greatest(floor(n / 1000), 1) = 0", "scores"))
+def stride_sample(s, d):
+    return R.stride_sample(derive(s, d, "scores").select("item_id"), 1000, ["item_id"]).select("item_id")
+
+
+@query(sql(", r as (select item_id, row_number() over (order by label desc, item_id) - 1 as rank from items) select item_id, rank, case when directory like 'gs://%' then 'https://storage.googleapis.com/' || split_part(directory, '/', 3) || '/' || path when directory like 'http%' then path else '/files' || directory || '/' || path end as public_path from r join items using (item_id) where rank < 100", "items"))
+def result_page(s, d):
+    items = derive(s, d, "items")
+    ranking = _ranked(items.select("item_id", F.col("label").cast("double").alias("dist")), "dot")
+    return R.hydrated(R.page(ranking, 0, 100), items).select("item_id", "rank", "public_path")
+
+
+# Learning
+
+
+def _train_sql() -> str:
+    return f""", lab as (select item_id, bool_or({any_sql(POS)}) as pos, bool_or({any_sql(NEG)}) as neg from cur group by item_id),
+  train as (select item_id, pos::int as label from lab join items using (item_id) where (pos or neg) and not is_val)"""
+
+
+@query(sql(_train_sql() + ", extra as (select greatest(0, 7 * count(*) filter (label = 1) - count(*) filter (label = 0)) as k from train), pool as (select item_id, row_number() over (order by md5(concat_ws('|', item_id, '7')), item_id) as r from items where not is_val and item_id not in (select item_id from train)) select item_id, label from train union all select item_id, 0 from pool, extra where r <= k", "items", "cur"))
+def svm_training_set(s, d):
+    items, cur = derive(s, d, "items"), _current(s, d)
+    return L.augmented(L.training_set(items, cur, POS, NEG), I.filter_items(items, cur), L.SVM_NEGATIVES, SEED)
+
+
+@query(sql(f", b as (select item_id, case when bool_or({any_sql(POS)}) then 'pos' when bool_or({any_sql(NEG)}) then 'neg' when bool_or({any_sql([('view', 'POSITIVE')])}) then 'val_pos' when bool_or({any_sql([('view', 'NEGATIVE')])}) then 'val_neg' end as bucket from cur group by item_id) select * from b where bucket is not null", "cur"))
+def bucketed_labels(s, d):
+    return L.buckets(_current(s, d), POS, NEG, [("view", "POSITIVE")], [("view", "NEGATIVE")])
+
+
+@query(sql("""select tp / nullif(p, 0) as precision, tp / nullif(pos, 0) as recall, 2 * (tp / p) * (tp / pos) / nullif(tp / p + tp / pos, 0) as f1, pos as num_positives, neg as num_negatives from
+  (select (count(*) filter (score > 0.5e0 and label))::double as tp, (count(*) filter (score > 0.5e0))::double as p, count(*) filter (label) as pos, count(*) filter (not label) as neg from val)""", "val"))
+def training_metrics(s, d):
+    return L.training_metrics(derive(s, d, "val"))
+
+
+@query()
+def svm_fit(s, d):
+    emb = derive(s, d, "emb")
+    train = emb.select("item_id", (F.col("label") == 3).cast("int").alias("label"))
+    weights = L.fit_svm(train, emb.select("item_id", "embedding"))
+    return _ranked(L.svm_query(derive(s, d, "items"), emb.select("item_id", "embedding"), weights), "dot")
+
+
+# Validation
+
+
+def _estimate_sql() -> str:
+    parts = []
+    for name, share in (("precision", "h"), ("recall", "l"), ("f1", "(0.5e0 * h + 0.5e0 * l)")):
+        w = f"(weight * {share})"
+        mean = f"sum({w} * c) / nullif(sum({w}), 0)"
+        parts.append(f"{mean} as {name}")
+        parts.append(
+            f"sqrt(((1 - {mean}) ** 2 * sum({w} * {w} * c) + ({mean}) ** 2 * (sum({w} * {w}) - sum({w} * {w} * c))) / count(*) / ((sum({w}) / count(*)) ** 2 * (1 - sum({w} * {w}) / sum({w}) ** 2))) / sqrt(count(*)) as {name}_std"
+        )
+    return f", x as (select *, (score > 0.5e0)::int::double as h, label::int::double as l, ((score > 0.5e0) = label)::int::double as c from val) select {', '.join(parts)}, count(*) as num_labeled, count(*) filter (h = 1 and l = 0) as num_fp, count(*) filter (h = 0 and l = 1) as num_fn from x"
+
+
+@query(sql(_estimate_sql(), "val"))
+def pr_f1_estimate(s, d):
+    return G.estimates(derive(s, d, "val"))
+
+
+@query(sql("select item_id, score, 'fp' as kind from val where score > 0.5e0 and not label union all select item_id, score, 'fn' from val where score <= 0.5e0 and label", "val"))
+def fp_fn(s, d):
+    val = derive(s, d, "val")
+    return G.false_positives(val).select("item_id", "score", F.lit("fp").alias("kind")).union(G.false_negatives(val).select("item_id", "score", F.lit("fn").alias("kind")))
+
+
+@query(sql("select item_id, case when score > 0.5e0 then sqrt(p * 0.49e0 + 0.0225e0 * (1 - p)) else 0.5e0 * sqrt(p * 0.09e0) end as w from (select item_id, score, 0.98e0 * score + 0.01e0 as p from scores)", "scores"))
+def sawade_weights(s, d):
+    return derive(s, d, "scores").select("item_id", G.sawade_weight(F.col("score"), I.predicted(F.col("score")), 0.3).alias("w"))
+
+
+@query(sql("select item_id, score from scores order by score desc, item_id limit 777", "scores"))
+def top_t_domain(s, d):
+    return R.best(derive(s, d, "scores").select("item_id", "score"), 777)
+
+
+@query(sql(f", lab as (select item_id, bool_or({any_sql(POS)}) as label, bool_or({any_sql([*NEG, ('view', 'blurry')])}) as other from cur group by item_id) select item_id, lab.label from lab join items using (item_id) where is_val and (lab.label or other)", "items", "cur"))
+def validation_examples(s, d):
+    return G.validation_examples(derive(s, d, "items"), _current(s, d), POS, NEG, [("view", "blurry")])
+
+
+@query()
+def isotonic_calibration(s, d):
+    val = derive(s, d, "val")
+    return G.calibrated(G.calibrate(val), val.select("item_id", "score"))
+
+
+@query()
+def weighted_sample(s, d):
+    scores = derive(s, d, "scores").select("item_id", "score")
+    return G.weighted_draws(scores.select("item_id", G.sawade_weight(F.col("score"), I.predicted(F.col("score")), 0.3).alias("w")), 2000, SEED)
+
+
+@query()
+def active_validation(s, d):
+    val = derive(s, d, "val")
+    return G.active_validation(val.select("item_id", "score"), val.where("item_id % 9 = 0").select("item_id", "label", "score"), 0.6, SEED)
+
+
+@query()
+def ais_loop(s, d):
+    val = derive(s, d, "val")
+    return s.createDataFrame([G.ais_loop(val.select("item_id", "score"), val.select("item_id", "label"), 80, SEED)], "f1 double, f1_std double, num_labeled long")
+
+
+@query(sql("select item_id, row_number() over (order by score desc, item_id) - 1 as rank from val where item_id % 9 <> 0 order by rank limit 10", "val"))
+def labelling_stack(s, d):
+    val = derive(s, d, "val")
+    stack = R.to_label(_ranked(val.select("item_id", F.col("score").alias("dist")), "dot"), val.where("item_id % 9 = 0"))
+    return stack.withColumn("rank", (F.row_number().over(Window.orderBy("rank")) - 1).cast("long")).select("item_id", "rank")  # ten rows
+
+
+# Reductions and maps
+
+
+@query(sql("select i, avg(x) as x from (select unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) - 1 as i from emb) group by i", "emb"))
+def vector_pool_avg(s, d):
+    return M.pool(derive(s, d, "emb"), "avg").select(F.posexplode("embedding").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+
+
+@query(sql("select i, max(x) as x from (select unnest(embedding::double[]) as x, generate_subscripts(embedding, 1) - 1 as i from emb) group by i", "emb"))
+def vector_pool_max(s, d):
+    return M.pool(derive(s, d, "emb"), "max").select(F.posexplode("embedding").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+
+
+@query(sql("select count(score) as n, avg(score) as mean, coalesce(stddev_samp(score), 0) as std, coalesce(var_samp(score), 0) as variance, min(score) as min, max(score) as max from scores", "scores"))
+def running_stats(s, d):
+    return M.running_stats(derive(s, d, "scores"), "score").drop("skewness", "kurtosis")
+
+
+@query(sql("select item_id, score from scores order by score desc, item_id limit 50", "scores"))
+def top_k(s, d):
+    return M.top_k(derive(s, d, "scores").select("item_id", "score"), "score", 50)
+
+
+@query()
+def embed_text(s, d):
+    return M.embed(s.read.parquet(f"{d}/documents.parquet"), M.HashingEmbedder(64), "text", "doc_id")
+
+
+@query()
+def text_search(s, d):
+    """Embeds documents and ranks them against the embedding of one of them."""
+    emb = M.embed(s.read.parquet(f"{d}/documents.parquet"), M.HashingEmbedder(64), "text", "doc_id")
+    one = emb.where("item_id = 1").select(V.doubles(F.col("embedding")).alias("query")).limit(1)
+    return R.top(R.normalised(R.distances(emb, one, "dot")), 100, R.order("dot"))
+
+
+@query(sql("select item_id as id, case when score < 0.1e0 then 'skipped' else 'processed' end as status from scores", "scores"))
+def chunked_map(s, d):
+    return M.map_elements(derive(s, d, "scores"), lambda x: None if x < 0.1 else x * 2, "score").select("id", "status")
+
+
+@query(sql(f", raw as (select item_id, list_dot_product(embedding::double[], {_WEIGHTS}::double[]) + 0.5e0 as score from emb) select * from raw", "emb"))
+def model_inference(s, d):
+    return M.infer(derive(s, d, "emb"), _WEIGHTS, 0.5).select("item_id", "score")
+
+
+# Clusters
+
+
+def _pages(s, d) -> DataFrame:
+    ranking = _ranked(derive(s, d, "emb").select("item_id", F.col("label").cast("double").alias("dist")), "dot")
+    paged = ranking.withColumn("page", F.floor(F.col("rank") / 100).cast("long"))
+    return paged.join(derive(s, d, "emb").select("item_id", "embedding"), "item_id").select("page", "rank", "item_id", "embedding")
+
+
+@query()
+def ward_merges(s, d):
+    return C.page_merges(_pages(s, d))
+
+
+@query()
+def ward_clusters(s, d):
+    return C.page_clusters(_pages(s, d), 90)
+
+
+@query()
+def cluster_sizes(s, d):
+    return C.by_size(C.page_clusters(_pages(s, d), 90), ("page", "cluster"))
+
+
+@query()
+def bisecting_clusters(s, d):
+    return C.coarse_clusters(derive(s, d, "emb").select("item_id", "embedding"), 8).select("item_id", "leaf")
+
+
+# Sources and sinks
+
+
+@query(sql("select concat_ws(' ', case when is_val then 'val' else 'train' end, identifier, path) as value from items", "items"))
+def image_list_lines(s, d):
+    return image_lists.image_list_lines(derive(s, d, "items"))
+
+
+@query(sql("select item_id, case when is_val then 'val_images/' else 'train_images/' end || string_split(path, '/')[-1] as export_path from items", "items"))
+def export_paths(s, d):
+    return image_lists.export_paths(derive(s, d, "items"))
+
+
+@query(sql("select item_id, event_id from alog join items using (item_id)", "alog", "items"))
+def import_by_path(s, d):
+    items, log = derive(s, d, "items"), derive(s, d, "alog")
+    number = F.col("item_id").cast("string")
+    rows = log.join(items.select("item_id"), "item_id", "left_semi").select(
+        "event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("id-"), number)).alias("identifier"), F.when(F.col("event_id") % 3 == 1, F.col("item_id")).alias("pk"),
+        F.when(F.col("event_id") % 3 == 2, F.concat(F.lit("img/"), number, F.lit(".v1.jpg"))).alias("path"),
+    )
+    return A.resolve(rows, items).select("item_id", "event_id")
+
+
+@query(sql("select 'm' as model, item_id as row_idx, item_id from items", "items"))
+def register_output(s, d):
+    items = derive(s, d, "items")
+    return outputs.add_model_output(items, "m", paths=items.select(F.col("item_id").alias("row_idx"), "path"), embeddings="somewhere")
+
+
+@query(sql("select count(*) as n, sum(item_id)::bigint as total from emb", "emb"))
+def vector_codec(s, d):
+    """Every vector through its text form and back; rows that differ would be missing."""
+    emb = derive(s, d, "emb").withColumn("back", V.vectors_from_base64(V.vectors_to_base64(F.col("embedding"))))
+    return emb.where(F.col("back") == F.col("embedding")).agg(F.count("*").alias("n"), F.sum("item_id").alias("total"))
