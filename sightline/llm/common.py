@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
 from sightline.operators.indexing import checkpoint_folder
+from sightline.session import ship
 
-ROOT = str(Path(__file__).resolve().parents[2])
+__all__ = ["scratch", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver found it.
-
-    On clusters without a shared code folder, pass the package with ``--py-files`` as usual.
-    """
-    env = spark.sparkContext.environment
-    path = env.get("PYTHONPATH", "")
-    if ROOT not in path.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
-
-
 def scratch(spark: SparkSession) -> str:
     """The folder for intermediate tables that the driver and all executors share."""
     return checkpoint_folder(spark)
