@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.operators.indexing import checkpointed
@@ -106,6 +106,43 @@ def size_band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(JACCARD[1] / JACCARD[0]))).cast("int")
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches, "shingles"):
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        at = pa.array(np.repeat(np.arange(len(sets)), sizes))
+        yield pa.RecordBatch.from_pydict({
+            "no": batch.column("no").take(at), "component": batch.column("component").take(at), "n": pa.array(np.repeat(sizes, sizes)), "shingle": pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))
+        })
+
+
+def prefix_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets (no, component, shingles) in different components that may link; none that do is left out.
+
+    Shingles are ordered by the number of sets that hold them, the rarest first. Sets that link share one of the first
+    ``n - ceil(0.75 n) + 1`` of either. The places of the first that they share bound their overlap: what comes before it
+    is not shared. So a copy with many changes of its own, though it shares long runs with thousands of others, meets none
+    of them, as its first shingles are its own.
+    """
+    rows = sets.mapInArrow(_exploded, "no long, component long, n long, shingle long")
+    held = rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    common = rows.join(held, "shingle")  # what only one set holds comes first in its order, and meets nothing
+    own = common.groupBy("no").agg(F.count("*").alias("common"))
+    order = Window.partitionBy("no").orderBy("held", "shingle")
+    placed = common.withColumn("place", F.row_number().over(order)).join(own, "no")
+    placed = placed.withColumn("rest", F.col("common") - F.col("place"))  # shingles after this one
+    needed = F.ceil(F.col("n") * JACCARD[0] / JACCARD[1])
+    prefixes = checkpointed(placed.where(F.col("rest") + 1 >= needed).select("shingle", "no", "component", "n", "rest"))
+    parts = prefixes.groupBy("shingle", "component").agg(F.count("*").alias("size"))
+    main = parts.groupBy("shingle").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "main")
+    every = prefixes.join(main, "shingle")
+    few = every.where("component <> main").select("shingle", F.col("no").alias("a"), F.col("component").alias("c"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
+    bound = (1 + F.least("rest", "rest_a")) * (JACCARD[0] + JACCARD[1]) >= (F.col("n") + F.col("n_a")) * JACCARD[0]
+    once = (F.col("component") == F.col("main")) | (F.col("a") < F.col("no"))
+    met = few.join(every, "shingle").where((F.col("component") != F.col("c")) & sizes_fit(F.col("n"), F.col("n_a")) & bound & once)
+    return met.select(F.least("a", "no").alias("a"), F.greatest("a", "no").alias("b")).distinct()
+
+
 class _Verifier:
     """Keeps pairs that link: first by size and bitmap, which are small, then by the sorted arrays of who is left."""
 
@@ -127,13 +164,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     1. Equal texts are one class: a row per text with its set's size, parity bitmap and tile keys.
     2. A tile holds the classes with one key. Only those in a tile with another are looked at further.
-    3. In each tile and size band, the least class is compared with the others: a star, not all pairs. The links found
-       merge most groups of copies.
-    4. In tiles that still hold several components, every two classes of different components and fitting sizes are
-       compared, so that no link that could merge two components is left out.
+    3. In each tile and size band, the class that meets most others is compared with all of them: a star, not all pairs.
+       The links found merge most groups of copies.
+    4. Classes in tiles that still hold several components are compared across components by a prefix filter over their
+       shingles, rarest first, so that no link that could merge two components is left out.
     A comparison bounds the overlap by the bitmaps' differing bits first, then intersects the sorted arrays. Pairs inside a
-    component aren't compared, as they can't change it. A tile's most common component is only met with the others in
-    it, so a tile of thousands of copies of one text costs no more than its rows.
+    component aren't compared, as they can't change it.
 
     Null ids are kept; null texts and texts without words link with nothing. Equal texts always link, whatever their
     length. Repeated rows are documents of their own. Further columns are ignored.
@@ -148,7 +184,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = checkpointed(classes.withColumn("no", F.monotonically_increasing_id()))
 
     entries = classes.select("no", "n", size_band(F.col("n")).alias("band"), F.explode("tiles").alias("tile"))
-    shared = entries.groupBy("tile").agg(F.min("no").alias("x"), F.max("no").alias("y")).where("x <> y").select("tile")
+    shared = entries.groupBy("tile").agg(F.count("*").alias("size")).where("size > 1")
     tiles = checkpointed(entries.join(shared, "tile"))
 
     texts = named.where("text is not null").groupBy("fp").agg(F.first("text").alias("text"))
@@ -156,20 +192,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     arrays = checkpointed(texts.join(needed, "fp").select("no", "text").mapInArrow(_arrays, "no long, shingles binary"))
     verified = _Verifier(classes, arrays)
 
-    centres = tiles.groupBy("tile", "band").agg(F.min("no").alias("a"))
-    stars = tiles.join(centres, ["tile", "band"]).where("a <> no").select("a", F.col("no").alias("b")).distinct()
+    met = tiles.groupBy("no").agg(F.sum("size").alias("met"))
+    centres = tiles.join(met, "no").groupBy("tile", "band").agg(F.max_by("no", F.struct("met", "no")).alias("a"))
+    stars = tiles.join(centres, ["tile", "band"]).where("a <> no").select(F.least("a", "no").alias("a"), F.greatest("a", "no").alias("b")).distinct()
     links = checkpointed(verified(stars))
     first = components(links)
 
-    placed = tiles.join(first.select(F.col("node").alias("no"), "component"), "no", "left").select("tile", "no", "n", F.coalesce("component", "no").alias("component"))
+    placed = tiles.select("tile", "no").join(first.select(F.col("node").alias("no"), "component"), "no", "left").withColumn("component", F.coalesce("component", "no"))
     placed = checkpointed(placed)
-    parts = placed.groupBy("tile", "component").agg(F.count("*").alias("size"))
-    main = parts.groupBy("tile").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("tile", "main")
-    mixed_tiles = placed.join(main, "tile")
-    few = mixed_tiles.where("component <> main").select("tile", F.col("no").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    every = mixed_tiles.select("tile", F.col("no").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), "main")
-    met = few.join(every, "tile").where((F.col("c_a") != F.col("c_b")) & sizes_fit(F.col("n_a"), F.col("n_b")) & ((F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))))
-    more = verified(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = placed.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tile")
+    open_ = checkpointed(placed.join(ends, "tile", "left_semi").select("no", "component").distinct())
+    more = verified(prefix_pairs(arrays.join(open_, "no")))
     final = components(links.union(more))
 
     joined = classes.select("fp", "no", "least").join(final.select(F.col("node").alias("no"), F.col("component").alias("root")), "no", "left").withColumn("root", F.coalesce("root", "no"))
