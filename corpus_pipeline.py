@@ -28,8 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("key").alias("doc_id")).where("doc_id is not null").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

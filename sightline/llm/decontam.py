@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _rows(sketch_only: bool | None, key: str):
+def _rows(key: str):
     """Rows (key, n, shingle, in_sketch): an item's smallest hashes are its MinHash sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,7 +51,7 @@ def _rows(sketch_only: bool | None, key: str):
 def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     narrow = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("item is not null")
     kind = narrow.schema["item"].dataType.simpleString()
-    return narrow.mapInArrow(_rows(True, "item"), f"item {kind}, n long, shingle long, in_sketch boolean").dropDuplicates(["item", "shingle"])
+    return narrow.mapInArrow(_rows("item"), f"item {kind}, n long, shingle long, in_sketch boolean").dropDuplicates(["item", "shingle"])
 
 
 class SketchIndex:
@@ -83,6 +84,16 @@ class SketchIndex:
             found += [owners[x:y] for x, y in zip(a[b > a], b[b > a], strict=True)]
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
+    def search(self, texts: pa.Array, least: tuple[int, int]) -> list[tuple[int, object, int, int]]:
+        """(place in the batch, item, its shingles, shared ones) of all pairs with enough shared."""
+        found = []
+        for i, doc in enumerate(shingle_sets(texts)):
+            for no in self.candidates(doc):
+                n, k = self.shared(no, doc)
+                if least[1] * k >= least[0] * n:
+                    found.append((i, self.items[no], n, k))
+        return found
+
     def shared(self, no: int, doc: np.ndarray) -> tuple[int, int]:
         own = self.shingles[self.first[no] : self.last[no]]
         at = np.minimum(np.searchsorted(doc, own), len(doc) - 1)
@@ -109,36 +120,59 @@ def contaminated(
 
     Returns: key (the document's id), item, n_item, n_shared.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    key_kind = narrow.schema["key"].dataType.simpleString()
+    kinds = f"key {narrow.schema['key'].dataType.simpleString()}, item {items.schema[item_col].dataType.simpleString()}, n_item long, n_shared long"
     rows = item_shingles(items, item_col)
-    item_kind = rows.schema["item"].dataType.simpleString()
-    need = least[0], least[1]
-    head = rows.limit(broadcast_shingles + 1).toPandas() if broadcast_shingles else None
-    if head is not None and len(head) <= broadcast_shingles:
-        if not len(head):
-            return narrow.select("key", F.lit(None).cast(item_kind).alias("item"), F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_shared")).where("false")
-        index = spark.sparkContext.broadcast(SketchIndex(head["item"].to_numpy(), head["n"].to_numpy(), head["shingle"].to_numpy(), head["in_sketch"].to_numpy()))
+    index = sent_index(rows, broadcast_shingles)
+    if index is not None:
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = index.value
             for batch in small_batches(batches):
-                at, item, size, shared = [], [], [], []
-                for i, doc in enumerate(shingle_sets(batch.column("text"))):
-                    for no in known.candidates(doc):
-                        n, k = known.shared(no, doc)
-                        if need[1] * k >= need[0] * n:
-                            at.append(i), item.append(known.items[no]), size.append(n), shared.append(k)
-                yield pa.RecordBatch.from_pydict({"key": batch.column("key").take(pa.array(at, pa.int64())), "item": pa.array(item), "n_item": pa.array(size, pa.int64()), "n_shared": pa.array(shared, pa.int64())}) if at else pa.RecordBatch.from_pydict({"key": batch.column("key").slice(0, 0), "item": pa.array(known.items[:0]), "n_item": pa.array([], pa.int64()), "n_shared": pa.array([], pa.int64())})
-
-        pairs = narrow.mapInArrow(search, f"key {key_kind}, item {item_kind}, n_item long, n_shared long")
+                hits = index.value.search(batch.column("text"), least)
+                if hits:
+                    at, item, size, shared = zip(*hits, strict=True)
+                    yield pa.RecordBatch.from_pydict({"key": batch.column("key").take(pa.array(at, pa.int64())), "item": pa.array(item), "n_item": pa.array(size, pa.int64()), "n_shared": pa.array(shared, pa.int64())})
+
+        pairs = narrow.mapInArrow(search, kinds)
     else:
         own = narrow.withColumn("row", F.monotonically_increasing_id())
-        held = own.select("row", "text").mapInArrow(_rows(False, "row"), "row long, n long, shingle long, in_sketch boolean").select("row", "shingle")
-        candidates = held.join(rows.where("in_sketch").select("item", "shingle"), "shingle").select("row", "item").distinct()
-        shared = held.join(rows.select("item", F.col("n").alias("n_item"), "shingle"), "shingle").join(candidates, ["row", "item"], "left_semi")
-        shared = shared.groupBy("row", "item").agg(F.first("n_item").alias("n_item"), F.count("*").alias("n_shared"))
-        pairs = shared.where(F.col("n_shared") * need[1] >= F.col("n_item") * need[0]).join(own.select("row", "key"), "row")
+        pairs = joined_pairs(own, rows, least).join(own.select("row", "key"), "row")
     return pairs.groupBy("key", "item").agg(F.max("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
+
+
+def sent_index(rows: DataFrame, most: int):
+    """A broadcast index of the items' shingles; None where there are more than ``most``."""
+    head = rows.limit(most + 1).toPandas()
+    if len(head) > most:
+        return None
+    return rows.sparkSession.sparkContext.broadcast(SketchIndex(head["item"].to_numpy(), head["n"].to_numpy(), head["shingle"].to_numpy(), head["in_sketch"].to_numpy()))
+
+
+def joined_pairs(own: DataFrame, rows: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(row, item, n_item, n_shared) of rows (row, text) by joins: on sketch hashes, then on all shingles of candidates."""
+    held = own.select("row", "text").mapInArrow(_rows("row"), "row long, n long, shingle long, in_sketch boolean").select("row", "shingle")
+    candidates = held.join(rows.where("in_sketch").select("item", "shingle"), "shingle").select("row", "item").distinct()
+    shared = held.join(rows.select("item", F.col("n").alias("n_item"), "shingle"), "shingle").join(candidates, ["row", "item"], "left_semi")
+    shared = shared.groupBy("row", "item").agg(F.first("n_item").alias("n_item"), F.count("*").alias("n_shared"))
+    return shared.where(F.col("n_shared") * least[1] >= F.col("n_item") * least[0])
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", least: tuple[int, int] = CONTAINMENT, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
+    """The documents, all columns kept, without the rows that hold an item; rows with a null id are judged alike."""
+    ship(docs.sparkSession)
+    rows = item_shingles(items, item_col)
+    index = sent_index(rows, broadcast_shingles)
+    if index is not None:
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in small_batches(batches, text_col):
+                clean = np.ones(batch.num_rows, bool)
+                clean[[hit[0] for hit in index.value.search(batch.column(text_col), least)]] = False
+                yield batch.filter(pa.array(clean))
+
+        return docs.mapInArrow(keep, docs.schema)
+    row = f"row_{uuid.uuid4().hex}"  # no column of the documents has this name
+    own = docs.withColumn(row, F.monotonically_increasing_id())
+    held = joined_pairs(own.select(F.col(row).alias("row"), F.col(text_col).alias("text")), rows, least).select(F.col("row").alias(row)).distinct()
+    return own.join(held, row, "left_anti").select(docs.columns)

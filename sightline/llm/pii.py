@@ -25,7 +25,7 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD_RUN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL_REST = re.compile(r"[^\s<>\"'`]+")
-ACCOUNT_REST = re.compile(r"[\x20\t]{0,4}(?:number|no\.?|nr\.?|#)?[\x20\t]{0,4}[=:#]?[\x20\t]{0,4}[\"']?([A-Za-z0-9](?:[A-Za-z0-9_-]|\x20(?=[0-9A-Z]{4}\b))*)", re.I)
+ACCOUNT_REST = re.compile(r"[\x20\t]{0,4}(?:number|no\.?|nr\.?|#)?[\x20\t]{0,4}[=:#]?[\x20\t]{0,4}[\"']?([A-Za-z0-9](?:[A-Za-z0-9_-]|\x20(?=[0-9A-Z]{1,4}\b))*)", re.I)
 #: Cues after which an account number or a secret identifier stands.
 CUES = ("iban", "account", "acct", "konto", "cuenta", "compte", "passport", "ssn", "token", "api_key", "apikey", "secret", "password")
 MIN_ACCOUNT = 6

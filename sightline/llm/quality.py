@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -85,17 +86,17 @@ def statistics(texts: pa.Array) -> np.ndarray:
     ])
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with a column ``statistics`` (array of doubles) added; columns pass through as they are."""
+def with_statistics(docs: DataFrame, text_col: str = "text", out: str = "statistics") -> DataFrame:
+    """The rows with an array of their text's statistics added; columns pass through as they are."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, text_col):
             values = statistics(batch.column(text_col))
             rows = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, rows], [*batch.schema.names, "statistics"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows], [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("statistics", T.ArrayType(T.DoubleType()))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # of statistic, whether at most (else above), bound
@@ -178,25 +179,24 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     return fit(with_statistics(rows).select(id_col, "label", "statistics"))
 
 
-def scored(docs: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with score and predicted added. The score reads the text alone, all of it."""
-    return with_statistics(docs).withColumn("score", model.score(F.col("statistics"))).drop("statistics").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
-
-
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """Scores every document with rules learnt from the labels outside the held-out fold.
 
     Statistics of whole texts are computed in one pass; the rules are column expressions over them. Null and empty texts
-    are scored as empty texts; without usable labels all scores are 0.5. Repeated rows are scored each. Nothing but the
-    labelled ids, at most ``MOST_LABELLED``, is broadcast; documents aren't shuffled.
+    are scored as empty texts; without usable labels all scores are 0.5. Repeated rows are scored each, rows with a null
+    id too, as not held out. Further columns are ignored. Nothing but the labelled ids, at most ``MOST_LABELLED``, is
+    broadcast; documents aren't shuffled.
 
     Returns: the id, held_out, score, predicted.
     """
     model = learn(docs, labels, id_col=id_col)
-    return scored(docs.select(id_col, "text"), model).select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
+    score = model.score(F.col("statistics"))
+    found = with_statistics(docs.select(id_col, "text")).select(id_col, held_out(F.col(id_col)).alias("held_out"), score.alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents, all columns kept, without those that the rules reject."""
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns kept as they are, without those that the rules reject."""
     model = learn(docs, labels, id_col=id_col)
-    return scored(docs, model).where("predicted = 1").select(docs.columns)
+    own = f"statistics_{uuid.uuid4().hex}"  # no column of the documents has this name
+    return with_statistics(docs, out=own).where(model.score(F.col(own)) >= threshold).select(docs.columns)
