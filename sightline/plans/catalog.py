@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,7 +17,9 @@ from ..operators import learning as L
 from ..operators import mapping as M
 from ..operators import ranking as R
 from ..operators import validation as G
+from ..operators.indexing import checkpoint_folder
 from ..sources import image_lists, outputs
+from ..streaming import annotation_stream
 from .derived import derive, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -494,3 +497,30 @@ def vector_codec(s, d):
     """Every vector through its text form and back; rows that differ would be missing."""
     emb = derive(s, d, "emb").withColumn("back", V.vectors_from_base64(V.vectors_to_base64(F.col("embedding"))))
     return emb.where(F.col("back") == F.col("embedding")).agg(F.count("*").alias("n"), F.sum("item_id").alias("total"))
+
+
+# Streams
+
+
+def _streamed(s, d, job) -> DataFrame:
+    """Runs a streaming job over all there is of the log and returns the newest state that it wrote."""
+    folder = f"{checkpoint_folder(s)}/stream-{uuid.uuid4()}"
+    key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = s.conf.get(key)
+    s.conf.set(key, rocks)
+    try:
+        job(derive(s, d, "alog", stream=True), f"{folder}/state", f"{folder}/offsets").awaitTermination()
+    finally:
+        s.conf.set(key, before)
+    return annotation_stream.latest_version(s, f"{folder}/state")
+
+
+@query(sql("select category, mode, count(*) as n from cur group by all", "cur"))
+def stream_category_counts(s, d):
+    return _streamed(s, d, annotation_stream.running_counts)
+
+
+@query(sql("select item_id, category, mode, is_box, batch_id, count(*) as n from cur group by all", "cur"))
+def stream_current_annotations(s, d):
+    found = annotation_stream.in_force(_streamed(s, d, annotation_stream.current_annotations))
+    return found.groupBy("item_id", "category", "mode", "is_box", "batch_id").agg(F.count("*").alias("n"))

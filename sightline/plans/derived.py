@@ -24,10 +24,14 @@ TABLES = {
 K = {"spark": "cast(get_json_object(props, '$.k') as int)", "duckdb": "cast(json_extract_string(props, '$.k') as int)"}
 
 
-def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def derive(spark: SparkSession, sf_dir: str, name: str, stream: bool = False) -> DataFrame:
+    """A derived table; with ``stream`` its source is read as a stream of files."""
     ship(spark)
     source, columns = TABLES[name]
-    rows = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+    path = f"{sf_dir}/{source}.parquet"
+    rows = spark.read.parquet(path)
+    if stream:  # a file stream wants a folder or a pattern, so a table of one file is named by a pattern
+        rows = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/{source}.parque[t]")
     return rows.selectExpr(*_parts(columns.replace("{K}", K["spark"])))
 
 
