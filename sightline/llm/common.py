@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sightline.operators.indexing import checkpoint_folder
 from sightline.session import ship
 
-__all__ = ["scratch", "ship", "table"]
+__all__ = ["BROADCAST_ROWS", "scratch", "sent_if_small", "ship", "table"]
+
+#: Rows of a few ids each that are broadcast at most, some 25 MB; more are joined by shuffling.
+BROADCAST_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,3 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The folder for intermediate tables that the driver and all executors share."""
     return checkpoint_folder(spark)
+
+
+def sent_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, to be broadcast where they are counted to be few; else as they are. They should be cheap to read twice."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators.indexing import checkpointed
 
-from .common import ship
+from .common import sent_if_small, ship
 from .graph import components
 from .shingles import mixed, shingle_sets, small_batches
 
@@ -127,10 +127,9 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     rows = sets.mapInArrow(_exploded, "no long, component long, n long, shingle long")
     held = rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
     common = rows.join(held, "shingle")  # what only one set holds comes first in its order, and meets nothing
-    own = common.groupBy("no").agg(F.count("*").alias("common"))
-    order = Window.partitionBy("no").orderBy("held", "shingle")
-    placed = common.withColumn("place", F.row_number().over(order)).join(own, "no")
-    placed = placed.withColumn("rest", F.col("common") - F.col("place"))  # shingles after this one
+    own = Window.partitionBy("no")
+    # shingles after this one; a set's own rows, and no more than those, meet in one task
+    placed = common.withColumn("rest", F.count("*").over(own) - F.row_number().over(own.orderBy("held", "shingle")))
     needed = F.ceil(F.col("n") * JACCARD[0] / JACCARD[1])
     prefixes = checkpointed(placed.where(F.col("rest") + 1 >= needed).select("shingle", "no", "component", "n", "rest"))
     parts = prefixes.groupBy("shingle", "component").agg(F.count("*").alias("size"))
@@ -187,8 +186,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = entries.groupBy("tile").agg(F.count("*").alias("size")).where("size > 1")
     tiles = checkpointed(entries.join(shared, "tile"))
 
-    texts = named.where("text is not null").groupBy("fp").agg(F.first("text").alias("text"))
-    needed = tiles.select("no").distinct().join(classes.select("no", "fp"), "no")
+    needed = checkpointed(tiles.select("no").distinct().join(classes.select("no", "fp"), "no"))
+    texts = named.where("text is not null").join(sent_if_small(needed.select("fp")), "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
     arrays = checkpointed(texts.join(needed, "fp").select("no", "text").mapInArrow(_arrays, "no long, shingles binary"))
     verified = _Verifier(classes, arrays)
 
@@ -217,9 +216,11 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents without words and those with a null id link with nothing here and stay. Of rows that repeat an id with
     the same component one stays.
     """
-    found = jaccard_components(docs, id_col, text_col).where("key is not null and n_shingles > 0")
-    gone = found.where("key <> component").select(F.col("key").alias(id_col)).distinct()
-    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    found = checkpointed(jaccard_components(docs, id_col, text_col).where("key is not null and n_shingles > 0").select("key", "component"))
+    gone = checkpointed(found.where("key <> component").select(F.col("key").alias(id_col)).distinct())
+    kept = docs.join(sent_if_small(gone), id_col, "left_anti")
     again = found.where("key = component").groupBy("key").count().where("count > 1").select(F.col("key").alias(id_col))
+    if again.isEmpty():
+        return kept.select(docs.columns)
     once, often = kept.join(again, id_col, "left_anti"), kept.join(again, id_col, "left_semi")
     return once.unionByName(often.dropDuplicates([id_col])).select(docs.columns)
