@@ -21,12 +21,12 @@ COSINE = 0.95
 #: Distinct vectors that the coarse cells and the codebooks are fitted on at most: those with the least fingerprints.
 SAMPLE = 16_384
 #: Cells at most, and distinct vectors a cell should hold.
-MOST_CELLS, CELL_SIZE = 2_048, 256
+MOST_CELLS, CELL_SIZE = 2_048, 512
 PARTS, CODES = 8, 256
 #: A vector is searched in every cell whose border lies nearer than this share of the search radius. At 1 no link can be
 #: missed; a near copy that differs in a direction of its own, unrelated to the cells, lies past the border by the radius
-#: times the direction's part along one axis, whose standard deviation in 64 dimensions is 1/8: 0.6 is nearly 5 of those.
-REACH = 0.6
+#: times the direction's part along one axis, whose standard deviation in 64 dimensions is 1/8: 0.5 is 4 of those.
+REACH = 0.5
 #: Vectors of a cell that one task compares with as many others.
 BLOCK = 2_048
 
