@@ -34,6 +34,8 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 AROUND_WORD = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|replies|reply|sidebar|widget|breadcrumbs?|menu|nav|navbar|navigation|pagination|pager|footer|masthead|topbar|toolbar|complementary|contentinfo|skip|search|tags?|meta|byline-social)(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>\x00]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>\x00]*+)([^>]*+)>", re.S)  # the last form has an odd quote
+#: Names of layouts rather than of what stands around the article, as in "content with-sidebar". Fixed values.
+LAYOUT_WORD = re.compile(r"\b(?:with|has|no|without|hide)[_-]\w+", re.I)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 SPACE = re.compile(r"\s+")
@@ -126,7 +128,7 @@ def blocks_of(page: str) -> list[Block]:
         if name in AROUND and not (name == "header" and scope):
             around = True
         if attrs and name not in ("body", "html", "article", "main"):
-            named = " ".join("".join(x) for x in NAMED.findall(attrs))
+            named = LAYOUT_WORD.sub("", " ".join("".join(x) for x in NAMED.findall(attrs)))
             around = around or bool(named and AROUND_WORD.search(named))
             dropped = dropped or bool(HIDDEN.search(attrs))
         elif attrs and name == "article" and (named := " ".join("".join(x) for x in NAMED.findall(attrs))):

@@ -17,6 +17,8 @@ from .common import ship
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
+#: What is taken out of texts. A web address alone doesn't name a person and stays; e-mail addresses in it go.
+REDACTED = (*BASE_KINDS, "account")
 
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 WORD_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
@@ -142,7 +144,8 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def redacted(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
-    """The text with every span, or run of overlapping spans, replaced by the kind of the first in square brackets."""
+    """The text with every span of a kind in ``REDACTED``, or run of overlapping ones, replaced by the first's kind in brackets."""
+    spans = [x for x in spans if x[0] in REDACTED]
     if not spans:
         return text
     out, at, i = [], 0, 0

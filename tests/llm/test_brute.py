@@ -40,7 +40,8 @@ def test_spans_are_those_of_the_patterns(text):
 def test_further_spans():
     text = "IBAN DE89 3704 0044 0532 0130 00 AND see https://a.b/c. token = \"abc123def\" ID"
     assert [(k, text[a:b]) for k, a, b in pii.find_spans(text) if k not in pii.BASE_KINDS] == [("account", "DE89 3704 0044 0532 0130 00"), ("url", "https://a.b/c"), ("account", "abc123def")]
-    assert pii.redacted("a x@y.zz b", pii.find_spans("a x@y.zz b")) == "a [EMAIL] b"
+    for text, clean in (("a x@y.zz b", "a [EMAIL] b"), ("at https://a.b/c", "at https://a.b/c"), ("ssh://me@host.org/x", "ssh://[EMAIL]/x")):
+        assert pii.redacted(text, pii.find_spans(text)) == clean
 
 
 def shingle_set(text):
@@ -161,6 +162,8 @@ def test_page_shapes():
     s = "The house is in the middle of the street and it was built by the people who lived with us for a long time. " * 3
     page = f"<html><body><div id=menu><a href=x>Home</a> <a>About</a></div><div class='post'><h2>Title here</h2><p>{s}<p>Short one.<p>{s}</div><div class=comments><p>{s}</p></div><div>Cookies?</div></body></html>"
     assert html_extract.main_text(page).split("\n\n") == ["Title here", s.strip(), "Short one.", s.strip()]
+    page = f"<div class='content with-sidebar'><p>{s}</p></div><div class='sidebar'><p>{s}</p></div>"
+    assert html_extract.main_text(page) == s.strip()
     page = f"<main><h1>T</h1><p>{s}</p><aside><p>{s}</p></aside><form>a</form><ul><li>one<li>two &#233;</ul><script>x<p></script><section class='comments'><article><p>{s}</article></section></main>"
     assert html_extract.main_text(page).split("\n\n") == ["T", s.strip(), "one", "two é"]
 
