@@ -147,6 +147,11 @@ def active_validation(scores: DataFrame, known: DataFrame, f1: float, seed: int
     return merged.select("item_id", F.when(F.col("known"), one).otherwise(F.col("most")).alias("weight"), F.coalesce("known", F.lit(False)).alias("labelled"))
 
 
+def to_request(drawn: DataFrame) -> DataFrame:
+    """Of what was drawn, the distinct items without a label yet."""
+    return drawn.where("not labelled").select("item_id", "weight").dropDuplicates(["item_id"])
+
+
 def ais_loop(scores: DataFrame, truth: DataFrame, budget: int, seed: int = 0) -> dict[str, float]:
     """Estimates F1 with about ``budget`` labels: rounds of doubling size, each drawn by what the last ones taught.
 

@@ -282,6 +282,19 @@ def result_page(s, d):
     return R.hydrated(R.page(ranking, 0, 100), items).select("item_id", "rank", "public_path")
 
 
+@query(sql(", ranked as (select item_id, row_number() over (order by label desc, item_id) - 1 as rank, count(*) over () as n from items), slice as (select item_id from ranked where rank >= ceil(n * (1e0 - 0.6e0)) and rank < floor(n * (1e0 - 0.2e0))) select category, mode, count(*) as n from (select category, mode from cur where is_box or category <> 'click' or item_id not in (select item_id from slice) union all select 'click', 'HARD_NEGATIVE' from slice) group by all", "items", "cur"))
+def bulk_tag(s, d):
+    items, log = derive(s, d, "items"), derive(s, d, "alog")
+    ranking = _ranked(items.select("item_id", F.col("label").cast("double").alias("dist")), "dot")
+    tagged = A.set_tag(R.percentile_slice(ranking, 0.2, 0.6), 1 << 40, "me", "click", "HARD_NEGATIVE")
+    return A.current(log.unionByName(tagged, allowMissingColumns=True)).groupBy("category", "mode").agg(F.count("*").alias("n"))
+
+
+@query(sql("select item_id, -1e0 as dist, row_number() over (order by item_id) - 1 as rank from items where not is_val", "items"))
+def browse_ids(s, d):
+    return R.ranked(R.browse(derive(s, d, "items").where("not is_val").select("item_id")), ["sort_key"]).select("item_id", "dist", "rank")
+
+
 # Learning
 
 
@@ -335,6 +348,19 @@ def pr_f1_estimate(s, d):
     return G.estimates(derive(s, d, "val"))
 
 
+@query(sql(_estimate_sql().replace("from val)", "from val where item_id % 2 = 0)"), "val"))
+def metric_query(s, d):
+    """Labels with the weights and scores that exist for them."""
+    val = derive(s, d, "val")
+    return G.estimates(G.metric_sample(val.select("item_id", "label"), val.where("item_id % 2 = 0").select("item_id", "weight"), val.select("item_id", "score")))
+
+
+@query(sql("select distinct item_id from val where item_id % 4 < 2 and item_id % 9 <> 0", "val"))
+def new_ids_to_label(s, d):
+    val = derive(s, d, "val")
+    return G.to_request(val.where("item_id % 4 < 2").select("item_id", "weight", (F.col("item_id") % 9 == 0).alias("labelled"))).select("item_id")
+
+
 @query(sql("select item_id, score, 'fp' as kind from val where score > 0.5e0 and not label union all select item_id, score, 'fn' from val where score <= 0.5e0 and label", "val"))
 def fp_fn(s, d):
     val = derive(s, d, "val")
@@ -462,6 +488,14 @@ def bisecting_clusters(s, d):
     return C.coarse_clusters(derive(s, d, "emb").select("item_id", "embedding"), 8).select("item_id", "leaf")
 
 
+@query()
+def whole_result_clusters(s, d):
+    """Ward clusters inside the leaves of a coarse clustering of the whole result."""
+    ranking = _ranked(derive(s, d, "emb").select("item_id", F.col("label").cast("double").alias("dist")), "dot")
+    leaves = C.coarse_clusters(ranking.join(derive(s, d, "emb").select("item_id", "embedding"), "item_id"), 8)
+    return C.page_clusters(leaves, 80, "leaf")
+
+
 # Sources and sinks
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import export_path
+from ..operators.indexing import running_totals
 
 IMAGE = r"\.(jpg|JPG|jpeg|JPEG|png|PNG)$"
 
@@ -22,16 +27,62 @@ def scan_items(spark: SparkSession, train_dir: str, val_dir: str | None = None,
     return found.unionByName(files(val_dir, True)) if val_dir else found
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row_idx, line) of a list file, numbered from 0; a list is one row while it is split, so it should be under 100 MB."""
+class LineRange(InputPartition):
+    def __init__(self, start: int, stop: int):
+        self.start, self.stop = start, stop
+
+
+class LineReader(DataSourceReader):
+    """Lines of one file by byte range: a line belongs to the range in which it begins."""
+
+    def __init__(self, options: dict):
+        self.path, self.step = options["path"], int(options.get("step", 64 << 20))
+
+    def partitions(self) -> list[LineRange]:
+        size = os.path.getsize(self.path)
+        return [LineRange(a, min(a + self.step, size)) for a in range(0, size, self.step)] or [LineRange(0, 0)]
+
+    def read(self, part: LineRange) -> Iterator[tuple[int, str]]:
+        with open(self.path, "rb") as f:
+            at = max(0, part.start - 1)
+            f.seek(at)
+            if part.start:
+                at += len(f.readline())  # the end of a line that began before
+            while at < part.stop and (line := f.readline()):
+                yield at, line.decode().rstrip("\r\n")
+                at += len(line)
+
+
+class LineSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "text_lines"
+
+    def schema(self) -> str:
+        return "byte_offset long, line string"
+
+    def reader(self, schema) -> LineReader:
+        return LineReader(self.options)
+
+
+def numbered_lines(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
+    """(row_idx, line) of a list file, numbered from 0.
+
+    A list of under 100 MB is one row while it is split; a large one, on a path that all executors see, is read by byte
+    ranges and numbered by prefix sums.
+    """
+    if large:
+        spark.dataSource.register(LineSource)
+        lines = spark.read.format("text_lines").load(path)
+        return running_totals(lines, ["byte_offset"], index="row_idx").select("row_idx", "line")
     whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("row_idx", "line")).select(F.col("row_idx").cast("long").alias("row_idx"), "line")
 
 
-def read_image_list(spark: SparkSession, path: str) -> DataFrame:
+def read_image_list(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
     """(row_idx, split, identifier, path) of lines ``split identifier path``; the path may hold spaces."""
     pattern = r"^(\S*) (\S*) (.*)$"
-    lines = numbered_lines(spark, path).where(F.trim("line") != "")
+    lines = numbered_lines(spark, path, large).where(F.trim("line") != "")
     return lines.select("row_idx", *(F.regexp_extract("line", pattern, k).alias(n) for k, n in ((1, "split"), (2, "identifier"))), F.trim(F.regexp_extract("line", pattern, 3)).alias("path"))
 
 
@@ -43,9 +94,9 @@ def write_image_list(items: DataFrame, path: str) -> None:
     image_list_lines(items).write.text(path)
 
 
-def read_file_list(spark: SparkSession, path: str) -> DataFrame:
+def read_file_list(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
     """(row_idx, line): stripped lines up to the first blank one."""
-    lines = numbered_lines(spark, path).withColumn("line", F.trim("line"))
+    lines = numbered_lines(spark, path, large).withColumn("line", F.trim("line"))
     blank = lines.where("line = ''").agg(F.min("row_idx").alias("stop"))
     return lines.crossJoin(F.broadcast(blank)).where("stop is null or row_idx < stop").drop("stop")
 

@@ -26,6 +26,18 @@ def test_lists(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["train id-0 /a b.jpg"]
 
 
+@pytest.mark.parametrize("step", [1, 7, 64, 10_000])
+def test_large_lists_are_numbered_alike(spark, tmp_path, step):
+    lines = [f"train id-{i} /p {'x' * (i % 9)}" for i in range(60)]
+    (tmp_path / "list").write_text("\n".join(lines) + "\n")
+    reader = S.LineReader({"path": str(tmp_path / "list"), "step": step})
+    read = [row for part in reader.partitions() for row in reader.read(part)]
+    assert [x for _, x in sorted(read)] == lines
+    if step == 64:
+        whole, ranges = (sorted(tuple(r) for r in S.read_image_list(spark, str(tmp_path / "list"), large).collect()) for large in (False, True))
+        assert whole == ranges and len(whole) == 60
+
+
 def test_matrix_and_scores(spark, tmp_path):
     x = np.arange(12, dtype=np.float32).reshape(3, 4)
     (tmp_path / "embeddings.bin").write_bytes(x.tobytes())
