@@ -24,7 +24,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 CAPACITY = 4096
 #: Words whose ids a Python worker keeps (about 40 bytes each); at that number it starts anew.
-KEPT_WORDS = 1_500_000
+KEPT_WORDS = 600_000
 
 _B = np.arange(256)
 _LETTER = ((_B >= 65) & (_B <= 90)) | ((_B >= 97) & (_B <= 122))
