@@ -42,7 +42,7 @@ STATISTICS = (
     "line_words", "distinct_lines", "repeated_lines", "bytes_per_stop",
 )
 
-_CLASS = np.zeros(256, np.int64)
+_CLASS = np.zeros(256, np.uint8)
 for _k, _chars in enumerate(CLASSES.values()):
     _CLASS[list(_chars)] = _k + 1
 _CLASS[128:] = len(CLASSES) + 1
@@ -53,8 +53,11 @@ def statistics(texts: pa.Array) -> np.ndarray:
     data, edges = bytes_of(texts)
     n, kinds = len(edges) - 1, len(CLASSES) + 2
     size = np.diff(edges)
-    doc = np.repeat(np.arange(n), size)
-    counts = np.bincount(doc * kinds + _CLASS[data], minlength=n * kinds).reshape(n, kinds)[:, 1:]
+    counts = np.zeros((n, kinds), np.int64)
+    for i in range(n):
+        for a in range(edges[i], edges[i + 1], 1 << 20):  # of a long text a part at a time
+            counts[i] += np.bincount(_CLASS[data[a : min(a + (1 << 20), edges[i + 1])]], minlength=kinds)
+    counts = counts[:, 1:]
     shares = counts / np.maximum(size, 1)[:, None]
     starts, ends = word_bounds(data, edges)
     bounds = np.searchsorted(starts, edges)
