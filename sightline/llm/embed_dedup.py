@@ -198,9 +198,20 @@ def _links(usual: DataFrame, index, cosine: float, reach: float) -> DataFrame:
                     "unit": part.column("unit").take(at), "codes": pa.array([*map(bytes, codes), *pad], pa.binary()), "error": pa.array([*error, *pad], pa.float64()),
                 })
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = index.value
+        total = np.zeros((2, len(q.cells)), np.int64)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                home, _, cell = q.probes(matrix(batch.column("unit").slice(a, 1024)), reach * radius(cosine))
+                total += [np.bincount(x, minlength=len(q.cells)) for x in (home, cell)]
+        at = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int32()), "stores": total[0, at], "searches": total[1, at]})
+
     entries = usual.select("no", "copies", "unit").mapInArrow(coded, "cell int, stored boolean, no long, copies long, unit binary, codes binary, error double")
     # a row per cell, and so at most MOST_CELLS
-    blocks = entries.groupBy("cell").agg(*(F.ceil(F.count_if(F.col("stored") == x) / BLOCK).cast("int").alias(n) for x, n in ((True, "stores"), (False, "searches")))).where("stores > 0")
+    counts = usual.select("unit").mapInArrow(counted, "cell int, stores long, searches long").groupBy("cell").agg(F.sum("stores").alias("stores"), F.sum("searches").alias("searches"))
+    blocks = counts.where("stores > 0").select("cell", *(F.ceil(F.col(x) / BLOCK).cast("int").alias(x) for x in ("stores", "searches")))
     dealt = entries.join(F.broadcast(blocks), "cell")
     own = F.pmod(F.xxhash64("no"), F.when(F.col("stored"), F.col("stores")).otherwise(F.col("searches"))).cast("int")
     met = F.sequence(F.lit(0), F.when(F.col("stored"), F.col("searches")).otherwise(F.col("stores")) - 1)
