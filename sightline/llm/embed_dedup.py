@@ -29,6 +29,8 @@ PARTS, CODES = 8, 256
 REACH = 0.5
 #: Vectors of a cell that one task compares with as many others.
 BLOCK = 2_048
+#: Searches that are looked up at once; small enough that the tables of distances stay in a core's cache.
+SEARCHES = 64
 
 
 def radius(cosine: float) -> float:
@@ -227,11 +229,11 @@ def _links(usual: DataFrame, index, cosine: float, reach: float) -> DataFrame:
         x, y = matrix(asked["unit"].combine_chunks()), matrix(held["unit"].combine_chunks())
         asked_no, held_no, copies = asked["no"].to_numpy(), held["no"].to_numpy(), held["copies"].to_numpy()
         parts = []
-        for a in range(0, len(x), 256):
-            i, j = compare(index.value, block["cell"][0].as_py(), x[a : a + 256], y, codes, held["error"].to_numpy(), cosine)
+        for a in range(0, len(x), SEARCHES):
+            i, j = compare(index.value, block["cell"][0].as_py(), x[a : a + SEARCHES], y, codes, held["error"].to_numpy(), cosine)
             i, j = i[asked_no[i + a] != held_no[j]] + a, j[asked_no[i + a] != held_no[j]]
             u, v = spanning(asked_no[i], held_no[j])
-            n = np.bincount(i - a, copies[j], minlength=min(256, len(x) - a)).astype(np.int64) if len(i) else np.zeros(0, np.int64)
+            n = np.bincount(i - a, copies[j], minlength=min(SEARCHES, len(x) - a)).astype(np.int64) if len(i) else np.zeros(0, np.int64)
             linked = np.flatnonzero(n)
             parts.append(pa.table({"no": np.concatenate([asked_no[a + linked], u]), "n": np.concatenate([n[linked], np.zeros(len(u), np.int64)]), "other": pa.array(np.concatenate([np.zeros(len(linked), np.int64), v]), mask=np.arange(len(linked) + len(v)) < len(linked))}))
         return pa.concat_tables([empty, *parts])
