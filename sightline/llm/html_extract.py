@@ -43,6 +43,10 @@ SPACE = re.compile(r"\s+")
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 LINKS_MOST = 0.2
+#: An article's own blocks go only when they are mostly links.
+LINKS_MOST_SCOPE = 0.5
+#: Characters of scripts that write a word in about one or two of them count as three. Fixed values.
+WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1100-\u11ff\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 @dataclass
@@ -138,22 +142,36 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def classify(block: Block) -> str:
-    """First pass, by the block alone: good, near, short or bad."""
+def density(text: str) -> float:
+    """The share of stop words."""
+    words = text.lower().split()
+    return sum(x.strip(".,;:!?()\"'") in STOP_WORDS for x in words) / max(1, len(words))
+
+
+def classify(block: Block, by_words: bool = True) -> str:
+    """First pass, by the block alone: good, near, short or bad; ``by_words``: the density of stop words tells something."""
     if block.around:
         return "bad"
     size = len(block.text)
-    if block.linked > LINKS_MOST * size:
-        return "bad" if size >= SHORT or block.linked > 0.8 * size else "short"
-    if size < SHORT or block.heading:
+    width = size if by_words else size + 2 * len(WIDE.findall(block.text))
+    if block.linked > (LINKS_MOST_SCOPE if block.scope else LINKS_MOST) * size:
+        return "bad" if width >= SHORT or block.linked > 0.8 * size else "short"
+    if width < SHORT or block.heading:
         return "short"
     if block.scope:  # an article's own text, whatever its words
         return "good"
-    words = block.text.lower().split()
-    density = sum(x.strip(".,;:!?()\"'") in STOP_WORDS for x in words) / len(words)
-    if density >= STOP_HIGH:
+    if not by_words:
+        return "good" if width > LONG else "near"
+    share = density(block.text)
+    if share >= STOP_HIGH:
         return "good" if size > LONG else "near"
-    return "near" if density >= STOP_LOW else "bad"
+    return "near" if share >= STOP_LOW or size > LONG else "bad"
+
+
+def tells(block: Block) -> bool:
+    """Whether the block is text outside of articles whose stop words reach the density."""
+    plain = not (block.around or block.scope or block.heading) and len(block.text) >= SHORT
+    return plain and block.linked <= LINKS_MOST * len(block.text) and density(block.text) >= STOP_LOW
 
 
 def keep(blocks: list[Block]) -> list[Block]:
@@ -162,9 +180,17 @@ def keep(blocks: list[Block]) -> list[Block]:
     Neighbours count only inside the same article element. Where both sides disagree, a short block is bad unless a near
     block stands next on the good side; a heading goes with what follows it. At the edge of an article element the other
     side alone decides; with no decided block in the element, its blocks are good.
+
+    Long blocks with few links but rare stop words (technical prose, a quotation in another language) are near ones. Where
+    no block outside of articles reaches the density, the page is in a language or script that the list doesn't hold, and
+    length and links alone decide.
     """
+    by_words = any(map(tells, blocks))
     for b in blocks:
-        b.label = classify(b)
+        b.label = classify(b, by_words)
+    if not by_words and not any(b.label == "good" for b in blocks):  # its longest text is of medium length
+        for b in blocks:
+            b.label = "good" if b.label == "near" else b.label
     first = [b.label for b in blocks]
 
     def sides(waiting: set[str]) -> tuple[list[str], list[str]]:
@@ -215,8 +241,8 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_pages(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """The main text of every page's whole html, a row per page.
 
-    The first pass labels each block by its length, the density of stop words and the share of linked text, and by the
-    elements around it; the second lets undecided short blocks inherit from their nearest decided neighbours. Null and
+    The first pass labels each block by its length, the density of stop words (where any block reaches it) and the share of
+    linked text, and by the elements around it; the second lets undecided short blocks inherit from their nearest decided neighbours. Null and
     empty pages give an empty text; repeated rows are extracted each; further columns are ignored. No shuffle.
 
     Returns: key (the id), url, text, n_chars.

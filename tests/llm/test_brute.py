@@ -168,6 +168,28 @@ def test_page_shapes():
     assert html_extract.main_text(page).split("\n\n") == ["T", s.strip(), "one", "two é"]
 
 
+ITALIAN = "Secondo gli studiosi, tali strumenti matematici permettono di descrivere fenomeni fisici assai complessi; inoltre nessuna teoria precedente aveva raggiunto risultati altrettanto precisi, malgrado numerosi tentativi compiuti dai ricercatori europei durante il secolo scorso."
+RUSSIAN = "Учёные установили, что древние города возникли вдоль больших рек, где земледельцы собирали богатые урожаи, а торговцы обменивали товары; позднее жители построили крепости, дороги и храмы, которые сохранились до наших дней и привлекают путешественников."
+CHINESE = "研究人员发现古代城市大多建在大河两岸,农民在那里收获丰富的粮食,商人交换各地的货物,后来居民修建了城墙、道路和寺庙,其中许多保存至今。"
+
+
+@pytest.mark.parametrize("text", [ITALIAN, RUSSIAN, CHINESE], ids=["it", "ru", "zh"])
+def test_pages_in_other_languages(text):
+    page = f"<body><div id=menu><a href=x>A</a> <a href=y>B</a></div><div><h1>T</h1><p>{text}</p><p>{text}</p></div><ul><li><a href=z>{text}</a></li></ul><div class=footer><p>{text}</p></div></body>"
+    assert html_extract.main_text(page).split("\n\n") == ["T", text, text]
+
+
+def test_long_blocks_with_rare_stop_words_go_with_their_neighbours():
+    s = "The house is in the middle of the street and it was built by the people who lived with us for a long time. " * 3
+    assert html_extract.main_text(f"<div><p>{s}</p><p>{ITALIAN}</p><p>{s}</p></div>").split("\n\n") == [s.strip(), ITALIAN, s.strip()]
+
+
+def test_linked_prose_of_articles_stays():
+    prose = "The <a href=a>city of Lisbon on the Tagus</a> lies in the <a href=b>west of Portugal</a> and is the largest harbour of the country."
+    links = "<a href=a>The first of many other stories</a> and <a href=b>the second of many other stories</a>, <a href=c>a third</a>"
+    assert html_extract.main_text(f"<article><p>{prose}</p><p>{links}</p></article>") == re.sub("<[^>]*>", "", prose)
+
+
 def test_quality_ranks_held_out_documents(spark):
     data = "/root/testdata/sf0.01"
     got = queries.op1_quality(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("held_out").toPandas()
