@@ -138,16 +138,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """Links of vectors with a cosine of at least ``cosine``, found through a product-quantised inverted index.
 
     1. Equal vectors are one class with a number of copies.
-    2. Cells and codebooks are fitted on at most ``SAMPLE`` classes. Every class is put into its nearest cell as codes of
+    2. Vectors link with those of their own length. For each length, cells and codebooks are fitted on at most ``SAMPLE``
+       classes (one cell, and so no loss, where there are few). Every class is put into its nearest cell as codes of
        its residual, with the distance that coding costs it.
     3. Every class is searched in its own cell and in those within reach. Looked-up distances are bounded by what coding
        cost, so within a probed cell no link is lost; candidates are decided by the exact cosine in doubles.
     4. A cell's vectors and searches are dealt in blocks of about ``BLOCK``, so a cell that holds a third of all vectors is
        shared by many tasks. A block pair returns link counts and a spanning forest of its links, never all pairs.
 
-    Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Vectors of another
-    length than most have (ties: the shorter) link with their equals only. Null ids are kept; rows that repeat an id are
-    vectors of their own. Further columns are ignored.
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Null ids are kept; rows that
+    repeat an id are vectors of their own. Further columns are ignored.
 
     Returns: key (the id), n_links (other vectors linked directly), component (least id of the component).
     """
@@ -158,13 +158,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = checkpointed(narrow.mapInArrow(_prepared, f"key {kind}, fp string, size int, unit binary"))
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("unit").alias("unit"))
     classes = checkpointed(classes.withColumn("no", F.monotonically_increasing_id()))
-    sizes = classes.groupBy("size").agg(F.sum("copies").alias("n"), F.count("*").alias("classes")).orderBy(F.desc("n"), "size").limit(1).collect()
     links = None
-    if sizes:
-        usual = classes.where(F.col("size") == sizes[0]["size"])
-        sample = matrix(pd.Series([bytes(r["unit"]) for r in usual.orderBy("fp").limit(SAMPLE).select("unit").collect()]))
-        index = spark.sparkContext.broadcast(Quantiser(sample, max(1, min(MOST_CELLS, len(sample) // 8, sizes[0]["classes"] // CELL_SIZE))))
-        links = checkpointed(_links(usual, index, cosine, reach))
+    # a row per length
+    for r in classes.groupBy("size").agg(F.count("*").alias("classes")).where("classes > 1").orderBy("size").collect():
+        alike = classes.where(F.col("size") == r["size"])
+        sample = matrix(pd.Series([bytes(x["unit"]) for x in alike.orderBy("fp").limit(SAMPLE).select("unit").collect()]))
+        index = spark.sparkContext.broadcast(Quantiser(sample, max(1, min(MOST_CELLS, len(sample) // 8, r["classes"] // CELL_SIZE))))
+        found = checkpointed(_links(alike, index, cosine, reach))
+        links = found if links is None else links.union(found)
 
     numbered = classes.select("fp", "no", "least", "copies")
     if links is not None:
@@ -181,7 +182,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return found.select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "key").alias("component"))
 
 
-def _links(usual: DataFrame, index, cosine: float, reach: float) -> DataFrame:
+def _links(alike: DataFrame, index, cosine: float, reach: float) -> DataFrame:
     """Rows (no, n, other): links of a class found in one block pair, weighted by copies; forest edges to ``other``."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,9 +211,9 @@ def _links(usual: DataFrame, index, cosine: float, reach: float) -> DataFrame:
         at = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int32()), "stores": total[0, at], "searches": total[1, at]})
 
-    entries = usual.select("no", "copies", "unit").mapInArrow(coded, "cell int, stored boolean, no long, copies long, unit binary, codes binary, error double")
+    entries = alike.select("no", "copies", "unit").mapInArrow(coded, "cell int, stored boolean, no long, copies long, unit binary, codes binary, error double")
     # a row per cell, and so at most MOST_CELLS
-    counts = usual.select("unit").mapInArrow(counted, "cell int, stores long, searches long").groupBy("cell").agg(F.sum("stores").alias("stores"), F.sum("searches").alias("searches"))
+    counts = alike.select("unit").mapInArrow(counted, "cell int, stores long, searches long").groupBy("cell").agg(F.sum("stores").alias("stores"), F.sum("searches").alias("searches"))
     blocks = counts.where("stores > 0").select("cell", *(F.ceil(F.col(x) / BLOCK).cast("int").alias(x) for x in ("stores", "searches")))
     dealt = entries.join(F.broadcast(blocks), "cell")
     own = F.pmod(F.xxhash64("no"), F.when(F.col("stored"), F.col("stores")).otherwise(F.col("searches"))).cast("int")

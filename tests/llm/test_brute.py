@@ -117,6 +117,19 @@ def test_embedding_links(spark):
     assert (got.n_links[range(len(x))].to_numpy() <= want).all() and got.n_links.sum() >= 0.99 * want.sum() > 0
 
 
+def test_embedding_links_of_two_lengths(spark):
+    r = np.random.default_rng(4)
+    parts, want = [], []
+    for n, dims in ((60, 32), (40, 48), (2, 1)):
+        base = r.normal(size=(n, dims))
+        x = np.vstack([base, base[: n // 2] + 0.05 * r.normal(size=(n // 2, dims)), 3 * base[: n // 4]])
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        want += ((u @ u.T >= 0.95).sum(1) - 1).tolist()
+        parts += x.tolist()
+    got = embed_dedup.near_duplicates(spark.createDataFrame(list(enumerate(parts)), "vec_id long, embedding array<double>")).toPandas().set_index("key")
+    assert got.n_links[range(len(parts))].tolist() == want and sum(want) > 100
+
+
 def test_tokens_are_those_of_the_library(spark, data):
     w = packing.WordTokenizer(packing.TOKENIZER)
     r = random.Random(3)
