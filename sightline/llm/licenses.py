@@ -33,6 +33,66 @@ SENTENCES = {
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSD_ENDORSE",
 }
 
+#: Names by which notices call a licence, normalised, and the licence's identifier. Fixed values.
+NAMES = {
+    "AGPL3": ("gnu affero general public license version 3", "gnu affero general public license v3 0", "gnu agpl version 3"),
+    "LGPL3": ("gnu lesser general public license version 3", "gnu lesser general public license v3 0", "gnu lgpl version 3"),
+    "LGPL21": ("gnu lesser general public license version 2 1", "gnu lesser general public license v2 1", "gnu lgpl version 2 1"),
+    "GPL3": ("gnu general public license version 3", "gnu general public license v3 0", "gnu gpl version 3"),
+    "GPL2": ("gnu general public license version 2", "gnu general public license v2 0", "gnu gpl version 2"),
+    "MPL2": ("mozilla public license version 2 0", "mozilla public license 2 0", "terms of the mozilla public license version 2 0"),
+    "APACHE2": ("apache license version 2 0", "apache license 2 0", "apache 2 0 license"),
+    "MIT": ("mit license",),
+    "ISC": ("isc license",),
+    "BSD3": ("bsd 3 clause license", "3 clause bsd license", "new bsd license"),
+    "BSD2": ("bsd 2 clause license", "2 clause bsd license", "simplified bsd license"),
+    "UNLICENSE": ("unlicense license",),
+}
+#: What stands before the name. Fixed values.
+OPENINGS = ("licensed under the", "released under the", "distributed under the", "available under the", "this software is released under the", "this software is licensed under the", "this project is licensed under the", "this work is licensed under the", "this program is licensed under the")
+#: Creative Commons licences by the letters of their short name. Fixed values.
+COMMONS = {"by": "attribution", "by sa": "attribution sharealike", "by nd": "attribution noderivatives", "by nc": "attribution noncommercial", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
+#: Sentences of the licences' own notices, as the ends of sentences part them. Fixed values.
+NOTICES = {
+    "this program is distributed in the hope that it will be useful but without any warranty": "GPL_WARRANTY",
+    "this source code form is subject to the terms of the mozilla public license v": "MPL2_NOTICE",  # its "v. 2.0" ends a sentence
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "MPL2_NOTICE",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC_GRANT",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC_GRANT",
+    "this is free and unencumbered software released into the public domain": "UNLICENSE_GRANT",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "UNLICENSE_TERMS",
+    "licensed under creative commons zero 1 0": "CC0_NOTICE",
+    "licensed under cc0 1 0 universal": "CC0_NOTICE",
+    "this work is licensed under cc0 1 0": "CC0_NOTICE",
+    "this work is licensed under cc0 1 0 universal": "CC0_NOTICE",
+    "this work is dedicated to the public domain under cc0 1 0": "CC0_NOTICE",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work": "CC0_NOTICE",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "CC0_NOTICE",
+}
+
+
+def _more_sentences() -> dict[str, str]:
+    """Notices made of an opening and a name, and the grants of the GNU licences, which ``;`` and ``:`` may part."""
+    made = {f"{opening} {name}": f"{key}_NOTICE" for key, names in NAMES.items() for name in names for opening in OPENINGS}
+    for short, long in COMMONS.items():
+        for version in ("4 0", "3 0"):
+            key = f"CC{short.replace(' ', '').upper()}{version[0]}_NOTICE"
+            kind = "international" if version == "4 0" else "unported"
+            for name in (f"cc {short} {version}", f"creative commons {long} {version} {kind} license", f"creative commons {long} {version} license"):
+                for opening in ("licensed under", "licensed under a", "licensed under the"):
+                    made |= {f"{opening} {name}": key, f"this work is {opening} {name}": key}
+    for key, name in (("GPL", "gnu general public license"), ("LGPL", "gnu lesser general public license"), ("AGPL", "gnu affero general public license")):
+        terms = f"you can redistribute it and or modify it under the terms of the {name} as published by the free software foundation"
+        made[terms] = f"{key}_TERMS"
+        for version in ("2", "2 1", "3"):
+            later = f"either version {version} of the license or at your option any later version"
+            made |= {later: f"V{version.replace(' ', '')}_LATER", f"{terms} {later}": f"{key}{version.replace(' ', '')}_GRANT"}
+    return made
+
+
+for _sentence, _name in (_more_sentences() | NOTICES).items():
+    SENTENCES.setdefault(_sentence, _name)
+
 #: Rules in order: the identifiers that must follow each other (others may stand between), and the licence. Fixed values.
 RULES = (
     (("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_ENDORSE"), "BSD-3-Clause"),
@@ -45,6 +105,29 @@ RULES = (
     (("GPL3_NOTICE",), "GPL-3.0"),
     (("CCBYNC4_NOTICE",), "CC-BY-NC-4.0"),
     (("CCBY4_NOTICE",), "CC-BY-4.0"),
+    (("GPL3_GRANT",), "GPL-3.0"),
+    (("GPL_TERMS", "V3_LATER"), "GPL-3.0"),
+    (("GPL2_GRANT",), "GPL-2.0"),
+    (("GPL_TERMS", "V2_LATER"), "GPL-2.0"),
+    (("GPL2_NOTICE",), "GPL-2.0"),
+    (("LGPL3_GRANT",), "LGPL-3.0"),
+    (("LGPL_TERMS", "V3_LATER"), "LGPL-3.0"),
+    (("LGPL3_NOTICE",), "LGPL-3.0"),
+    (("LGPL21_GRANT",), "LGPL-2.1"),
+    (("LGPL_TERMS", "V21_LATER"), "LGPL-2.1"),
+    (("LGPL21_NOTICE",), "LGPL-2.1"),
+    (("AGPL3_GRANT",), "AGPL-3.0"),
+    (("AGPL_TERMS", "V3_LATER"), "AGPL-3.0"),
+    (("AGPL3_NOTICE",), "AGPL-3.0"),
+    (("MPL2_NOTICE",), "MPL-2.0"),
+    (("ISC_GRANT",), "ISC"),
+    (("ISC_NOTICE",), "ISC"),
+    (("UNLICENSE_GRANT",), "Unlicense"),
+    (("UNLICENSE_NOTICE",), "Unlicense"),
+    (("BSD3_NOTICE",), "BSD-3-Clause"),
+    (("BSD2_NOTICE",), "BSD-2-Clause"),
+    (("CC0_NOTICE",), "CC0-1.0"),
+    *(((f"CC{s.replace(' ', '').upper()}{v[0]}_NOTICE",), f"CC-{s.replace(' ', '-').upper()}-{v}") for v in ("4.0", "3.0") for s in COMMONS if (s, v) not in (("by", "4.0"), ("by nc", "4.0"))),
 )
 
 #: A sentence ends at closing punctuation before white space, or at an empty line. Lines within one are wrapped text, or

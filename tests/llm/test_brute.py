@@ -166,6 +166,20 @@ def test_sentence_rules(spark):
     assert [r.sentence_ids for r in got][3:5] == ["APACHE2_COPY,APACHE2_CONDITION", "BSD_GRANT"]
 
 
+def test_common_licences(spark):
+    gnu = "This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the\nFree Software Foundation{b} either version {v} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even more."
+    cases = {
+        "GPL-2.0": gnu.format(what="program", a=";", b=";", v=2, name="General Public License"), "GPL-3.0": gnu.format(what="program", a=":", b=",", v=3, name="General Public License"),
+        "LGPL-2.1": gnu.format(what="library", a=";", b=";", v=2.1, name="Lesser General Public License"), "LGPL-3.0": "Licensed under the GNU Lesser General Public License v3.0.",
+        "AGPL-3.0": gnu.format(what="program", a=":", b=",", v=3, name="Affero General Public License"), "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Unlicense": "This is free and unencumbered software released into the public domain.", "CC0-1.0": "This work is licensed under CC0 1.0 Universal.", "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "CC-BY-3.0": "Licensed under CC BY 3.0.", "BSD-3-Clause": "This project is licensed under the BSD 3-Clause License.",
+    }
+    got = licenses.license_scan(spark.createDataFrame(list(cases.items()), "doc_id string, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {x: x for x in cases}
+
+
 @pytest.mark.parametrize("sentence", sorted(licenses.SENTENCES))
 def test_cue_words_cover_the_sentences(sentence):
     assert any(c in sentence for c in licenses.cue_words(list(licenses.SENTENCES)))
