@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,11 +176,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Returns: key (the id), n_shingles, component (the least id of the component, itself included).
     """
+    rows, joined = linked_texts(docs, id_col, text_col)
+    least = joined.groupBy("root").agg(F.min("least").alias("component"))
+    by_class = checkpointed(joined.join(least, "root").select("fp", "component"))
+    return rows.select("key", "fp", "n").join(by_class, "fp", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component"))
+
+
+def fingerprint(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
+def linked_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, fp, n, ...) of documents, and (fp, no, least, copies, root) of each distinct text with words: its least id and component."""
     ship(docs.sparkSession)
-    named = docs.select(F.col(id_col).alias("key"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"), F.col(text_col).alias("text"))
+    named = docs.select(F.col(id_col).alias("key"), fingerprint(text_col).alias("fp"), F.col(text_col).alias("text"))
     kind = named.schema["key"].dataType.simpleString()
     rows = checkpointed(named.mapInArrow(_signed, f"key {kind}, fp string, n long, tiles array<long>, bits binary"))
-    classes = rows.where("n > 0").groupBy("fp").agg(F.min("key").alias("least"), *(F.first(x).alias(x) for x in ("n", "tiles", "bits")))
+    classes = rows.where("n > 0").groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("copies"), *(F.first(x).alias(x) for x in ("n", "tiles", "bits")))
     classes = checkpointed(classes.withColumn("no", F.monotonically_increasing_id()))
 
     entries = classes.select("no", "n", size_band(F.col("n")).alias("band"), F.explode("tiles").alias("tile"))
@@ -204,23 +217,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = verified(prefix_pairs(arrays.join(open_, "no")))
     final = components(links.union(more))
 
-    joined = classes.select("fp", "no", "least").join(final.select(F.col("node").alias("no"), F.col("component").alias("root")), "no", "left").withColumn("root", F.coalesce("root", "no"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component"))
-    by_class = checkpointed(joined.join(least, "root").select("fp", "component"))
-    return rows.select("key", "fp", "n").join(by_class, "fp", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component"))
+    roots = final.select(F.col("node").alias("no"), F.col("component").alias("root"))
+    return rows, classes.select("fp", "no", "least", "copies").join(roots, "no", "left").withColumn("root", F.coalesce("root", "no"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of each component one document, that with the least id; all columns kept.
 
-    Documents without words and those with a null id link with nothing here and stay. Of rows that repeat an id with
-    the same component one stays.
+    Texts decide, not ids: of a component the text that holds the least id stays (null ids come last), and of its copies
+    the one with that id. So an id that names several texts is judged for each of them, and of rows that repeat id and text
+    one stays. Documents without words stay.
     """
-    found = checkpointed(jaccard_components(docs, id_col, text_col).where("key is not null and n_shingles > 0").select("key", "component"))
-    gone = checkpointed(found.where("key <> component").select(F.col("key").alias(id_col)).distinct())
-    kept = docs.join(sent_if_small(gone), id_col, "left_anti")
-    again = found.where("key = component").groupBy("key").count().where("count > 1").select(F.col("key").alias(id_col))
-    if again.isEmpty():
+    rows, joined = linked_texts(docs, id_col, text_col)
+    joined = checkpointed(joined)
+    order = F.struct(F.col("least").isNull().alias("last"), "least", "fp")
+    best = joined.groupBy("root").agg(F.count("*").alias("texts"), F.min(order)["fp"].alias("best"))
+    placed = joined.join(best, "root")
+    fp, last = f"fp_{uuid.uuid4().hex}", f"least_{uuid.uuid4().hex}"  # no columns of the documents have these names
+    gone = checkpointed(placed.where("fp <> best").select(F.col("fp").alias(fp)))
+    copied = checkpointed(placed.where("fp = best and copies > 1").select(F.col("fp").alias(fp), F.col("least").alias(last)))
+    kept = docs.withColumn(fp, fingerprint(text_col)).join(sent_if_small(gone), fp, "left_anti")
+    if copied.isEmpty():
         return kept.select(docs.columns)
-    once, often = kept.join(again, id_col, "left_anti"), kept.join(again, id_col, "left_semi")
-    return once.unionByName(often.dropDuplicates([id_col])).select(docs.columns)
+    once = kept.join(sent_if_small(copied.select(fp)), fp, "left_anti")
+    again = kept.join(sent_if_small(copied), fp).where(F.col(id_col).eqNullSafe(F.col(last))).drop(last)
+    named = rows.select(F.col("fp").alias(fp), "key").join(sent_if_small(copied), fp).where(F.col("key").eqNullSafe(F.col(last)))
+    repeated = checkpointed(named.groupBy(fp).count().where("count > 1").select(fp))
+    if repeated.isEmpty():
+        return once.unionByName(again).select(docs.columns)
+    repeated = sent_if_small(repeated)
+    one = again.join(repeated, fp, "left_semi").dropDuplicates([fp])
+    return once.unionByName(again.join(repeated, fp, "left_anti")).unionByName(one).select(docs.columns)

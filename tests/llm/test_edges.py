@@ -110,6 +110,14 @@ def test_jaccard(docs, none):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 1, 2, 3, 4, 5, 7, 9, 10]
 
 
+def test_representatives_go_by_text(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    # 5 names a copy of 1 and the least of its own group; 7 names two clean texts; nulls have copies of each other and of 9
+    rows = [(1, a), (5, a + " more"), (5, b), (6, b), (7, c), (7, "x " + d), (None, "n " * 3), (None, "n " * 3), (9, "one two"), (None, "one two"), (7, c), (None, None), (None, "")]
+    kept = jaccard_join.representatives(make(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(1, a), (5, b), (7, c), (7, "x " + d), (None, "n " * 3), (9, "one two"), (None, None), (None, "")], key=repr)
+
+
 def test_quality(docs, none, labels):
     rows = quality.quality_scores(docs, labels).collect()
     assert len(rows) == N and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
