@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.indexing import checkpointed
+
 from .common import ship
 from .shingles import shingle_sets, small_batches
 
@@ -18,40 +20,44 @@ CONTAINMENT = (75, 100)
 BROADCAST_SHINGLES = 2_000_000
 
 
-def sketch_size(n: int, least: tuple[int, int] = CONTAINMENT) -> int:
-    """How many of an item's ``n`` shingles must be looked up so that a document containing enough of them has one."""
-    need = max(1, -(-least[0] * n // least[1]))
-    return n - need + 1
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def _rows(key: str):
-    """Rows (key, n, shingle, in_sketch): an item's smallest hashes are its MinHash sketch."""
+    """Rows (key, shingle)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             sets = shingle_sets(batch.column("text"))
             sizes = np.array([len(x) for x in sets], np.int64)
             at = np.repeat(np.arange(len(sets)), sizes)
-            rank = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            sketch = np.array([sketch_size(int(n)) if n else 0 for n in sizes], np.int64)
             yield pa.RecordBatch.from_pydict({
                 key: batch.column(key).take(pa.array(at)),
-                "n": pa.array(sizes[at]),
                 "shingle": _signed(np.concatenate([*sets, np.empty(0, np.uint64)])),
-                "in_sketch": pa.array(rank < sketch[at]),
             })
 
     return run
 
 
-def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text", least: tuple[int, int] = CONTAINMENT) -> DataFrame:
+    """Rows (item, n, shingle, in_sketch): an item's smallest hashes are its MinHash sketch. Rows that repeat an id are one item.
+
+    Null ids are ignored.
+    """
     narrow = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("item is not null")
     kind = narrow.schema["item"].dataType.simpleString()
-    return narrow.mapInArrow(_rows("item"), f"item {kind}, n long, shingle long, in_sketch boolean").dropDuplicates(["item", "shingle"])
+    rows = checkpointed(narrow.mapInArrow(_rows("item"), f"item {kind}, shingle long").dropDuplicates(["item", "shingle"]))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.col("shingle") < 0, "shingle"))  # as unsigned numbers
+    need = F.greatest(F.lit(1), F.expr(f"({least[0]} * n + {least[1] - 1}) div {least[1]}"))
+    sized = rows.withColumn("rank", rank).join(rows.groupBy("item").agg(F.count("*").alias("n")), "item")
+    return checkpointed(sized.select("item", "n", "shingle", (F.col("rank") <= F.col("n") - need + 1).alias("in_sketch")))
+
+
+def distinct_texts(items: DataFrame, text_col: str = "text") -> DataFrame:
+    """(item, text): each text once under a number of its own, whatever id it has."""
+    texts = items.select(F.col(text_col).alias("text")).where("text is not null").distinct()
+    return checkpointed(texts.withColumn("item", F.monotonically_increasing_id()))
 
 
 class SketchIndex:
@@ -115,15 +121,15 @@ def contaminated(
     without a shuffle; more items are joined on sketch hashes instead, then verified by a second join.
 
     Null and empty texts match nothing. An item of under five words is one shingle and matches only a document that is
-    the same few words. Repeated rows of an id are one document with the largest overlap of them. Rows with a null item
-    id are ignored, null document ids are reported. Further columns are ignored.
+    the same few words. Repeated rows of an id are one document with the largest overlap of them. Rows that repeat an item
+    id are one item with the shingles of all of them. Rows with a null item id are ignored, null document ids are reported. Further columns are ignored.
 
     Returns: key (the document's id), item, n_item, n_shared.
     """
     ship(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kinds = f"key {narrow.schema['key'].dataType.simpleString()}, item {items.schema[item_col].dataType.simpleString()}, n_item long, n_shared long"
-    rows = item_shingles(items, item_col)
+    rows = item_shingles(items, item_col, least=least)
     index = sent_index(rows, broadcast_shingles)
     if index is not None:
 
@@ -151,7 +157,7 @@ def sent_index(rows: DataFrame, most: int):
 
 def joined_pairs(own: DataFrame, rows: DataFrame, least: tuple[int, int]) -> DataFrame:
     """(row, item, n_item, n_shared) of rows (row, text) by joins: on sketch hashes, then on all shingles of candidates."""
-    held = own.select("row", "text").mapInArrow(_rows("row"), "row long, n long, shingle long, in_sketch boolean").select("row", "shingle")
+    held = own.select("row", "text").mapInArrow(_rows("row"), "row long, shingle long")
     candidates = held.join(rows.where("in_sketch").select("item", "shingle"), "shingle").select("row", "item").distinct()
     shared = held.join(rows.select("item", F.col("n").alias("n_item"), "shingle"), "shingle").join(candidates, ["row", "item"], "left_semi")
     shared = shared.groupBy("row", "item").agg(F.first("n_item").alias("n_item"), F.count("*").alias("n_shared"))
@@ -159,9 +165,12 @@ def joined_pairs(own: DataFrame, rows: DataFrame, least: tuple[int, int]) -> Dat
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", least: tuple[int, int] = CONTAINMENT, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
-    """The documents, all columns kept, without the rows that hold an item; rows with a null id are judged alike."""
+    """The documents, all columns kept, without the rows that hold an item.
+
+    Every distinct text is an item of its own, whatever its id, also where that is null or repeated; ``item_col`` isn't needed.
+    """
     ship(docs.sparkSession)
-    rows = item_shingles(items, item_col)
+    rows = item_shingles(distinct_texts(items), "item", least=least)
     index = sent_index(rows, broadcast_shingles)
     if index is not None:
 

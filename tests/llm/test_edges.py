@@ -85,6 +85,17 @@ def test_decontamination(docs, none, items, most):
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect() if r.doc_id is not None) == sorted([*(set(range(len(TEXTS))) - {3, 9}), 5])
 
 
+@pytest.mark.parametrize("most", [1000, 0])
+def test_decontamination_by_repeated_and_null_items(spark, most):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(24)) for x in "abc")  # 20 shingles each
+    items = spark.createDataFrame([(1, a), (1, b), (2, c), (2, c), (None, a.replace("a", "n"))], "item_id long, text string")
+    docs = make(spark, [(1, a), (2, f"{a} {b}"), (3, f"x {c} y"), (4, a.replace("a", "n")), (5, a[: a.index(" a12")]), (6, "no item at all is here")])
+    found = lambda **k: sorted((r.key, r.item, r.n_item, r.n_shared) for r in decontam.contaminated(docs, items, broadcast_shingles=most, **k).collect())
+    assert found() == [(2, 1, 40, 40), (3, 2, 20, 20)]
+    assert [x[:2] for x in found(least=(1, 100))] == [(1, 1), (2, 1), (3, 2), (5, 1)]
+    assert sorted(r.doc_id for r in decontam.clean_documents(docs, items, broadcast_shingles=most).collect()) == [5, 6]
+
+
 def test_packing(docs, none):
     rows = packing.pack(docs).collect()
     assert packing.pack(none).count() == 0
