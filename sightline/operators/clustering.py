@@ -10,19 +10,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .indexing import checkpointed, running_totals
 
 MOST_IN_GROUP = 5_000
 
 
-def ward(x: np.ndarray) -> list[tuple[int, int, float]]:
+def ward(x: np.ndarray, weights: np.ndarray | None = None) -> list[tuple[int, int, float]]:
     """Merges (representative, representative, height) of Ward linkage, lowest first, by nearest-neighbour chains.
 
-    A cluster is represented by its first child's representative; a row's is the row itself.
+    A cluster is represented by its first child's representative; a row's is the row itself. A row of weight w stands for w
+    equal ones, whose merges at height 0 are left out.
     """
     n = len(x)
+    size = np.ones(n) if weights is None else weights.astype(float)
     d = np.maximum(0.0, (x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T)
+    if weights is not None:
+        d *= 2 * size[:, None] * size[None] / (size[:, None] + size[None])
     np.fill_diagonal(d, np.inf)
-    size, alive, chain, merges = np.ones(n), np.ones(n, bool), [], []
+    alive, chain, merges = np.ones(n, bool), [], []
     while len(merges) < n - 1:
         if not chain:
             chain.append(int(np.flatnonzero(alive)[0]))
@@ -65,7 +70,7 @@ def _grouped(f: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple[int, int, float]
     if len(f) > MOST_IN_GROUP:
         raise ValueError(f"a group of {len(f)} is too large to cluster at once; split it with coarse_clusters first")
     f = f.sort_values("rank", kind="stable").reset_index(drop=True)
-    merges = ward(np.stack(f["embedding"].to_numpy()).astype(float))
+    merges = ward(np.stack(f["embedding"].to_numpy()).astype(float), f["weight"].to_numpy() if "weight" in f else None)
     highest = max((m[2] for m in merges), default=0.0)
     return f, [(a, b, h / highest if highest > 0 else 0.0) for a, b, h in merges]
 
@@ -98,9 +103,63 @@ def by_size(clusters: DataFrame, keys: tuple[str, ...] = ("cluster",)) -> DataFr
 
 
 def coarse_clusters(found: DataFrame, k: int, seed: int = 7) -> DataFrame:
-    """Any number of rows (item_id, embedding, ...) with a coarse ``leaf``, each small enough for ``page_clusters``."""
+    """Any number of rows (item_id, embedding, ...) with a coarse ``leaf``, of ``k`` at most, of any size; see ``whole_clusters``.
+
+    A column ``weight`` says how many rows each stands for.
+    """
     rows = found.withColumn("features", array_to_vector(V.doubles(F.col("embedding"))))
-    return BisectingKMeans(k=k, seed=seed, predictionCol="leaf").fit(rows).transform(rows).drop("features").withColumn("leaf", F.col("leaf").cast("long"))
+    means = BisectingKMeans(k=k, seed=seed, predictionCol="leaf")
+    means = means.setWeightCol("weight") if "weight" in found.columns else means
+    return means.fit(rows).transform(rows).drop("features").withColumn("leaf", F.col("leaf").cast("long"))
+
+
+def bounded_leaves(found: DataFrame, k: int, most: int = MOST_IN_GROUP, seed: int = 7) -> DataFrame:
+    """Rows (rank, embedding, weight) of distinct vectors with a ``leaf``, none of more than ``most`` rows.
+
+    Leaves that are too large are bisected again, each by a fit of its own; what a fit can't split (vectors that
+    differ by less than k-means can tell) is dealt in order of the components.
+    """
+    kept, rest, base = None, checkpointed(found.withColumn("_of", F.lit(0).cast("long"))), 0
+    sizes = {0: rest.count()}
+    while sizes:
+        parts = None
+        for of, n in sizes.items():
+            own = rest.where(F.col("_of") == of).drop("_of")
+            split = coarse_clusters(own.withColumn("weight", F.col("weight").cast("double")), k if kept is None and base == 0 else -(-2 * n // most), seed)
+            split = checkpointed(split.withColumn("weight", F.col("weight").cast("long")))
+            if n > most and split.agg(F.max("leaf") - F.min("leaf")).first()[0] == 0:
+                split = running_totals(own, ["embedding"]).withColumn("leaf", F.floor(F.col("row_no") / most).cast("long")).drop("row_no")
+            split = split.withColumn("leaf", F.col("leaf") + base)
+            base += max(k, -(-2 * n // most)) + 1
+            parts = split if parts is None else parts.unionByName(split)
+        parts = checkpointed(parts)
+        counts = {r["leaf"]: r["count"] for r in parts.groupBy("leaf").count().where(F.col("count") > most).collect()}
+        small = parts.where(~F.col("leaf").isin(list(counts))) if counts else parts
+        kept = small if kept is None else kept.unionByName(small)
+        rest, sizes = parts.withColumn("_of", F.col("leaf")).drop("leaf"), counts
+    return kept
+
+
+def whole_clusters(found: DataFrame, k: int, strength: float, most: int = MOST_IN_GROUP) -> DataFrame:
+    """(leaf, item_id, rank, cluster): clusters of any number of rows (rank, item_id, embedding) inside coarse leaves.
+
+    Equal vectors are one row with their number as weight, so they stay together (at a strength of 0 each is a cluster) and
+    a block of them is no larger than one. Leaves hold at most ``most`` distinct vectors.
+    """
+    alike = checkpointed(found.groupBy("embedding").agg(F.count("*").alias("weight"), F.min("rank").alias("rank")))
+    if alike.isEmpty():
+        return found.select(F.lit(0).cast("long").alias("leaf"), "item_id", "rank", F.col("rank").alias("cluster"))
+    leaves = checkpointed(bounded_leaves(alike, k, most))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f, merges = _grouped(f)
+        f["cluster"] = f["rank"].to_numpy()[cut(len(f), merges, strength)]
+        return f[["leaf", "rank", "cluster"]]
+
+    clusters = leaves.groupBy("leaf").applyInPandas(run, "leaf long, rank long, cluster long")
+    named = clusters.join(alike.select("rank", "embedding"), "rank").drop("rank")
+    own = F.col("cluster") if strength else F.col("rank")
+    return found.join(named, "embedding").select("leaf", "item_id", "rank", own.alias("cluster"))
 
 
 def inverted(clusters: DataFrame, selected: DataFrame) -> DataFrame:

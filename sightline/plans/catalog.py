@@ -492,8 +492,7 @@ def bisecting_clusters(s, d):
 def whole_result_clusters(s, d):
     """Ward clusters inside the leaves of a coarse clustering of the whole result."""
     ranking = _ranked(derive(s, d, "emb").select("item_id", F.col("label").cast("double").alias("dist")), "dot")
-    leaves = C.coarse_clusters(ranking.join(derive(s, d, "emb").select("item_id", "embedding"), "item_id"), 8)
-    return C.page_clusters(leaves, 80, "leaf")
+    return C.whole_clusters(ranking.join(derive(s, d, "emb").select("item_id", "embedding"), "item_id"), 8, 80)
 
 
 # Sources and sinks

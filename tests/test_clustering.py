@@ -41,3 +41,27 @@ def test_too_large_a_group_is_refused():
 
     with pytest.raises(ValueError):
         C._grouped(pd.DataFrame({"rank": range(C.MOST_IN_GROUP + 1)}))
+
+
+def test_weights_stand_for_equal_rows():
+    r = np.random.default_rng(1)
+    x, w = r.normal(size=(12, 3)), r.integers(1, 5, 12)
+    whole = [m[2] for m in C.ward(np.repeat(x, w, axis=0)) if m[2] > 1e-6]
+    assert np.allclose([m[2] for m in C.ward(x, w)], whole)
+
+
+def test_whole_results_of_any_size(spark):
+    r = np.random.default_rng(2)
+    x = np.vstack([r.normal(size=(25_000, 2)), np.zeros((20_000, 2)), 9 + 1e-3 * r.normal(size=(500, 2))])
+    frame = __import__("pandas").DataFrame({"rank": range(len(x)), "item_id": range(len(x)), "embedding": x.tolist()})
+    got = C.whole_clusters(spark.createDataFrame(frame, "rank long, item_id long, embedding array<double>"), 8, 80, most=2_000).toPandas()
+    assert sorted(got["rank"]) == list(range(len(x)))
+    hot = got[(got["rank"] >= 25_000) & (got["rank"] < 45_000)]
+    assert hot.cluster.nunique() == 1 and hot.leaf.nunique() == 1
+    others = got[~got["rank"].isin(hot["rank"][1:])]
+    assert 1 < others.groupby("leaf").size().max() <= 2_000 and (got.groupby("cluster").leaf.nunique() == 1).all()
+
+
+def test_what_cannot_be_split_is_dealt(spark):
+    found = spark.createDataFrame([(i, i, [1.0 + i * 2.3e-16, 1.0]) for i in range(50)], "rank long, item_id long, embedding array<double>")
+    assert C.whole_clusters(found, 2, 80, most=8).count() == 50
