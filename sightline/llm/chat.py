@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.operators.indexing import checkpointed
+
+from .common import ship
+
 TURN = "<|im_start|>%s\n%s<|im_end|>\n"
 
 
@@ -21,7 +29,8 @@ def maximal_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     role and text. The last hash of a conversation stands for the whole; the others for its proper prefixes. An
     anti-join of the whole hashes against the distinct prefix hashes leaves the maximal conversations. Both sides hold a
     row per distinct hash only (pre-aggregated before the shuffle), so an opening that a third of all conversations
-    share is one row. Texts are shuffled once, to gather a conversation.
+    share is one row. Hashes are rolled along sorted rows, so a conversation is never held whole for that; only kept ones
+    are gathered, to be rendered.
 
     Turns are ordered by turn number, then role and text; a repeated row counts once; turns with a null number come first.
     Null roles and texts count as empty, rows with a null conversation id as one conversation. No rows: no rows.
@@ -29,24 +38,38 @@ def maximal_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
     Returns: conv_id, n_turns, n_copies (conversations equal to it, itself included), text (rendered).
     """
-    turn = F.struct(
-        F.col(turn_col).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    whole = turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.array_sort(F.collect_set(turn)).alias("turns"))
-    seed = F.array(F.lit(""))
-    rolled = F.aggregate(
-        "turns",
-        seed,
-        lambda done, t: F.concat(done, F.array(F.sha2(F.concat(F.element_at(done, -1), F.sha2(t["role"], 256), F.sha2(t["text"], 256)), 256))),
-    )
-    convs = whole.withColumn("hashes", F.slice(rolled, F.lit(2), F.size("turns")))
-    convs = convs.withColumn("own", F.element_at("hashes", -1))
-    prefixes = convs.select(F.explode(F.slice("hashes", F.lit(1), F.size("hashes") - 1)).alias("own")).distinct()
-    kept = convs.groupBy("own").agg(
-        F.min(F.struct(F.col("conv_id"))).alias("least"), F.count("*").alias("n_copies")
-    )
-    kept = kept.join(prefixes, "own", "left_anti").select(F.col("least.conv_id").alias("kept_id"), "own", "n_copies")
-    return (
-        convs.join(kept, (convs["conv_id"].eqNullSafe(kept["kept_id"])) & (convs["own"] == kept["own"]))
-        .select("conv_id", F.size("turns").cast("long").alias("n_turns"), "n_copies", render(F.col("turns")).alias("text"))
-    )
+    ship(turns.sparkSession)
+    narrow = turns.select(
+        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    fp = F.sha2(F.concat(F.sha2("role", 256), F.sha2("text", 256)), 256)
+    # repeated rows go before the shuffle, and texts don't take part in hashing
+    rows = narrow.withColumn("fp", fp).groupBy("conv_id", "turn", "fp").agg(F.first("role").alias("role"), F.first("text").alias("text"))
+    rows = checkpointed(rows)
+    hashed = rows.select("conv_id", "turn", "role", "text", "fp").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    kind = narrow.schema["conv_id"].dataType.simpleString()
+    ends = checkpointed(hashed.select("conv_id", "fp").mapInArrow(_rolled, f"conv_id {kind}, own string, n long, last boolean"))
+    prefixes = ends.where("not last").select("own").distinct()
+    kept = ends.where("last").groupBy("own").agg(F.min(F.struct("conv_id")).alias("least"), F.count("*").alias("n_copies"), F.first("n").alias("n_turns"))
+    kept = kept.join(prefixes, "own", "left_anti").select(F.col("least.conv_id").alias("kept_id"), "n_turns", "n_copies")
+    held = rows.join(kept, rows["conv_id"].eqNullSafe(kept["kept_id"]))
+    whole = held.groupBy("conv_id", "n_turns", "n_copies").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return whole.select("conv_id", "n_turns", "n_copies", render(F.col("turns")).alias("text"))
+
+
+def _rolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of turns in order, conversation by conversation: the hash up to each, its number, and whether it is the last."""
+    ident, own, n = None, "", 0
+    for batch in batches:
+        ids, owns, numbers, lasts = [], [], [], []
+        for key, fp in zip(batch.column("conv_id").to_pylist(), batch.column("fp").to_pylist(), strict=True):
+            if n and key != ident:
+                ids.append(ident), owns.append(own), numbers.append(n), lasts.append(True)
+                own, n = "", 0
+            elif n:
+                ids.append(ident), owns.append(own), numbers.append(n), lasts.append(False)
+            ident, own, n = key, hashlib.sha256((own + fp).encode()).hexdigest(), n + 1
+        yield pa.RecordBatch.from_pydict({"conv_id": pa.array(ids, batch.schema.field("conv_id").type), "own": pa.array(owns, pa.string()), "n": pa.array(numbers, pa.int64()), "last": pa.array(lasts, pa.bool_())})
+    if n:
+        yield pa.RecordBatch.from_pydict({"conv_id": pa.array([ident], batch.schema.field("conv_id").type), "own": pa.array([own], pa.string()), "n": pa.array([n], pa.int64()), "last": pa.array([True], pa.bool_())})

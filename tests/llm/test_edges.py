@@ -154,6 +154,13 @@ def test_chat(spark):
     assert chat.maximal_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_a_long_conversation(spark):
+    rows = spark.range(60_000).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    part = rows.where("turn < 30000").withColumn("conv_id", F.lit(1).cast("long"))
+    got = chat.maximal_conversations(rows.union(part)).collect()
+    assert [(r.conv_id, r.n_turns, r.n_copies) for r in got] == [(None, 60_000, 1)] and got[0].text.endswith("user\n59999<|im_end|>\n")
+
+
 def test_embeddings(spark):
     v = [1.0] + [0.0] * 7
     rows = [(1, v, 0), (2, v, 0), (3, [1.0, 0.01] + [0.0] * 6, 0), (4, None, 0), (5, [0.0] * 8, 0), (6, [float("nan")] * 8, 0), (7, [None, *v[1:]], 0), (8, [1.0], 0), (9, [1.0], 0), (10, [], 0), (11, [float("inf")] + v[1:], 0), (None, v, 0), (12, [-x for x in v], 0), (12, [0.0, 1.0] + [0.0] * 6, 0)]
