@@ -7,16 +7,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.types import Row
+
+#: Narrow rows that are worth a task of their own.
+ROWS_PER_TASK = 1 << 16
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``; where it names none, as in local tests, a temporary one."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``; where it names none, in local mode, a temporary one."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -26,6 +35,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def counted(df: DataFrame, **further: Column) -> tuple[DataFrame, Row]:
+    """The rows, checkpointed, and what has been observed of them on the way: ``n``, their number, and further aggregates."""
+    seen = Observation()
+    done = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("n"), *(v.alias(k) for k, v in further.items())))
+    return done, Row(**{"n": 0, **dict.fromkeys(further), **seen.get})
+
+
+def few_tasks(df: DataFrame, rows: int, per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """The rows in no more tasks than their number is worth, so that small intermediate results don't make many tiny files."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def running_totals(df: DataFrame, order: list[str | Column], sums: tuple[str, ...] = (), index: str = "row_no") -> DataFrame:
     """Adds ``index``, the 0-based position in the order, and ``<x>_before`` and ``<x>_total`` for each summed column.
 
