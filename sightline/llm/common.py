@@ -23,6 +23,6 @@ def scratch(spark: SparkSession) -> str:
     return checkpoint_folder(spark)
 
 
-def sent_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows, to be broadcast where they are counted to be few; else as they are. They should be cheap to read twice."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def sent_if_small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows, whose number has been counted, to be broadcast where they are few; else as they are."""
+    return F.broadcast(df) if rows <= most else df

@@ -10,16 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.operators.indexing import checkpointed
+from sightline.operators.indexing import checkpointed, counted, few_tasks
 
 from .common import sent_if_small, ship
-from .graph import components
+from .graph import parents
 from .shingles import mixed, shingle_sets, small_batches
 
 JACCARD = (75, 100)
 #: Tiles of a document: a pair at the threshold shares none of them with probability (1 - 0.75^3)^40 < 4e-10.
 TILES, ROWS = 40, 3
 LEAST_BITS = 256
+#: Distinct texts with their signatures that are worth a task of their own.
+TEXTS_PER_TASK = 1 << 12
 
 _FACTORS = (mixed(np.arange(1, TILES * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
@@ -110,32 +112,32 @@ def size_band(n: Column) -> Column:
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "shingles"):
         sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
-        sizes = np.array([len(x) for x in sets], np.int64)
-        at = pa.array(np.repeat(np.arange(len(sets)), sizes))
-        yield pa.RecordBatch.from_pydict({
-            "no": batch.column("no").take(at), "component": batch.column("component").take(at), "n": pa.array(np.repeat(sizes, sizes)), "shingle": pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))
-        })
+        at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+        yield pa.RecordBatch.from_pydict({"no": batch.column("no").take(at), "shingle": pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))})
 
 
-def prefix_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets (no, component, shingles) in different components that may link; none that do is left out.
+def prefix_pairs(sets: DataFrame, of: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets (no, shingles) in different components that may link; none that do is left out.
 
-    Shingles are ordered by the number of sets that hold them, the rarest first. Sets that link share one of the first
-    ``n - ceil(0.75 n) + 1`` of either. The places of the first that they share bound their overlap: what comes before it
-    is not shared. So a copy with many changes of its own, though it shares long runs with thousands of others, meets none
-    of them, as its first shingles are its own.
+    ``of``: (no, n, component) of the sets. Shingles are ordered by the number of sets that hold them, the rarest first. Sets
+    that link share one of the first ``n - ceil(0.75 n) + 1`` of either. The places of the first that they share bound
+    their overlap: what comes before it is not shared. So a copy with many changes of its own, though it shares long runs
+    with thousands of others, meets none of them, as its first shingles are its own.
     """
-    rows = sets.mapInArrow(_exploded, "no long, component long, n long, shingle long")
-    held = rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    rows = sets.mapInArrow(_exploded, "no long, shingle long")
+    held = checkpointed(rows.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1"))
     common = rows.join(held, "shingle")  # what only one set holds comes first in its order, and meets nothing
     own = Window.partitionBy("no")
     # shingles after this one; a set's own rows, and no more than those, meet in one task
-    placed = common.withColumn("rest", F.count("*").over(own) - F.row_number().over(own.orderBy("held", "shingle")))
+    placed = common.withColumn("rest", F.count("*").over(own) - F.row_number().over(own.orderBy("held", "shingle"))).select("no", "shingle", "rest")
     needed = F.ceil(F.col("n") * JACCARD[0] / JACCARD[1])
-    prefixes = checkpointed(placed.where(F.col("rest") + 1 >= needed).select("shingle", "no", "component", "n", "rest"))
-    parts = prefixes.groupBy("shingle", "component").agg(F.count("*").alias("size"))
+    prefixes = placed.join(of, "no").where(F.col("rest") + 1 >= needed).select("shingle", "no", "component", "n", "rest")
+    prefixes, seen = counted(prefixes)
+    prefixes = few_tasks(prefixes, seen.n)
+    parts = few_tasks(prefixes.groupBy("shingle", "component").agg(F.count("*").alias("size")), seen.n)
     main = parts.groupBy("shingle").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "main")
-    every = prefixes.join(main, "shingle")
+    main = checkpointed(few_tasks(main, seen.n))
+    every = few_tasks(checkpointed(few_tasks(prefixes.join(main, "shingle"), seen.n)), seen.n)
     few = every.where("component <> main").select("shingle", F.col("no").alias("a"), F.col("component").alias("c"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
     bound = (1 + F.least("rest", "rest_a")) * (JACCARD[0] + JACCARD[1]) >= (F.col("n") + F.col("n_a")) * JACCARD[0]
     once = (F.col("component") == F.col("main")) | (F.col("a") < F.col("no"))
@@ -143,20 +145,19 @@ def prefix_pairs(sets: DataFrame) -> DataFrame:
     return met.select(F.least("a", "no").alias("a"), F.greatest("a", "no").alias("b")).distinct()
 
 
-class _Verifier:
-    """Keeps pairs that link: first by size and bitmap, which are small, then by the sorted arrays of who is left."""
+def verified(pairs: DataFrame, bits: DataFrame, arrays: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link: by size and bitmap first, which are small, then by the sorted arrays of those left."""
 
-    def __init__(self, classes: DataFrame, arrays: DataFrame):
-        self.bits, self.arrays = classes.select("no", "n", "bits"), arrays
+    def of(df: DataFrame, side: str, end: str) -> DataFrame:
+        return df.select(F.col("no").alias(side), *(F.col(x).alias(x + end) for x in df.columns if x != "no"))
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        def of(df: DataFrame, side: str, end: str) -> DataFrame:
-            return df.select(F.col("no").alias(side), *(F.col(x).alias(x + end) for x in df.columns if x != "no"))
-
-        bounded = pairs.join(of(self.bits, "a", "1"), "a").join(of(self.bits, "b", "2"), "b")
-        bounded = bounded.select("a", "b", "n1", "bits1", "n2", "bits2").mapInArrow(_may_link, "a long, b long")
-        exact = bounded.join(of(self.arrays, "a", "1"), "a").join(of(self.arrays, "b", "2"), "b")
-        return exact.select("a", "b", "shingles1", "shingles2").mapInArrow(_do_link, "a long, b long")
+    pairs, seen = counted(pairs)
+    pairs = few_tasks(pairs, seen.n)
+    bounded = few_tasks(few_tasks(pairs.join(of(bits, "a", "1"), "a"), seen.n, TEXTS_PER_TASK).join(of(bits, "b", "2"), "b"), seen.n, TEXTS_PER_TASK)
+    bounded, seen = counted(bounded.select("a", "b", "n1", "bits1", "n2", "bits2").mapInArrow(_may_link, "a long, b long"))
+    bounded = few_tasks(bounded, seen.n)
+    exact = few_tasks(few_tasks(bounded.join(of(arrays, "a", "1"), "a"), seen.n, TEXTS_PER_TASK // 4).join(of(arrays, "b", "2"), "b"), seen.n, TEXTS_PER_TASK // 4)
+    return checkpointed(exact.select("a", "b", "shingles1", "shingles2").mapInArrow(_do_link, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,8 +165,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     1. Equal texts are one class: a row per text with its set's size, parity bitmap and tile keys.
     2. A tile holds the classes with one key. Only those in a tile with another are looked at further.
-    3. In each tile and size band, the class that meets most others is compared with all of them: a star, not all pairs.
-       The links found merge most groups of copies.
+    3. In each tile and size band, the class that meets most others is the centre. Every class is compared with the centre
+       that most of its tiles name: a star, not all pairs. The links found merge most groups of copies.
     4. Classes in tiles that still hold several components are compared across components by a prefix filter over their
        shingles, rarest first, so that no link that could merge two components is left out.
     A comparison bounds the overlap by the bitmaps' differing bits first, then intersects the sorted arrays. Pairs inside a
@@ -176,49 +177,59 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Returns: key (the id), n_shingles, component (the least id of the component, itself included).
     """
-    rows, joined = linked_texts(docs, id_col, text_col)
-    least = joined.groupBy("root").agg(F.min("least").alias("component"))
-    by_class = checkpointed(joined.join(least, "root").select("fp", "component"))
-    return rows.select("key", "fp", "n").join(by_class, "fp", "left").select("key", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component"))
+    joined = linked_texts(docs, id_col, text_col)
+    least = checkpointed(joined.groupBy("root").agg(F.min("least").alias("component")))
+    by_class = checkpointed(joined.join(least, "root").select("fp", "n", "component"))
+    keys = docs.select(F.col(id_col).alias("key"), fingerprint(text_col).alias("fp"))
+    return keys.join(by_class, "fp", "left").select("key", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.coalesce("component", "key").alias("component"))
 
 
 def fingerprint(text: str) -> Column:
     return F.md5(F.coalesce(F.col(text), F.lit("")))
 
 
-def linked_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, fp, n, ...) of documents, and (fp, no, least, copies, root) of each distinct text with words: its least id and component."""
+def linked_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(fp, n, no, least, copies, root) of each distinct text with words: its set's size, number, least id, copies and component."""
     ship(docs.sparkSession)
-    named = docs.select(F.col(id_col).alias("key"), fingerprint(text_col).alias("fp"), F.col(text_col).alias("text"))
+    named = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), fingerprint(text_col).alias("fp"), F.col(text_col).alias("text"))
     kind = named.schema["key"].dataType.simpleString()
-    rows = checkpointed(named.mapInArrow(_signed, f"key {kind}, fp string, n long, tiles array<long>, bits binary"))
-    classes = rows.where("n > 0").groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("copies"), *(F.first(x).alias(x) for x in ("n", "tiles", "bits")))
-    classes = checkpointed(classes.withColumn("no", F.monotonically_increasing_id()))
-
-    entries = classes.select("no", "n", size_band(F.col("n")).alias("band"), F.explode("tiles").alias("tile"))
-    shared = entries.groupBy("tile").agg(F.count("*").alias("size")).where("size > 1")
-    tiles = checkpointed(entries.join(shared, "tile"))
-
-    needed = checkpointed(tiles.select("no").distinct().join(classes.select("no", "fp"), "no"))
-    texts = named.where("text is not null").join(sent_if_small(needed.select("fp")), "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
-    arrays = checkpointed(texts.join(needed, "fp").select("no", "text").mapInArrow(_arrays, "no long, shingles binary"))
-    verified = _Verifier(classes, arrays)
-
-    met = tiles.groupBy("no").agg(F.sum("size").alias("met"))
-    centres = tiles.join(met, "no").groupBy("tile", "band").agg(F.max_by("no", F.struct("met", "no")).alias("a"))
-    stars = tiles.join(centres, ["tile", "band"]).where("a <> no").select(F.least("a", "no").alias("a"), F.greatest("a", "no").alias("b")).distinct()
-    links = checkpointed(verified(stars))
-    first = components(links)
-
-    placed = tiles.select("tile", "no").join(first.select(F.col("node").alias("no"), "component"), "no", "left").withColumn("component", F.coalesce("component", "no"))
-    placed = checkpointed(placed)
-    ends = placed.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tile")
-    open_ = checkpointed(placed.join(ends, "tile", "left_semi").select("no", "component").distinct())
-    more = verified(prefix_pairs(arrays.join(open_, "no")))
-    final = components(links.union(more))
-
-    roots = final.select(F.col("node").alias("no"), F.col("component").alias("root"))
-    return rows, classes.select("fp", "no", "least", "copies").join(roots, "no", "left").withColumn("root", F.coalesce("root", "no"))
+    signed = named.mapInArrow(_signed, f"key {kind}, fp string, n long, tiles array<long>, bits binary").where("n > 0")
+    classes = signed.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("copies"), *(F.first(x).alias(x) for x in ("n", "tiles", "bits")))
+    classes, texts = counted(classes.withColumn("no", F.monotonically_increasing_id()))
+    classes = few_tasks(classes, texts.n, TEXTS_PER_TASK)
+
+    entries = classes.select(F.explode("tiles").alias("tile"), "no", size_band(F.col("n")).alias("band"))
+    shared, seen = counted(few_tasks(entries.groupBy("tile").agg(F.count("*").alias("size")).where("size > 1"), TILES * texts.n))
+    tiles = few_tasks(entries.join(sent_if_small(few_tasks(shared, seen.n), seen.n), "tile"), TILES * texts.n)
+    met = tiles.groupBy("no").agg(F.sum("size").alias("met"), F.collect_list(F.struct("tile", "band")).alias("at"))  # no more than TILES
+    met, members = counted(few_tasks(met, texts.n, TEXTS_PER_TASK))
+    met = few_tasks(met, members.n, TEXTS_PER_TASK)
+    sent = sent_if_small(met.select("no"), members.n)
+    known, _ = counted(few_tasks(classes.select("no", "fp", "n", "bits").join(sent, "no", "left_semi"), members.n, TEXTS_PER_TASK))
+    whole = named.join(sent_if_small(known.select("fp"), members.n), "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
+    arrays = few_tasks(whole.join(known.select("fp", "no"), "fp"), members.n, TEXTS_PER_TASK // 4)
+    arrays = checkpointed(arrays.select("no", "text").mapInArrow(_arrays, "no long, shingles binary"))
+    bits = known.select("no", "n", "bits")
+
+    placed = met.select("no", "met", F.explode("at").alias("at")).select("no", "met", "at.tile", "at.band")
+    centres = checkpointed(few_tasks(placed.groupBy("tile", "band").agg(F.max_by("no", F.struct("met", "no")).alias("a")), TILES * members.n))
+    stars = few_tasks(placed.join(centres, ["tile", "band"]).where("a <> no"), TILES * members.n).groupBy("no").agg(F.mode("a", True).alias("a"))
+    links = verified(stars.select(F.least("a", "no").alias("a"), F.greatest("a", "no").alias("b")), bits, arrays)
+
+    first = parents(links).select(F.col("node").alias("no"), "component")
+    placed, _ = counted(few_tasks(met.select("no", "at.tile").join(first, "no", "left").select("no", "tile", F.coalesce("component", "no").alias("component")), members.n, TEXTS_PER_TASK))
+    placed = placed.select("no", "component", F.explode("tile").alias("tile"))
+    open_ = placed.groupBy("tile").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tile")
+    open_, seen = counted(few_tasks(open_, TILES * members.n))
+    inside = placed.join(sent_if_small(open_, seen.n), "tile", "left_semi").select("no", "component")
+    inside, seen = counted(few_tasks(inside, TILES * members.n).distinct())
+    inside = few_tasks(inside, seen.n)
+    sets = few_tasks(arrays.join(sent_if_small(inside.select("no"), seen.n), "no", "left_semi"), seen.n, TEXTS_PER_TASK // 4)
+    more = verified(prefix_pairs(sets, inside.join(bits.select("no", "n"), "no")), bits, arrays)
+    final = parents(links.union(more)).select(F.col("node").alias("no"), F.col("component").alias("root"))
+
+    found = classes.select("fp", "n", "no", "least", "copies").join(final, "no", "left")
+    return checkpointed(found.withColumn("root", F.coalesce("root", "no")))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,23 +239,25 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the one with that id. So an id that names several texts is judged for each of them, and of rows that repeat id and text
     one stays. Documents without words stay.
     """
-    rows, joined = linked_texts(docs, id_col, text_col)
-    joined = checkpointed(joined)
+    joined = linked_texts(docs, id_col, text_col)
     order = F.struct(F.col("least").isNull().alias("last"), "least", "fp")
-    best = joined.groupBy("root").agg(F.count("*").alias("texts"), F.min(order)["fp"].alias("best"))
+    best = checkpointed(joined.groupBy("root").agg(F.min(order)["fp"].alias("best")))
     placed = joined.join(best, "root")
     fp, last = f"fp_{uuid.uuid4().hex}", f"least_{uuid.uuid4().hex}"  # no columns of the documents have these names
-    gone = checkpointed(placed.where("fp <> best").select(F.col("fp").alias(fp)))
-    copied = checkpointed(placed.where("fp = best and copies > 1").select(F.col("fp").alias(fp), F.col("least").alias(last)))
-    kept = docs.withColumn(fp, fingerprint(text_col)).join(sent_if_small(gone), fp, "left_anti")
-    if copied.isEmpty():
+    gone, dropped = counted(placed.where("fp <> best").select(F.col("fp").alias(fp)))
+    copied, several = counted(placed.where("fp = best and copies > 1").select(F.col("fp").alias(fp), F.col("least").alias(last)))
+    docs_ = docs.withColumn(fp, fingerprint(text_col))
+    kept = docs_.join(sent_if_small(gone, dropped.n), fp, "left_anti")
+    if not several.n:
         return kept.select(docs.columns)
-    once = kept.join(sent_if_small(copied.select(fp)), fp, "left_anti")
-    again = kept.join(sent_if_small(copied), fp).where(F.col(id_col).eqNullSafe(F.col(last))).drop(last)
-    named = rows.select(F.col("fp").alias(fp), "key").join(sent_if_small(copied), fp).where(F.col("key").eqNullSafe(F.col(last)))
-    repeated = checkpointed(named.groupBy(fp).count().where("count > 1").select(fp))
-    if repeated.isEmpty():
+    once = kept.join(sent_if_small(copied.select(fp), several.n), fp, "left_anti")
+    same = F.col(id_col).eqNullSafe(F.col(last))
+    again = kept.join(sent_if_small(copied, several.n), fp).where(same)
+    named = docs_.select(fp, id_col).join(sent_if_small(copied, several.n), fp).where(same)
+    repeated, twice = counted(named.groupBy(fp).count().where("count > 1").select(fp))
+    again = again.drop(last)
+    if not twice.n:
         return once.unionByName(again).select(docs.columns)
-    repeated = sent_if_small(repeated)
+    repeated = sent_if_small(repeated, twice.n)
     one = again.join(repeated, fp, "left_semi").dropDuplicates([fp])
     return once.unionByName(again.join(repeated, fp, "left_anti")).unionByName(one).select(docs.columns)

@@ -104,6 +104,17 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 1 for i in range(1, 40)}, 500: 500, 501: 500}
 
 
+def test_components_that_no_task_holds_whole(spark):
+    """As few edges a task as make star rounds necessary."""
+    r = np.random.default_rng(1)
+    edges = [*((int(a), int(b)) for a, b in r.integers(0, 400, (300, 2))), *((7, i) for i in range(1000, 1200)), *((i, i + 1) for i in range(2000, 2100))]
+    a, b = (np.array(x) for x in zip(*edges))
+    want = dict(zip(*(x.tolist() for x in graph.spanning(a, b))))
+    found = graph.parents(spark.createDataFrame(edges, "a long, b long").repartition(7), per_task=20)
+    assert {r.node: r.component for r in found.collect()} == want
+    assert graph.parents(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_embedding_links(spark):
     r = np.random.default_rng(2)
     base = r.normal(size=(300, 64))
