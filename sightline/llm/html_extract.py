@@ -33,7 +33,13 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 #: Words in class, id or role that mark what stands around the article. Fixed values.
 AROUND_WORD = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|replies|reply|sidebar|widget|breadcrumbs?|menu|nav|navbar|navigation|pagination|pager|footer|masthead|topbar|toolbar|complementary|contentinfo|skip|search|tags?|meta|byline-social)(?:$|[\s_-])", re.I)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>\x00]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>\x00]*+)([^>]*+)>", re.S)  # the last form has an odd quote
+#: Words that mark what stands around an article when they name its surroundings, but may also name its own subject. Fixed values.
+SUBJECT_WORD = re.compile(r"(?:^|[\s_-])(?:search|tags?|meta)(?=$|[\s_-])", re.I)
+
+NAME = re.compile(r"[a-zA-Z][^\s/>\x00]*")
+TAG_END = re.compile(r"[>\"']")
+#: Elements whose content holds no tags. Fixed values.
+RAW = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in ("script", "style", "title", "textarea", "noscript", "iframe")}
 #: Names of layouts rather than of what stands around the article, as in "content with-sidebar". Fixed values.
 LAYOUT_WORD = re.compile(r"\b(?:with|has|no|without|hide)[_-]\w+", re.I)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -41,9 +47,10 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|dis
 SPACE = re.compile(r"\s+")
 
 SHORT, LONG = 70, 200
-STOP_LOW, STOP_HIGH = 0.30, 0.32
+#: Shares of stop words: below the first a block isn't prose of a language that the list holds, from the second on it is.
+STOP_LOW, STOP_HIGH = 0.08, 0.16
 LINKS_MOST = 0.2
-#: An article's own blocks go only when they are mostly links.
+#: In an article, prose may hold more links.
 LINKS_MOST_SCOPE = 0.5
 #: Characters of scripts that write a word in about one or two of them count as three. Fixed values.
 WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1100-\u11ff\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -56,13 +63,86 @@ class Block:
     scope: int  # of the article or main element around it; 0: none
     around: bool
     heading: bool
+    doubt: bool = False  # stands in an element of an article whose name may mean its subject or its surroundings
     label: str = ""
 
 
+class Tokens:
+    """Text and markup of a page in order, in time that is linear in its length however broken it is.
+
+    A quoted value may hold ``>``. Where a quote has no end, the tag ends at its first ``>``; so do all further ones once
+    looking for ends of quotes in vain has taken several times the page's length. A ``<`` that nothing ends is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.at = page, 0
+        self.last = {x: page.rfind(x) for x in "<>\"'"}
+        self.vain = 4 * len(page) + 1024
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        """(kind, name or text, attributes) with kinds text, start and end."""
+        page, size, text = self.page, len(self.page), 0
+        while (i := page.find("<", self.at) if self.at <= self.last["<"] else -1) >= 0:
+            kind, name, attrs, raw = self.markup(i)
+            if kind == "none":
+                self.at = i + 1
+                continue
+            if i > text:
+                yield "text", page[text:i], ""
+            text = self.at
+            if kind == "skip":
+                if raw:
+                    yield "text", raw, ""
+                continue
+            yield kind, name, attrs
+            if kind == "start" and name in RAW:
+                end = RAW[name].search(page, self.at)
+                self.at = text = size if end is None else end.start()
+        if text < size:
+            yield "text", page[text:], ""
+
+    def markup(self, i: int) -> tuple[str, str, str, str]:
+        page, size = self.page, len(self.page)
+        if page.startswith("<!--", i):
+            end = i + 4 if page.startswith((">", "->"), i + 4) else page.find("-->", i + 4)
+            self.at = size if end < 0 else page.index(">", end) + 1
+            return "skip", "", "", ""
+        if page.startswith("<![CDATA[", i):
+            end = page.find("]]>", i + 9)
+            self.at = size if end < 0 else end + 3
+            return "skip", "", "", page[i + 9 : size if end < 0 else end]
+        if i > self.last[">"]:
+            return "none", "", "", ""
+        ends = page.startswith("/", i + 1)
+        m = NAME.match(page, i + 1 + ends)
+        if not m:
+            if not ends and not page.startswith(("!", "?"), i + 1):
+                return "none", "", "", ""
+            self.at = page.index(">", i) + 1
+            return "skip", "", "", ""
+        end = self.tag_end(m.end())
+        self.at = end + 1
+        return "end" if ends else "start", m[0].lower(), page[m.end() : end], ""
+
+    def tag_end(self, start: int) -> int:
+        page, at = self.page, start
+        while self.vain > 0 and at <= self.last[">"]:
+            m = TAG_END.search(page, at)
+            if m[0] == ">":
+                return m.start()
+            if m.start() == self.last[m[0]]:
+                break
+            at = page.index(m[0], m.end()) + 1
+        self.vain -= at - start
+        return page.index(">", start)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, with the element they stand in; markup that isn't closed ends with the page."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # name, around, scope, dropped
+    top = ("", False, 0, False, False)
+    stack = [top]  # name, around, scope, dropped, doubt
+    opened: dict[str, int] = {}
     parts: list[str] = []
     linked = links = scopes = 0
     heading = False
@@ -71,39 +151,26 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked, heading
         text = SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            _, around, scope, _ = stack[-1] if stack else ("", False, 0, False)
-            out.append(Block(text, linked, scope, around, heading))
+            _, around, scope, _, doubt = stack[-1]
+            out.append(Block(text, linked, scope, around, heading, doubt))
         parts.clear()
         linked, heading = 0, False
 
-    def add(raw: str) -> None:
-        nonlocal linked
-        if raw and not (stack and stack[-1][3]):
-            text = html.unescape(raw) if "&" in raw else raw
-            parts.append(text)
-            if links:
-                linked += len(SPACE.sub(" ", text).strip())
-
-    at, size = 0, len(page)
-    while at < size:
-        m = TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        ends, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>"))
+    for kind, name, attrs in Tokens(page):
+        if kind == "text":
+            if not stack[-1][3]:
+                text = html.unescape(name) if "&" in name else name
+                parts.append(text)
+                if links:
+                    linked += len(SPACE.sub(" ", text).strip())
             continue
-        name = name.lower()
-        if ends:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+        if kind == "end":
             if name in BLOCKS:
                 flush()
-            if k is not None:
-                del stack[k:]
+            if opened.get(name):
+                while stack[-1][0] != name:
+                    opened[stack.pop()[0]] -= 1
+                opened[stack.pop()[0]] -= 1
             if name == "a":
                 links = max(0, links - 1)
             continue
@@ -117,27 +184,26 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name == "a":
             links += 1
-        if (closed := CLOSES.get(name)) and stack and stack[-1][0] in closed:
-            stack.pop()
-        _, around, scope, dropped = stack[-1] if stack else ("", False, 0, False)
-        if name in DROPPED:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at) if name in ("script", "style", "title", "textarea", "noscript", "iframe") else None
-            if name in ("script", "style", "title", "textarea", "noscript", "iframe"):
-                at = end.end() if end else size  # raw text: tags inside don't count
-                continue
-            dropped = True
+        if (closed := CLOSES.get(name)) and stack[-1][0] in closed:
+            opened[stack.pop()[0]] -= 1
+        _, around, scope, dropped, doubt = stack[-1]
+        dropped = dropped or name in DROPPED
         if name in ("article", "main") and not around:
             scopes += 1
             scope = scopes
         if name in AROUND and not (name == "header" and scope):
             around = True
-        if attrs and name not in ("body", "html", "article", "main"):
+        if attrs and name not in ("body", "html"):
             named = LAYOUT_WORD.sub("", " ".join("".join(x) for x in NAMED.findall(attrs)))
-            around = around or bool(named and AROUND_WORD.search(named))
-            dropped = dropped or bool(HIDDEN.search(attrs))
-        elif attrs and name == "article" and (named := " ".join("".join(x) for x in NAMED.findall(attrs))):
-            around = around or bool(re.search(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])", named, re.I))
-        stack.append((name, around, scope, dropped))
+            if name in ("article", "main"):
+                around = around or bool(name == "article" and named and re.search(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])", named, re.I))
+            else:
+                if scope and named and SUBJECT_WORD.search(named):
+                    doubt, named = True, SUBJECT_WORD.sub(" ", named)
+                around = around or bool(named and AROUND_WORD.search(named))
+                dropped = dropped or bool(HIDDEN.search(attrs))
+        stack.append((name, around, scope, dropped, doubt))
+        opened[name] = opened.get(name, 0) + 1
     flush()
     return out
 
@@ -149,28 +215,32 @@ def density(text: str) -> float:
 
 
 def classify(block: Block, by_words: bool = True) -> str:
-    """First pass, by the block alone: good, near, short or bad; ``by_words``: the density of stop words tells something."""
+    """First pass, by the block alone: good, near, short or bad; ``by_words``: the density of stop words tells something.
+
+    Long prose with few links is good, medium prose near; in an article or main element medium prose is good too, more of
+    it may be linked, and what isn't prose of a known language is near instead of bad.
+    """
     if block.around:
         return "bad"
     size = len(block.text)
     width = size if by_words else size + 2 * len(WIDE.findall(block.text))
+    share = density(block.text) if by_words else 0.0
+    if block.doubt and not (size >= SHORT and block.linked <= LINKS_MOST * size and (share >= STOP_HIGH or not by_words)):
+        return "bad"
     if block.linked > (LINKS_MOST_SCOPE if block.scope else LINKS_MOST) * size:
         return "bad" if width >= SHORT or block.linked > 0.8 * size else "short"
     if width < SHORT or block.heading:
         return "short"
-    if block.scope:  # an article's own text, whatever its words
-        return "good"
     if not by_words:
-        return "good" if width > LONG else "near"
-    share = density(block.text)
+        return "good" if width > LONG or block.scope else "near"
     if share >= STOP_HIGH:
-        return "good" if size > LONG else "near"
-    return "near" if share >= STOP_LOW or size > LONG else "bad"
+        return "good" if size > LONG or block.scope else "near"
+    return "near" if share >= STOP_LOW or size > LONG or block.scope else "bad"
 
 
 def tells(block: Block) -> bool:
-    """Whether the block is text outside of articles whose stop words reach the density."""
-    plain = not (block.around or block.scope or block.heading) and len(block.text) >= SHORT
+    """Whether the block is text whose stop words reach the density."""
+    plain = not (block.around or block.heading) and len(block.text) >= SHORT
     return plain and block.linked <= LINKS_MOST * len(block.text) and density(block.text) >= STOP_LOW
 
 
@@ -182,13 +252,13 @@ def keep(blocks: list[Block]) -> list[Block]:
     side alone decides; with no decided block in the element, its blocks are good.
 
     Long blocks with few links but rare stop words (technical prose, a quotation in another language) are near ones. Where
-    no block outside of articles reaches the density, the page is in a language or script that the list doesn't hold, and
-    length and links alone decide.
+    no block reaches the density, the page is in a language or script that the list doesn't hold, and length and links
+    alone decide. Where no block is good, the near ones are.
     """
     by_words = any(map(tells, blocks))
     for b in blocks:
         b.label = classify(b, by_words)
-    if not by_words and not any(b.label == "good" for b in blocks):  # its longest text is of medium length
+    if not any(b.label == "good" for b in blocks):  # the page's longest text is of medium length
         for b in blocks:
             b.label = "good" if b.label == "near" else b.label
     first = [b.label for b in blocks]
@@ -201,7 +271,7 @@ def keep(blocks: list[Block]) -> list[Block]:
             for i in order:
                 b = blocks[i]
                 seen[i] = last.get(b.scope, "")
-                if b.label not in waiting and not (b.scope and b.around):
+                if b.label not in waiting and not (b.scope and (b.around or b.doubt)):
                     last[b.scope] = b.label
             both.append(seen)
         return both[0], both[1]
@@ -217,7 +287,7 @@ def keep(blocks: list[Block]) -> list[Block]:
             decided.append(b.label)
             continue
         near = {x for x in (before[i], after[i]) if x}
-        if b.scope and not b.around:
+        if b.scope:
             decided.append("bad" if near == {"bad"} else "good")
         elif b.heading:
             decided.append(after[i] or "bad")
