@@ -27,7 +27,10 @@ DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 CARD_RUN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL_REST = re.compile(r"[^\s<>\"'`]+")
-ACCOUNT_REST = re.compile(r"[\x20\t]{0,4}(?:number|no\.?|nr\.?|#)?[\x20\t]{0,4}[=:#]?[\x20\t]{0,4}[\"']?([A-Za-z0-9](?:[A-Za-z0-9_-]|\x20(?=[0-9A-Z]{1,4}\b))*)", re.I)
+#: What stands between a cue and its value: an account or secret is only taken where something says that a value follows.
+ACCOUNT_REST = re.compile(r"[\"']?[\x20\t]{0,4}(?:(?:number|no\.?|nr\.?)[\x20\t]{0,4}[=:#]?|[=:#]{1,2}>?)[\x20\t]{0,4}[\"']?([A-Za-z0-9][A-Za-z0-9_-]*)", re.I | re.A)
+#: An IBAN holds its own checksum, so a cue is enough; it has 15 to 34 characters, perhaps in groups.
+IBAN_REST = re.compile(r"[\"']?[\x20\t]{0,4}(?:number|no\.?|nr\.?)?[\x20\t]{0,4}[=:#]?[\x20\t]{0,4}[\"']?([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})", re.I | re.A)
 #: Cues after which an account number or a secret identifier stands.
 CUES = ("iban", "account", "acct", "konto", "cuenta", "compte", "passport", "ssn", "token", "api_key", "apikey", "secret", "password")
 MIN_ACCOUNT = 6
@@ -58,9 +61,13 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+#: Letters as the two digits that an IBAN's checksum takes them for.
+LETTERS = {ord(x): str(int(x, 36)) for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
 def iban(text: str) -> bool:
     text = text.replace(" ", "").upper()
-    return bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", text)) and int("".join(str(int(x, 36)) for x in text[4:] + text[:4])) % 97 == 1
+    return 15 <= len(text) <= 34 and text[:2].isalpha() and text[2:4].isdigit() and int((text[4:] + text[:4]).translate(LETTERS)) % 97 == 1
 
 
 def octet(part: str) -> bool:
@@ -68,17 +75,18 @@ def octet(part: str) -> bool:
     return len(part) <= 3 and int(part or 0) <= 255
 
 
-def account(rest: re.Match, cue: str) -> tuple[int, int] | None:
-    start, end = rest.span(1)
-    value = rest[1].rstrip(" -_")
-    end = start + len(value)
+def account(text: str, at: int, cue: str) -> tuple[int, int] | None:
+    """The identifier after a cue that ends at ``at``."""
     if cue.lower() == "iban":
+        m = IBAN_REST.match(text, at)
+        value = m[1] if m and m.start(1) > at else ""
         for n in range(len(value), 14, -1):  # words in capitals may follow
             if (n == len(value) or value[n] == " ") and iban(value[:n]):
-                return start, start + n
+                return m.start(1), m.start(1) + n
         return None
-    value = value.split(" ")[0]
-    return (start, start + len(value)) if len(value) >= MIN_ACCOUNT and any(x.isdigit() for x in value) else None
+    m = ACCOUNT_REST.match(text, at)
+    value = m[1].rstrip("-_") if m else ""
+    return (m.start(1), m.start(1) + len(value)) if len(value) >= MIN_ACCOUNT and any(x.isdigit() for x in value) else None
 
 
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
@@ -127,10 +135,9 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                 url_end = last + 1 + len(m[0].rstrip(".,;:!?)]}"))
                 if url_end > last + 1:
                     spans.append(("url", start, url_end))
-        elif at >= account_end and not (at and text[at - 1] in WORD_CHARS) and (m := ACCOUNT_REST.match(text, last + 1)):
-            if m.start(1) > last + 1 and (found := account(m, text[at : last + 1])):
-                account_end = found[1]
-                spans.append(("account", *found))
+        elif at >= account_end and not (at and text[at - 1] in WORD_CHARS) and (found := account(text, last + 1, text[at : last + 1])):
+            account_end = found[1]
+            spans.append(("account", *found))
     spans.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return spans
 
