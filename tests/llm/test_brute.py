@@ -137,17 +137,44 @@ def test_components_that_no_task_holds_whole(spark):
     assert graph.parents(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_embedding_links(spark):
-    r = np.random.default_rng(2)
-    base = r.normal(size=(300, 64))
-    near = base[r.integers(0, 20, 300)] + r.normal(size=(300, 64)) * r.choice([0.05, 0.2, 0.24], 300)[:, None]
-    x = np.vstack([base, near, near[:10], 3 * near[10:20]]).astype(np.float32)
+def linked_vectors(x):
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     links = u @ u.T >= 0.95
     np.fill_diagonal(links, False)
-    got = embed_dedup.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).toPandas().set_index("key")
-    want = links.sum(1)
-    assert (got.n_links[range(len(x))].to_numpy() <= want).all() and got.n_links.sum() >= 0.99 * want.sum() > 0
+    a, b = np.nonzero(np.triu(links))
+    nodes, least = graph.spanning(a, b)
+    return links.sum(1), dict(zip(nodes.tolist(), least.tolist()))
+
+
+@pytest.mark.parametrize("dims, noise", [(4, 0.2), (8, 0.12), (64, 0.035), (64, 0.04)])
+def test_no_link_is_lost_over_many_cells(spark, dims, noise):
+    """About a hundred cells, groups of near copies that lie across borders, exact and scaled copies."""
+    r = np.random.default_rng(dims)
+    base = r.normal(size=(900, dims)) / np.sqrt(dims)
+    near = base[r.integers(0, 60, 900)] + r.normal(size=(900, dims)) * noise * r.choice([0.3, 1, 1.1], 900)[:, None]
+    x = np.vstack([base, near, near[:30], 4 * near[30:60]]).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    got = embed_dedup.near_duplicates(rows, cell_size=16).toPandas().set_index("key").sort_index()
+    want, least = linked_vectors(x)
+    assert got.n_links.tolist() == want.tolist() and (want > 0).sum() > 500
+    assert got.component.tolist() == [least.get(i, i) for i in range(len(x))]
+
+
+def test_many_centres_are_fitted_in_groups():
+    x = np.random.default_rng(3).normal(size=(9000, 8))
+    centres = embed_dedup.nested_means(x, 1000)
+    assert 900 <= len(centres) <= 1100 and np.isfinite(centres).all()
+    near = np.sqrt(embed_dedup.squares(x, centres).min(1)).mean()
+    assert near < 1.1 * np.sqrt(embed_dedup.squares(x, embed_dedup.means(x, 1000, rounds=3)).min(1)).mean()
+
+
+def test_probes_are_those_of_all_borders():
+    r = np.random.default_rng(8)
+    x = r.normal(size=(300, 6))
+    q = embed_dedup.Quantiser(x, 40)
+    home, row, cell = q.probes(x, 0.3)
+    every = [(i, c) for i in range(300) for c in range(40) if q.borders(x[i : i + 1], home[i : i + 1], np.array([c]))[0] <= 0.3]
+    assert sorted(zip(row.tolist(), cell.tolist())) == every
 
 
 def test_embedding_links_of_two_lengths(spark):
