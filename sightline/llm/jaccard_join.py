@@ -145,18 +145,24 @@ def prefix_pairs(sets: DataFrame, of: DataFrame) -> DataFrame:
     return met.select(F.least("a", "no").alias("a"), F.greatest("a", "no").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, bits: DataFrame, arrays: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link: by size and bitmap first, which are small, then by the sorted arrays of those left."""
+def verified(pairs: DataFrame, bits: DataFrame, arrays: DataFrame, texts: int) -> DataFrame:
+    """The pairs (a, b) that link: by size and bitmap first, which are small, then by the sorted arrays of those left.
 
-    def of(df: DataFrame, side: str, end: str) -> DataFrame:
-        return df.select(F.col("no").alias(side), *(F.col(x).alias(x + end) for x in df.columns if x != "no"))
+    ``texts``: the number of rows of ``bits`` and ``arrays``.
+    """
+
+    def with_both(pairs: DataFrame, n: int, df: DataFrame, per_task: int) -> DataFrame:
+        ids, wanted = counted(pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct())
+        df = df.join(sent_if_small(few_tasks(ids, wanted.n), wanted.n), "no", "left_semi")  # what no pair needs isn't shuffled
+        for side, end in (("a", "1"), ("b", "2")):
+            own = df.select(F.col("no").alias(side), *(F.col(x).alias(x + end) for x in df.columns if x != "no"))
+            pairs = few_tasks(pairs.join(own, side), max(n, texts), per_task)
+        return pairs
 
     pairs, seen = counted(pairs)
-    pairs = few_tasks(pairs, seen.n)
-    bounded = few_tasks(few_tasks(pairs.join(of(bits, "a", "1"), "a"), seen.n, TEXTS_PER_TASK).join(of(bits, "b", "2"), "b"), seen.n, TEXTS_PER_TASK)
+    bounded = with_both(few_tasks(pairs, seen.n), seen.n, bits, TEXTS_PER_TASK)
     bounded, seen = counted(bounded.select("a", "b", "n1", "bits1", "n2", "bits2").mapInArrow(_may_link, "a long, b long"))
-    bounded = few_tasks(bounded, seen.n)
-    exact = few_tasks(few_tasks(bounded.join(of(arrays, "a", "1"), "a"), seen.n, TEXTS_PER_TASK // 4).join(of(arrays, "b", "2"), "b"), seen.n, TEXTS_PER_TASK // 4)
+    exact = with_both(few_tasks(bounded, seen.n), seen.n, arrays, TEXTS_PER_TASK // 4)
     return checkpointed(exact.select("a", "b", "shingles1", "shingles2").mapInArrow(_do_link, "a long, b long"))
 
 
@@ -205,7 +211,7 @@ def linked_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     met, members = counted(few_tasks(met, texts.n, TEXTS_PER_TASK))
     met = few_tasks(met, members.n, TEXTS_PER_TASK)
     sent = sent_if_small(met.select("no"), members.n)
-    known, _ = counted(few_tasks(classes.select("no", "fp", "n", "bits").join(sent, "no", "left_semi"), members.n, TEXTS_PER_TASK))
+    known, _ = counted(few_tasks(classes.select("no", "fp", "n", "bits").join(sent, "no", "left_semi"), texts.n, TEXTS_PER_TASK))
     whole = named.join(sent_if_small(known.select("fp"), members.n), "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
     arrays = few_tasks(whole.join(known.select("fp", "no"), "fp"), members.n, TEXTS_PER_TASK // 4)
     arrays = checkpointed(arrays.select("no", "text").mapInArrow(_arrays, "no long, shingles binary"))
@@ -214,7 +220,7 @@ def linked_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     placed = met.select("no", "met", F.explode("at").alias("at")).select("no", "met", "at.tile", "at.band")
     centres = checkpointed(few_tasks(placed.groupBy("tile", "band").agg(F.max_by("no", F.struct("met", "no")).alias("a")), TILES * members.n))
     stars = few_tasks(placed.join(centres, ["tile", "band"]).where("a <> no"), TILES * members.n).groupBy("no").agg(F.mode("a", True).alias("a"))
-    links = verified(stars.select(F.least("a", "no").alias("a"), F.greatest("a", "no").alias("b")), bits, arrays)
+    links = verified(stars.select(F.least("a", "no").alias("a"), F.greatest("a", "no").alias("b")), bits, arrays, members.n)
 
     first = parents(links).select(F.col("node").alias("no"), "component")
     placed, _ = counted(few_tasks(met.select("no", "at.tile").join(first, "no", "left").select("no", "tile", F.coalesce("component", "no").alias("component")), members.n, TEXTS_PER_TASK))
@@ -224,8 +230,8 @@ def linked_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     inside = placed.join(sent_if_small(open_, seen.n), "tile", "left_semi").select("no", "component")
     inside, seen = counted(few_tasks(inside, TILES * members.n).distinct())
     inside = few_tasks(inside, seen.n)
-    sets = few_tasks(arrays.join(sent_if_small(inside.select("no"), seen.n), "no", "left_semi"), seen.n, TEXTS_PER_TASK // 4)
-    more = verified(prefix_pairs(sets, inside.join(bits.select("no", "n"), "no")), bits, arrays)
+    sets = few_tasks(arrays.join(sent_if_small(inside.select("no"), seen.n), "no", "left_semi"), members.n, TEXTS_PER_TASK // 4)
+    more = verified(prefix_pairs(sets, inside.join(bits.select("no", "n"), "no")), bits, arrays, members.n)
     final = parents(links.union(more)).select(F.col("node").alias("no"), F.col("component").alias("root"))
 
     found = classes.select("fp", "n", "no", "least", "copies").join(final, "no", "left")
