@@ -12,7 +12,7 @@ from ..functions import vectors as V
 from ..functions.text import Tag
 from .annotations import any_tag, tagged
 from .items import in_range, predicted
-from .ranking import normalised
+from .ranking import first_rows, normalised
 
 SVM_NEGATIVES, DNN_NEGATIVES = 7, 10
 SCALE = 1000.0
@@ -33,14 +33,14 @@ def seeded(item_id: Column, seed: int) -> Column:
 def augmented(train: DataFrame, pool: DataFrame, factor: int = SVM_NEGATIVES, seed: int = 0) -> DataFrame:
     """Adds negatives from the pool until there are ``factor`` times as many as positives; they are a seeded sample.
 
-    The number wanted grows with the labels, not the pool, so the sample is a top-n by hash, not a sort of the pool.
+    The sample are the first by a hash of the item.
     """
     counts = train.agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")).first()
     extra = factor * counts["pos"] - counts["neg"]
     if extra <= 0:
         return train
     free = pool.select("item_id").join(train.select("item_id"), "item_id", "left_anti").distinct()
-    chosen = free.orderBy(seeded(F.col("item_id"), seed), "item_id").limit(extra)
+    chosen = first_rows(free.withColumn("_key", seeded(F.col("item_id"), seed)), extra, ["_key", "item_id"]).drop("_key")
     return train.unionByName(chosen.withColumn("label", F.lit(0)))
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import traceback
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -26,7 +27,10 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Text embedder without a model: signed counts of hashed words, scaled to length 1. Texts without words are zero."""
+    """Text embedder without a model: signed counts of hashed words, scaled to length 1. Texts without words are zero.
+
+    A word's place and sign come from the first 52 bits of its MD5. The words of a batch are hashed once each.
+    """
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -35,20 +39,41 @@ class HashingEmbedder:
         pass
 
     def embed(self, inputs: list) -> np.ndarray:
-        out = np.zeros((len(inputs), self.dim))
-        for i, text in enumerate(inputs):
-            for word in (text or "").lower().split():
-                h = xxhash.xxh64_intdigest(word)
-                out[i, h % self.dim] += 1 if h >> 63 else -1
+        words = [(text or "").lower().split() for text in inputs]
+        text = np.repeat(np.arange(len(inputs)), [len(x) for x in words])
+        which, distinct = pd.factorize(np.array([w for x in words for w in x], object))
+        h = np.array([int(hashlib.md5(w.encode()).hexdigest()[:13], 16) for w in distinct], np.int64)
+        at, sign = (h % self.dim)[which], np.where(h >> 51, 1.0, -1.0)[which]
+        out = np.bincount(text * self.dim + at, sign, len(inputs) * self.dim).reshape(len(inputs), self.dim)
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.maximum(size, 1e-12)).astype(np.float32)
 
 
+def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """An image of any number of channels at another size, interpolated between the four nearest pixels' centres."""
+
+    def ends(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, n - 1), at - low
+
+    (y0, y1, fy), (x0, x1, fx) = ends(image.shape[0], height), ends(image.shape[1], width)
+    rows = image[y0] * (1 - fy)[:, None, None] + image[y1] * fy[:, None, None]
+    return rows[:, x0] * (1 - fx)[None, :, None] + rows[:, x1] * fx[None, :, None]
+
+
 class CroppedImages:
-    """Embeds image bytes with a pluggable decoder and model: crop by fractions (x1, y1, x2, y2), then pool, then scale."""
+    """Embeds image bytes with a pluggable decoder and model: crop by fractions (x1, y1, x2, y2), resize, normalise, then pool and scale.
+
+    ``decode`` gives (height, width, channels); ``size`` is (height, width); ``mean`` and ``std`` are by channel. A query image
+    goes the same way as the images of a job.
+    """
 
-    def __init__(self, decode: Callable[[bytes], np.ndarray], model: Callable[[np.ndarray], np.ndarray], dim: int, unit: bool = False):
-        self.decode, self.model, self.dim, self.unit = decode, model, dim, unit
+    def __init__(
+        self, decode: Callable[[bytes], np.ndarray], model: Callable[[np.ndarray], np.ndarray], dim: int, unit: bool = False, size: tuple[int, int] | None = None,
+        mean: list[float] | float = 0.0, std: list[float] | float = 1.0,
+    ):
+        self.decode, self.model, self.dim, self.unit, self.size, self.mean, self.std = decode, model, dim, unit, size, mean, std
 
     def open(self) -> None:
         pass
@@ -61,7 +86,8 @@ class CroppedImages:
                 h, w = image.shape[:2]
                 x1, y1, x2, y2 = crop
                 image = image[int(y1 * h) : max(int(y2 * h), int(y1 * h) + 1), int(x1 * w) : max(int(x2 * w), int(x1 * w) + 1)]
-            v = np.asarray(self.model(image), float)
+            image = resized(image, *self.size) if self.size else image
+            v = np.asarray(self.model((image - np.asarray(self.mean)) / np.asarray(self.std)), float)
             v = v.mean(axis=tuple(range(v.ndim - 1))) if v.ndim > 1 else v
             out.append(v / max(np.linalg.norm(v), 1e-12) if self.unit else v)
         return np.stack(out).astype(np.float32) if out else np.empty((0, self.dim), np.float32)
@@ -134,3 +160,64 @@ def pool(vectors: DataFrame, how: str = "avg", column: str = "embedding") -> Dat
 
 def top_k(rows: DataFrame, score: str, k: int, tie: str = "item_id") -> DataFrame:
     return rows.orderBy(F.desc(score), tie).limit(k)
+
+
+def grouped_top_k(rows: DataFrame, keys: list[str], score: str, k: int, tie: str = "item_id") -> DataFrame:
+    """The ``k`` highest of each group with their ``rank`` from 0; Spark drops a task's lower ones before it shuffles them."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
+    return rows.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+
+
+class Reducer(Protocol):
+    """A reduction of one's own. ``output`` names and types the columns of a result; states are small and can be pickled."""
+
+    output: str
+
+    def start(self) -> Any: ...
+
+    def add(self, state: Any, rows: pd.DataFrame) -> Any: ...
+
+    def merge(self, state: Any, other: Any) -> Any: ...
+
+    def finish(self, state: Any) -> tuple: ...
+
+
+#: States of groups that a task holds before it sends them on.
+STATES = 10_000
+
+
+def reduced(rows: DataFrame, keys: list[str], reducer: Reducer) -> DataFrame:
+    """(keys, output of the reducer): each task reduces its own rows of a group, then the states of a group are merged.
+
+    A group's rows never meet, only a state for each task that has some; null keys are a group. Without keys all rows are one.
+    """
+    keys = keys or ["_all"]
+    rows = rows if keys != ["_all"] else rows.withColumn("_all", F.lit(0))
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict[tuple, tuple[list, Any]] = {}
+
+        def sent() -> pd.DataFrame:
+            done = [(*key, pickle.dumps(state)) for key, state in states.values()]
+            states.clear()
+            return pd.DataFrame(done, columns=[*keys, "_state"])
+
+        for f in frames:
+            for _, part in f.groupby(keys, sort=False, dropna=False):
+                key = [part[k].iloc[0] for k in keys]
+                name = tuple(None if pd.isna(x) else x for x in key)
+                state = states[name][1] if name in states else reducer.start()
+                states[name] = (list(name), reducer.add(state, part))
+            if len(states) > STATES:
+                yield sent()
+        yield sent()
+
+    def final(f: pd.DataFrame) -> pd.DataFrame:
+        state = None
+        for i, x in enumerate(f["_state"]):
+            state = reducer.merge(state, pickle.loads(x)) if i else pickle.loads(x)
+        return pd.DataFrame([(*(f[k].iloc[0] for k in keys), *reducer.finish(state))])
+
+    done = rows.mapInPandas(partial, f"{kinds}, _state binary").groupBy(*keys).applyInPandas(final, f"{kinds}, {reducer.output}")
+    return done.drop("_all")

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import public_path
-from .indexing import running_totals
+from ..session import ship
+from .annotations import per_item
+from .clustering import page_clusters
+from .indexing import checkpointed, running_totals
 from .items import in_range
 
 PAGE = 500
+#: First rows of an order that every task may keep; beyond, the order is made by a range partitioning.
+FIRST_ROWS = 100_000
 
 
 def query_vector(vectors: DataFrame, column: str = "embedding") -> DataFrame:
@@ -20,10 +29,39 @@ def query_vector(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("query"))
 
 
+def measured(vectors: list[np.ndarray | None], query: np.ndarray, metric: str) -> np.ndarray:
+    """Distance or dot product of each vector and the query; rows are summed up each in the same order, so equal ones tie."""
+    out = np.full(len(vectors), np.nan)
+    mine = [i for i, v in enumerate(vectors) if v is not None and len(v) == len(query)]
+    if mine:
+        x = np.stack([vectors[i] for i in mine]).astype(float)
+        out[mine] = np.sqrt(((x - query) ** 2).sum(axis=1)) if metric == "l2" else (x * query).sum(axis=1)
+    return out
+
+
 def distances(embeddings: DataFrame, query: DataFrame, metric: str = "l2") -> DataFrame:
-    """Rows (item_id, dist) over all embeddings; the query is one row, sent to every task."""
-    measure = {"l2": V.euclidean, "dot": V.dot}[metric]
-    return embeddings.crossJoin(F.broadcast(query)).select("item_id", measure(F.col("embedding"), F.col("query")).alias("dist"))
+    """Rows (item_id, dist) over all embeddings, computed a batch at a time; the query is one row.
+
+    Null vectors, and those of another length than the query, have no distance (null).
+    """
+    if metric not in ("l2", "dot"):
+        raise ValueError(metric)
+    ship(embeddings.sparkSession)
+    row = query.first()
+    q = np.array(row["query"] if row and row["query"] is not None else [], float)
+    kind = embeddings.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("embedding")
+            whole = column.flatten().to_numpy(zero_copy_only=False) if not column.null_count else np.empty(0)
+            if len(q) and len(column) and whole.size == len(column) * len(q) and (np.diff(column.offsets.to_numpy()) == len(q)).all():
+                vectors = list(whole.reshape(len(column), len(q)))
+            else:
+                vectors = [np.array(x.as_py(), float) if x.is_valid else None for x in column]
+            yield pa.RecordBatch.from_pydict({"item_id": batch.column("item_id"), "dist": pa.array(measured(vectors, q, metric), from_pandas=True)})
+
+    return embeddings.select("item_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, f"item_id {kind}, dist double")
 
 
 def normalised(scored: DataFrame, column: str = "dist") -> DataFrame:
@@ -35,10 +73,10 @@ def normalised(scored: DataFrame, column: str = "dist") -> DataFrame:
 def knn(items: DataFrame, embeddings: DataFrame, query: DataFrame, metric: str = "l2", low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Items with their normalised distance within the range, unordered; ``order`` says how they rank.
 
-    Distances are normalised over the whole embedding set, before items are filtered. A set whose distances are all
-    equal gives no items.
+    Distances are computed once, then normalised over the whole embedding set, before items are filtered. A set whose
+    distances are all equal gives no items.
     """
-    found = normalised(distances(embeddings, query, metric)).where(in_range(F.col("dist"), low, high))
+    found = normalised(checkpointed(distances(embeddings, query, metric))).where(in_range(F.col("dist"), low, high))
     return items.join(found, "item_id")
 
 
@@ -69,8 +107,13 @@ def ranked(found: DataFrame, by: list[Column | str]) -> DataFrame:
     return running_totals(found, by, index="rank")
 
 
-def page(ranking: DataFrame, number: int, size: int = PAGE) -> DataFrame:
-    return ranking.where(F.col("rank").between(number * size, (number + 1) * size - 1))
+def page(found: DataFrame, number: int, by: list[Column | str], size: int = PAGE) -> DataFrame:
+    """The rows of one page of an order, with ``rank``. Early pages need no sort of what comes after them."""
+    start = number * size
+    if start + size > FIRST_ROWS:
+        return ranked(found, by).where(F.col("rank").between(start, start + size - 1))
+    rows = found.orderBy(*by).offset(start).limit(size)
+    return rows.withColumn("rank", (F.row_number().over(Window.orderBy(*by)) - 1 + start).cast("long"))  # a page of rows
 
 
 def hydrated(page_rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -79,6 +122,18 @@ def hydrated(page_rows: DataFrame, items: DataFrame) -> DataFrame:
     return found.withColumn("public_path", public_path(F.col("directory"), F.col("path"))).orderBy("rank")
 
 
+def result_page(found: DataFrame, number: int, by: list[Column | str], items: DataFrame, annotations: DataFrame, embeddings: DataFrame, strength: float, size: int = PAGE) -> DataFrame:
+    """(rank, item_id, public_path, tags, cluster): what a page of results shows; items without tags have an empty list."""
+    rows = checkpointed(page(found, number, by, size).select("item_id", "rank", "dist"))
+    mine = F.broadcast(rows.select("item_id"))
+    tags = per_item(annotations.join(mine, "item_id", "left_semi")).select("item_id", "tags")
+    vectors = embeddings.join(F.broadcast(rows), "item_id").select(F.lit(number).cast("long").alias("page"), "rank", "item_id", "embedding")
+    clusters = page_clusters(vectors, strength).select("item_id", "cluster")
+    shown = hydrated(rows, items).join(tags, "item_id", "left").join(clusters, "item_id", "left")
+    none = F.array().cast("array<struct<category:string,value:string>>")
+    return shown.select("rank", "item_id", "public_path", F.coalesce("tags", none).alias("tags"), "cluster").orderBy("rank")
+
+
 def bounds(n: int | Column, low: float, high: float) -> tuple[Column, Column]:
     """Half-open rank bounds of the slice from ``low`` to ``high`` of a ranking of ``n``, in doubles."""
     n = (F.lit(n) if isinstance(n, int) else n).cast("double")
@@ -97,9 +152,14 @@ def stride_sample(items: DataFrame, target: int, by: list[str]) -> DataFrame:
     return ranked(items, by).crossJoin(F.broadcast(total)).where(F.col("rank") % F.col("_stride") == 0).drop("_stride")
 
 
+def first_rows(found: DataFrame, n: int, by: list[Column | str]) -> DataFrame:
+    """The first ``n`` rows of an order, whether ``n`` is a few or grows with the data."""
+    return top(found, n, by) if n <= FIRST_ROWS else ranked(found, by).where(F.col("rank") < n).drop("rank")
+
+
 def best(scored: DataFrame, t: int, column: str = "score") -> DataFrame:
     """The ``t`` highest scores, ties by item_id; 0 keeps all."""
-    return top(scored, t, [F.col(column).desc(), F.col("item_id").asc()]) if t else scored
+    return first_rows(scored, t, [F.col(column).desc(), F.col("item_id").asc()]) if t else scored
 
 
 def to_label(queue: DataFrame, labelled: DataFrame, n: int = 10) -> DataFrame:

@@ -6,14 +6,14 @@ import math
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Tag
 from .annotations import any_tag
 from .indexing import checkpointed, running_totals
 from .items import predicted
-from .ranking import best
+from .ranking import best, ranked
 
 ALPHA = 0.5
 
@@ -48,11 +48,13 @@ def estimates(sample: DataFrame) -> DataFrame:
 
 
 def false_positives(sample: DataFrame) -> DataFrame:
-    return sample.where(predicted(F.col("score")) & ~F.col("label")).orderBy(F.desc("score"), "item_id")
+    """With ``rank``: the surest first."""
+    return ranked(sample.where(predicted(F.col("score")) & ~F.col("label")), [F.desc("score"), F.col("item_id")])
 
 
 def false_negatives(sample: DataFrame) -> DataFrame:
-    return sample.where(~predicted(F.col("score")) & F.col("label")).orderBy(F.asc("score"), "item_id")
+    """With ``rank``: those of the lowest score first."""
+    return ranked(sample.where(~predicted(F.col("score")) & F.col("label")), [F.col("score"), F.col("item_id")])
 
 
 def metric_sample(labels: DataFrame, weights: DataFrame, scores: DataFrame) -> DataFrame:
@@ -87,28 +89,38 @@ def sawade_weight(p: Column, hit: Column, g: float, alpha: float = ALPHA) -> Col
     return F.when(hit, w1).otherwise(w0)
 
 
+def uniform(i: Column, seed: int) -> Column:
+    """A repeatable number in [0, 1) for each row number: 52 bits of a hash, the same however rows are spread over tasks."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", i.cast("string"), F.lit(str(seed)))), 1, 13), 16, 10).cast("double")
+    return bits / float(1 << 52)
+
+
 def weighted_draws(weights: DataFrame, m: int, seed: int = 0) -> DataFrame:
     """``m`` draws with replacement of rows (item_id, w), with chance proportional to w: (item_id, weight = 1/(chance·m)).
 
-    Weights are summed up over all rows in order of item_id, which gives each row an interval of [0, total). Draws are
-    sorted into the same ranges by joining on the interval's bucket, so no draw is compared with every row. Weights are
-    rounded to a 2^40th of the largest so that the sums are exact.
+    Weights are summed up over all rows in order of item_id, which gives each row an interval of [0, total). Draws and
+    intervals are put in one order by range partitioning, so that a row of great weight is no more than one row beside
+    its many draws, and each draw takes the last interval that begins before it: in its own partition or, at the
+    beginning of one, in those before (a row per partition is sent). Weights are rounded to a 2^40th of the largest so
+    that the sums are exact.
     """
     most = weights.agg(F.max("w").alias("most"))
     unit = F.try_divide(F.col("w"), F.col("most"))
     whole = weights.crossJoin(F.broadcast(most)).select("item_id", F.floor(F.coalesce(unit, F.lit(0.0)) * 2.0**40).cast("long").alias("share")).where("share > 0")
     placed = running_totals(whole, ["item_id"], ("share",))
-    total = placed.agg(F.max("share_total").alias("total"), F.max("share").alias("widest"))
-    draws = weights.sparkSession.range(m).crossJoin(F.broadcast(total)).select(
-        (F.rand(seed) * F.col("total")).cast("long").alias("at"), "total", "widest"
-    )
-    # an interval is at most as wide as the widest, so it lies in one or two buckets of that width
-    bucket = lambda x: F.expr(f"cast({x} div widest as long)")
-    rows = placed.crossJoin(F.broadcast(total.select("widest"))).select(
-        "item_id", "share", "share_before", F.explode(F.array_distinct(F.array(bucket("share_before"), bucket("(share_before + share - 1)")))).alias("bucket")
-    )
-    hit = rows.join(draws.withColumn("bucket", bucket("at")), "bucket").where("at >= share_before and at < share_before + share")
-    return hit.select("item_id", (F.col("total") / (F.col("share") * F.lit(float(m)))).alias("weight"))
+    total = placed.agg(F.max("share_total").alias("total"))
+    draws = weights.sparkSession.range(m).crossJoin(F.broadcast(total)).where("total is not null")
+    draws = draws.select((uniform(F.col("id"), seed) * F.col("total")).cast("long").alias("at"), F.col("id").alias("draw"))
+    row = F.struct("item_id", "share", "share_total")
+    both = placed.select(F.col("share_before").alias("at"), F.lit(-1).cast("long").alias("draw"), row.alias("row"))
+    both = both.unionByName(draws, allowMissingColumns=True).repartitionByRange("at", "draw").sortWithinPartitions("at", "draw")
+    both = checkpointed(both.withColumn("_part", F.spark_partition_id()))
+    ends = both.where("draw < 0").groupBy("_part").agg(F.max_by("row", "at").alias("end"), F.max("at").alias("at"))
+    before = both.select("_part").distinct().join(ends, "_part", "left")
+    before = before.select("_part", F.last("end", True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("end"))  # a row per partition
+    inside = F.last("row", True).over(Window.partitionBy("_part").orderBy("at", "draw").rowsBetween(Window.unboundedPreceding, 0))
+    hit = both.withColumn("hit", inside).where("draw >= 0").join(F.broadcast(before), "_part").select(F.coalesce("hit", "end").alias("hit"))
+    return hit.select("hit.item_id", (F.col("hit.share_total") / (F.col("hit.share") * F.lit(float(m)))).alias("weight"))
 
 
 def draw_sample(pool: DataFrame, known: DataFrame, budget: int, g: float, alpha: float = ALPHA, seed: int = 0, exclude_known: bool = False) -> DataFrame:

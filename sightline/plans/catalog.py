@@ -17,7 +17,7 @@ from ..operators import learning as L
 from ..operators import mapping as M
 from ..operators import ranking as R
 from ..operators import validation as G
-from ..operators.indexing import checkpoint_folder
+from ..operators.indexing import checkpoint_folder, checkpointed
 from ..sources import image_lists, outputs
 from ..streaming import annotation_stream
 from .derived import derive, sql
@@ -135,13 +135,58 @@ def tag_merge(s, d):
     return found.select("item_id", X.tag_text(merged).alias("merged"))
 
 
-@query(sql("""select item_id, category, string_agg(distinct mode, ',' order by mode) as added from cur where not is_box and category || mode not in ('clickPOSITIVE')
-  and batch_id >= 8 group by all""", "cur"))
+_CHANGES = """, t as (select item_id, coalesce(list(distinct category || ':' || mode) filter (batch_id >= 8), []) as a, coalesce(list(distinct category || ':' || mode) filter (batch_id < 8), []) as b from cur where not is_box group by item_id),
+  d as (select item_id, list_filter(a, lambda x: not list_contains(b, x)) as added, list_filter(b, lambda x: not list_contains(a, x)) as deleted from t),
+  e as (select *, list_transform(added, lambda x: split_part(x, ':', 1)) as c from d)
+  select item_id, array_to_string(list_sort(added), ',') as added, array_to_string(list_sort(deleted), ',') as deleted, array_to_string(list_sort(list_filter(deleted, lambda x: not list_contains(c, split_part(x, ':', 1)))), ',') as deleted_only from e"""
+
+
+@query(sql(_CHANGES, "cur"))
 def tag_changes(s, d):
-    later = _current(s, d).where("not is_box and batch_id >= 8").groupBy("item_id", "category").agg(F.array_sort(F.collect_set(F.struct("category", F.col("mode").alias("value")))).alias("after"))
-    base = F.array(F.struct(F.lit("click").alias("category"), F.lit("POSITIVE").alias("value")))
-    diff = later.withColumn("added", A.tag_difference(base, F.col("after"))["added"]).where(F.size("added") > 0)
-    return diff.select("item_id", "category", F.array_join(F.transform("added", lambda t: t["value"]), ",").alias("added"))
+    """Tags of later batches against those of earlier ones, by item."""
+    tags = lambda when: F.array_sort(F.collect_set(F.when(when, F.struct("category", F.col("mode").alias("value")))))
+    later = F.col("batch_id") >= 8
+    both = _current(s, d).where("not is_box").groupBy("item_id").agg(tags(~later).alias("before"), tags(later).alias("after"))
+    diff = both.select("item_id", A.tag_difference(F.col("before"), F.col("after")).alias("d"))
+    return diff.select("item_id", *(X.tag_text(F.array_sort(F.col(f"d.{x}"))).alias(x) for x in ("added", "deleted", "deleted_only")))
+
+
+@query(sql(", good as (select event_id, unnest(['click', category, category]) as category, unnest(['x', mode, mode]) as value from alog) select distinct * from good", "alog"))
+def tag_lists(s, d):
+    """Tags from their text form, blanks and repeats in it."""
+    tag = F.concat("category", F.lit(":"), "mode")
+    text = derive(s, d, "alog").select("event_id", F.concat(F.lit("click:x,,"), tag, F.lit(","), tag, F.lit(",")).alias("tags"))
+    return text.select("event_id", F.explode(X.tags_of(F.col("tags"))).alias("t")).select("event_id", "t.category", "t.value")
+
+
+@query(sql(", more as (select item_id, case when item_id % 3 = 0 then 'active:m' else 'view' end as category, case when item_id % 3 = 0 then 'NEGATIVE' else 'POSITIVE' end as mode from items where is_val) select category, mode, count(*) as n from (select category, mode from cur union all select category, mode from more) group by all", "items", "cur"))
+def validation_answers(s, d):
+    """Answers of a validation, some as other negatives of the model, appended to the log."""
+    items, log = derive(s, d, "items"), derive(s, d, "alog")
+    asked = items.where("is_val").select("item_id", F.lit("view").alias("category"), F.lit("POSITIVE").alias("mode"), (F.col("item_id") % 3 == 0).alias("is_other_negative"))
+    return A.current(log.unionByName(A.validation_rows(asked, items, 1 << 40, "me", "m"), allowMissingColumns=True)).groupBy("category", "mode").agg(F.count("*").alias("n"))
+
+
+@query(sql("select category, mode, count(*) as n from cur where item_id not in (select item_id from items where item_id % 7 = 3) group by all", "cur", "items"))
+def delete_dataset(s, d):
+    items = derive(s, d, "items").withColumn("dataset", F.when(F.col("item_id") % 7 == 3, "gone").otherwise("stays"))
+    return A.delete_dataset(_current(s, d), items, "gone").groupBy("category", "mode").agg(F.count("*").alias("n"))
+
+
+@query(sql("select case when name = 'model-3' then 'best' else name end as name, count(*) as n from models group by all", "models"))
+def rename_model(s, d):
+    return A.rename(derive(s, d, "models"), "model-3", "best").groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query(sql("select name, count(*) as n from models where name <> 'model-3' group by all", "models"))
+def delete_model(s, d):
+    return A.delete(derive(s, d, "models"), "model-3").groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query(sql("select event_id, case when event_id % 5 = 0 then null else lower(mode) end as mode from alog", "alog"))
+def custom_mode_names(s, d):
+    typed = F.when(F.col("event_id") % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "mode", F.lit("  ")))
+    return derive(s, d, "alog").select("event_id", X.custom_mode(typed).alias("mode"))
 
 
 # Items, datasets, models
@@ -185,6 +230,50 @@ def latest_models(s, d):
     return I.latest_models(derive(s, d, "models"))
 
 
+_SPEC = "struct<pos_tags: array<string>, neg_tags: array<string>, augment_negs: boolean, augment_negs_include: array<string>>"
+
+
+@query(sql("""select name, model_id, checkpoint_path is not null as has_checkpoint, output_directory is not null as has_output, coalesce(array_to_string(cast(json_extract_string(spec, '$.pos_tags[*]') as varchar[]), ','), '') as pos_tags,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(cast(json_extract_string(spec, '$.neg_tags[*]') as varchar[]), cast(json_extract_string(spec, '$.augment_negs_include[*]') as varchar[])))), ','), '') as neg_tags,
+  coalesce(json_extract_string(spec, '$.augment_negs') = 'true', false) as augment_negs, output_directory is not null and spec is not null and contains(spec, 'POSITIVE') as usable from specs""", "specs"))
+def model_summary(s, d):
+    models = derive(s, d, "specs").withColumn("category_spec", F.from_json("spec", _SPEC))
+    found = I.model_summary(models)
+    usable = I.usable_models(found).select("model_id", F.lit(True).alias("usable"))
+    text = {x: F.array_join(x, ",") for x in ("pos_tags", "neg_tags")}
+    return found.join(usable, "model_id", "left").withColumns({**text, "usable": F.coalesce("usable", F.lit(False))})
+
+
+@query(sql("select name, row_number() over (order by lower(name) desc, name) - 1 as place from (select distinct name from specs)", "specs"))
+def models_by_name(s, d):
+    ordered = I.by_name(derive(s, d, "specs").select("name").distinct(), descending=True).withColumn("at", F.monotonically_increasing_id())
+    return ordered.select("name", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("place"))  # a row per model name
+
+
+@query(sql("select name, row_number() over (order by name) - 1 as place from datasets where not hidden", "datasets"))
+def visible_datasets(s, d):
+    ordered = I.visible_datasets(derive(s, d, "datasets")).withColumn("at", F.monotonically_increasing_id())
+    return ordered.select("name", (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("place"))  # a row per dataset
+
+
+@query(sql("select dataset, name, coalesce(embeddings_path <> '', false) as has_embeddings, coalesce(scores_path <> '', false) as has_scores from outputs", "outputs"))
+def list_outputs(s, d):
+    return I.output_capabilities(derive(s, d, "outputs")).select("dataset", "name", "has_embeddings", "has_scores")
+
+
+@query(sql(", held as (select * from outputs where name not like '%7') select dataset, name, scores_path from held union all select distinct dataset, name, 'new.npy' from outputs where name like '%7' and name not like '%17'", "outputs"))
+def insert_if_absent(s, d):
+    every = derive(s, d, "outputs")
+    jobs = every.select("dataset", "name", F.lit("x").alias("embeddings_path"), F.lit("new.npy").alias("scores_path"), F.lit(True).alias("finished"), F.col("name").endswith("17").alias("failed"))
+    return outputs.insert_if_absent(every.where("name not like '%7'"), jobs.union(jobs)).select("dataset", "name", "scores_path")
+
+
+@query(sql("select item_id, identifier from items where item_id % 7 <> 0", "items"))
+def named_items(s, d):
+    blank = F.when(F.col("item_id") % 14 == 0, "").when(F.col("item_id") % 7 == 0, None).otherwise(F.col("identifier"))
+    return I.named(derive(s, d, "items").withColumn("identifier", blank)).select("item_id", "identifier")
+
+
 @query(sql("select m.model_id, m.epochs_to_run - 1 + case when m.resume_training then coalesce(r.epoch + 1, 0) else 0 end as epoch from models m left join models r on r.model_id = m.resume_model_id", "models"))
 def model_epochs(s, d):
     return I.epochs(derive(s, d, "models")).select("model_id", "epoch")
@@ -250,12 +339,12 @@ def svm_score_query(s, d):
 @query(sql("select item_id, score as dist, row_number() over (order by score desc, item_id) - 1 as rank from scores where not is_val and score between 0.1e0 and 0.9e0", "scores"))
 def score_ranking(s, d):
     scores = derive(s, d, "scores")
-    return _ranked(scores.where("not is_val and score between 0.1 and 0.9").select("item_id", F.col("score").alias("dist")), "dot")
+    return _ranked(R.score_ranking(scores.where("not is_val").select("item_id"), scores, 0.1, 0.9), "dot")
 
 
 @query(sql("select * from (select item_id, score as dist, row_number() over (order by score desc, item_id) - 1 as rank from scores) where rank between 1000 and 1499", "scores"))
 def ranked_page(s, d):
-    return R.page(_ranked(derive(s, d, "scores").select("item_id", F.col("score").alias("dist")), "dot"), 2)
+    return R.page(derive(s, d, "scores").select("item_id", F.col("score").alias("dist")), 2, R.order("dot"))
 
 
 @query(sql("select item_id, rank from (select item_id, row_number() over (order by score desc, item_id) - 1 as rank, count(*) over () as n from scores where is_val) where rank >= ceil(n * (1e0 - 0.95e0)) and rank < floor(n * (1e0 - 0.25e0))", "scores"))
@@ -275,11 +364,20 @@ def stride_sample(s, d):
     return R.stride_sample(derive(s, d, "scores").select("item_id"), 1000, ["item_id"]).select("item_id")
 
 
-@query(sql(", r as (select item_id, row_number() over (order by label desc, item_id) - 1 as rank from items) select item_id, rank, case when directory like 'gs://%' then 'https://storage.googleapis.com/' || split_part(directory, '/', 3) || '/' || path when directory like 'http%' then path else '/files' || directory || '/' || path end as public_path from r join items using (item_id) where rank < 100", "items"))
+@query(sql(", r as (select item_id, row_number() over (order by label desc, item_id) - 1 as rank from items), t as (select item_id, string_agg(category || ':' || mode, ',' order by category, mode) filter (not is_box) as tags from cur group by item_id) select item_id, rank, coalesce(tags, '') as tags, case when directory like 'gs://%' then 'https://storage.googleapis.com/' || split_part(directory, '/', 3) || '/' || path when directory like 'http%' then path else '/files' || directory || '/' || path end as public_path from r join items using (item_id) left join t using (item_id) where rank between 100 and 199", "items", "cur"))
 def result_page(s, d):
+    """The second hundred of a result; its clusters have no SQL form and are tested against a plain version."""
+    items, emb = derive(s, d, "items"), derive(s, d, "emb").select("item_id", "embedding")
+    found = items.select("item_id", F.col("label").cast("double").alias("dist"))
+    shown = R.result_page(found, 1, R.order("dot"), items, _current(s, d), emb, 80, 100)
+    return shown.select("item_id", "rank", X.tag_text(F.col("tags")).alias("tags"), "public_path")
+
+
+@query(sql("select item_id from items where label in (1, 4) and item_id % 5 <> 2", "items"))
+def inverted_selection(s, d):
+    """What isn't selected of the clusters in which something is."""
     items = derive(s, d, "items")
-    ranking = _ranked(items.select("item_id", F.col("label").cast("double").alias("dist")), "dot")
-    return R.hydrated(R.page(ranking, 0, 100), items).select("item_id", "rank", "public_path")
+    return C.inverted(items.where("label in (1, 4)").select("item_id", F.col("label").alias("cluster")), items.where("item_id % 5 = 2")).select("item_id")
 
 
 @query(sql(", ranked as (select item_id, row_number() over (order by label desc, item_id) - 1 as rank, count(*) over () as n from items), slice as (select item_id from ranked where rank >= ceil(n * (1e0 - 0.6e0)) and rank < floor(n * (1e0 - 0.2e0))) select category, mode, count(*) as n from (select category, mode from cur where is_box or category <> 'click' or item_id not in (select item_id from slice) union all select 'click', 'HARD_NEGATIVE' from slice) group by all", "items", "cur"))
@@ -361,10 +459,18 @@ def new_ids_to_label(s, d):
     return G.to_request(val.where("item_id % 4 < 2").select("item_id", "weight", (F.col("item_id") % 9 == 0).alias("labelled"))).select("item_id")
 
 
-@query(sql("select item_id, score, 'fp' as kind from val where score > 0.5e0 and not label union all select item_id, score, 'fn' from val where score <= 0.5e0 and label", "val"))
+@query(sql("select item_id, score, 'fp' as kind, row_number() over (order by score desc, item_id) - 1 as rank from val where score > 0.5e0 and not label union all select item_id, score, 'fn', row_number() over (order by score, item_id) - 1 from val where score <= 0.5e0 and label", "val"))
 def fp_fn(s, d):
     val = derive(s, d, "val")
-    return G.false_positives(val).select("item_id", "score", F.lit("fp").alias("kind")).union(G.false_negatives(val).select("item_id", "score", F.lit("fn").alias("kind")))
+    return G.false_positives(val).select("item_id", "score", F.lit("fp").alias("kind"), "rank").union(G.false_negatives(val).select("item_id", "score", F.lit("fn").alias("kind"), "rank"))
+
+
+@query(sql("select item_id, score, label, weight * case when item_id % 3 = 0 then 3 else 1 end as weight from val", "val"))
+def merged_draws(s, d):
+    """Rows drawn several times, once with their weights added."""
+    val = derive(s, d, "val").select("item_id", "label", "score", "weight")
+    again = val.where("item_id % 3 = 0")
+    return G.merged_weights(val.union(again).union(again))
 
 
 @query(sql("select item_id, case when score > 0.5e0 then sqrt(p * 0.49e0 + 0.0225e0 * (1 - p)) else 0.5e0 * sqrt(p * 0.09e0) end as w from (select item_id, score, 0.98e0 * score + 0.01e0 as p from scores)", "scores"))
@@ -382,22 +488,57 @@ def validation_examples(s, d):
     return G.validation_examples(derive(s, d, "items"), _current(s, d), POS, NEG, [("view", "blurry")])
 
 
-@query()
+def _isotonic_sql(name: str, source: str) -> str:
+    """CTEs ending in ``name`` (score, p): least-squares monotone fit of ``source`` (score, label), the greatest over beginnings of
+    the least over ends of mean labels."""
+    return f"""{name}_g as (select score, sum(label::int)::double as y, count(*)::double as c from {source} group by score),
+  {name}_k as (select score, row_number() over w as i, sum(y) over w as ys, sum(c) over w as cs, coalesce(sum(y) over (order by score rows between unbounded preceding and 1 preceding), 0) as yb, coalesce(sum(c) over (order by score rows between unbounded preceding and 1 preceding), 0) as cb from {name}_g window w as (order by score)),
+  {name}_m as (select a.i as a, b.i as b, min((b.ys - a.yb) / (b.cs - a.cb)) over (partition by a.i order by b.i desc rows unbounded preceding) as low from {name}_k a join {name}_k b on a.i <= b.i),
+  {name} as (select k.score, max(m.low) as p from {name}_k k join {name}_m m on m.b = k.i group by k.score)"""
+
+
+def _draws_sql(name: str, source: str, m: str, seed: int) -> str:
+    """CTEs ending in ``name`` (item_id, weight): ``m`` draws with replacement from ``source`` (item_id, w)."""
+    return f"""{name}_s as (select item_id, floor(w / max(w) over () * 1099511627776e0)::bigint as share from {source}),
+  {name}_p as (select item_id, share, sum(share) over (order by item_id) - share as at, sum(share) over () as total from {name}_s where share > 0),
+  {name}_d as (select i, (('0x' || substr(md5(concat_ws('|', i, '{seed}')), 1, 13))::bigint / 4503599627370496e0 * (select max(total)::double from {name}_p))::double as u from range({m}) t(i)),
+  {name} as (select p.item_id, p.total::double / (p.share::double * ({m})::double) as weight from (select i, floor(u)::hugeint as at from {name}_d) x asof join {name}_p p on x.at >= p.at)"""
+
+
+def _worth_sql(p: str, hit: str, g: float) -> str:
+    return f"case when {hit} then sqrt((0.98e0 * {p} + 0.01e0) * {1 - g}e0 * {1 - g}e0 + {0.5 * g}e0 * {0.5 * g}e0 * (1 - (0.98e0 * {p} + 0.01e0))) else 0.5e0 * sqrt((0.98e0 * {p} + 0.01e0) * {g}e0 * {g}e0) end"
+
+
+@query(sql(f", {_isotonic_sql('iso', 'val')} select item_id, round(p, 9) as p from val join iso using (score)", "val"))
 def isotonic_calibration(s, d):
     val = derive(s, d, "val")
-    return G.calibrated(G.calibrate(val), val.select("item_id", "score"))
+    return G.calibrated(G.calibrate(val), val.select("item_id", "score")).select("item_id", F.round("p", 9).alias("p"))
 
 
-@query()
+@query(sql(f", w as (select item_id, {_worth_sql('score', 'score > 0.5e0', 0.3)} as w from scores), {_draws_sql('drawn', 'w', '2000', SEED)} select item_id, round(weight, 6) as weight from drawn", "scores"))
 def weighted_sample(s, d):
     scores = derive(s, d, "scores").select("item_id", "score")
-    return G.weighted_draws(scores.select("item_id", G.sawade_weight(F.col("score"), I.predicted(F.col("score")), 0.3).alias("w")), 2000, SEED)
+    drawn = G.weighted_draws(scores.select("item_id", G.sawade_weight(F.col("score"), I.predicted(F.col("score")), 0.3).alias("w")), 2000, SEED)
+    return drawn.select("item_id", F.round("weight", 6).alias("weight"))
 
 
-@query()
+_ACTIVE = f"""known as (select item_id, label, score from val where item_id % 9 = 0), sizes as (select (select count(*) from known) as k, count(*) as n, count(*) filter (score > 0.5e0) as positive from val),
+  asked as (select *, greatest(2 * k, 10) as budget from sizes), wide as (select *, (3 * (log2(budget / 10e0) + 1) * positive)::bigint as t0, floor(3 * (log2(budget / 10e0) + 1) * positive)::bigint as t from asked),
+  domain as (select item_id, score from (select item_id, score, row_number() over (order by score desc, item_id) as r from val) , wide where t >= n or t = 0 or r <= t),
+  {_isotonic_sql('iso', 'known')},
+  near as (select d.item_id, d.score, max(i.score) filter (i.score <= d.score) as s0, min(i.score) filter (i.score >= d.score) as s1 from domain d cross join iso i group by d.item_id, d.score),
+  fitted as (select item_id, near.score, case when s0 is null then b.p when s1 is null or s0 = s1 then a.p else a.p + (b.p - a.p) * (near.score - s0) / (s1 - s0) end as p from near left join iso a on a.score = s0 left join iso b on b.score = s1),
+  w as (select item_id, {_worth_sql('p', 'score > 0.5e0', 0.6)} as w from fitted), {_draws_sql('drawn', 'w', '(select budget - k from asked)', SEED)},
+  every as (select item_id, 1e0 as weight from known union all select item_id, weight from drawn),
+  scaled as (select item_id, max(weight) * (select count(*) from every)::double / (select n from sizes) as weight from every group by item_id)
+  select item_id, round(case when k.item_id is null then weight else (select count(*) from every)::double / (select n from sizes) end, 6) as weight, k.item_id is not null as labelled from scaled left join known k using (item_id)"""
+
+
+@query(sql(f", {_ACTIVE}", "val"))
 def active_validation(s, d):
     val = derive(s, d, "val")
-    return G.active_validation(val.select("item_id", "score"), val.where("item_id % 9 = 0").select("item_id", "label", "score"), 0.6, SEED)
+    found = G.active_validation(val.select("item_id", "score"), val.where("item_id % 9 = 0").select("item_id", "label", "score"), 0.6, SEED)
+    return found.select("item_id", F.round("weight", 6).alias("weight"), "labelled")
 
 
 @query()
@@ -426,9 +567,38 @@ def vector_pool_max(s, d):
     return M.pool(derive(s, d, "emb"), "max").select(F.posexplode("embedding").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
 
 
-@query(sql("select count(score) as n, avg(score) as mean, coalesce(stddev_samp(score), 0) as std, coalesce(var_samp(score), 0) as variance, min(score) as min, max(score) as max from scores", "scores"))
+@query(sql(""", c as (select avg(score) as m, count(*) as n from scores), p as (select avg((score - m) ** 2) as m2, avg((score - m) ** 3) as m3, avg((score - m) ** 4) as m4 from scores, c)
+  select count(score) as n, avg(score) as mean, coalesce(stddev_samp(score), 0) as std, coalesce(var_samp(score), 0) as variance, min(score) as min, max(score) as max, round(any_value(m3 / m2 ** 1.5e0), 6) as skewness, round(any_value(m4 / m2 ** 2 - 3), 6) as kurtosis from scores, p""", "scores"))
 def running_stats(s, d):
-    return M.running_stats(derive(s, d, "scores"), "score").drop("skewness", "kurtosis")
+    return M.running_stats(derive(s, d, "scores"), "score").withColumns({x: F.round(x, 6) for x in ("skewness", "kurtosis")})
+
+
+@query(sql("select * from (select item_id, score, is_val, row_number() over (partition by is_val order by score desc, item_id) - 1 as rank from scores) where rank < 20", "scores"))
+def grouped_top_k(s, d):
+    return M.grouped_top_k(derive(s, d, "scores"), ["is_val"], "score", 20).withColumn("rank", F.col("rank").cast("long"))
+
+
+class HarmonicMean:
+    """A reduction of one's own: number and harmonic mean of scores."""
+
+    output = "n long, mean double"
+
+    def start(self):
+        return 0, 0.0
+
+    def add(self, state, rows):
+        return state[0] + len(rows), state[1] + float((1 / rows["score"]).sum())
+
+    def merge(self, state, other):
+        return state[0] + other[0], state[1] + other[1]
+
+    def finish(self, state):
+        return state[0], round(state[0] / state[1], 9)
+
+
+@query(sql("select is_val, count(*) as n, round(count(*) / sum(1 / score), 9) as mean from scores group by is_val", "scores"))
+def custom_reduction(s, d):
+    return M.reduced(derive(s, d, "scores").select("is_val", "score"), ["is_val"], HarmonicMean())
 
 
 @query(sql("select item_id, score from scores order by score desc, item_id limit 50", "scores"))
@@ -436,22 +606,45 @@ def top_k(s, d):
     return M.top_k(derive(s, d, "scores").select("item_id", "score"), "score", 50)
 
 
-@query()
+_WORDS = """words as (select doc_id as item_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '\\s+')) as word from documents),
+  counts as (select item_id, ('0x' || substr(md5(word), 1, 13))::bigint % 64 as i, sum(case when (('0x' || substr(md5(word), 1, 13))::bigint >> 51) = 1 then 1 else -1 end)::double as x from words where word <> '' group by all),
+  places as (select doc_id as item_id, i from documents, range(64) t(i)), sizes as (select item_id, sqrt(sum(x * x)) as size from counts group by item_id),
+  embedded as (select item_id, i, (coalesce(x, 0) / greatest(coalesce(size, 0), 1e-12))::float as x from places left join counts using (item_id, i) left join sizes using (item_id))"""
+
+
+@query(f"with {_WORDS} select item_id, i, x from embedded")
 def embed_text(s, d):
-    return M.embed(s.read.parquet(f"{d}/documents.parquet"), M.HashingEmbedder(64), "text", "doc_id")
+    found = M.embed(s.read.parquet(f"{d}/documents.parquet"), M.HashingEmbedder(64), "text", "doc_id")
+    return found.select("item_id", F.posexplode("embedding").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
 
 
-@query()
+@query(f"""with {_WORDS}, raw as (select e.item_id, sum(e.x::double * q.x::double) as x from embedded e join embedded q on q.item_id = 1 and q.i = e.i group by e.item_id)
+select item_id, round((x - min(x) over ()) / (max(x) over () - min(x) over ()), 9) as dist from raw order by dist desc, item_id limit 100""")
 def text_search(s, d):
     """Embeds documents and ranks them against the embedding of one of them."""
-    emb = M.embed(s.read.parquet(f"{d}/documents.parquet"), M.HashingEmbedder(64), "text", "doc_id")
-    one = emb.where("item_id = 1").select(V.doubles(F.col("embedding")).alias("query")).limit(1)
-    return R.top(R.normalised(R.distances(emb, one, "dot")), 100, R.order("dot"))
+    emb = checkpointed(M.embed(s.read.parquet(f"{d}/documents.parquet"), M.HashingEmbedder(64), "text", "doc_id"))
+    one = emb.where("item_id = 1").select(V.doubles(F.col("embedding")).alias("query"))
+    found = R.normalised(checkpointed(R.distances(emb, one, "dot")))
+    return R.top(found.withColumn("dist", F.round("dist", 9)), 100, R.order("dot"))
 
 
-@query(sql("select item_id as id, case when score < 0.1e0 then 'skipped' else 'processed' end as status from scores", "scores"))
+@query(sql("select item_id as id, case when score < 0.1e0 or score > 0.9e0 then null else score * 2 end as output, case when score < 0.1e0 or score > 0.9e0 then 'skipped' else 'processed' end as status, score > 0.9e0 as failed from scores", "scores"))
 def chunked_map(s, d):
-    return M.map_elements(derive(s, d, "scores"), lambda x: None if x < 0.1 else x * 2, "score").select("id", "status")
+    return _mapped(s, d).select("id", "output", "status", F.col("error").isNotNull().alias("failed"))
+
+
+def _mapped(s, d) -> DataFrame:
+    def twice(x: float) -> float | None:
+        if x > 0.9:
+            raise ValueError(x)
+        return None if x < 0.1 else x * 2
+
+    return M.map_elements(derive(s, d, "scores"), twice, "score")
+
+
+@query(sql("select count(*) filter (score between 0.1e0 and 0.9e0)::bigint as processed, count(*) filter (score < 0.1e0 or score > 0.9e0)::bigint as skipped from scores", "scores"))
+def map_tallies(s, d):
+    return M.tallies(_mapped(s, d)).agg(F.sum("processed").alias("processed"), F.sum("skipped").alias("skipped"))
 
 
 @query(sql(f", raw as (select item_id, list_dot_product(embedding::double[], {_WEIGHTS}::double[]) + 0.5e0 as score from emb) select * from raw", "emb"))
@@ -525,11 +718,19 @@ def register_output(s, d):
     return outputs.add_model_output(items, "m", paths=items.select(F.col("item_id").alias("row_idx"), "path"), embeddings="somewhere")
 
 
-@query(sql("select count(*) as n, sum(item_id)::bigint as total from emb", "emb"))
+@query(sql("select item_id, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as i from emb", "emb"))
 def vector_codec(s, d):
-    """Every vector through its text form and back; rows that differ would be missing."""
+    """Every vector through its text form and back."""
     emb = derive(s, d, "emb").withColumn("back", V.vectors_from_base64(V.vectors_to_base64(F.col("embedding"))))
-    return emb.where(F.col("back") == F.col("embedding")).agg(F.count("*").alias("n"), F.sum("item_id").alias("total"))
+    return emb.select("item_id", F.posexplode("back").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+
+
+@query(sql("select case when is_val then 'val' else 'train' end as split, identifier, path from items", "items"))
+def image_list_file(s, d):
+    """An image list written and read again."""
+    path = f"{checkpoint_folder(s)}/image-list-{uuid.uuid4()}"
+    image_lists.write_image_list(derive(s, d, "items"), path)
+    return image_lists.read_image_list(s, path).drop("row_idx")
 
 
 # Streams

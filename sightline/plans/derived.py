@@ -19,6 +19,12 @@ TABLES = {
     "models": ("orders", """concat('model-', cast(o_custkey % 50 as varchar(20))) as name, o_orderkey as model_id, o_orderdate as last_updated,
   case when o_orderstatus = 'O' then null else 'ckpt' end as checkpoint_path, case when o_orderstatus = 'F' then 'out' end as output_directory, o_custkey % 3 as epochs_to_run,
   o_orderkey % 7 = 0 as resume_training, o_orderkey - o_orderkey % 11 as resume_model_id, cast(o_custkey % 5 as int) as epoch"""),
+    "specs": ("orders", """concat('model-', cast(o_orderkey % 400 as varchar(20))) as name, o_orderkey as model_id, case when o_orderstatus = 'O' then null else 'ckpt' end as checkpoint_path,
+  case when o_orderstatus = 'F' then 'out' end as output_directory, case when o_custkey % 7 = 0 then null else concat('{"pos_tags":[', case when o_custkey % 3 = 0 then '' else '"click:POSITIVE"' end,
+  '],"neg_tags":["view:NEGATIVE","click:NEGATIVE"],"augment_negs":', case when o_custkey % 2 = 0 then 'true' else 'false' end, ',"augment_negs_include":["view:NEGATIVE","buy:', o_orderstatus, '"]}') end as spec"""),
+    "datasets": ("nation", "concat('set-', n_name) as name, n_regionkey = 2 as hidden, n_nationkey % 4 = 0 as indexed"),
+    "outputs": ("customer", """concat('set-', cast(c_nationkey as varchar(20))) as dataset, concat('out-', cast(c_custkey as varchar(20))) as name,
+  case when c_custkey % 3 = 0 then null when c_custkey % 3 = 1 then '' else 'emb.bin' end as embeddings_path, case when c_acctbal > 0 then 'scores.npy' end as scores_path"""),
     "val": ("labels", "doc_id as item_id, quality = 1 as label, (doc_id * 7919 % 1000) / 1000.0e0 as score, 1.0e0 + doc_id % 4 as weight"),
 }
 K = {"spark": "cast(get_json_object(props, '$.k') as int)", "duckdb": "cast(json_extract_string(props, '$.k') as int)"}

@@ -68,29 +68,40 @@ def tag_deltas(log: DataFrame) -> DataFrame:
 
 
 def running_counts(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keeps (category, mode, n) as Parquet under ``target``/batch=k, the highest k being the state; one version per trigger."""
+    """Keeps (category, mode, n) as Parquet under ``target``/batch=k, the highest k being the state; the version before is kept too."""
 
     def apply(deltas: DataFrame, k: int) -> None:
         sums = deltas.groupBy("category", "mode").agg(F.sum("delta").alias("n"))
         before = latest_version(deltas.sparkSession, target, k)
         every = sums if before is None else before.unionByName(sums).groupBy("category", "mode").agg(F.sum("n").alias("n"))
         every.where("n <> 0").write.mode("overwrite").parquet(f"{target}/batch={k}")
+        drop_versions(deltas.sparkSession, target, k - 1)
 
     return tag_deltas(log).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
 
 
+def versions(spark: SparkSession, target: str) -> tuple:
+    """The file system of ``target`` and the versions there by number."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    paths = [x.getPath() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    return fs, {int(p.getName()[6:]): p for p in paths if p.getName().startswith("batch=") and p.getName()[6:].isdigit()}
+
+
 def latest_version(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
     """The newest version under ``target``, older than ``below`` if given; None if there is none."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    names = [x.getPath().getName() for x in fs.listStatus(hadoop)]
-    found = [int(x[6:]) for x in names if x.startswith("batch=") and x[6:].isdigit()]
-    found = [k for k in found if below is None or k < below]
+    found = [k for k in versions(spark, target)[1] if below is None or k < below]
     return spark.read.parquet(f"{target}/batch={max(found)}") if found else None
 
 
+def drop_versions(spark: SparkSession, target: str, below: int) -> None:
+    """Removes versions older than ``below``: a trigger that is run again needs the one before its own, no other."""
+    fs, found = versions(spark, target)
+    for k, path in found.items():
+        if k < below:
+            fs.delete(path, True)
+
+
 def current_annotations(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Compacts the log to the annotations in force, batch by batch; equals ``operators.annotations.current`` of the whole log.
 
@@ -102,6 +113,7 @@ def current_annotations(log: DataFrame, target: str, checkpoint: str) -> Streami
         every = rows if before is None else before.unionByName(rows)
         kept = current(every.withColumn("mode", F.when(F.col("mode") == TOMBSTONE, "\0" + TOMBSTONE).otherwise(F.col("mode"))))
         kept.withColumn("mode", F.regexp_replace("mode", "^\\x00", "")).write.mode("overwrite").parquet(f"{target}/batch={k}")
+        drop_versions(rows.sparkSession, target, k - 1)
 
     return log.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
 
