@@ -6,20 +6,16 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.operators.indexing import checkpointed
+from sightline.operators.indexing import counted
 
-from .common import ship
+from .common import sent_if_small, ship
 
 TURN = "<|im_start|>%s\n%s<|im_end|>\n"
-
-
-def render(turns: Column) -> Column:
-    """An array of (turn, role, text) as one string, a block per turn; null roles and texts are empty."""
-    blocks = F.transform(turns, lambda t: F.format_string(TURN, F.coalesce(t["role"], F.lit("")), F.coalesce(t["text"], F.lit(""))))
-    return F.array_join(blocks, "")
+#: Rows that a task remembers, to leave out repeated ones before the shuffle; at that number it starts anew.
+REMEMBERED = 100_000
 
 
 def maximal_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
@@ -29,8 +25,8 @@ def maximal_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     role and text. The last hash of a conversation stands for the whole; the others for its proper prefixes. An
     anti-join of the whole hashes against the distinct prefix hashes leaves the maximal conversations. Both sides hold a
     row per distinct hash only (pre-aggregated before the shuffle), so an opening that a third of all conversations
-    share is one row. Hashes are rolled along sorted rows, so a conversation is never held whole for that; only kept ones
-    are gathered, to be rendered.
+    share is one row. Texts are shuffled once, by conversation; repeated rows of a task go before that. Hashes are rolled and
+    conversations rendered along the sorted rows; a conversation is one row of the result, so it is held while it is written.
 
     Turns are ordered by turn number, then role and text; a repeated row counts once; turns with a null number come first.
     Null roles and texts count as empty, rows with a null conversation id as one conversation. No rows: no rows.
@@ -44,32 +40,54 @@ def maximal_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
     fp = F.sha2(F.concat(F.sha2("role", 256), F.sha2("text", 256)), 256)
-    # repeated rows go before the shuffle, and texts don't take part in hashing
-    rows = narrow.withColumn("fp", fp).groupBy("conv_id", "turn", "fp").agg(F.first("role").alias("role"), F.first("text").alias("text"))
-    rows = checkpointed(rows)
-    hashed = rows.select("conv_id", "turn", "role", "text", "fp").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = narrow.withColumn("fp", fp)
+    rows = rows.mapInArrow(_once, rows.schema)
+    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     kind = narrow.schema["conv_id"].dataType.simpleString()
-    ends = checkpointed(hashed.select("conv_id", "fp").mapInArrow(_rolled, f"conv_id {kind}, own string, n long, last boolean"))
-    prefixes = ends.where("not last").select("own").distinct()
-    kept = ends.where("last").groupBy("own").agg(F.min(F.struct("conv_id")).alias("least"), F.count("*").alias("n_copies"), F.first("n").alias("n_turns"))
-    kept = kept.join(prefixes, "own", "left_anti").select(F.col("least.conv_id").alias("kept_id"), "n_turns", "n_copies")
-    held = rows.join(kept, rows["conv_id"].eqNullSafe(kept["kept_id"]))
-    whole = held.groupBy("conv_id", "n_turns", "n_copies").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return whole.select("conv_id", "n_turns", "n_copies", render(F.col("turns")).alias("text"))
+    ends, _ = counted(ordered.mapInArrow(_rolled, f"conv_id {kind}, own string, n_turns long, text string"))
+    prefixes = ends.where("text is null").select("own").distinct()
+    whole = ends.where("text is not null")
+    least = whole.groupBy("own").agg(F.min(F.struct("conv_id")).alias("least"), F.count("*").alias("n_copies"))
+    kept, seen = counted(least.join(prefixes, "own", "left_anti").select(F.col("least.conv_id").alias("kept_id"), "n_copies"))
+    found = whole.join(sent_if_small(kept, seen.n), F.col("conv_id").eqNullSafe(F.col("kept_id")))
+    return found.select("conv_id", "n_turns", "n_copies", "text")
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[tuple] = set()
+    for batch in batches:
+        new = []
+        for key in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "turn", "fp")), strict=True):
+            new.append(key not in seen)
+            seen.add(key)
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        yield batch.filter(pa.array(new, pa.bool_()))
 
 
 def _rolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of turns in order, conversation by conversation: the hash up to each, its number, and whether it is the last."""
-    ident, own, n = None, "", 0
+    """Of sorted turns, a row for each proper prefix of a conversation, and one with its text for the whole."""
+    ident, own, parts, last, out = None, "", [], None, []
+    schema = None
+
+    def sent() -> pa.RecordBatch:
+        done = pa.RecordBatch.from_pydict({k: pa.array(v, t) for k, v, t in zip(("conv_id", "own", "n_turns", "text"), zip(*out, strict=True) if out else ([],) * 4, (schema, pa.string(), pa.int64(), pa.string()), strict=True)})
+        out.clear()
+        return done
+
     for batch in batches:
-        ids, owns, numbers, lasts = [], [], [], []
-        for key, fp in zip(batch.column("conv_id").to_pylist(), batch.column("fp").to_pylist(), strict=True):
-            if n and key != ident:
-                ids.append(ident), owns.append(own), numbers.append(n), lasts.append(True)
-                own, n = "", 0
-            elif n:
-                ids.append(ident), owns.append(own), numbers.append(n), lasts.append(False)
-            ident, own, n = key, hashlib.sha256((own + fp).encode()).hexdigest(), n + 1
-        yield pa.RecordBatch.from_pydict({"conv_id": pa.array(ids, batch.schema.field("conv_id").type), "own": pa.array(owns, pa.string()), "n": pa.array(numbers, pa.int64()), "last": pa.array(lasts, pa.bool_())})
-    if n:
-        yield pa.RecordBatch.from_pydict({"conv_id": pa.array([ident], batch.schema.field("conv_id").type), "own": pa.array([own], pa.string()), "n": pa.array([n], pa.int64()), "last": pa.array([True], pa.bool_())})
+        schema = batch.schema.field("conv_id").type
+        for key, turn, role, text, fp in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "turn", "role", "text", "fp")), strict=True):
+            if parts and key != ident:
+                out.append((ident, own, len(parts), "".join(parts)))
+                own, parts, last = "", [], None
+            elif parts:
+                if (turn, fp) == last:  # a repeated row
+                    continue
+                out.append((ident, own, len(parts), None))
+            ident, own, last = key, hashlib.sha256((own + fp).encode()).hexdigest(), (turn, fp)
+            parts.append(TURN % (role, text))
+        yield sent()
+    if parts:
+        out.append((ident, own, len(parts), "".join(parts)))
+        yield sent()
