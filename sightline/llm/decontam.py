@@ -10,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.operators.indexing import checkpointed
+from sightline.operators.indexing import checkpointed, counted, few_tasks
 
-from .common import ship
+from .common import sent_if_small, ship
 from .shingles import shingle_sets, small_batches
 
 CONTAINMENT = (75, 100)
 #: Shingles of all items that are sent to every executor at most (16 bytes each); beyond, the search is a join.
 BROADCAST_SHINGLES = 2_000_000
+#: Items that may hold a shingle before it is taken into sketches only where an item has too few others.
+COMMON = 64
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -43,14 +45,17 @@ def _rows(key: str):
 def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "text", least: tuple[int, int] = CONTAINMENT) -> DataFrame:
     """Rows (item, n, shingle, in_sketch): an item's smallest hashes are its MinHash sketch. Rows that repeat an id are one item.
 
-    Null ids are ignored.
+    Shingles that more than ``COMMON`` items hold come last, so that boilerplate of many items makes few candidates; as
+    any so many of an item's shingles can't all be missing from a document that contains it, none is lost. Null ids are
+    ignored.
     """
     narrow = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("item is not null")
     kind = narrow.schema["item"].dataType.simpleString()
     rows = checkpointed(narrow.mapInArrow(_rows("item"), f"item {kind}, shingle long").dropDuplicates(["item", "shingle"]))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.col("shingle") < 0, "shingle"))  # as unsigned numbers
+    common = checkpointed(rows.groupBy("shingle").agg(F.count("*").alias("items")).where(F.col("items") > COMMON).select("shingle", F.lit(True).alias("common")))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.col("common").isNotNull(), F.col("shingle") < 0, "shingle"))  # as unsigned numbers
     need = F.greatest(F.lit(1), F.expr(f"({least[0]} * n + {least[1] - 1}) div {least[1]}"))
-    sized = rows.withColumn("rank", rank).join(rows.groupBy("item").agg(F.count("*").alias("n")), "item")
+    sized = rows.join(common, "shingle", "left").withColumn("rank", rank).join(rows.groupBy("item").agg(F.count("*").alias("n")), "item")
     return checkpointed(sized.select("item", "n", "shingle", (F.col("rank") <= F.col("n") - need + 1).alias("in_sketch")))
 
 
@@ -157,10 +162,16 @@ def sent_index(rows: DataFrame, most: int):
 
 def joined_pairs(own: DataFrame, rows: DataFrame, least: tuple[int, int]) -> DataFrame:
     """(row, item, n_item, n_shared) of rows (row, text) by joins: on sketch hashes, then on all shingles of candidates."""
-    held = own.select("row", "text").mapInArrow(_rows("row"), "row long, shingle long")
-    candidates = held.join(rows.where("in_sketch").select("item", "shingle"), "shingle").select("row", "item").distinct()
-    shared = held.join(rows.select("item", F.col("n").alias("n_item"), "shingle"), "shingle").join(candidates, ["row", "item"], "left_semi")
-    shared = shared.groupBy("row", "item").agg(F.first("n_item").alias("n_item"), F.count("*").alias("n_shared"))
+    texts = own.select("row", "text")
+    held = texts.mapInArrow(_rows("row"), "row long, shingle long")
+    sketch = rows.where("in_sketch").select("item", "shingle")
+    candidates, seen = counted(held.join(sketch, "shingle").select("row", "item").distinct())
+    candidates = few_tasks(candidates, seen.n)
+    asked, documents = counted(candidates.select("row").distinct())
+    again = texts.join(sent_if_small(few_tasks(asked, documents.n), documents.n), "row", "left_semi").mapInArrow(_rows("row"), "row long, shingle long")
+    # by candidate, not by shingle: what many documents hold isn't met by all of them
+    whole = candidates.join(rows.select("item", F.col("n").alias("n_item"), "shingle"), "item")
+    shared = whole.join(again, ["row", "shingle"]).groupBy("row", "item").agg(F.first("n_item").alias("n_item"), F.count("*").alias("n_shared"))
     return shared.where(F.col("n_shared") * least[1] >= F.col("n_item") * least[0])
 
 
