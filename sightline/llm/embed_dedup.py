@@ -20,7 +20,7 @@ COSINE = 0.95
 #: Distinct vectors that the coarse cells and the codebooks are fitted on at most: those with the least fingerprints.
 SAMPLE = 131_072
 #: Cells at most, vectors of the sample that a cell is fitted on at least, and distinct vectors that it should hold.
-MOST_CELLS, FITTED_ON, CELL_SIZE = 16_384, 8, 1_024
+MOST_CELLS, FITTED_ON, CELL_SIZE = 16_384, 8, 512
 PARTS, CODES = 8, 256
 #: A vector is searched in every cell whose border lies within this share of the search radius. Of two vectors no farther
 #: apart than the radius, in different cells, one lies within half of it from the border between the two: the line
@@ -29,7 +29,7 @@ REACH = 0.5
 #: Vectors of a cell that one task compares with as many others.
 BLOCK = 2_048
 #: Searches that are looked up at once; small enough that the tables of distances stay in a core's cache.
-SEARCHES = 64
+SEARCHES = 256
 VECTORS_PER_TASK = 1 << 13
 
 
@@ -100,6 +100,11 @@ def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T)
 
 
+def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what is true in a matrix in which little is."""
+    return np.divmod(np.flatnonzero(x), x.shape[1])
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate([squares(x[a : a + 1024], centres).argmin(1) for a in range(0, len(x), 1024)]) if len(x) else np.empty(0, int)
 
@@ -113,6 +118,7 @@ class Quantiser:
         few = sample[: 64 * CODES]
         rest = few - self.cells[nearest(few, self.cells)]
         self.books = [means(rest[:, a:b], CODES) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
+        self.tables = [(np.float32(-2) * b.astype(np.float32), (b**2).sum(1).astype(np.float32)[:, None]) for b in self.books]
 
     def parts(self, x: np.ndarray) -> list[np.ndarray]:
         return [x[:, a:b] for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
@@ -126,10 +132,11 @@ class Quantiser:
 
     def distances(self, queries: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared, a row per coded vector: queries are exact, vectors as coded; a table of part distances per query, then lookups."""
-        rest = self.parts((queries - self.cells[cell]).astype(np.float32))
-        total = np.zeros((len(codes), len(queries)), np.float32)
-        for r, book, c in zip(rest, self.books, codes.T, strict=True):
-            total += squares(book.astype(np.float32), r)[c]
+        rest = queries - self.cells[cell]
+        total = np.repeat((rest**2).sum(1).astype(np.float32)[None], len(codes), axis=0)
+        found = np.empty_like(total)
+        for r, (book, norms), c in zip(self.parts(rest.astype(np.float32)), self.tables, codes.T, strict=True):
+            total += np.take(book @ r.T + norms, c, axis=0, out=found, mode="clip")  # codes are in range; this mode needs no buffer
         return total
 
     def borders(self, x: np.ndarray, home: np.ndarray, cell: np.ndarray) -> np.ndarray:
@@ -144,7 +151,7 @@ class Quantiser:
         home = far.argmin(1)
         # nothing that is farther off than this can be within reach, as no two cells are farther apart than their distances to x
         least = far[np.arange(len(x)), home]
-        row, cell = np.nonzero(far <= (np.sqrt(least) + 2 * reach)[:, None] ** 2 + 1e-9)
+        row, cell = places(far <= (np.sqrt(least) + 2 * reach)[:, None] ** 2 + 1e-9)
         inside = self.borders(x[row], home[row], cell) <= reach
         return home, row[inside], cell[inside]
 
@@ -152,7 +159,7 @@ class Quantiser:
 def compare(index: Quantiser, cell: int, queries: np.ndarray, vectors: np.ndarray, codes: np.ndarray, error: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, vector) of one cell with the least cosine or more: candidates by lookup, decided exactly."""
     most = ((radius(cosine) + error) ** 2 + 1e-5).astype(np.float32)  # single precision costs less than that
-    near = np.nonzero(index.distances(queries, cell, codes) <= most[:, None])
+    near = places(index.distances(queries, cell, codes) <= most[:, None])
     keep = [np.einsum("ij,ij->i", vectors[near[0][a : a + 65536]], queries[near[1][a : a + 65536]]) >= cosine for a in range(0, len(near[0]), 65536)]
     keep = np.concatenate([*keep, np.empty(0, bool)])
     return near[1][keep], near[0][keep]
