@@ -65,3 +65,61 @@ def test_whole_results_of_any_size(spark):
 def test_what_cannot_be_split_is_dealt(spark):
     found = spark.createDataFrame([(i, i, [1.0 + i * 2.3e-16, 1.0]) for i in range(50)], "rank long, item_id long, embedding array<double>")
     assert C.whole_clusters(found, 2, 80, most=8).count() == 50
+
+
+def naive_ward(x):
+    """Merges the pair whose union adds least to the squared distances from means, looking at all pairs each time."""
+    groups, heights = {i: [i] for i in range(len(x))}, []
+    while len(groups) > 1:
+        cost = {}
+        for a in groups:
+            for b in groups:
+                if a < b:
+                    p, q = x[groups[a]], x[groups[b]]
+                    cost[a, b] = np.sqrt(2 * len(p) * len(q) / (len(p) + len(q)) * ((p.mean(0) - q.mean(0)) ** 2).sum())
+        (a, b), h = min(cost.items(), key=lambda kv: kv[1])
+        groups[a] += groups.pop(b)
+        heights.append((a, b, h))
+    return heights
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.integers(2, 18), st.integers(0, 1000), st.sampled_from([0, 35, 60, 80, 100]))
+def test_ward_equals_the_plain_method(n, seed, strength):
+    x = np.random.default_rng(seed).normal(size=(n, 4))
+    got, want = C.ward(x), naive_ward(x)
+    assert np.allclose([m[2] for m in got], [m[2] for m in want])
+    top = want[-1][2]
+    assert C.cut(n, [(a, b, h / top) for a, b, h in got], strength) == C.cut(n, [(a, b, h / top) for a, b, h in want], strength)
+
+
+def test_pages_of_the_given_vectors(spark, data):
+    """The registered clusters of each page against the plain method on its first rows, and their order by size."""
+    from sightline.plans import catalog
+
+    pages = catalog._pages(spark, data).where("rank % 5 = 0")
+    rows = pages.toPandas().sort_values(["page", "rank"])
+    merges = C.page_merges(pages).toPandas()
+    clusters = C.page_clusters(pages, 80)
+    found = clusters.toPandas()
+    for page, f in rows.groupby("page"):
+        x = np.stack(f.embedding.to_numpy()).astype(float)
+        want = naive_ward(x)
+        top = want[-1][2]
+        assert np.allclose(merges[merges.page == page].sort_values("step").dist, [h / top for *_, h in want])
+        names = f["rank"].to_numpy()[C.cut(len(x), [(a, b, h / top) for a, b, h in want], 80)]
+        assert found[found.page == page].sort_values("rank").cluster.tolist() == names.tolist()
+    sizes = [(r["size"], r.page, r.cluster) for r in C.by_size(clusters, ("page", "cluster")).collect()]
+    assert sizes == sorted(sizes, key=lambda s: (-s[0], s[1], s[2])) and sum(s[0] for s in sizes) == len(rows)
+
+
+def test_clusters_of_a_result_page(spark):
+    from sightline.operators import ranking as R
+
+    emb = spark.createDataFrame([(i, [float(i // 3), 0.1 * (i % 3)]) for i in range(12)], "item_id long, embedding array<double>")
+    items = emb.selectExpr("item_id", "'http://h' as directory", "concat('p', item_id) as path")
+    cur = spark.createDataFrame([(4, "a", "X", False), (4, "b", "Y", False)], "item_id long, category string, mode string, is_box boolean")
+    cur = cur.selectExpr("*", *(f"cast(null as double) as {x}" for x in ("x1", "y1", "x2", "y2")))
+    shown = R.result_page(items.selectExpr("item_id", "cast(item_id as double) as dist"), 0, ["dist"], items, cur, emb, 30, 9).collect()
+    assert [(r["rank"], r.item_id, r.public_path) for r in shown] == [(i, i, f"p{i}") for i in range(9)]
+    assert [r.cluster for r in shown] == [0, 0, 0, 3, 3, 3, 6, 6, 6] and [len(r.tags) for r in shown] == [0, 0, 0, 0, 2, 0, 0, 0, 0]

@@ -83,3 +83,98 @@ def test_image_embedder_crops_pools_and_scales():
     e = M.CroppedImages(lambda b: np.frombuffer(b, np.uint8).reshape(4, 4, 1).astype(float), lambda x: x.repeat(2, axis=2), 2, unit=True)
     out = e.embed([(bytes(range(16)), None), (bytes(range(16)), (0.0, 0.0, 0.5, 0.5))])
     assert out.shape == (2, 2) and abs(float((out[0] ** 2).sum()) - 1) < 1e-6
+
+
+def test_image_embedder_resizes_and_normalises():
+    import numpy as np
+
+    image = np.random.default_rng(1).random((5, 7, 3))
+    assert np.allclose(M.resized(image, 5, 7), image)
+    assert np.allclose(M.resized(np.ones((3, 9, 2)), 4, 4), 1)
+    assert np.allclose(M.resized(np.arange(8.0).reshape(1, 8, 1), 1, 4).ravel(), [0.5, 2.5, 4.5, 6.5])
+    wide = M.resized(image, 11, 3)
+    for y, x in ((0, 0), (5, 1), (10, 2)):  # between the four nearest centres
+        fy, fx = np.clip((y + 0.5) * 5 / 11 - 0.5, 0, 4), np.clip((x + 0.5) * 7 / 3 - 0.5, 0, 6)
+        a, b = int(fy), int(fx)
+        c, d = min(a + 1, 4), min(b + 1, 6)
+        want = (1 - fy + a) * ((1 - fx + b) * image[a, b] + (fx - b) * image[a, d]) + (fy - a) * ((1 - fx + b) * image[c, b] + (fx - b) * image[c, d])
+        assert np.allclose(wide[y, x], want)
+    e = M.CroppedImages(lambda b: np.frombuffer(b, np.uint8).reshape(4, 4, 1).astype(float), lambda x: x, 1, size=(2, 2), mean=[7.5], std=[2.0])
+    assert np.allclose(e.embed([(bytes(range(16)), None)]), 0) and e.embed([]).shape == (0, 1)
+
+
+@pytest.mark.parametrize("start", [0, 7])
+def test_late_pages_are_cut_from_the_whole_order(spark, monkeypatch, start):
+    rows = spark.range(95).select(F.col("id").alias("item_id"), (F.col("id") % 10).alias("dist"))
+    want = [r.item_id for r in rows.orderBy("dist", "item_id").collect()][start * 10 : start * 10 + 10]
+    for most in (100_000, 5):
+        monkeypatch.setattr(R, "FIRST_ROWS", most)
+        got = R.page(rows, start, ["dist", "item_id"], 10).orderBy("rank").collect()
+        assert [(r["rank"], r.item_id) for r in got] == [(start * 10 + i, x) for i, x in enumerate(want)]
+        assert [r.item_id for r in R.first_rows(rows, 12, ["dist", "item_id"]).orderBy("dist", "item_id").collect()] == [r.item_id for r in rows.orderBy("dist", "item_id").limit(12).collect()]
+        assert R.page(rows, 50, ["dist", "item_id"], 10).count() == 0
+
+
+def test_vectors_that_cannot_be_compared_have_no_distance(spark):
+    emb = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [1.0]), (4, [0.0, None])], "item_id long, embedding array<double>")
+    query = spark.createDataFrame([([0.0, 0.0],)], "query array<double>")
+    assert {r.item_id: r.dist for r in R.distances(emb, query).collect()} == {1: 5.0, 2: None, 3: None, 4: None}
+    assert {r.item_id: r.dist for r in R.distances(emb.where("item_id = 1"), query, "dot").collect()} == {1: 0.0}
+
+
+def test_grouped_top_k(spark):
+    rows = spark.range(100).select(F.col("id").alias("item_id"), (F.col("id") % 3).alias("k"), (F.col("id") % 7).alias("score"))
+    got = sorted((r.k, r["rank"], r.item_id) for r in M.grouped_top_k(rows, ["k"], "score", 4).collect())
+    want = [(k, i, x) for k in range(3) for i, x in enumerate(sorted(range(k, 100, 3), key=lambda x: (-(x % 7), x))[:4])]
+    assert got == want
+
+
+def test_reductions_of_ones_own(spark):
+    class Widest:
+        """Number of rows, and the first item with the longest text."""
+
+        output = "n long, item_id long"
+
+        def start(self):
+            return 0, -1, -1
+
+        def add(self, state, rows):
+            for i, text in zip(rows["item_id"], rows["text"]):
+                state = self.merge(state, (1, len(text), int(i)))
+            return state
+
+        def merge(self, state, other):
+            first, second = sorted((state, other), key=lambda s: (-s[1], s[2]))
+            return first[0] + second[0], first[1], first[2]
+
+        def finish(self, state):
+            return state[0], state[2]
+
+    rows = spark.range(500).select(F.col("id").alias("item_id"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("k"), F.repeat(F.lit("x"), (F.col("id") % 91).cast("int")).alias("text")).repartition(6)
+    got = {r.k: (r.n, r.item_id) for r in M.reduced(rows, ["k"], Widest()).collect()}
+    want = {k or None: (100, min((x for x in range(k, 500, 5) if x % 91 == max(y % 91 for y in range(k, 500, 5))))) for k in range(5)}
+    assert got == want
+    assert [tuple(r) for r in M.reduced(rows, [], Widest()).collect()] == [(500, 90)]
+    assert M.reduced(rows.where("false"), ["k"], Widest()).count() == 0
+
+
+def test_weights_of_the_svm_are_near_the_best(spark):
+    """The objective that the solver reaches against that of a long plain subgradient descent."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(120, 5))
+    y = (x[:, 0] + 0.5 * x[:, 1] + 0.3 * r.normal(size=120) > 0).astype(int)
+    emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, embedding array<double>")
+    w = np.array(L.fit_svm(emb.join(spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "item_id long, label int"), "item_id").select("item_id", "label"), emb)) / L.SCALE
+    sign, c = 2 * y - 1, 0.1
+
+    def objective(w, b):
+        return c * np.maximum(0, 1 - sign * (x @ w + b)).sum() + 0.5 * w @ w
+
+    best, v, b = np.inf, np.zeros(5), 0.0
+    for k in range(1, 20_000):
+        inside = sign * (x @ v + b) < 1
+        v, b = v - (v - c * (sign[inside, None] * x[inside]).sum(0)) / (k + 20), b + c * sign[inside].sum() / (k + 20)
+        best = min(best, objective(v, b))
+    assert min(objective(w, b) for b in np.linspace(-1, 1, 401)) < 1.02 * best

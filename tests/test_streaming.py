@@ -32,6 +32,7 @@ def test_compaction_equals_batch(spark, shuffled, tmp_path):
     cell = ["item_id", "category", "mode", "batch_id", "is_box"]
     got = sorted(tuple(r) for r in S.in_force(S.latest_version(spark, str(tmp_path / "out"))).select(cell).collect())
     assert got == sorted(tuple(r) for r in current(some_log(spark)).select(cell).collect())
+    assert len(S.versions(spark, str(tmp_path / "out"))[1]) == 2  # the newest and the one before
 
 
 def test_running_counts_equal_batch(spark, shuffled, tmp_path):

@@ -59,3 +59,85 @@ def test_the_loop_comes_near_the_true_f1(spark):
     true = 2 * (hit & p.label).sum() / (hit.sum() + p.label.sum())
     got = G.ais_loop(rows.select("item_id", "score"), rows.select("item_id", "label"), 160, 3)
     assert abs(got["f1"] - true) < 0.2 and got["num_labeled"] <= 330
+
+
+def draws_by_hand(ids, weights, m, seed):
+    """The same draws, one after the other: intervals in order of the id, numbers from the hash of the draw's number."""
+    import hashlib
+
+    share = np.floor(np.array(weights) / max(weights) * 2.0**40).astype(np.int64)
+    order = [i for i in np.argsort(ids) if share[i] > 0]
+    ends, total = np.cumsum(share[order]), int(share.sum())
+    out = []
+    for k in range(m):
+        at = int(int(hashlib.md5(f"{k}|{seed}".encode()).hexdigest()[:13], 16) / 2**52 * float(total))
+        i = order[int(np.searchsorted(ends, at, "right"))]
+        out.append((ids[i], total / (int(share[i]) * float(m))))
+    return out
+
+
+def test_draws_equal_those_by_hand(spark):
+    """With ids out of order, zero and missing weights, and one row that is nearly all of the weight."""
+    ids, weights = [5, 3, 9, 1, 7, 2, 8], [1.0, 0.0, 500.0, 2.0, 1e-15, 3.0, 0.5]
+    rows = spark.createDataFrame([*zip(ids, weights), (4, None)], "item_id long, w double").repartition(3)
+    got = sorted((r.item_id, round(r.weight, 9)) for r in G.weighted_draws(rows, 3000, 11).collect())
+    assert got == sorted((i, round(w, 9)) for i, w in draws_by_hand(ids, weights, 3000, 11))
+    assert G.weighted_draws(rows.limit(0), 10).count() == 0
+
+
+def isotonic(scores, labels):
+    """Pooled adjacent means by distinct score."""
+    blocks = []
+    for s in sorted(set(scores)):
+        y = [l for t, l in zip(scores, labels) if t == s]
+        blocks.append([sum(y), len(y), [s]])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            y, n, own = blocks.pop()
+            blocks[-1][0] += y
+            blocks[-1][1] += n
+            blocks[-1][2] += own
+    return [s for b in blocks for s in b[2]], [b[0] / b[1] for b in blocks for _ in b[2]]
+
+
+def test_the_loop_equals_a_plain_one(spark):
+    """Rounds, calibration, worth, draws and estimates of ``ais_loop`` in plain Python."""
+    import math
+
+    rows = sample(spark, 120, 4).select("item_id", "score", "label")
+    p = rows.toPandas().sort_values("item_id")
+    ids, score, label = p.item_id.tolist(), p.score.tolist(), p.label.tolist()
+    budget, seed, g, found, seen = 60, 5, 0.5, [], set()
+    rounds = int(math.log2(budget / 10)) + 1
+    for k in range(rounds):
+        size = budget if k == rounds - 1 else 10 * 2**k
+        known = sorted(seen)
+        drawn = [(i, 1.0) for i in known]
+        if len(known) < size:
+            w = [1.0] * len(ids)
+            if known:
+                xs, ys = isotonic([score[i] for i in known], [float(label[i]) for i in known])
+                q = 0.98 * np.interp(score, xs, ys) + 0.01
+                worth = np.where(np.array(score) > 0.5, np.sqrt(q * (1 - g) ** 2 + (0.5 * g) ** 2 * (1 - q)), 0.5 * np.sqrt(q * g * g))
+                w = worth.tolist() if worth.sum() > 0 else w
+            drawn += draws_by_hand(ids, w, size - len(known), seed + k)
+        weight = {}
+        for i, x in drawn:
+            weight[i] = weight.get(i, 0.0) + x
+        n, s0, s1, s2, s2c = len(weight), 0.0, 0.0, 0.0, 0.0
+        for i, x in weight.items():
+            hit, real = score[i] > 0.5, label[i]
+            v = x * (0.5 * hit + 0.5 * real)
+            s0, s1, s2, s2c = s0 + v, s1 + v * (hit == real), s2 + v * v, s2c + v * v * (hit == real)
+        if s0:
+            f = s1 / s0
+            rest = (s0 / n) ** 2 * (1 - s2 / s0**2)
+            std = math.sqrt(((1 - f) ** 2 * s2c + f * f * (s2 - s2c)) / n / rest) / math.sqrt(n) if rest > 0 else 0.0
+            g = 0.5 * g + 0.5 * f
+            found.append((f, std, s0 + 1e-4))
+        seen |= set(weight)
+    last = found[-4:]
+    total = sum(w for *_, w in last)
+    got = G.ais_loop(rows.select("item_id", "score"), rows.select("item_id", "label"), budget, seed)
+    assert got["num_labeled"] == len(seen)
+    assert abs(got["f1"] - sum(f * w for f, _, w in last) / total) < 1e-6
+    assert abs(got["f1_std"] - math.sqrt(sum((s * w / total) ** 2 for _, s, w in last))) < 1e-6
