@@ -130,10 +130,15 @@ RULES = (
     *(((f"CC{s.replace(' ', '').upper()}{v[0]}_NOTICE",), f"CC-{s.replace(' ', '-').upper()}-{v}") for v in ("4.0", "3.0") for s in COMMONS if (s, v) not in (("by", "4.0"), ("by nc", "4.0"))),
 )
 
-#: A sentence ends at closing punctuation before white space, or at an empty line. Lines within one are wrapped text, or
-#: several sentences without punctuation, which LINE parts.
-SENTENCE_END = r"[.!?;:][)\"'\]]*(?:\s+|$)|\n\s*\n"
-LINE = r"\n"
+#: A sentence ends at closing punctuation before white space, or at a line without letters and digits (empty, or with no
+#: more than the sign that leads the lines of a comment). Lines within one are wrapped text, or several sentences, perhaps
+#: after a holder's line, without punctuation.
+SENTENCE_END = r"[.!?;:][)\"'\]]*(?:\s+|$)|\n[^A-Za-z0-9\n]*\n"
+#: What names a holder within a sentence, and the words by which the known sentence does. Fixed values.
+HOLDERS = (
+    ("^neither the name of .+ nor the names of its contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    ("^to the extent possible under law .+ has waived all copyright", "to the extent possible under law the author has waived all copyright"),
+)
 
 
 def normalised(sentence: Column) -> Column:
@@ -141,6 +146,11 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
+def nameless(sentence: Column) -> Column:
+    """A normalised sentence without the holder that it names."""
+    return reduce(lambda s, x: F.regexp_replace(s, *x), HOLDERS, sentence)
+
+
 def recognised(ids: Column, rules=RULES) -> Column:
     """The licences whose rules the ordered identifiers satisfy, in rule order, each once.
 
@@ -163,32 +173,50 @@ def cue_words(sentences: list[str]) -> list[str]:
     return cues
 
 
+def first_words(sentences: list[str]) -> list[str]:
+    return sorted({x.split()[0] for x in sentences})
+
+
+def most_lines(sentences: list[str]) -> int:
+    """Lines that a known sentence can be wrapped into: one for each word."""
+    return max(len(x.split()) for x in sentences)
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences=None, rules=RULES) -> DataFrame:
     """A row per document: its licence sentences in order and the licences that their sequence satisfies.
 
-    Every text is cut into sentences, each is normalised and looked up among the known ones, which leaves a short
-    sequence of identifiers; ordered rules over that sequence give the licences. All is done with column expressions
-    within the row, so nothing is shuffled and no document can become a skewed key. Texts without any of a few cue words,
-    of which every known sentence has one, are not cut. Both tables are parameters held in
-    the plan; they don't grow with the corpus.
+    Every text is cut into sentences, each is normalised and looked up among the known ones. What is none as a whole is
+    searched for runs of its lines that are one: from each line on the longest, but for runs inside of others. That leaves
+    a short sequence of identifiers; ordered rules over that sequence give the licences. All is done with column
+    expressions within the row, so nothing is shuffled and no document can become a skewed key. Texts without any of a
+    few cue words, of which every known sentence has one, are not cut. Both tables are parameters held in the plan; they
+    don't grow with the corpus.
 
     Null and empty texts have no sentences; repeated rows are reported each; further columns are ignored.
 
     Returns: the id, n_sentences (known ones, repeats counted), sentence_ids and licenses (comma-joined).
     """
-    known = dict(SENTENCES if sentences is None else sentences)
+    known = dict(sorted((SENTENCES if sentences is None else sentences).items(), key=lambda x: -len(x[0])))
     shortest = min(map(len, known))
     texts, names = F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values()))
+    openings = F.array(*map(F.lit, first_words(list(known))))
 
     def look_up(sentence: Column) -> Column:
         return F.get(names, (F.array_position(texts, sentence) - 1).cast("int"))
 
     def of_lines(piece: Column) -> Column:
-        lines = F.filter(F.split(piece, LINE), lambda s: F.length(s) >= shortest)
-        return F.transform(lines, lambda s: look_up(normalised(s)))
+        lines = F.filter(F.transform(F.split(piece, r"\n"), normalised), lambda s: s != "")
+        begins = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: F.array_contains(openings, F.substring_index(F.get(lines, i), " ", 1)))
+        rest = F.transform(begins, lambda i: F.struct(i.alias("i"), F.concat(F.array_join(F.slice(lines, i + 1, F.lit(most_lines(list(known)))), "|"), F.lit("|")).alias("text")))
+        at_end = lambda x, k: F.startswith(F.translate(x["text"], "|", " "), k) & (F.substring(x["text"], F.length(k) + 1, F.lit(1)) == "|")
+        longest = F.transform(rest, lambda x: F.struct(x["i"].alias("i"), x["text"].alias("text"), F.get(F.filter(texts, lambda k: at_end(x, k)), F.lit(0)).alias("found")))
+        last = lambda x: x["i"] + F.size(F.split(F.substring(x["text"], F.lit(1), F.length(x["found"])), r"\|")) - 1
+        runs = F.transform(F.filter(longest, lambda x: x["found"].isNotNull()), lambda x: F.struct(x["i"].alias("i"), last(x).alias("last"), look_up(x["found"]).alias("name")))
+        outer = F.filter(runs, lambda r: ~F.exists(runs, lambda o: (o["i"] < r["i"]) & (o["last"] >= r["last"])))
+        return F.transform(outer, lambda r: r["name"])
 
     pieces = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SENTENCE_END), lambda s: F.length(s) >= shortest)
-    both = F.transform(pieces, lambda s: F.struct(s.alias("piece"), look_up(normalised(s)).alias("name")))
+    both = F.transform(pieces, lambda s: F.struct(s.alias("piece"), look_up(nameless(normalised(s))).alias("name")))
     ids = F.array_compact(
         F.flatten(F.transform(both, lambda x: F.when(x["name"].isNotNull() | ~F.contains(x["piece"], F.lit("\n")), F.array(x["name"])).otherwise(of_lines(x["piece"]))))
     )

@@ -73,14 +73,20 @@ def _license_sql() -> str:
     rules = ", ".join(f"({n}, '{'.*'.join(f' {x} ' for x in need)}', '{name}')" for n, (need, name) in enumerate(licenses.RULES))
     shortest = min(map(len, licenses.SENTENCES))
     norm = "trim(regexp_replace(lower(%s), '[^a-z0-9]+', ' ', 'g'))"
+    whole = norm % "piece"
+    for pattern, words in licenses.HOLDERS:
+        whole = f"regexp_replace({whole}, '{pattern}', '{words}')"
+    words = ", ".join(f"'{x}'" for x in licenses.first_words(list(licenses.SENTENCES)))
     return f"""with known(sentence, name) as (values {values}), rules(rule_no, pattern, license) as (values {rules}),
 pieces as (select doc_id, unnest(p) as piece, generate_subscripts(p, 1) as i from
-  (select doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?;:][)"''\\]]*(?:\\s+|$)|\\n\\s*\\n') as p from documents)),
-whole as (select doc_id, i, piece, name from pieces left join known on {norm % "piece"} = sentence where length(piece) >= {shortest}),
-lines as (select doc_id, i, unnest(l) as line, generate_subscripts(l, 1) as j from
-  (select doc_id, i, string_split(piece, chr(10)) as l from whole where name is null and contains(piece, chr(10)))),
+  (select doc_id, regexp_split_to_array(coalesce(text, ''), '[.!?;:][)"''\\]]*(?:\\s+|$)|\\n[^A-Za-z0-9\\n]*\\n') as p from documents)),
+whole as (select doc_id, i, piece, name from pieces left join known on {whole} = sentence where length(piece) >= {shortest}),
+lines as (select doc_id, i, list_filter(list_transform(string_split(piece, chr(10)), lambda x: {norm % "x"}), lambda x: x <> '') as l from whole where name is null and contains(piece, chr(10))),
+begins as (select doc_id, i, l, unnest(range(1, len(l) + 1)) as j from lines),
+spans as (select doc_id, i, l, j, unnest(range(j, least(len(l), j + {licenses.most_lines(list(licenses.SENTENCES))} - 1) + 1)) as e from begins where split_part(l[j], ' ', 1) in ({words})),
+runs as (select doc_id, i, j, max(e) as e, arg_max(name, e) as name from spans join known on array_to_string(l[j:e], ' ') = sentence group by doc_id, i, j),
 ids as (select doc_id, i, 0 as j, name from whole where name is not null
-  union all select doc_id, i, j, known.name from lines join known on {norm % "line"} = sentence where length(line) >= {shortest}),
+  union all select doc_id, i, j, name from runs r where not exists (select 1 from runs o where o.doc_id = r.doc_id and o.i = r.i and o.j < r.j and o.e >= r.e)),
 found as (select doc_id, count(*) as n, string_agg(name, ',' order by i, j) as ids, ' ' || string_agg(name, '  ' order by i, j) || ' ' as seq from ids group by doc_id),
 first_hit as (select doc_id, license, min(rule_no) as rule_no from found join rules on regexp_matches(seq, pattern) group by all),
 hits as (select doc_id, string_agg(license, ',' order by rule_no) as licenses from first_hit h

@@ -226,6 +226,29 @@ def test_sentence_rules(spark):
     assert [r.sentence_ids for r in got][3:5] == ["APACHE2_COPY,APACHE2_CONDITION", "BSD_GRANT"]
 
 
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."
+
+
+def test_sentences_inside_of_comments_and_after_holders(spark):
+    """Wrapped sentences after a holder's line, with comment signs, holders' names inside, runs inside of others."""
+    bare = "Copyright (c) 2020 A. B. Smith\n" + MIT
+    comment = "/*\n" + "\n".join(f" * {x}".rstrip() for x in bare.split("\n")) + "\n */\nint x;"
+    hashes = "\n".join(f"# {x}".rstrip() for x in bare.split("\n"))
+    bsd = [x.capitalize() for x, k in licenses.SENTENCES.items() if k.startswith("BSD_")]
+    texts = [
+        bare, comment, hashes, ". ".join(bsd).replace("the name of the copyright holder", "the name of Foo, Inc") + ".", "x\nThis software is\nreleased under the MIT License\nand more of it",
+        "this software is licensed under the\nmit license\nreleased under the mit license", "released under the mit license and others\nmit license", "To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights to this work.",
+    ]
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == ["MIT", "MIT", "MIT", "BSD-3-Clause", "MIT", "MIT", "", "CC0-1.0"]
+    assert [r.sentence_ids for r in got[:3]] == ["MIT_GRANT,MIT_CONDITION"] * 3
+    assert [r.n_sentences for r in got[4:7]] == [1, 2, 0]
+    con = duckdb.connect()
+    con.execute("create table documents as select unnest(?) as doc_id, unnest(?) as text", [list(range(len(texts))), texts])
+    want = con.execute(queries.ORACLES["op4_licenses"] + " order by doc_id").fetchall()
+    assert [tuple(r) for r in got] == want
+
+
 def test_common_licences(spark):
     gnu = "This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the\nFree Software Foundation{b} either version {v} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even more."
     cases = {
