@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from sightline.operators import learning as L
 from sightline.operators import mapping as M
 from sightline.operators import ranking as R
-from sightline.operators.indexing import running_totals
+from sightline.operators.indexing import counted, few_tasks, remove, running_totals
 
 
 def test_flat_vectors_give_nothing(spark):
@@ -24,6 +24,17 @@ def test_percentile_bounds(spark):
     assert tuple(spark.range(1).select(*R.bounds(100, 0.0, 0.95)).first()) == (6, 100)
 
 
+def test_rows_are_counted_as_they_are_checkpointed(spark, tmp_path):
+    rows, seen = counted(spark.range(1000, numPartitions=7).where("id % 3 = 0"), most=F.max("id"))
+    assert (rows.count(), seen.n, seen.most) == (334, 334, 999)
+    assert few_tasks(rows, seen.n, 200)._jdf.rdd().getNumPartitions() == 2
+    rows, seen = counted(spark.createDataFrame([], "id long"))
+    assert rows.count() == seen.n == 0 and few_tasks(rows, seen.n).count() == 0
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    remove(spark, str(tmp_path / "t"))
+    assert not (tmp_path / "t").exists()
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 2000])
 def test_running_totals(spark, n):
     df = spark.range(n).select((F.col("id") % 3).alias("k"), "id", (F.col("id") % 5).alias("v"))
