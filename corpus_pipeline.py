@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm import decontam, jaccard_join, packing, pii, quality
 from sightline.llm.common import scratch, table
+from sightline.operators.indexing import remove
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written as Parquet in the shared folder and read again by the next."""
+    """All stages in turn, each written as Parquet in the shared folder and read again by the next, then removed."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{scratch(spark)}/pipeline-{uuid.uuid4()}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}-{name}")
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
