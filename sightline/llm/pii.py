@@ -175,18 +175,20 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             {"key": batch.column("key")}
             | {f"n_{kind}": pa.array([sum(x[0] == kind for x in spans) for spans in base], pa.int64()) for kind in BASE_KINDS}
             | {"base_sha256": pa.array([hashlib.sha256(joined(x).encode()).hexdigest() for x in base], pa.string()), "spans": pa.array(map(joined, every), pa.string())}
+            | {"n_account": pa.array([sum(x[0] == "account" for x in spans) for spans in every], pa.int64()), "n_personal": pa.array([sum(x[0] in REDACTED for x in spans) for spans in every], pa.int64())}
         )
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document with its counts by base kind, a digest of the base spans, and all spans.
+    """A row per document with its counts by base kind, a digest of the base spans, all spans, and the numbers of accounts and
+    of all spans that ``redact`` takes out.
 
     Null and empty texts have no spans; repeated rows are reported each; further columns are ignored. No shuffle.
     """
     ship(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     key_type = narrow.schema["key"].dataType.simpleString()
-    return narrow.mapInArrow(_found, f"key {key_type}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return narrow.mapInArrow(_found, f"key {key_type}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_account long, n_personal long")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -45,6 +45,12 @@ def test_further_spans():
         assert pii.redacted(text, pii.find_spans(text)) == clean
 
 
+def test_personal_data_is_counted(spark):
+    texts = ["mail a@b.cc and token=\"abc123def\" at https://x.y/z", "see https://x.y/z", None]
+    got = pii.pii_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("key").collect()
+    assert [(r.n_email, r.n_account, r.n_personal) for r in got] == [(1, 1, 2), (0, 0, 0), (0, 0, 0)]
+
+
 def accounts(text):
     return [text[a:b] for k, a, b in pii.find_spans(text) if k == "account"]
 
