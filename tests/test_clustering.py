@@ -89,8 +89,8 @@ def test_ward_equals_the_plain_method(n, seed, strength):
     x = np.random.default_rng(seed).normal(size=(n, 4))
     got, want = C.ward(x), naive_ward(x)
     assert np.allclose([m[2] for m in got], [m[2] for m in want])
-    top = want[-1][2]
-    assert C.cut(n, [(a, b, h / top) for a, b, h in got], strength) == C.cut(n, [(a, b, h / top) for a, b, h in want], strength)
+    cut = lambda merges: C.cut(n, [(a, b, h / merges[-1][2]) for a, b, h in merges], strength)
+    assert cut(got) == cut(want)
 
 
 def test_pages_of_the_given_vectors(spark, data):
