@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
@@ -17,8 +18,8 @@ from ..operators import learning as L
 from ..operators import mapping as M
 from ..operators import ranking as R
 from ..operators import validation as G
-from ..operators.indexing import checkpoint_folder, checkpointed
-from ..sources import image_lists, outputs
+from ..operators.indexing import checkpoint_folder, checkpointed, running_totals
+from ..sources import image_lists, matrices, outputs
 from ..streaming import annotation_stream
 from .derived import derive, sql
 
@@ -733,6 +734,44 @@ def image_list_file(s, d):
     return image_lists.read_image_list(s, path).drop("row_idx")
 
 
+def _local_folder(s: SparkSession) -> str:
+    """A new folder among the intermediate tables, which readers and writers of plain files open as a mounted path."""
+    folder = f"{checkpoint_folder(s).removeprefix('file:')}/files-{uuid.uuid4()}"
+    os.makedirs(folder)
+    return folder
+
+
+@query(sql("select row_number() over (order by item_id) - 1 as row_idx, unnest(embedding) as x, generate_subscripts(embedding, 1) - 1 as i from emb", "emb"))
+def embedding_matrix_file(s, d):
+    """Embeddings in order of the item, written as a raw matrix and read again."""
+    path = f"{_local_folder(s)}/embeddings.bin"
+    ordered = running_totals(derive(s, d, "emb").select("item_id", "embedding"), ["item_id"], index="row_idx")
+    first = ordered.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    matrices.write_embedding_matrix(ordered, path, first["dim"])
+    found = matrices.read_embedding_matrix(s, path, first["n"])
+    return found.select("row_idx", F.posexplode("embedding").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
+
+
+@query(sql("select row_number() over (order by item_id) - 1 as row_idx, score::float as score from val", "val"))
+def score_file(s, d):
+    """Scores in order of the item, written as an ``.npy`` array and read again."""
+    path = f"{_local_folder(s)}/scores.npy"
+    ordered = running_totals(derive(s, d, "val").select("item_id", "score"), ["item_id"], index="row_idx")
+    matrices.write_scores(ordered, path, ordered.count())
+    return matrices.read_scores(s, path)
+
+
+@query(sql("select case when is_val then 'val/' else 'train/' end || item_id::varchar || '.jpg' as path, is_val from items where label <> 3", "items"))
+def scanned_items(s, d):
+    """A file for each item, some of another kind, found again by their directories."""
+    folder = _local_folder(s)
+    split = F.when(F.col("is_val"), "val/").otherwise("train/")
+    name = F.concat(split, F.col("item_id").cast("string"), F.when(F.col("label") == 3, ".gif").otherwise(".jpg"))
+    image_lists.write_files(derive(s, d, "items").select(name.alias("path"), F.encode("identifier", "UTF-8").alias("content")), folder)
+    found = image_lists.scan_items(s, f"{folder}/train", f"{folder}/val")
+    return found.select(F.concat_ws("/", F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1)).alias("path"), "is_val")
+
+
 # Streams
 
 

@@ -104,3 +104,16 @@ def read_file_list(spark: SparkSession, path: str, large: bool = False) -> DataF
 def export_paths(items: DataFrame) -> DataFrame:
     split = F.when(F.col("is_val"), "val").otherwise("train")
     return items.select("item_id", export_path(split, F.col("path")).alias("export_path"))
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Rows (path, content): each content as a file under the folder, which all executors see, written by its own task."""
+
+    def write(part: Iterator) -> None:
+        for row in part:
+            path = os.path.join(folder, row["path"])
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as f:
+                f.write(row["content"])
+
+    rows.select("path", "content").foreachPartition(write)

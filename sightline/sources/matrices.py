@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 
 class Rows(InputPartition):
@@ -44,6 +45,26 @@ class MatrixReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([index, pa.array(data)], ["row_idx", "score"])
 
 
+class MatrixWriter(DataSourceArrowWriter):
+    """Writes rows at their place in one file, on a path that all executors see; to write one again changes nothing."""
+
+    def __init__(self, options: dict):
+        self.path, self.dim, self.skip = options["path"], int(options.get("dim", 1)), int(options.get("skip", 0))
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        with open(self.path, "r+b") as f:
+            for batch in batches:
+                row = batch.column(0).to_numpy()
+                values = batch.column(1)
+                values = values.flatten() if pa.types.is_list(values.type) or pa.types.is_large_list(values.type) else values
+                data = values.to_numpy(zero_copy_only=False).astype("<f4").reshape(len(row), self.dim)
+                runs = np.flatnonzero(np.append(True, np.diff(row) != 1)) if len(row) else []
+                for a, b in zip(runs, [*runs[1:], len(row)]):
+                    f.seek(self.skip + int(row[a]) * self.dim * 4)
+                    f.write(data[a:b].tobytes())
+        return WriterCommitMessage()
+
+
 class MatrixSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -55,6 +76,9 @@ class MatrixSource(DataSource):
     def reader(self, schema) -> MatrixReader:
         return MatrixReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> MatrixWriter:
+        return MatrixWriter(self.options)
+
 
 def read_embedding_matrix(spark: SparkSession, path: str, rows: int) -> DataFrame:
     """(row_idx, embedding) of a raw float32 matrix; its width follows from the file's size and the number of listed rows."""
@@ -65,6 +89,25 @@ def read_embedding_matrix(spark: SparkSession, path: str, rows: int) -> DataFram
     return spark.read.format("float_matrix").option("dim", size // (4 * rows)).load(path)
 
 
+def _write(rows: DataFrame, path: str, header: bytes, **options) -> None:
+    with open(path, "wb") as f:
+        f.write(header)
+    rows.sparkSession.dataSource.register(MatrixSource)
+    rows.write.format("float_matrix").options(skip=len(header), **options).mode("append").save(path)
+
+
+def write_embedding_matrix(rows: DataFrame, path: str, dim: int) -> None:
+    """Rows (row_idx, embedding), numbered from 0 without gaps, as a raw float32 matrix; tasks write their own ranges of the file."""
+    _write(rows.select("row_idx", F.col("embedding").cast("array<float>").alias("embedding")), path, b"", dim=dim)
+
+
+def write_scores(rows: DataFrame, path: str, n: int) -> None:
+    """``n`` rows (row_idx, score), numbered from 0 without gaps, as a one-dimensional ``.npy`` array."""
+    text = f"{{'descr': '<f4', 'fortran_order': False, 'shape': ({n},), }}"
+    text += " " * (-(len(text) + 11) % 64) + "\n"
+    _write(rows.select("row_idx", F.col("score").cast("float").alias("score")), path, b"\x93NUMPY\x01\x00" + struct.pack("<H", len(text)) + text.encode())
+
+
 def npy_header(path: str) -> tuple[int, np.dtype, tuple[int, ...]]:
     """Offset of the data, its type and shape."""
     with open(path, "rb") as f:

@@ -49,6 +49,17 @@ def test_matrix_and_scores(spark, tmp_path):
     assert [round(r.score, 6) for r in matrices.read_scores(spark, str(tmp_path / "scores.npy")).orderBy("row_idx").collect()] == [0.1, 0.2, 0.3]
 
 
+def test_files_are_written_as_they_are_read(spark, tmp_path):
+    x = np.random.default_rng(1).random((500, 3)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), float(v[0])) for i, v in enumerate(x)], "row_idx long, embedding array<float>, score double").repartition(4)
+    matrices.write_embedding_matrix(rows, str(tmp_path / "e.bin"), 3)
+    assert (np.fromfile(tmp_path / "e.bin", "<f4").reshape(500, 3) == x).all()
+    matrices.write_scores(rows, str(tmp_path / "s.npy"), 500)
+    assert (np.load(tmp_path / "s.npy") == x[:, 0]).all()
+    matrices.write_scores(rows.limit(0), str(tmp_path / "none.npy"), 0)
+    assert np.load(tmp_path / "none.npy").shape == (0,) and matrices.read_scores(spark, str(tmp_path / "none.npy")).count() == 0
+
+
 def test_codec(spark):
     rows = spark.createDataFrame([(1, [1.5, -2.0]), (2, None)], "id long, v array<float>").withColumn("t", V.vectors_to_base64(F.col("v")))
     assert [(r.id, r.back) for r in rows.withColumn("back", V.vectors_from_base64(F.col("t"))).orderBy("id").collect()] == [(1, [1.5, -2.0]), (2, None)]
