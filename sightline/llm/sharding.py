@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.operators.indexing import running_totals
+from sightline.operators.indexing import checkpointed, running_totals
 
 from .common import ship
 
@@ -25,7 +25,7 @@ def byte_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col
     running sum to its offset. A row goes to the shard in which the middle of its bytes falls, so a shard differs from
     the target by less than the largest row.
 
-    Texts don't move: only id, size and checksum are shuffled. Ties of the id, repeated rows included, are ordered by
+    Texts are read once and don't move: only id, size and checksum are kept and shuffled. Ties of the id, repeated rows included, are ordered by
     checksum, size and input position, which also splits an id that holds a large share of all rows. Null ids come
     first; a null text counts as empty. An empty table gives no rows. Further columns of ``docs`` are ignored.
 
@@ -34,7 +34,7 @@ def byte_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col
     ship(docs.sparkSession)
     text = F.col(text_col)
     narrow = docs.select(F.col(id_col).alias("key"), text_size(text).alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"))
-    placed = running_totals(narrow, ["key", "text_crc32", "size"], ("size",)).withColumn(
+    placed = running_totals(checkpointed(narrow), ["key", "text_crc32", "size"], ("size",)).withColumn(
         "shard", F.expr(f"cast(((2 * size_before + size) * {n_shards}) div (2 * size_total) as int)")
     )
     firsts = placed.groupBy("shard").agg(F.min("row_no").alias("first_row"))  # a row per shard

@@ -154,6 +154,14 @@ def test_chat(spark):
     assert chat.maximal_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_columns_that_clash(spark):
+    names = ["own", "fp", "kept_id", "n_copies", "n_turns", "least", "turns", "hashes", "last"]
+    schema = "conv_id string, turn int, role string, text string, " + ", ".join(f"{x} string" for x in names)
+    rows = [("b", 0, "user", "hi"), ("b", 0, "user", "hi"), ("b", 0, "user", "ho"), ("a", 0, "user", "hi"), ("c", 1, "user", "hi"), ("c", 2, "user", "ho")]
+    got = chat.maximal_conversations(spark.createDataFrame([(*r, *names) for r in rows], schema)).collect()
+    assert [(r.conv_id, r.n_turns, r.n_copies) for r in got] == [("b", 2, 2)]
+
+
 def test_a_long_conversation(spark):
     rows = spark.range(60_000).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
     part = rows.where("turn < 30000").withColumn("conv_id", F.lit(1).cast("long"))
