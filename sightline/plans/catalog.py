@@ -775,7 +775,7 @@ def scanned_items(s, d):
 # Streams
 
 
-def _streamed(s, d, job) -> DataFrame:
+def _streamed(s, d, job, read=annotation_stream.latest_version) -> DataFrame:
     """Runs a streaming job over all there is of the log and returns the newest state that it wrote."""
     folder = f"{checkpoint_folder(s)}/stream-{uuid.uuid4()}"
     key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -785,7 +785,7 @@ def _streamed(s, d, job) -> DataFrame:
         job(derive(s, d, "alog", stream=True), f"{folder}/state", f"{folder}/offsets").awaitTermination()
     finally:
         s.conf.set(key, before)
-    return annotation_stream.latest_version(s, f"{folder}/state")
+    return read(s, f"{folder}/state")
 
 
 @query(sql("select category, mode, count(*) as n from cur group by all", "cur"))
@@ -795,5 +795,5 @@ def stream_category_counts(s, d):
 
 @query(sql("select item_id, category, mode, is_box, batch_id, count(*) as n from cur group by all", "cur"))
 def stream_current_annotations(s, d):
-    found = annotation_stream.in_force(_streamed(s, d, annotation_stream.current_annotations))
+    found = annotation_stream.in_force(_streamed(s, d, annotation_stream.current_annotations, annotation_stream.current_state))
     return found.groupBy("item_id", "category", "mode", "is_box", "batch_id").agg(F.count("*").alias("n"))

@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..operators.annotations import TOMBSTONE, current
 
+#: Parts of a compacted state.
+PARTS = 64
 DELTA = "item_id long, category string, mode string, delta long"
 
 
@@ -102,18 +104,51 @@ def drop_versions(spark: SparkSession, target: str, below: int) -> None:
             fs.delete(path, True)
 
 
+def parts(spark: SparkSession, target: str, below: int | None = None) -> dict[int, tuple[int, str]]:
+    """The newest version, older than ``below`` if given, of each part of a state under ``target``, and where it is."""
+    fs, found = versions(spark, target)
+    newest: dict[int, tuple[int, str]] = {}
+    for k in sorted(x for x in found if below is None or x < below):
+        for x in fs.listStatus(found[k]):
+            name = x.getPath().getName()
+            if name.startswith("part="):
+                newest[int(name[5:])] = (k, x.getPath().toString())
+    return newest
+
+
+def current_state(spark: SparkSession, target: str) -> DataFrame | None:
+    """All parts of a state in their newest versions; None if there is none."""
+    found = parts(spark, target)
+    return spark.read.parquet(*(path for _, path in found.values())) if found else None
+
+
 def current_annotations(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Compacts the log to the annotations in force, batch by batch; equals ``operators.annotations.current`` of the whole log.
 
     What is kept between triggers are the rows in force and the tombstones, which still outdate older rows that come late.
+    The state is parted by item; a trigger reads and writes the parts of its own items alone, as ``target``/batch=k/part=p,
+    and of each part its last two versions stay. ``current_state`` reads it.
     """
 
     def apply(rows: DataFrame, k: int) -> None:
-        before = latest_version(rows.sparkSession, target, k)
-        every = rows if before is None else before.unionByName(rows)
-        kept = current(every.withColumn("mode", F.when(F.col("mode") == TOMBSTONE, "\0" + TOMBSTONE).otherwise(F.col("mode"))))
-        kept.withColumn("mode", F.regexp_replace("mode", "^\\x00", "")).write.mode("overwrite").parquet(f"{target}/batch={k}")
-        drop_versions(rows.sparkSession, target, k - 1)
+        spark = rows.sparkSession
+        part = F.pmod(F.xxhash64("item_id"), F.lit(PARTS)).cast("int").alias("part")
+        rows = rows.persist()
+        try:
+            touched = {r["part"] for r in rows.select(part).distinct().collect()}  # PARTS at most
+            before = {p: x for p, x in parts(spark, target, k).items() if p in touched}
+            every = rows.unionByName(spark.read.parquet(*(path for _, path in before.values()))) if before else rows
+            kept = current(every.withColumn("mode", F.when(F.col("mode") == TOMBSTONE, "\0" + TOMBSTONE).otherwise(F.col("mode"))))
+            kept = kept.withColumn("mode", F.regexp_replace("mode", "^\\x00", "")).select("*", part).repartition("part")
+            kept.write.mode("overwrite").partitionBy("part").parquet(f"{target}/batch={k}")
+        finally:
+            rows.unpersist()
+        for p, (version, _) in before.items():
+            fs, found = versions(spark, target)
+            for older in (found[x] for x in found if x < version):
+                old = older.suffix(f"/part={p}")
+                if fs.exists(old):
+                    fs.delete(old, True)
 
     return log.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
 

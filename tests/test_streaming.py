@@ -30,9 +30,28 @@ def stream(spark, folder):
 def test_compaction_equals_batch(spark, shuffled, tmp_path):
     S.current_annotations(stream(spark, shuffled), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     cell = ["item_id", "category", "mode", "batch_id", "is_box"]
-    got = sorted(tuple(r) for r in S.in_force(S.latest_version(spark, str(tmp_path / "out"))).select(cell).collect())
+    got = sorted(tuple(r) for r in S.in_force(S.current_state(spark, str(tmp_path / "out"))).select(cell).collect())
     assert got == sorted(tuple(r) for r in current(some_log(spark)).select(cell).collect())
-    assert len(S.versions(spark, str(tmp_path / "out"))[1]) == 2  # the newest and the one before
+    kept = list((tmp_path / "out").glob("batch=*/part=*"))
+    each = [sum(x.name == f"part={p}" for x in kept) for p in S.parts(spark, str(tmp_path / "out"))]
+    assert len(each) == 5 and max(each) == 2  # a part for each item here; the newest version and the one before
+
+
+def test_a_trigger_leaves_other_parts_alone(spark, tmp_path):
+    """A second log of one item: only its part has a second version."""
+    for k, item in enumerate((None, 3)):
+        rows = some_log(spark).where("true" if item is None else f"item_id = {item}").withColumn("batch_id", F.col("batch_id") + 100 * k)
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        S.current_annotations(stream(spark, str(tmp_path / "log")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert len(list((tmp_path / "out").glob("batch=1/part=*"))) == 1
+    cell = ["item_id", "category", "mode", "batch_id", "is_box"]
+    got = sorted(tuple(r) for r in S.in_force(S.current_state(spark, str(tmp_path / "out"))).select(cell).collect())
+    assert got == sorted(tuple(r) for r in current(spark.read.parquet(str(tmp_path / "log"))).select(cell).collect())
+
+
+def test_counts_keep_two_versions(spark, shuffled, tmp_path):
+    S.running_counts(stream(spark, shuffled), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert len(S.versions(spark, str(tmp_path / "out"))[1]) == 2
 
 
 def test_running_counts_equal_batch(spark, shuffled, tmp_path):
