@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sightline.operators.indexing import checkpointed
+
 from .common import ship
 from .shingles import bytes_of, small_batches, word_bounds, word_hashes
 
@@ -179,7 +181,9 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     known = known.where(~held_out(F.col(id_col))).groupBy(id_col).agg(F.max("label").alias("label"))
     known = known.orderBy(F.xxhash64(id_col), id_col).limit(most)
     rows = docs.select(id_col, "text").join(F.broadcast(known), id_col)  # at most ``most`` narrow rows
-    return fit(with_statistics(rows).select(id_col, "label", "statistics"))
+    found = checkpointed(with_statistics(rows).select(id_col, "label", "statistics"))
+    # at most ``most`` rows of a few numbers: in one task and one order, what is learnt doesn't depend on how documents are dealt
+    return fit(found.repartition(1).sortWithinPartitions(F.xxhash64(id_col), id_col, "statistics"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
