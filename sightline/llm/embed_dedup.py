@@ -30,6 +30,8 @@ REACH = 0.5
 BLOCK = 2_048
 #: Searches that are looked up at once; small enough that the tables of distances stay in a core's cache.
 SEARCHES = 256
+#: Numbers of candidates that are multiplied at once, 32 MB of them.
+PRODUCTS = 1 << 22
 VECTORS_PER_TASK = 1 << 13
 
 
@@ -160,7 +162,8 @@ def compare(index: Quantiser, cell: int, queries: np.ndarray, vectors: np.ndarra
     """Pairs (query, vector) of one cell with the least cosine or more: candidates by lookup, decided exactly."""
     most = ((radius(cosine) + error) ** 2 + 1e-5).astype(np.float32)  # single precision costs less than that
     near = places(index.distances(queries, cell, codes) <= most[:, None])
-    keep = [np.einsum("ij,ij->i", vectors[near[0][a : a + 65536]], queries[near[1][a : a + 65536]]) >= cosine for a in range(0, len(near[0]), 65536)]
+    step = max(1, PRODUCTS // vectors.shape[1])
+    keep = [np.einsum("ij,ij->i", vectors[near[0][a : a + step]], queries[near[1][a : a + step]]) >= cosine for a in range(0, len(near[0]), step)]
     keep = np.concatenate([*keep, np.empty(0, bool)])
     return near[1][keep], near[0][keep]
 
@@ -267,14 +270,19 @@ def _links(alike: DataFrame, index, cosine: float, reach: float) -> DataFrame:
         asked_no, held_no, error = asked["no"].to_numpy(), held["no"].to_numpy(), held["error"].to_numpy()
         asked_copies, held_copies, home = asked["copies"].to_numpy(), held["copies"].to_numpy(), asked["home"].to_numpy()
         links, linked, forest = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        unseen: dict[int, np.ndarray] = {}  # by another cell, which of the vectors held here don't look into it
         for a in range(0, len(x), SEARCHES):
             i, j = compare(q, cell, x[a : a + SEARCHES], y, codes, error, cosine)
             i += a
             i, j = i[asked_no[i] != held_no[j]], j[asked_no[i] != held_no[j]]
-            np.add.at(links, i, held_copies[j])
-            away = np.flatnonzero(home[i] != cell)
-            away = away[q.borders(y[j[away]], np.full(len(away), cell), home[i[away]]) > within]  # these don't look for the searches
-            np.add.at(linked, j[away], asked_copies[i[away]])
+            links += np.bincount(i, held_copies[j], len(x)).astype(np.int64)
+            of = home[i]
+            for h in np.unique(of[of != cell]).tolist():
+                if h not in unseen:
+                    unseen[h] = q.borders(y, np.full(len(y), cell), np.full(len(y), h)) > within
+                own = np.flatnonzero(of == h)
+                own = own[unseen[h][j[own]]]
+                linked += np.bincount(j[own], asked_copies[i[own]], len(y)).astype(np.int64)
             forest.append(spanning(asked_no[i], held_no[j]))
         u, v = spanning(*(np.concatenate(ends) for ends in zip(*forest, strict=True)))
         i, j = np.flatnonzero(links), np.flatnonzero(linked)
