@@ -30,12 +30,13 @@ def query_vector(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 
 
 def measured(vectors: list[np.ndarray | None], query: np.ndarray, metric: str) -> np.ndarray:
-    """Distance or dot product of each vector and the query; rows are summed up each in the same order, so equal ones tie."""
+    """Distance or dot product of each vector and the query; a row is summed up from first to last, as SQL engines do."""
     out = np.full(len(vectors), np.nan)
     mine = [i for i, v in enumerate(vectors) if v is not None and len(v) == len(query)]
-    if mine:
+    if mine and len(query):
         x = np.stack([vectors[i] for i in mine]).astype(float)
-        out[mine] = np.sqrt(((x - query) ** 2).sum(axis=1)) if metric == "l2" else (x * query).sum(axis=1)
+        total = np.cumsum((x - query) ** 2 if metric == "l2" else x * query, axis=1)[:, -1]
+        out[mine] = np.sqrt(total) if metric == "l2" else total
     return out
 
 
