@@ -256,14 +256,15 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = docs_.join(sent_if_small(gone, dropped.n), fp, "left_anti")
     if not several.n:
         return kept.select(docs.columns)
-    once = kept.join(sent_if_small(copied.select(fp), several.n), fp, "left_anti")
     same = F.col(id_col).eqNullSafe(F.col(last))
-    again = kept.join(sent_if_small(copied, several.n), fp).where(same)
-    named = docs_.select(fp, id_col).join(sent_if_small(copied, several.n), fp).where(same)
+    flag = f"copied_{uuid.uuid4().hex}"
+    copied = sent_if_small(copied.withColumn(flag, F.lit(True)), several.n)
+    # one more reading of the documents: rows of texts without copies, and of others those with the least id
+    left = kept.join(copied, fp, "left").where(F.col(flag).isNull() | same)
+    named = docs_.select(fp, id_col).join(copied, fp).where(same)
     repeated, twice = counted(named.groupBy(fp).count().where("count > 1").select(fp))
-    again = again.drop(last)
     if not twice.n:
-        return once.unionByName(again).select(docs.columns)
+        return left.select(docs.columns)
     repeated = sent_if_small(repeated, twice.n)
-    one = again.join(repeated, fp, "left_semi").dropDuplicates([fp])
-    return once.unionByName(again.join(repeated, fp, "left_anti")).unionByName(one).select(docs.columns)
+    one = left.join(repeated, fp, "left_semi").dropDuplicates([fp])
+    return left.join(repeated, fp, "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
