@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embed_dedup, html_extract, jaccard_join, licenses, packing, pii, quality, sharding
+from . import centroids, chat, decontam, embed_dedup, html_extract, jaccard_join, licenses, packing, pii, quality, sharding
 from .common import table
 
 N_SHARDS = 40
@@ -56,7 +56,12 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_chat, op4_licenses, op5_packing, op6_sharding, op7_html, op8_pii, op9_jaccard_join, op10_embedding_dedup)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.centroid_clusters(table(spark, sf_dir, "embeddings"))
+    return found.drop("n_cluster").withColumnRenamed("key", "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_chat, op4_licenses, op5_packing, op6_sharding, op7_html, op8_pii, op9_jaccard_join, op10_embedding_dedup, op11_centroids)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -95,7 +100,26 @@ select doc_id, coalesce(n, 0) as n_sentences, coalesce(ids, '') as sentence_ids,
 from documents left join found using (doc_id) left join hits using (doc_id)"""
 
 
+def _centroid_sql() -> str:
+    """The rounds one after the other: z0 holds the first centroids, a0 the assignment to them, z1 what that moves them to."""
+    k, rounds, d = centroids.CENTROIDS, centroids.ROUNDS, centroids.DIMENSIONS
+    steps = [f"""e as materialized (select row_number() over () as i, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::double)::hugeint) as v from embeddings
+  where embedding is not null and len(embedding) = {d} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+z0 as materialized (select row_number() over (order by sha256('2:' || vec_id), v) - 1 as c, v from (select * from e where vec_id is not null order by sha256('2:' || vec_id), v limit {k}))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} as materialized (select i, any_value(vec_id) as vec_id, min({{'s': s, 'c': c}}) as best from
+  (select e.i, e.vec_id, z.c, list_sum(list_transform(list_zip(e.v, z.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as s from e cross join z{r} z) group by i)""")
+        if r < rounds:
+            steps.append(f"""m{r} as (select c, p, sum(x) as s, count(*) as n from (select best['c'] as c, unnest(e.v) as x, generate_subscripts(e.v, 1) as p from a{r} join e using (i)) group by c, p),
+n{r} as (select c, list((s - ((s % n) + n) % n) // n order by p) as v from m{r} group by c),
+z{r + 1} as materialized (select c, coalesce(n{r}.v, z{r}.v) as v from z{r} left join n{r} using (c))""")
+    return f"""with {", ".join(steps)}
+select vec_id, c::int as cluster, s::bigint as distance, (sum(s) over (partition by c))::bigint as cluster_inertia, (sum(s) over ())::bigint as inertia, sha256(array_to_string(v, ',')) as centroid_sha256
+from (select vec_id, best['c'] as c, best['s'] as s from a{rounds}) join z{rounds} using (c)"""
+
+
 ORACLES = {
+    "op11_centroids": _centroid_sql(),
     "op2_decontamination": f"""with {_shingles("d", "documents", "doc_id")}, {_shingles("b", "benchmark", "item_id")},
 sizes as (select item_id, count(*) as n_item from b group by item_id)
 select doc_id, item_id, any_value(n_item) as n_item, count(*) as n_shared from d join b using (s) join sizes using (item_id)
