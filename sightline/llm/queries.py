@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, decontam, embed_dedup, html_extract, jaccard_join, licenses, packing, pii, quality, sharding
+from . import centroids, chat, decontam, embed_dedup, html_extract, jaccard_join, licenses, packing, pii, quality, sharding, spelling
 from .common import table
 
 N_SHARDS = 40
@@ -61,7 +61,11 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("n_cluster").withColumnRenamed("key", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_chat, op4_licenses, op5_packing, op6_sharding, op7_html, op8_pii, op9_jaccard_join, op10_embedding_dedup, op11_centroids)}
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_chat, op4_licenses, op5_packing, op6_sharding, op7_html, op8_pii, op9_jaccard_join, op10_embedding_dedup, op11_centroids, op12_spelling)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
