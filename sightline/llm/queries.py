@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, chat, decontam, embed_dedup, html_extract, jaccard_join, licenses, packing, pii, quality, sharding, spelling
+from . import centroids, chat, decontam, embed_dedup, html_extract, jaccard_join, language, licenses, packing, pii, quality, sharding, spelling
 from .common import table
 
 N_SHARDS = 40
@@ -65,7 +65,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_chat, op4_licenses, op5_packing, op6_sharding, op7_html, op8_pii, op9_jaccard_join, op10_embedding_dedup, op11_centroids, op12_spelling)}
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.text_languages(table(spark, sf_dir, "documents")).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontamination, op3_chat, op4_licenses, op5_packing, op6_sharding, op7_html, op8_pii, op9_jaccard_join, op10_embedding_dedup, op11_centroids, op12_spelling, op13_language)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
