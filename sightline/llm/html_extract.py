@@ -29,7 +29,13 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a start tag of the same group closes, as their end tag may be left out. Fixed values.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}}
+#: Elements whose start ends an open paragraph, those between the two included. Fixed values.
+ENDS_P = BLOCKS - frozenset("body caption html legend".split())
+#: Elements that part what they hold from a paragraph around them. Fixed values.
+PARTS_P = frozenset("button caption html marquee object table td template th".split())
+#: What may stand in a head; anything else ends it. Fixed values.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Words in class, id or role that mark what stands around the article. Fixed values.
 AROUND_WORD = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|replies|reply|sidebar|widget|breadcrumbs?|menu|nav|navbar|navigation|pagination|pager|footer|masthead|topbar|toolbar|complementary|contentinfo|skip|search|tags?|meta|byline-social)(?:$|[\s_-])", re.I)
 
@@ -65,6 +71,7 @@ class Block:
     heading: bool
     doubt: bool = False  # stands in an element of an article whose name may mean its subject or its surroundings
     label: str = ""
+    form: int = 0  # the form around it; 0: none
 
 
 class Tokens:
@@ -137,26 +144,63 @@ class Tokens:
         return page.index(">", start)
 
 
+def self_closed(attrs: str) -> bool:
+    """Whether a tag with these attributes ends with a slash of its own, not with that of an unquoted value."""
+    if not attrs.endswith("/"):
+        return False
+    last = max(attrs.rfind(x) for x in " \t\n\r\f\"'") + 1
+    return "=" not in attrs[last:] and not attrs[:last].rstrip().endswith("=")
+
+
+def prose(block: Block) -> bool:
+    return not block.around and len(block.text) >= SHORT and block.linked <= LINKS_MOST * len(block.text)
+
+
+def settle_forms(blocks: list[Block], whole: set[int]) -> None:
+    """A form's blocks stand around the article, unless the form is around the page: it holds an article or main element
+    (``whole``), or more than half of the page's prose and more than a medium block of it."""
+    inside: dict[int, int] = {}
+    for b in blocks:
+        if prose(b):
+            inside[b.form] = inside.get(b.form, 0) + len(b.text)
+    total = sum(inside.values())
+    whole = whole | {f for f, n in inside.items() if n > LONG and 2 * n > total}
+    for b in blocks:
+        b.around = b.around or bool(b.form) and b.form not in whole
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order, with the element they stand in; markup that isn't closed ends with the page."""
+    """The page's blocks in order, with the element they stand in; markup that isn't closed ends with the page.
+
+    End tags that may be left out are: what can't stand in a head ends it, a block ends a paragraph, and list items, cells
+    and rows end each other.
+    """
     out: list[Block] = []
-    top = ("", False, 0, False, False)
-    stack = [top]  # name, around, scope, dropped, doubt
+    top = ("", False, 0, False, False, 0, False)
+    stack = [top]  # name, around, scope, dropped, doubt, form, whether a paragraph is open
     opened: dict[str, int] = {}
     parts: list[str] = []
-    linked = links = scopes = 0
+    linked = links = scopes = forms = 0
+    whole: set[int] = set()
     heading = False
 
+    def close(name: str) -> None:
+        while stack[-1][0] != name:
+            opened[stack.pop()[0]] -= 1
+        opened[stack.pop()[0]] -= 1
+
     def flush() -> None:
         nonlocal linked, heading
         text = SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            _, around, scope, _, doubt = stack[-1]
-            out.append(Block(text, linked, scope, around, heading, doubt))
+            _, around, scope, _, doubt, form, _ = stack[-1]
+            out.append(Block(text, linked, scope, around, heading, doubt, form=form))
         parts.clear()
         linked, heading = 0, False
 
     for kind, name, attrs in Tokens(page):
+        if opened.get("head") and kind != "end" and (stack[-1][0] == "head" and name.strip() if kind == "text" else name not in IN_HEAD and name != "head"):
+            close("head")
         if kind == "text":
             if not stack[-1][3]:
                 text = html.unescape(name) if "&" in name else name
@@ -168,9 +212,7 @@ def blocks_of(page: str) -> list[Block]:
             if name in BLOCKS:
                 flush()
             if opened.get(name):
-                while stack[-1][0] != name:
-                    opened[stack.pop()[0]] -= 1
-                opened[stack.pop()[0]] -= 1
+                close(name)
             if name == "a":
                 links = max(0, links - 1)
             continue
@@ -180,18 +222,25 @@ def blocks_of(page: str) -> list[Block]:
             links = 0
         elif name == "br":
             parts.append(" ")
-        if name in VOID or attrs.endswith("/"):
+        if stack[-1][6] and name in ENDS_P:
+            close("p")
+        if name in VOID or self_closed(attrs):
             continue
         if name == "a":
             links += 1
-        if (closed := CLOSES.get(name)) and stack[-1][0] in closed:
+        closed = CLOSES.get(name, ())
+        while stack[-1][0] in closed:
             opened[stack.pop()[0]] -= 1
-        _, around, scope, dropped, doubt = stack[-1]
+        _, around, scope, dropped, doubt, form, paragraph = stack[-1]
         dropped = dropped or name in DROPPED
         if name in ("article", "main") and not around:
             scopes += 1
             scope = scopes
-        if name in AROUND and not (name == "header" and scope):
+            whole.add(form)
+        if name == "form":
+            forms += not form
+            form = form or forms
+        elif name in AROUND and not (name == "header" and scope):
             around = True
         if attrs and name not in ("body", "html"):
             named = LAYOUT_WORD.sub("", " ".join("".join(x) for x in NAMED.findall(attrs)))
@@ -202,9 +251,10 @@ def blocks_of(page: str) -> list[Block]:
                     doubt, named = True, SUBJECT_WORD.sub(" ", named)
                 around = around or bool(named and AROUND_WORD.search(named))
                 dropped = dropped or bool(HIDDEN.search(attrs))
-        stack.append((name, around, scope, dropped, doubt))
+        stack.append((name, around, scope, dropped, doubt, form, name == "p" or paragraph and name not in PARTS_P))
         opened[name] = opened.get(name, 0) + 1
     flush()
+    settle_forms(out, whole)
     return out
 
 

@@ -127,3 +127,48 @@ def test_markup_shapes():
         ("<p>a<script>if (a</b) '<p>'</script >b", "ab"), ("<p>a<textarea><p>x</textarea>b", "ab"),
     ):
         assert " ".join(b.text for b in H.blocks_of(page)) == want
+
+
+ARTICLE = f"<article><h1>Houses</h1><p>{PROSE * 3}</p></article>"
+
+
+@pytest.mark.parametrize("before", ["<head><title>t</title><body>", "<html><head><meta charset=utf-8><link rel=x href=y>", "<head><title>t</title><script>x</script>", "<html><head><style>p{}</style></head><body>"])
+def test_what_cannot_stand_in_a_head_ends_it(before):
+    for page in (ARTICLE, f"<p>{PROSE * 3}", PROSE * 3):
+        assert H.main_text(before + page).endswith((PROSE * 3).strip())
+    assert H.main_text(f"<head>{PROSE * 3}<title>{PROSE}</title>") == (PROSE * 3).strip()
+    assert H.main_text(f"<head><noscript>{PROSE}</noscript><title>{PROSE * 3}</title>") == ""
+
+
+def test_blocks_end_paragraphs():
+    text = (PROSE * 3).strip()
+    for inner in ("Buy now", "<b>Buy <i>now", "<a href=x>Buy now"):
+        assert H.main_text(f"<p class=ad>{inner}<div><p>{text}</p></div>") == text
+    assert H.main_text(f"<div><p hidden>gone<h2>Head</h2><p>{text}") == f"Head\n\n{text}"
+    assert H.main_text(f"<p>{text}<table><tr><td class=ad>x<td>{text}<tr><td><p class=ad>y<td>{text}</table>") == "\n\n".join([text] * 3)
+    assert H.main_text(f"<ul><li class=ad><p>x<li>{text}</ul>") == text
+    # within a cell or a button, blocks leave the paragraph around it open
+    assert H.main_text(f"<p class=ad><button><div>x</div></button>Buy {text}") == ""
+
+
+def test_slashes_of_values_close_nothing():
+    assert [H.self_closed(x) for x in (" href=http://x.org/", " href= http://x.org/", " href=\"x\"/", " /", "/", " a b/", " a='=' c/", " a=b /", " a=b c=/d/")] == [False, False, True, True, True, True, True, True, False]
+    linked = "".join(f"<p><a href=http://x.org/>{PROSE}</a></p>" for _ in range(3))
+    assert H.blocks_of(linked)[0].linked == len(PROSE.strip()) and H.main_text(f"<p>{PROSE * 3}</p>{linked}") == (PROSE * 3).strip()
+
+
+def test_forms_around_the_page():
+    text = (PROSE * 3).strip()
+    for page in (f"<main><p>{text}</p></main>", f"<div><p>{text}</p><p>{text}</p></div>"):
+        form = f"<body><form id=form1 method=post><input type=hidden name=x><div class=menu>{PROSE}</div>{page}<div class=footer>x</div></form>"
+        assert H.main_text(form) == H.main_text(f"<body><div class=menu>{PROSE}</div>{page}<div class=footer>x</div>") != ""
+    form = f"<form action=/subscribe><p>{text}</p><input name=mail></form>"
+    assert H.main_text(f"<p>{text}</p><p>{text}</p>{form}") == f"{text}\n\n{text}"
+    assert H.main_text(f"<article><p>{text}</p></article>{form}{form}") == H.main_text(f"<article><p>{text}</p></article>") == text
+
+
+@pytest.mark.parametrize("page", ["<p><table>" + "<b><div>" * 90_000, "<p>" + "<b>" * 150_000 + "<div>" * 90_000, "<p><b>" * 150_000, "<head>" * 150_000 + "<p>x", "<form><p>" * 100_000, "<a b=/" * 100 + " " * 900_000 + "/>"])
+def test_left_out_ends_take_linear_time(page):
+    began = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - began < 4
