@@ -176,12 +176,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", most: int = MOST_LABELLED) -> RuleEnsemble:
-    """Fits on at most ``most`` labelled documents outside the held-out fold; the same ones in every run."""
+    """Fits on at most ``most`` labelled documents outside the held-out fold; the same ones in every run.
+
+    Of rows that repeat an id, that with the least hash of its text is learnt from, so no document counts more than others.
+    """
     known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col(id_col).isNotNull())
     known = known.where(~held_out(F.col(id_col))).groupBy(id_col).agg(F.max("label").alias("label"))
     known = known.orderBy(F.xxhash64(id_col), id_col).limit(most)
     rows = docs.select(id_col, "text").join(F.broadcast(known), id_col)  # at most ``most`` narrow rows
-    found = checkpointed(with_statistics(rows).select(id_col, "label", "statistics"))
+    rows = with_statistics(rows.withColumn("h", F.xxhash64("text"))).select(id_col, "label", F.struct("h", "statistics").alias("row"))
+    # tasks send a row an id, however often it is repeated
+    found = checkpointed(rows.groupBy(id_col, "label").agg(F.min("row").alias("row")).select(id_col, "label", "row.statistics"))
     # at most ``most`` rows of a few numbers: in one task and one order, what is learnt doesn't depend on how documents are dealt
     return fit(found.repartition(1).sortWithinPartitions(F.xxhash64(id_col), id_col, "statistics"))
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -63,3 +64,17 @@ def test_scores_of_the_whole_table(spark):
         own = got[r.doc_id]
         assert abs(own.score - 1 / (1 + math.exp(-total))) < 1e-9
         assert own.predicted == (own.score >= 0.3) and own.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+@pytest.mark.parametrize("most", [50, 500])
+def test_repeated_ids_are_learnt_once(spark, monkeypatch, most):
+    """One labelled id on half of the rows counts as one document, and what is fitted stays within the bound."""
+    rows = [(k, " ".join(LINES[(k + j) % len(LINES)] for j in range(k % 5 + 1))) for k in range(600)]
+    hot = [(1, f"copy {k % 7} of a text") for k in range(600)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(600)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda found: seen.append(found.collect()))
+    for docs in (rows + hot, rows + hot[:7][::-1]):
+        quality.learn(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), labels, most=most)
+    assert len(seen[0]) <= most and len({r.doc_id for r in seen[0]}) == len(seen[0])
+    assert [tuple(r) for r in seen[0]] == [tuple(r) for r in seen[1]]  # texts decide, not how often they are there
