@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import Tag
 from .annotations import any_tag
-from .indexing import checkpointed, running_totals
+from .indexing import checkpointed
 from .items import predicted
 from .ranking import best, ranked
 
@@ -95,32 +101,103 @@ def uniform(i: Column, seed: int) -> Column:
     return bits / float(1 << 52)
 
 
-def weighted_draws(weights: DataFrame, m: int, seed: int = 0) -> DataFrame:
-    """``m`` draws with replacement of rows (item_id, w), with chance proportional to w: (item_id, weight = 1/(chance·m)).
+#: Weights are rounded to so small a part of the largest that their sums are exact; a block's sum stays within a long.
+UNIT = 1 << 40
+#: Draws whose places are sent to all tasks at most, 16 MB; more are sorted among the rows.
+SENT_DRAWS = 1 << 21
+
 
-    Weights are summed up over all rows in order of item_id, which gives each row an interval of [0, total). Draws and
-    intervals are put in one order by range partitioning, so that a row of great weight is no more than one row beside
-    its many draws, and each draw takes the last interval that begins before it: in its own partition or, at the
-    beginning of one, in those before (a row per partition is sent). Weights are rounded to a 2^40th of the largest so
-    that the sums are exact.
+def _in_blocks(weights: DataFrame, unit: int) -> DataFrame:
+    """(item_id, share, part, block, before): rows of some weight in order of item_id, and the sum of shares before each in its block.
+
+    A block are the next rows of a partition, so few that their shares can't exceed a long.
     """
     most = weights.agg(F.max("w").alias("most"))
-    unit = F.try_divide(F.col("w"), F.col("most"))
-    whole = weights.crossJoin(F.broadcast(most)).select("item_id", F.floor(F.coalesce(unit, F.lit(0.0)) * 2.0**40).cast("long").alias("share")).where("share > 0")
-    placed = running_totals(whole, ["item_id"], ("share",))
-    total = placed.agg(F.max("share_total").alias("total"))
-    draws = weights.sparkSession.range(m).crossJoin(F.broadcast(total)).where("total is not null")
-    draws = draws.select((uniform(F.col("id"), seed) * F.col("total")).cast("long").alias("at"), F.col("id").alias("draw"))
-    row = F.struct("item_id", "share", "share_total")
-    both = placed.select(F.col("share_before").alias("at"), F.lit(-1).cast("long").alias("draw"), row.alias("row"))
-    both = both.unionByName(draws, allowMissingColumns=True).repartitionByRange("at", "draw").sortWithinPartitions("at", "draw")
+    whole = F.floor(F.coalesce(F.try_divide(F.col("w"), F.col("most")), F.lit(0.0)) * float(unit)).cast("long")
+    rows = weights.crossJoin(F.broadcast(most)).select("item_id", whole.alias("share")).where("share > 0").withColumn("_tie", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange("item_id", "_tie").sortWithinPartitions("item_id", "_tie").select("item_id", "share", F.spark_partition_id().alias("part"))
+    size = max(1, (1 << 62) // unit)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = before = 0
+        for batch in batches:
+            while batch.num_rows:
+                now = batch.slice(0, size - seen % size)
+                share = now.column("share").to_numpy()
+                ends = before + share.cumsum()
+                block = pa.array(np.full(now.num_rows, seen // size))
+                yield pa.RecordBatch.from_arrays([*now.columns, block, pa.array(ends - share)], ["item_id", "share", "part", "block", "before"])
+                seen += now.num_rows
+                before = 0 if seen % size == 0 else int(ends[-1])
+                batch = batch.slice(now.num_rows)
+
+    return checkpointed(rows.mapInArrow(add, T.StructType([*rows.schema, T.StructField("block", T.LongType()), T.StructField("before", T.LongType())])))
+
+
+def _drawn_places(draws: DataFrame, total: int, starts: list[int]) -> DataFrame:
+    """(draw, no, at): of each draw (draw, u) the number of the block that holds the place u * total, and the place in it."""
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [int(u * float(total)) for u in batch.column("u").to_pylist()]
+            no = [bisect_right(starts, x) - 1 for x in places]
+            at = pa.array([x - starts[k] for x, k in zip(places, no, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("draw"), pa.array(no, pa.int64()), at], ["draw", "no", "at"])
+
+    return draws.mapInArrow(locate, "draw long, no long, at long")
+
+
+def weighted_draws(weights: DataFrame, m: int, seed: int = 0, unit: int = UNIT, sent: int = SENT_DRAWS) -> DataFrame:
+    """``m`` draws with replacement of rows (item_id, w), with chance proportional to w: (item_id, weight = 1/(chance·m)).
+
+    Weights are summed up over all rows in order of item_id, which gives each row an interval of [0, total). They are
+    rounded to a ``unit``-th of the largest, so that the sums are exact; a place is a block of rows and a place in the
+    block, so that no sum exceeds a long, however many rows there are. The driver holds a number for each block (a
+    partition or four million rows). The places of up to ``sent`` draws are sent to all tasks, which look up those in
+    their own blocks; more draws and the intervals are put in one order by range partitioning, where each draw takes the
+    last interval that begins before it: in its own partition or, at the beginning of one, in those before. Either way a
+    row of great weight is no more than one row beside its many draws.
+    """
+    spark = weights.sparkSession
+    placed = _in_blocks(weights, unit)
+    sums = placed.groupBy("part", "block").agg(F.sum("share").alias("s")).collect()  # a row a block
+    blocks = sorted((r["part"], r["block"], r["s"]) for r in sums)
+    starts = [0, *accumulate(s for *_, s in blocks)]
+    total = starts.pop()
+    numbered = {(part, block): k for k, (part, block, _) in enumerate(blocks)}
+    worth = (F.lit(float(total)) / (F.col("share") * F.lit(float(m)))).alias("weight")
+    if not total or m <= 0:
+        return placed.where(F.lit(False)).select("item_id", F.lit(0.0).alias("weight"))
+    draws = _drawn_places(spark.range(m).select(F.col("id").alias("draw"), uniform(F.col("id"), seed).alias("u")), total, starts)
+    if m <= sent:
+        places = draws.select("no", "at").toArrow()
+        no, at = (places.column(c).to_numpy() for c in ("no", "at"))
+        order = np.lexsort((at, no))
+        cuts = np.searchsorted(no[order], np.arange(len(blocks) + 1))
+        own = {k: at[order[cuts[n] : cuts[n + 1]]] for k, n in numbered.items() if cuts[n + 1] > cuts[n]}
+
+        def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                part, block, before, share = (batch.column(c).to_numpy() for c in ("part", "block", "before", "share"))
+                for a, b in pairwise([*np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (part[1:] != part[:-1]))[: len(block)]), len(block)]):
+                    found = own.get((int(part[a]), int(block[a])))
+                    if found is not None:
+                        times = np.searchsorted(found, before[a:b] + share[a:b]) - np.searchsorted(found, before[a:b])
+                        yield batch.select(["item_id", "share"]).take(pa.array(np.repeat(np.arange(a, b), times)))
+
+        hits = placed.mapInArrow(take, T.StructType([placed.schema["item_id"], placed.schema["share"]]))
+        return hits.select("item_id", worth)
+    numbers = spark.createDataFrame([(*k, n) for k, n in numbered.items()], "part int, block long, no long")
+    row = F.struct("item_id", "share")
+    both = placed.join(F.broadcast(numbers), ["part", "block"]).select("no", F.col("before").alias("at"), F.lit(-1).cast("long").alias("draw"), row.alias("row"))
+    both = both.unionByName(draws, allowMissingColumns=True).repartitionByRange("no", "at", "draw").sortWithinPartitions("no", "at", "draw")
     both = checkpointed(both.withColumn("_part", F.spark_partition_id()))
-    ends = both.where("draw < 0").groupBy("_part").agg(F.max_by("row", "at").alias("end"), F.max("at").alias("at"))
+    ends = both.where("draw < 0").groupBy("_part").agg(F.max_by("row", F.struct("no", "at")).alias("end"))
     before = both.select("_part").distinct().join(ends, "_part", "left")
     before = before.select("_part", F.last("end", True).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("end"))  # a row per partition
-    inside = F.last("row", True).over(Window.partitionBy("_part").orderBy("at", "draw").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.last("row", True).over(Window.partitionBy("_part").orderBy("no", "at", "draw").rowsBetween(Window.unboundedPreceding, 0))
     hit = both.withColumn("hit", inside).where("draw >= 0").join(F.broadcast(before), "_part").select(F.coalesce("hit", "end").alias("hit"))
-    return hit.select("hit.item_id", (F.col("hit.share_total") / (F.col("hit.share") * F.lit(float(m)))).alias("weight"))
+    return hit.select("hit.*").select("item_id", worth)
 
 
 def draw_sample(pool: DataFrame, known: DataFrame, budget: int, g: float, alpha: float = ALPHA, seed: int = 0, exclude_known: bool = False) -> DataFrame:

@@ -1,3 +1,7 @@
+import hashlib
+import itertools
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -63,8 +67,6 @@ def test_the_loop_comes_near_the_true_f1(spark):
 
 def draws_by_hand(ids, weights, m, seed):
     """The same draws, one after the other: intervals in order of the id, numbers from the hash of the draw's number."""
-    import hashlib
-
     share = np.floor(np.array(weights) / max(weights) * 2.0**40).astype(np.int64)
     order = [i for i in np.argsort(ids) if share[i] > 0]
     ends, total = np.cumsum(share[order]), int(share.sum())
@@ -80,9 +82,27 @@ def test_draws_equal_those_by_hand(spark):
     """With ids out of order, zero and missing weights, and one row that is nearly all of the weight."""
     ids, weights = [5, 3, 9, 1, 7, 2, 8], [1.0, 0.0, 500.0, 2.0, 1e-15, 3.0, 0.5]
     rows = spark.createDataFrame([*zip(ids, weights), (4, None)], "item_id long, w double").repartition(3)
-    got = sorted((r.item_id, round(r.weight, 9)) for r in G.weighted_draws(rows, 3000, 11).collect())
-    assert got == sorted((i, round(w, 9)) for i, w in draws_by_hand(ids, weights, 3000, 11))
-    assert G.weighted_draws(rows.limit(0), 10).count() == 0
+    want = sorted((i, round(w, 9)) for i, w in draws_by_hand(ids, weights, 3000, 11))
+    for sent in (1 << 20, 10):  # places sent to tasks, or sorted among the rows
+        assert sorted((r.item_id, round(r.weight, 9)) for r in G.weighted_draws(rows, 3000, 11, sent=sent).collect()) == want
+        assert G.weighted_draws(rows.limit(0), 10, sent=sent).count() == 0
+
+
+def test_weights_whose_sum_exceeds_a_long(spark):
+    """With a unit of 2^60 four rows fill a block and nine exceed a long, as eight million rows do with the usual one."""
+    ids, weights = list(range(200)), [1.0 + i % 3 for i in range(200)]
+    rows = spark.createDataFrame([*zip(ids, weights)], "item_id long, w double").repartition(3)
+    share = [int(math.floor(w / 3.0 * 2.0**60)) for w in weights]
+    ends, total = list(itertools.accumulate(share)), sum(share)
+    assert total > 1 << 63
+    want = []
+    for k in range(500):
+        at = int(int(hashlib.md5(f"{k}|5".encode()).hexdigest()[:13], 16) / 2**52 * float(total))
+        want.append(next(i for i, e in enumerate(ends) if at < e))
+    for sent in (1 << 20, 10):
+        got = G.weighted_draws(rows, 500, 5, unit=1 << 60, sent=sent).collect()
+        assert sorted(r.item_id for r in got) == sorted(want)
+        assert all(abs(r.weight * 500 * share[r.item_id] / total - 1) < 1e-9 for r in got)
 
 
 def isotonic(scores, labels):
