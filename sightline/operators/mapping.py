@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import pickle
+import socket
+import time
 import traceback
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import vectors as V
+from .indexing import running_totals
 
 
 class Embedder(Protocol):
@@ -112,21 +120,30 @@ def infer(embeddings: DataFrame, weights: list[float], bias: float = 0.0) -> Dat
     return embeddings.select("item_id", "embedding", (V.dot(F.col("embedding"), F.array(*map(F.lit, weights))) + bias).alias("score"))
 
 
+def _said(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
 def map_elements(rows: DataFrame, function: Callable[[Any], Any], input_col: str, id_col: str = "item_id", output: str = "double", setup: Callable[[], None] | None = None) -> DataFrame:
-    """(id, output, status, error): an element that fails is skipped, not fatal; a null output counts as skipped."""
+    """(id, output, status, error): an element that fails is skipped alone, not fatal; a null output counts as skipped.
+
+    The error is its kind and message, with the trace where a task meets the kind for the first time.
+    """
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if setup:
             setup()
+        met: set[type] = set()
         for f in frames:
             out = []
             for key, x in zip(f["id"], f["input"], strict=True):
                 try:
                     y = function(x)
                     out.append((key, y, "skipped" if y is None else "processed", None))
-                except Exception:  # the job goes on without this element
-                    out.append((key, None, "skipped", traceback.format_exc(limit=1)))
+                except Exception as e:  # the job goes on without this element
+                    out.append((key, None, "skipped", _said(e) if type(e) in met else traceback.format_exc(limit=3)))
+                    met.add(type(e))
             yield pd.DataFrame(out, columns=["id", "output", "status", "error"])
 
     return rows.select(F.col(id_col).alias("id"), F.col(input_col).alias("input")).mapInPandas(run, f"id {kind}, output {output}, status string, error string")
@@ -137,6 +154,160 @@ def tallies(mapped: DataFrame) -> DataFrame:
     return mapped.groupBy(F.spark_partition_id().alias("task")).agg(F.count_if(F.col("status") == "processed").alias("processed"), F.count_if(F.col("status") == "skipped").alias("skipped"))
 
 
+class Mapper:
+    """What a job does with chunks of elements; override what is needed. Instances are sent to the tasks.
+
+    ``open`` is called once a task, then ``start`` with the job's arguments; what it returns is handed to all later calls.
+    ``chunk`` gives an output for each input, ``finish`` an output of the whole chunk and the final outputs.
+    """
+
+    def __init__(self) -> None:
+        self.timings: dict[str, list[float]] = {}
+
+    def open(self) -> None:
+        pass
+
+    def start(self, args: Any) -> Any:
+        return args
+
+    def element(self, x: Any, job: Any) -> Any:
+        raise NotImplementedError
+
+    def chunk(self, inputs: list, job: Any) -> list:
+        return [self.element(x, job) for x in inputs]
+
+    def finish(self, inputs: list, outputs: list, job: Any) -> tuple[Any, list]:
+        return None, outputs
+
+    @contextmanager
+    def timed(self, name: str) -> Iterator[None]:
+        """Measures what is done inside, as one more timing of that name in the job's profile."""
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            self.timings.setdefault(name, []).append(time.perf_counter() - began)
+
+
+class Progress:
+    """How far a running job is, read by the driver while it runs: tasks report what they have done as they end.
+
+    A task that runs again after its executor was lost reports again; final counts are those of ``job_counts``.
+    """
+
+    def __init__(self, spark: SparkSession, n_total: int | None = None):
+        sc = spark.sparkContext
+        self.n_total, self.began = n_total, time.monotonic()
+        self.processed, self.skipped = sc.accumulator(0), sc.accumulator(0)
+
+    def status(self) -> dict[str, Any]:
+        n, elapsed = self.processed.value + self.skipped.value, time.monotonic() - self.began
+        out = {"n_processed": self.processed.value, "n_skipped": self.skipped.value, "elapsed_time": elapsed}
+        if self.n_total is not None:
+            out |= {"n_total": self.n_total, "finished": n >= self.n_total, "time_left": time_left(n, max(0, self.n_total - n), elapsed)}
+        return out
+
+
+CHUNK, RETRIES = 64, 3
+
+
+def map_chunks(
+    rows: DataFrame, mapper: Mapper, input_col: str, id_col: str = "item_id", output: str = "double", args: Any = None, size: int = CHUNK, retries: int = RETRIES,
+    order: list[str | Column] | None = None, chunk_output: str = "string", progress: Progress | None = None,
+) -> DataFrame:
+    """A row per chunk of ``size`` elements: what ``mapper`` made of it in at most ``retries`` attempts.
+
+    A chunk that fails is tried again inside its task; after the last attempt it is skipped whole. So is a chunk whose
+    mapper gives another number of outputs. A null output skips the element alone. With ``order``, chunks are the next
+    ``size`` elements of the whole table in that order, numbered from 0 (elements are sorted once and dealt by chunk);
+    without, they are cut from each task's own rows, the last of a task may be shorter, numbers have gaps and nothing is
+    shuffled. Null inputs are handed on as None.
+
+    Returns: chunk, worker, n, attempts, status, error (kind and message of the last failure), trace (of a task's first
+    failure of a kind), seconds (of the last attempt), timings (map of lists), chunk_output, elements (array of id, output, status).
+    """
+    kind = rows.schema[id_col].dataType.simpleString()
+    narrow = rows.select(F.col(id_col).alias("id"), F.col(input_col).alias("input"), *(c.alias(f"o{k}") if isinstance(c, Column) else F.col(c).alias(f"o{k}") for k, c in enumerate(order or [])))
+    if order is None:
+        planned = narrow.withColumn("chunk", F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    else:
+        placed = running_totals(narrow, [f"o{k}" for k in range(len(order))])
+        planned = placed.withColumn("chunk", F.floor(F.col("row_no") / size).cast("long")).repartition("chunk").sortWithinPartitions("chunk", "row_no")
+    planned = planned.select("chunk", "id", "input")
+    schema = T.StructType.fromDDL(
+        f"chunk long, worker string, n int, attempts int, status string, error string, trace string, seconds double, timings map<string,array<double>>, chunk_output {chunk_output}, elements array<struct<id:{kind},output:{output},status:string>>"
+    )
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
+        number, ids, inputs, cut = None, [], [], 0
+        for batch in batches:
+            for c, i, x in zip(*(batch.column(k).to_pylist() for k in ("chunk", "id", "input")), strict=True):
+                if ids and (len(ids) == size or c != number):
+                    yield number + cut, ids, inputs
+                    ids, inputs, cut = [], [], cut + (order is None)
+                number = c
+                ids.append(i)
+                inputs.append(x)
+        if ids:
+            yield number + cut, ids, inputs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields, worker, met = to_arrow_schema(schema), f"{socket.gethostname()}:{os.getpid()}", set()
+        mapper.timings = {}
+        mapper.open()
+        job = mapper.start(args)
+        for number, ids, inputs in chunks(batches):
+            outputs, whole, error, trace, attempt = None, None, None, None, 0
+            while outputs is None and attempt < retries:
+                attempt += 1
+                mapper.timings = {}
+                began = time.perf_counter()
+                try:
+                    whole, found = mapper.finish(inputs, mapper.chunk(list(inputs), job), job)
+                    if len(found) != len(inputs):
+                        raise ValueError(f"{len(found)} outputs for {len(inputs)} inputs")
+                    outputs = list(found)
+                except Exception as e:  # tried again, then skipped whole
+                    error, trace = _said(e), trace if type(e) in met else traceback.format_exc(limit=4)
+                    met.add(type(e))
+            seconds = time.perf_counter() - began
+            good = outputs is not None
+            states = ["skipped" if y is None else "processed" for y in outputs or [None] * len(ids)]
+            if progress:
+                progress.processed.add(states.count("processed"))
+                progress.skipped.add(states.count("skipped"))
+            elements = [{"id": i, "output": y, "status": x} for i, y, x in zip(ids, outputs or [None] * len(ids), states, strict=True)]
+            row = (number, worker, len(ids), attempt, "processed" if good else "skipped", error, trace, seconds, list(mapper.timings.items()), whole if good else None, elements)
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, fields, strict=True)], schema=fields)
+
+    return planned.mapInArrow(run, schema)
+
+
+def elements(done: DataFrame) -> DataFrame:
+    """(chunk, attempts, id, output, status): the elements of a job's chunks."""
+    return done.select("chunk", "attempts", F.inline("elements"))
+
+
+def timing_profile(done: DataFrame) -> DataFrame:
+    """(name, n, mean, std) of the named timings of processed chunks, and of their ``total_time``."""
+    good = done.where("status = 'processed'")
+    named = good.select(F.explode("timings").alias("name", "all")).select("name", F.explode("all").alias("x"))
+    every = named.unionByName(good.select(F.lit("total_time").alias("name"), F.col("seconds").alias("x")))
+    return every.groupBy("name").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"))
+
+
+def utilisation(done: DataFrame) -> DataFrame:
+    """(worker, chunks): how many chunks each worker process has processed."""
+    return done.where("status = 'processed'").groupBy("worker").agg(F.count("*").alias("chunks"))
+
+
+def job_counts(done: DataFrame) -> DataFrame:
+    """One row: chunks, attempts, n_total, n_processed, n_skipped."""
+    good = F.size(F.filter("elements", lambda e: e["status"] == "processed"))
+    sums = {"attempts": F.col("attempts"), "n_total": F.col("n"), "n_processed": good, "n_skipped": F.col("n") - good}
+    return done.agg(F.count("*").alias("chunks"), *(F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(k) for k, v in sums.items()))
+
+
 def time_left(processed: int, remaining: int, elapsed: float) -> float:
     return remaining * elapsed / processed if processed else -1.0
 
