@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import Tag
 from .annotations import any_tag, tagged
-from .items import in_range, predicted
-from .ranking import first_rows, normalised
+from .indexing import checkpointed
+from .items import predicted
+from .partials import matrix_of, summed
+from .ranking import first_rows, knn
+from .solvers import lbfgs
 
 SVM_NEGATIVES, DNN_NEGATIVES = 7, 10
 SCALE = 1000.0
@@ -58,26 +59,46 @@ def unlabelled(items: DataFrame, annotations: DataFrame, *tag_sets: list[Tag]) -
     return items.where("not is_val").join(used, "item_id", "left_anti")
 
 
-def fit_svm(train: DataFrame, embeddings: DataFrame, c: float = 0.1, iterations: int = 50) -> list[float]:
-    """Weights of a linear SVM, scaled, without the intercept; needs both labels.
+def svm_loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """The sum of squared hinges of rows ``x`` with labels of -1 and 1, and its gradient; the last weight is the intercept."""
+    short = np.maximum(0, 1 - y * (x @ w[:-1] + w[-1]))
+    pull = -2 * short * y
+    return float(short @ short), np.append(pull @ x, pull.sum())
 
-    The loss is the hinge, not its square as in common single-machine solvers; the weights rank alike.
+
+def fit_svm_weights(train: DataFrame, embeddings: DataFrame, c: float = 0.1, iterations: int = 200) -> np.ndarray:
+    """Weights and, last, the intercept that minimise |w|²/2 + c · Σ max(0, 1 - y (w·x))², the intercept penalised like a weight.
+
+    train: (item_id, label 0 or 1), embeddings: (item_id, embedding). Needs both labels. Vectors that are null, hold null
+    or have another length than most are left out. Each step of the solver is one job: tasks sum up the loss and its
+    gradient over blocks of rows, these sums are added up in groups, and a few vectors come to the driver.
     """
-    rows = train.join(embeddings, "item_id").select(F.col("label").cast("double").alias("label"), array_to_vector(V.doubles(F.col("embedding"))).alias("features")).persist()
-    try:
-        counts = rows.agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels")).first()
-        if counts["labels"] < 2:
-            raise ValueError("a positive and a negative item are needed")
-        model = LinearSVC(regParam=1.0 / (c * counts["n"]), maxIter=iterations, standardization=False).fit(rows)
-        return (model.coefficients.toArray() * SCALE).astype(np.float32).astype(float).tolist()
-    finally:
-        rows.unpersist()
+    rows = train.select("item_id", F.when(F.col("label") == 1, 1.0).otherwise(-1.0).alias("y")).join(embeddings.select("item_id", V.doubles(F.col("embedding")).alias("x")), "item_id")
+    rows = rows.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull())).select("y", "x", F.size("x").alias("size"))
+    rows = checkpointed(rows)
+    counts = rows.groupBy("size", "y").count().collect()  # two rows a length
+    sizes = sorted({r["size"] for r in counts}, key=lambda k: (-sum(r["count"] for r in counts if r["size"] == k), k))
+    if not sizes or len([r for r in counts if r["size"] == sizes[0]]) < 2:
+        raise ValueError("a positive and a negative item are needed")
+    dim = sizes[0]
+    rows = rows.where(F.col("size") == dim).select("y", "x")
+
+    def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
+        value, slope = summed(rows, lambda b: svm_loss(matrix_of(b.column("x"), dim), b.column("y").to_numpy(), w), dim + 1)
+        return c * value + 0.5 * float(w @ w), c * slope + w
+
+    return lbfgs(objective, np.zeros(dim + 1), iterations)[0]
+
+
+def fit_svm(train: DataFrame, embeddings: DataFrame, c: float = 0.1, iterations: int = 200) -> list[float]:
+    """Weights of a linear SVM with squared hinge loss, scaled, without the intercept; needs both labels."""
+    return (fit_svm_weights(train, embeddings, c, iterations)[:-1] * SCALE).astype(np.float32).astype(float).tolist()
 
 
 def svm_query(items: DataFrame, embeddings: DataFrame, weights: list[float], low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Items with their dot product with the weights, scaled to [0, 1] over all embeddings, within the range."""
-    scored = embeddings.select("item_id", V.dot(F.col("embedding"), F.array(*map(F.lit, weights))).alias("dist"))
-    return items.join(normalised(scored).where(in_range(F.col("dist"), low, high)), "item_id")
+    one = embeddings.sparkSession.createDataFrame([(list(map(float, weights)),)], "query array<double>")
+    return knn(items, embeddings, one, "dot", low, high)
 
 
 def training_metrics(scored: DataFrame) -> DataFrame:

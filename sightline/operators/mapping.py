@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import vectors as V
 from .indexing import running_totals
+from .partials import pooled
+from .ranking import measured, vectors_of
 
 
 class Embedder(Protocol):
@@ -116,8 +117,16 @@ def embed(items: DataFrame, embedder: Embedder, input_col: str, id_col: str = "i
 
 
 def infer(embeddings: DataFrame, weights: list[float], bias: float = 0.0) -> DataFrame:
-    """Scores of a linear model: (item_id, embedding, score)."""
-    return embeddings.select("item_id", "embedding", (V.dot(F.col("embedding"), F.array(*map(F.lit, weights))) + bias).alias("score"))
+    """Scores of a linear model: (item_id, embedding, score), a batch at a time; null for vectors that are null or of another length."""
+    w = np.array(weights, float)
+    rows = embeddings.select("item_id", "embedding", F.col("embedding").cast("array<double>").alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = pa.array(measured(vectors_of(batch.column("x"), len(w)), w, "dot") + bias, from_pandas=True)
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("embedding"), score], ["item_id", "embedding", "score"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:2], T.StructField("score", T.DoubleType())]))
 
 
 def _said(e: Exception) -> str:
@@ -322,11 +331,7 @@ def running_stats(rows: DataFrame, column: str) -> DataFrame:
 
 def pool(vectors: DataFrame, how: str = "avg", column: str = "embedding") -> DataFrame:
     """Element-wise mean or maximum of all vectors as one row; ``none`` leaves them as they are."""
-    if how == "none":
-        return vectors
-    at = vectors.select(F.posexplode(V.doubles(F.col(column))).alias("i", "x"))
-    one = at.groupBy("i").agg({"avg": F.avg, "max": F.max}[how]("x").alias("x"))  # a row per dimension
-    return one.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias(column))
+    return vectors if how == "none" else pooled(vectors, how, column)
 
 
 def top_k(rows: DataFrame, score: str, k: int, tie: str = "item_id") -> DataFrame:

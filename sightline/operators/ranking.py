@@ -16,6 +16,7 @@ from .annotations import per_item
 from .clustering import page_clusters
 from .indexing import checkpointed, running_totals
 from .items import in_range
+from .partials import pooled
 
 PAGE = 500
 #: First rows of an order that every task may keep; beyond, the order is made by a range partitioning.
@@ -23,10 +24,8 @@ FIRST_ROWS = 100_000
 
 
 def query_vector(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """One row: the element-wise mean of the query vectors (a few)."""
-    at = vectors.select(F.posexplode(V.doubles(F.col(column))).alias("i", "x"))
-    means = at.groupBy("i").agg(F.avg("x").alias("x"))
-    return means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("query"))
+    """One row: the element-wise mean of the query vectors."""
+    return pooled(vectors, "avg", column).withColumnRenamed(column, "query")
 
 
 def measured(vectors: list[np.ndarray | None], query: np.ndarray, metric: str) -> np.ndarray:
@@ -40,6 +39,14 @@ def measured(vectors: list[np.ndarray | None], query: np.ndarray, metric: str) -
     return out
 
 
+def vectors_of(column: pa.Array, dim: int) -> list[np.ndarray | None]:
+    """The vectors of a column of lists, at once where all have ``dim`` numbers."""
+    whole = column.flatten().to_numpy(zero_copy_only=False) if not column.null_count else np.empty(0)
+    if dim and len(column) and whole.size == len(column) * dim and (np.diff(column.offsets.to_numpy()) == dim).all():
+        return list(whole.reshape(len(column), dim))
+    return [np.array(x.as_py(), float) if x.is_valid else None for x in column]
+
+
 def distances(embeddings: DataFrame, query: DataFrame, metric: str = "l2") -> DataFrame:
     """Rows (item_id, dist) over all embeddings, computed a batch at a time; the query is one row.
 
@@ -54,13 +61,7 @@ def distances(embeddings: DataFrame, query: DataFrame, metric: str = "l2") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("embedding")
-            whole = column.flatten().to_numpy(zero_copy_only=False) if not column.null_count else np.empty(0)
-            if len(q) and len(column) and whole.size == len(column) * len(q) and (np.diff(column.offsets.to_numpy()) == len(q)).all():
-                vectors = list(whole.reshape(len(column), len(q)))
-            else:
-                vectors = [np.array(x.as_py(), float) if x.is_valid else None for x in column]
-            yield pa.RecordBatch.from_pydict({"item_id": batch.column("item_id"), "dist": pa.array(measured(vectors, q, metric), from_pandas=True)})
+            yield pa.RecordBatch.from_pydict({"item_id": batch.column("item_id"), "dist": pa.array(measured(vectors_of(batch.column("embedding"), len(q)), q, metric), from_pandas=True)})
 
     return embeddings.select("item_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, f"item_id {kind}, dist double")
 

@@ -332,64 +332,6 @@ def find_similar(s, d):
 _WEIGHTS = [((i * 37) % 19 - 9) / 10 for i in range(64)]
 
 
-class Moody(M.Mapper):
-    """Doubles scores in chunks; a chunk whose first item 7 divides fails always, one that 3 divides at its first attempt only."""
-
-    def start(self, args: float) -> dict:
-        return {"factor": args, "tried": set()}
-
-    def chunk(self, inputs: list, job: dict) -> list:
-        first = inputs[0]["item_id"]
-        if first % 7 == 0:
-            raise ValueError(f"no {first}")
-        if first % 3 == 0 and first not in job["tried"]:
-            job["tried"].add(first)
-            raise RuntimeError("not yet")
-        with self.timed("scoring"):
-            return [self.element(x["score"], job) for x in inputs]
-
-    def element(self, x: float, job: dict) -> float | None:
-        return None if x < 0.1 else x * job["factor"]
-
-    def finish(self, inputs: list, outputs: list, job: dict) -> tuple[float, list]:
-        return math.fsum(x for x in outputs if x is not None), outputs
-
-
-_CHUNKED = """, placed as (select *, (row_number() over (order by item_id) - 1) // 64 as chunk from scores),
-firsts as (select chunk, min(item_id) as first, count(*) as n, sum(score * 2) filter (score >= 0.1e0) as total, count(*) filter (score >= 0.1e0) as good from placed group by chunk),
-job as (select *, case when first % 7 = 0 then 3 when first % 3 = 0 then 2 else 1 end as attempts, case when first % 7 = 0 then 'skipped' else 'processed' end as state from firsts)"""
-
-
-def _job(s, d) -> DataFrame:
-    rows = derive(s, d, "scores").select("item_id", F.struct("item_id", "score").alias("input"))
-    return checkpointed(M.map_chunks(rows, Moody(), "input", args=2.0, size=64, order=["item_id"], chunk_output="double"))
-
-
-@query(sql(f"{_CHUNKED} select chunk, attempts, item_id as id, case when state = 'processed' and score >= 0.1e0 then score * 2 end as output, case when state = 'processed' and score >= 0.1e0 then 'processed' else 'skipped' end as status from placed join job using (chunk)", "scores"))
-def chunk_retries(s, d):
-    """Elements of chunks that are tried again, or skipped whole after the last attempt."""
-    return M.elements(_job(s, d))
-
-
-@query(sql(f"{_CHUNKED} select chunk, n, attempts, state as status, case when first % 7 = 0 then 'ValueError: no ' || first when first % 3 = 0 then 'RuntimeError: not yet' end as error, round(case when state = 'processed' then coalesce(total, 0) end, 6) as chunk_output from job", "scores"))
-def chunk_outputs(s, d):
-    """What post-processing makes of each chunk, and the last failure."""
-    return _job(s, d).select("chunk", F.col("n").cast("long").alias("n"), "attempts", "status", "error", F.round("chunk_output", 6).alias("chunk_output"))
-
-
-@query(sql(f"{_CHUNKED} select count(*) as chunks, sum(attempts)::bigint as attempts, sum(n)::bigint as n_total, sum(case when state = 'processed' then good else 0 end)::bigint as n_processed, sum(case when state = 'processed' then n - good else n end)::bigint as n_skipped from job", "scores"))
-def job_counts(s, d):
-    return M.job_counts(_job(s, d))
-
-
-@query(sql(f"{_CHUNKED} select kind, name, count(*) as n from job, (values ('timing', 'scoring'), ('timing', 'total_time'), ('workers', 'all')) t(kind, name) where state = 'processed' group by all", "scores"))
-def job_profile(s, d):
-    """How often each named timing was taken, and how many chunks all workers together have processed."""
-    done = _job(s, d)
-    timings = M.timing_profile(done).select(F.lit("timing").alias("kind"), "name", "n")
-    return timings.unionByName(M.utilisation(done).agg(F.sum("chunks").alias("n")).select(F.lit("workers").alias("kind"), F.lit("all").alias("name"), "n"))
-
-
 @query(sql(f", raw as (select item_id, list_dot_product(embedding::double[], {_WEIGHTS}::double[]) as x from emb), scaled as (select item_id, (x - min(x) over ()) / (max(x) over () - min(x) over ()) as dist from raw) select item_id, dist, row_number() over (order by dist desc, item_id) - 1 as rank from scaled where dist between 0.25e0 and 1", "emb"))
 def svm_score_query(s, d):
     found = L.svm_query(derive(s, d, "items"), derive(s, d, "emb").select("item_id", "embedding"), _WEIGHTS, low=0.25)
@@ -486,6 +428,18 @@ def svm_fit(s, d):
     return _ranked(L.svm_query(derive(s, d, "items"), emb.select("item_id", "embedding"), weights), "dot")
 
 
+@query(sql(", n as (select max(len(embedding)) as d from emb) select unnest(range(d + 1)) as i, 0e0 as slope from n", "emb"))
+def svm_gradient(s, d):
+    """How steep the SVM's loss is at the weights that have been found, for each weight and, last, the intercept."""
+    emb = derive(s, d, "emb")
+    w = L.fit_svm_weights(emb.select("item_id", (F.col("label") == 3).cast("int").alias("label")), emb.select("item_id", "embedding")).tolist()
+    rows = emb.select(F.when(F.col("label") == 3, 1.0).otherwise(-1.0).alias("y"), F.concat(V.doubles(F.col("embedding")), F.array(F.lit(1.0))).alias("x"))
+    short = F.greatest(F.lit(0.0), 1 - F.col("y") * V.dot(F.col("x"), F.array(*map(F.lit, w))))
+    pull = rows.select(F.posexplode("x").alias("i", "x"), (-0.2 * F.col("y") * short).alias("pull")).groupBy("i").agg(F.sum(F.col("pull") * F.col("x")).alias("g"))
+    slope = F.abs(F.round(F.col("g") + F.element_at(F.array(*map(F.lit, w)), F.col("i") + 1), 3))
+    return pull.select(F.col("i").cast("long").alias("i"), slope.alias("slope"))
+
+
 # Validation
 
 
@@ -707,6 +661,64 @@ def map_tallies(s, d):
     return M.tallies(_mapped(s, d)).agg(F.sum("processed").alias("processed"), F.sum("skipped").alias("skipped"))
 
 
+class Moody(M.Mapper):
+    """Doubles scores in chunks; a chunk whose first item 7 divides fails always, one that 3 divides at its first attempt only."""
+
+    def start(self, args: float) -> dict:
+        return {"factor": args, "tried": set()}
+
+    def chunk(self, inputs: list, job: dict) -> list:
+        first = inputs[0]["item_id"]
+        if first % 7 == 0:
+            raise ValueError(f"no {first}")
+        if first % 3 == 0 and first not in job["tried"]:
+            job["tried"].add(first)
+            raise RuntimeError("not yet")
+        with self.timed("scoring"):
+            return [self.element(x["score"], job) for x in inputs]
+
+    def element(self, x: float, job: dict) -> float | None:
+        return None if x < 0.1 else x * job["factor"]
+
+    def finish(self, inputs: list, outputs: list, job: dict) -> tuple[float, list]:
+        return math.fsum(x for x in outputs if x is not None), outputs
+
+
+_CHUNKED = """, placed as (select *, (row_number() over (order by item_id) - 1) // 64 as chunk from scores),
+firsts as (select chunk, min(item_id) as first, count(*) as n, sum(score * 2) filter (score >= 0.1e0) as total, count(*) filter (score >= 0.1e0) as good from placed group by chunk),
+job as (select *, case when first % 7 = 0 then 3 when first % 3 = 0 then 2 else 1 end as attempts, case when first % 7 = 0 then 'skipped' else 'processed' end as state from firsts)"""
+
+
+def _job(s, d) -> DataFrame:
+    rows = derive(s, d, "scores").select("item_id", F.struct("item_id", "score").alias("input"))
+    return checkpointed(M.map_chunks(rows, Moody(), "input", args=2.0, size=64, order=["item_id"], chunk_output="double"))
+
+
+@query(sql(f"{_CHUNKED} select chunk, attempts, item_id as id, case when state = 'processed' and score >= 0.1e0 then score * 2 end as output, case when state = 'processed' and score >= 0.1e0 then 'processed' else 'skipped' end as status from placed join job using (chunk)", "scores"))
+def chunk_retries(s, d):
+    """Elements of chunks that are tried again, or skipped whole after the last attempt."""
+    return M.elements(_job(s, d))
+
+
+@query(sql(f"{_CHUNKED} select chunk, n, attempts, state as status, case when first % 7 = 0 then 'ValueError: no ' || first when first % 3 = 0 then 'RuntimeError: not yet' end as error, round(case when state = 'processed' then coalesce(total, 0) end, 6) as chunk_output from job", "scores"))
+def chunk_outputs(s, d):
+    """What post-processing makes of each chunk, and the last failure."""
+    return _job(s, d).select("chunk", F.col("n").cast("long").alias("n"), "attempts", "status", "error", F.round("chunk_output", 6).alias("chunk_output"))
+
+
+@query(sql(f"{_CHUNKED} select count(*) as chunks, sum(attempts)::bigint as attempts, sum(n)::bigint as n_total, sum(case when state = 'processed' then good else 0 end)::bigint as n_processed, sum(case when state = 'processed' then n - good else n end)::bigint as n_skipped from job", "scores"))
+def job_counts(s, d):
+    return M.job_counts(_job(s, d))
+
+
+@query(sql(f"{_CHUNKED} select kind, name, count(*) as n from job, (values ('timing', 'scoring'), ('timing', 'total_time'), ('workers', 'all')) t(kind, name) where state = 'processed' group by all", "scores"))
+def job_profile(s, d):
+    """How often each named timing was taken, and how many chunks all workers together have processed."""
+    done = _job(s, d)
+    timings = M.timing_profile(done).select(F.lit("timing").alias("kind"), "name", "n")
+    return timings.unionByName(M.utilisation(done).agg(F.sum("chunks").alias("n")).select(F.lit("workers").alias("kind"), F.lit("all").alias("name"), "n"))
+
+
 @query(sql(f", raw as (select item_id, list_dot_product(embedding::double[], {_WEIGHTS}::double[]) + 0.5e0 as score from emb) select * from raw", "emb"))
 def model_inference(s, d):
     return M.infer(derive(s, d, "emb"), _WEIGHTS, 0.5).select("item_id", "score")

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +6,7 @@ from sightline.operators import learning as L
 from sightline.operators import mapping as M
 from sightline.operators import ranking as R
 from sightline.operators.indexing import counted, few_tasks, remove, running_totals
+from sightline.operators.solvers import lbfgs
 
 
 def test_flat_vectors_give_nothing(spark):
@@ -169,23 +171,59 @@ def test_reductions_of_ones_own(spark):
     assert M.reduced(rows.where("false"), ["k"], Widest()).count() == 0
 
 
-def test_weights_of_the_svm_are_near_the_best(spark):
-    """The objective that the solver reaches against that of a long plain subgradient descent."""
-    import numpy as np
-
-    r = np.random.default_rng(3)
-    x = r.normal(size=(120, 5))
-    y = (x[:, 0] + 0.5 * x[:, 1] + 0.3 * r.normal(size=120) > 0).astype(int)
-    emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, embedding array<double>")
-    w = np.array(L.fit_svm(emb.join(spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "item_id long, label int"), "item_id").select("item_id", "label"), emb)) / L.SCALE
-    sign, c = 2 * y - 1, 0.1
-
-    def objective(w, b):
-        return c * np.maximum(0, 1 - sign * (x @ w + b)).sum() + 0.5 * w @ w
-
-    best, v, b = np.inf, np.zeros(5), 0.0
-    for k in range(1, 20_000):
-        inside = sign * (x @ v + b) < 1
-        v, b = v - (v - c * (sign[inside, None] * x[inside]).sum(0)) / (k + 20), b + c * sign[inside].sum() / (k + 20)
-        best = min(best, objective(v, b))
-    assert min(objective(w, b) for b in np.linspace(-1, 1, 401)) < 1.02 * best
+def plain_svm(x, y, c):
+    """Newton's method on the squared hinge, the intercept as a last weight."""
+    x, y, w = np.column_stack([x, np.ones(len(x))]), 2 * np.asarray(y) - 1, np.zeros(x.shape[1] + 1)
+    loss = lambda w: 0.5 * w @ w + c * (np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    for _ in range(100):
+        on = y * (x @ w) < 1
+        slope = w - 2 * c * (x[on] * (y * (1 - y * (x @ w)))[on, None]).sum(0)
+        way = np.linalg.solve(np.eye(len(w)) + 2 * c * x[on].T @ x[on], slope)
+        step = 1.0
+        while loss(w - step * way) > loss(w) and step > 1e-12:
+            step /= 2
+        w = w - step * way
+    return w
+
+
+@pytest.mark.parametrize("n, d, c", [(120, 5, 0.1), (400, 30, 0.1), (60, 8, 10.0), (50, 1, 0.001)])
+def test_weights_of_the_svm_are_those_of_a_plain_solution(spark, n, d, c):
+    r = np.random.default_rng(n)
+    x = r.normal(size=(n, d)) * 2
+    y = (x[:, 0] + 0.3 * r.normal(size=n) > 0.5).astype(int)
+    emb = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(x)), (n, None), (n + 1, [1.0] * (d + 1)), (n + 2, [None] * d)], "item_id long, embedding array<double>").repartition(5)
+    train = spark.createDataFrame([(i, int(v)) for i, v in enumerate([*y, 1, 0, 1])], "item_id long, label int")
+    want = plain_svm(x, y, c)
+    assert np.abs(L.fit_svm_weights(train, emb, c) - want).max() < 1e-3
+    assert np.allclose(np.array(L.fit_svm(train, emb, c)) / 1000, want[:-1], atol=1e-3)
+
+
+def test_the_solver_on_plain_functions():
+    def rosenbrock(x):
+        a, b = x[1:] - x[:-1] ** 2, 1 - x[:-1]
+        g = np.zeros(len(x))
+        g[:-1] += -400 * x[:-1] * a - 2 * b
+        g[1:] += 200 * a
+        return float((100 * a**2 + b**2).sum()), g
+
+    x, value, slope = lbfgs(rosenbrock, np.full(6, -1.0), 500, 1e-9)
+    assert np.allclose(x, 1, atol=1e-4) and value < 1e-8
+    assert lbfgs(lambda x: (float(x @ x), 2 * x), np.zeros(3))[1] == 0
+    steep = lbfgs(lambda x: (float(np.exp(x).sum() - x.sum()), np.exp(x) - 1), np.array([5.0, -50.0]), 500)
+    assert np.allclose(steep[0], 0, atol=1e-3)
+
+
+def test_pooled_vectors(spark):
+    rows = [[1.0, 2.0], [3.0, None], None, [], [5.0, -4.0, 7.0], [None, None, None, None]]
+    df = spark.createDataFrame([(v,) for v in rows], "embedding array<double>").repartition(4)
+    assert M.pool(df).first()[0] == [3.0, -1.0, 7.0, None]
+    assert M.pool(df, "max").first()[0] == [5.0, 2.0, 7.0, None]
+    assert M.pool(df.where("size(embedding) = 0")).first()[0] is None is M.pool(df.limit(0)).first()[0]
+    many = spark.range(0, 5000, 1, 37).select(F.array(F.col("id").cast("float"), (-F.col("id")).cast("float")).alias("embedding"))
+    assert M.pool(many).first()[0] == [2499.5, -2499.5] and M.pool(many, "max").first()[0] == [4999.0, 0.0]
+    assert R.query_vector(many).first()["query"] == [2499.5, -2499.5]
+
+
+def test_inference_keeps_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0])], "item_id long, embedding array<float>")
+    assert sorted(map(tuple, M.infer(df, [2.0, 0.5], 1.0).collect())) == [(1, [1.0, 2.0], 4.0), (2, None, None), (3, [1.0], None)]
