@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -197,23 +198,48 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns: the id, n_sentences (known ones, repeats counted), sentence_ids and licenses (comma-joined).
     """
     known = dict(sorted((SENTENCES if sentences is None else sentences).items(), key=lambda x: -len(x[0])))
-    shortest = min(map(len, known))
-    texts, names = F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values()))
-    openings = F.array(*map(F.lit, first_words(list(known))))
+    shortest, longest, words = min(map(len, known)), most_lines(list(known)), min(4, *(len(x.split()) for x in known))
+    groups: dict[str, list[str]] = {}  # sentences by their first words, the longest first
+    for sentence in known:
+        groups.setdefault(" ".join(sentence.split()[:words]), []).append(sentence)
+    grouped = [x for own in groups.values() for x in own]
+    listed = lambda values: F.split(F.lit("\n".join(map(str, values))), "\n")  # noqa: E731  # one literal, folded when the query is planned
+    texts, names, heads, openings = listed(grouped), listed(known[x] for x in grouped), listed(groups), listed(first_words(grouped))
+    sizes = [len(own) for own in groups.values()]
+    starts, counts = listed(accumulate([1, *sizes[:-1]])).cast("array<int>"), listed(sizes).cast("array<int>")
+
+    def beginning(head: Column) -> Column:
+        """The known sentences that begin with these words."""
+        at = (F.array_position(heads, head) - 1).cast("int")
+        return F.slice(texts, F.get(starts, at), F.get(counts, at))
 
     def look_up(sentence: Column) -> Column:
         return F.get(names, (F.array_position(texts, sentence) - 1).cast("int"))
 
     def of_lines(piece: Column) -> Column:
         lines = F.filter(F.transform(F.split(piece, r"\n"), normalised), lambda s: s != "")
+        # a line longer than any known sentence is in none
+        lines = F.transform(lines, lambda s: F.substring(s, 1, len(next(iter(known))) + 1))
+        return F.transform(F.array(lines), runs_of)[0]
+
+    def runs_of(lines: Column) -> Column:
+        """The names of the runs of lines that are known sentences; ``lines`` is evaluated already."""
+        text = lambda own, sep: F.concat(F.array_join(own, sep), F.lit(sep))
+        head = lambda i: F.substring_index(text(F.slice(lines, i + 1, F.lit(words)), " "), " ", words)
         begins = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: F.array_contains(openings, F.substring_index(F.get(lines, i), " ", 1)))
-        rest = F.transform(begins, lambda i: F.struct(i.alias("i"), F.concat(F.array_join(F.slice(lines, i + 1, F.lit(most_lines(list(known)))), "|"), F.lit("|")).alias("text")))
-        at_end = lambda x, k: F.startswith(F.translate(x["text"], "|", " "), k) & (F.substring(x["text"], F.length(k) + 1, F.lit(1)) == "|")
-        longest = F.transform(rest, lambda x: F.struct(x["i"].alias("i"), x["text"].alias("text"), F.get(F.filter(texts, lambda k: at_end(x, k)), F.lit(0)).alias("found")))
-        last = lambda x: x["i"] + F.size(F.split(F.substring(x["text"], F.lit(1), F.length(x["found"])), r"\|")) - 1
-        runs = F.transform(F.filter(longest, lambda x: x["found"].isNotNull()), lambda x: F.struct(x["i"].alias("i"), last(x).alias("last"), look_up(x["found"]).alias("name")))
-        outer = F.filter(runs, lambda r: ~F.exists(runs, lambda o: (o["i"] < r["i"]) & (o["last"] >= r["last"])))
-        return F.transform(outer, lambda r: r["name"])
+        begins = F.filter(begins, lambda i: F.array_contains(heads, head(i)))
+        wrapped = F.transform(begins, lambda i: F.struct(i.alias("i"), F.slice(lines, i + 1, F.lit(longest)).alias("own")))
+        joined = F.transform(wrapped, lambda x: F.struct(x["i"].alias("i"), text(x["own"], "|").alias("lines"), text(x["own"], " ").alias("text")))
+        at_end = lambda x, k: F.startswith(x["text"], k) & (F.substring(x["lines"], F.length(k) + 1, F.lit(1)) == "|")
+        found = F.transform(joined, lambda x: F.struct(x["i"].alias("i"), x["lines"].alias("lines"), F.get(F.filter(beginning(F.substring_index(x["text"], " ", words)), lambda k: at_end(x, k)), F.lit(0)).alias("k")))
+        last = lambda x: x["i"] + F.size(F.split(F.substring(x["lines"], F.lit(1), F.length(x["k"])), r"\|")) - 1
+        runs = F.transform(F.filter(found, lambda x: x["k"].isNotNull()), lambda x: F.struct(x["i"].alias("i"), last(x).alias("last"), look_up(x["k"]).alias("name")))
+        return F.transform(F.array(runs), outermost)[0]
+
+    def outermost(runs: Column) -> Column:
+        """The names of the runs that aren't inside of one that begins before; that one is among the ``longest`` runs before."""
+        before = lambda k: F.slice(runs, F.greatest(k - longest, F.lit(0)) + 1, F.least(k, F.lit(longest)))
+        return F.transform(F.filter(runs, lambda r, k: ~F.exists(before(k), lambda o: o["last"] >= r["last"])), lambda r: r["name"])
 
     pieces = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), SENTENCE_END), lambda s: F.length(s) >= shortest)
     both = F.transform(pieces, lambda s: F.struct(s.alias("piece"), look_up(nameless(normalised(s))).alias("name")))
