@@ -50,7 +50,7 @@ NAMES = {
     "UNLICENSE": ("unlicense license",),
 }
 #: What stands before the name. Fixed values.
-OPENINGS = ("licensed under the", "released under the", "distributed under the", "available under the", "this software is released under the", "this software is licensed under the", "this project is licensed under the", "this work is licensed under the", "this program is licensed under the")
+OPENINGS = ("licensed under the", "released under the", "distributed under the", "available under the", "licensed under the terms of the", "released under the terms of the", "distributed under the terms of the", "available under the terms of the", "this software is released under the", "this software is licensed under the", "this project is licensed under the", "this work is licensed under the", "this program is licensed under the", "this program is distributed under the terms of the", "this software is licensed under the terms of the", "this project is licensed under the terms of the")
 #: Creative Commons licences by the letters of their short name. Fixed values.
 COMMONS = {"by": "attribution", "by sa": "attribution sharealike", "by nd": "attribution noderivatives", "by nc": "attribution noncommercial", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
 #: Sentences of the licences' own notices, as the ends of sentences part them. Fixed values.

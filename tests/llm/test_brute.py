@@ -263,7 +263,7 @@ def test_common_licences(spark):
         "AGPL-3.0": gnu.format(what="program", a=":", b=",", v=3, name="Affero General Public License"), "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy",
         "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
         "Unlicense": "This is free and unencumbered software released into the public domain.", "CC0-1.0": "This work is licensed under CC0 1.0 Universal.", "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-        "CC-BY-3.0": "Licensed under CC BY 3.0.", "BSD-3-Clause": "This project is licensed under the BSD 3-Clause License.",
+        "CC-BY-3.0": "Licensed under CC BY 3.0.", "BSD-3-Clause": "This project is licensed under the BSD 3-Clause License.", "MIT": "Licensed under the terms of the MIT license.", "Apache-2.0": "This software is licensed under the terms of the\nApache License, Version 2.0.",
     }
     got = licenses.license_scan(spark.createDataFrame(list(cases.items()), "doc_id string, text string")).collect()
     assert {r.doc_id: r.licenses for r in got} == {x: x for x in cases}
