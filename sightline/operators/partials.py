@@ -9,18 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Partial results that meet in a task of the first step are those of every so-manieth task.
+#: Tasks among which the partial results are dealt in the first step.
 FAN = 16
 
+Fold = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-def merged(parts: DataFrame, merge: Callable[[pa.Table], pa.Table], fan: int = FAN, whole: bool = True) -> DataFrame:
-    """The partial rows of all tasks merged by ``merge``, first in ``fan`` groups, then, with ``whole``, to one row (none without any)."""
 
-    def step(rows: pa.Table) -> pa.Table:
-        return merge(rows.drop_columns(["_group"]))
-
-    first = parts.withColumn("_group", F.spark_partition_id() % fan).groupBy("_group").applyInArrow(step, parts.schema)
-    return first.withColumn("_group", F.lit(0)).groupBy("_group").applyInArrow(step, parts.schema) if whole else first
+def merged(parts: DataFrame, fold: Fold, fan: int = FAN, whole: bool = True) -> DataFrame:
+    """The partial rows of all tasks, folded in ``fan`` tasks as they come in and then, with ``whole``, in one."""
+    first = parts.repartition(fan).mapInArrow(fold, parts.schema)
+    return first.repartition(1).mapInArrow(fold, parts.schema) if whole else first
 
 
 def matrix_of(column: pa.Array, dim: int) -> np.ndarray:
@@ -41,14 +39,14 @@ def summed(rows: DataFrame, part: Callable[[pa.RecordBatch], tuple[float, np.nda
             value, slope = value + v, slope + g
         return pa.table({"value": pa.array([value]), "slope": pa.array([slope.tobytes()], pa.binary())})
 
-    def read(rows: pa.Table) -> Iterator[tuple[float, np.ndarray]]:
-        return ((v.as_py(), np.frombuffer(g.as_buffer())) for v, g in zip(rows.column("value"), rows.column("slope"), strict=True))
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[float, np.ndarray]]:
+        return ((v.as_py(), np.frombuffer(g.as_buffer())) for b in batches for v, g in zip(b.column("value"), b.column("slope"), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table(part(b) for b in batches).to_batches()
 
-    parts = merged(rows.mapInArrow(run, "value double, slope binary"), lambda t: table(read(t)), fan, whole=False)
-    done = table(read(parts.toArrow()))
+    parts = merged(rows.mapInArrow(run, "value double, slope binary"), lambda batches: table(read(batches)).to_batches(), fan, whole=False)
+    done = table(read(parts.toArrow().to_batches()))
     return done.column("value")[0].as_py(), np.frombuffer(done.column("slope")[0].as_buffer())
 
 
@@ -85,11 +83,12 @@ def pooled(vectors: DataFrame, how: str, column: str = "embedding") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table(reduced(p for b in batches for p in of_batch(b.column("v")))).to_batches()
 
-    def merge(rows: pa.Table) -> pa.Table:
-        return table(reduced(zip(*([x.values.to_numpy() for x in rows.column(k)] for k in names), strict=True)))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (tuple(b.column(k)[i].values.to_numpy() for k in names) for b in batches for i in range(b.num_rows))
+        yield from table(reduced(rows)).to_batches()
 
     parts = vectors.select(F.col(column).cast("array<double>").alias("v")).mapInArrow(run, ", ".join(f"{k} array<double>" for k in names))
     one = merged(parts, merge)
     value = F.try_divide if how == "avg" else lambda s, n: F.when(n > 0, s)
     each = F.transform(F.arrays_zip(F.col({"avg": "sums", "max": "tops"}[how]).alias("x"), F.col("counts").alias("n")), lambda e: value(e["x"], e["n"]))
-    return one.agg(F.first(F.when(F.size("counts") > 0, each)).alias(column))  # a row also where there are no tasks
+    return one.select(F.when(F.size("counts") > 0, each).alias(column))

@@ -755,9 +755,9 @@ def bisecting_clusters(s, d):
 
 @query()
 def whole_result_clusters(s, d):
-    """Ward clusters inside the leaves of a coarse clustering of the whole result."""
+    """Ward clusters of a whole result, over its clustering features."""
     ranking = _ranked(derive(s, d, "emb").select("item_id", F.col("label").cast("double").alias("dist")), "dot")
-    return C.whole_clusters(ranking.join(derive(s, d, "emb").select("item_id", "embedding"), "item_id"), 8, 80)
+    return C.whole_clusters(ranking.join(derive(s, d, "emb").select("item_id", "embedding"), "item_id"), 80)
 
 
 # Sources and sinks

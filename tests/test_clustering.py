@@ -50,21 +50,57 @@ def test_weights_stand_for_equal_rows():
     assert np.allclose([m[2] for m in C.ward(x, w)], whole)
 
 
-def test_whole_results_of_any_size(spark):
+VECTORS = "rank long, item_id long, embedding array<double>"
+
+
+def framed(spark, x, parts=5):
+    return spark.createDataFrame([(i, 7 * i, None if v is None else [float(a) for a in v]) for i, v in enumerate(x)], VECTORS).repartition(parts)
+
+
+@pytest.mark.parametrize("strength", [0, 40, 75, 100])
+def test_small_wholes_are_plain_ward(spark, strength):
+    """Also with equal vectors, spread over tasks, and rows without a usable vector."""
+    r = np.random.default_rng(4)
+    x = np.vstack([r.normal(size=(25, 3)), r.normal(size=(6, 3)).repeat(4, axis=0)])
+    merges = naive_ward(x)
+    names = C.cut(len(x), [(a, b, h / merges[-1][2]) for a, b, h in merges], strength)
+    odd = [None, [], [1.0], [float("nan"), 0, 0]]
+    got = {r["rank"]: (r.item_id, r.cluster) for r in C.whole_clusters(framed(spark, [*x, *odd]), strength).collect()}
+    assert got == {i: (7 * i, names[i] if i < len(x) else i) for i in range(len(x) + len(odd))}
+    assert C.whole_clusters(framed(spark, []), strength).count() == 0
+
+
+def test_groups_of_large_wholes_are_not_parted(spark):
+    """Groups far larger than the features allow, one of them equal vectors, spread over all tasks: each is one cluster."""
     r = np.random.default_rng(2)
-    x = np.vstack([r.normal(size=(25_000, 2)), np.zeros((20_000, 2)), 9 + 1e-3 * r.normal(size=(500, 2))])
-    frame = __import__("pandas").DataFrame({"rank": range(len(x)), "item_id": range(len(x)), "embedding": x.tolist()})
-    got = C.whole_clusters(spark.createDataFrame(frame, "rank long, item_id long, embedding array<double>"), 8, 80, most=2_000).toPandas()
-    assert sorted(got["rank"]) == list(range(len(x)))
-    hot = got[(got["rank"] >= 25_000) & (got["rank"] < 45_000)]
-    assert hot.cluster.nunique() == 1 and hot.leaf.nunique() == 1
-    others = got[~got["rank"].isin(hot["rank"][1:])]
-    assert 1 < others.groupby("leaf").size().max() <= 2_000 and (got.groupby("cluster").leaf.nunique() == 1).all()
-
-
-def test_what_cannot_be_split_is_dealt(spark):
-    found = spark.createDataFrame([(i, i, [1.0 + i * 2.3e-16, 1.0]) for i in range(50)], "rank long, item_id long, embedding array<double>")
-    assert C.whole_clusters(found, 2, 80, most=8).count() == 50
+    centres = r.normal(size=(9, 4)) * 20
+    x = np.vstack([c + 0.5 * r.normal(size=(700, 4)) for c in centres] + [np.full((3000, 4), 50.0)])
+    got = C.whole_clusters(framed(spark, x, 6), 17, most=150).toPandas().sort_values("rank")
+    found = got.cluster.to_numpy().reshape(-1)
+    groups = [found[700 * k : 700 * k + 700] for k in range(9)] + [found[6300:]]
+    assert [len(set(g)) for g in groups] == [1] * 10 and len(set(found)) == 10
+    assert all(g[0] == min(np.flatnonzero(found == g[0])) for g in groups)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 120), st.integers(1, 40), st.integers(0, 99))
+def test_features_hold_all_rows(n, most, seed):
+    r = np.random.default_rng(seed)
+    x = np.round(r.normal(size=(n, 2)), r.integers(0, 3))
+    f = C.Features(2, most)
+    for part in np.array_split(x, 4):
+        f.add(part, np.ones(len(part)))
+    assert f.n.sum() == n and np.allclose((f.mean * f.n[:, None]).sum(0), x.sum(0)) and len(f.n) <= most
+    distinct = np.unique(x, axis=0)
+    if len(distinct) <= most:
+        assert f.reach == 0 and (f.mean == distinct).all()
+    other = C.Features(2, most)
+    other.add(f.mean, f.n, f.reach)
+    assert other.n.sum() == n and len(other.n) <= most
+
+
+def test_vectors_that_hardly_differ(spark):
+    assert C.whole_clusters(framed(spark, [[1.0 + i * 2.3e-16, 1.0] for i in range(50)]), 80, most=8).count() == 50
 
 
 def naive_ward(x):
