@@ -29,8 +29,9 @@ def maximal_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     conversations rendered along the sorted rows; a conversation is one row of the result, so it is held while it is written.
 
     Turns are ordered by turn number, then role and text; a repeated row counts once; turns with a null number come first.
-    Null roles and texts count as empty, rows with a null conversation id as one conversation. No rows: no rows.
-    Further columns are ignored.
+    Null roles and texts count as empty. A row with a null conversation id is a conversation of its own, of one turn, and is
+    never brought together with the others; it comes with a null id where no conversation with an id says the same.
+    No rows: no rows. Further columns are ignored.
 
     Returns: conv_id, n_turns, n_copies (conversations equal to it, itself included), text (rendered).
     """
@@ -41,15 +42,19 @@ def maximal_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     )
     fp = F.sha2(F.concat(F.sha2("role", 256), F.sha2("text", 256)), 256)
     rows = narrow.withColumn("fp", fp)
-    rows = rows.mapInArrow(_once, rows.schema)
+    alone = rows.where("conv_id is null").groupBy("role", "text", "fp").agg(F.count_distinct(F.struct("turn")).alias("copies"))
+    rendered = F.format_string(TURN, "role", "text")
+    alone = alone.select(F.lit(None).cast(narrow.schema["conv_id"].dataType).alias("conv_id"), F.sha2("fp", 256).alias("own"), F.lit(1).cast("long").alias("n_turns"), rendered.alias("text"), "copies")
+    rows = rows.where("conv_id is not null").mapInArrow(_once, rows.schema)
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     kind = narrow.schema["conv_id"].dataType.simpleString()
-    ends, _ = counted(ordered.mapInArrow(_rolled, f"conv_id {kind}, own string, n_turns long, text string"))
+    ends = ordered.mapInArrow(_rolled, f"conv_id {kind}, own string, n_turns long, text string").withColumn("copies", F.lit(1).cast("long"))
+    ends, _ = counted(ends.unionByName(alone))
     prefixes = ends.where("text is null").select("own").distinct()
     whole = ends.where("text is not null")
-    least = whole.groupBy("own").agg(F.min(F.struct("conv_id")).alias("least"), F.count("*").alias("n_copies"))
-    kept, seen = counted(least.join(prefixes, "own", "left_anti").select(F.col("least.conv_id").alias("kept_id"), "n_copies"))
-    found = whole.join(sent_if_small(kept, seen.n), F.col("conv_id").eqNullSafe(F.col("kept_id")))
+    least = whole.groupBy("own").agg(F.min("conv_id").alias("kept_id"), F.sum("copies").alias("n_copies"))
+    kept, seen = counted(least.join(prefixes, "own", "left_anti"))
+    found = whole.join(sent_if_small(kept, seen.n), "own").where(F.col("conv_id").eqNullSafe(F.col("kept_id")))
     return found.select("conv_id", "n_turns", "n_copies", "text")
 
 

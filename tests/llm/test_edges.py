@@ -2,12 +2,13 @@
 
 import zlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import corpus_pipeline
-from sightline.llm import chat, decontam, embed_dedup, html_extract, jaccard_join, licenses, packing, pii, quality, sharding
+from sightline.llm import chat, decontam, embed_dedup, html_extract, jaccard_join, licenses, packing, pii, quality, queries, sharding
 
 WORDS = "the quick brown fox jumps over a lazy dog and runs into the deep green wood near an old stone mill by the river".split()
 LONG = " ".join(WORDS[(i * 7 + i // 11) % len(WORDS)] + ("." if i % 9 == 8 else "") for i in range(60_000))
@@ -163,10 +164,23 @@ def test_chat_columns_that_clash(spark):
 
 
 def test_a_long_conversation(spark):
-    rows = spark.range(60_000).select(F.lit(None).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    rows = spark.range(60_000).select(F.lit(7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
     part = rows.where("turn < 30000").withColumn("conv_id", F.lit(1).cast("long"))
     got = chat.maximal_conversations(rows.union(part)).collect()
-    assert [(r.conv_id, r.n_turns, r.n_copies) for r in got] == [(None, 60_000, 1)] and got[0].text.endswith("user\n59999<|im_end|>\n")
+    assert [(r.conv_id, r.n_turns, r.n_copies) for r in got] == [(7, 60_000, 1)] and got[0].text.endswith("user\n59999<|im_end|>\n")
+
+
+def test_null_ids_are_conversations_of_their_own(spark):
+    """A third of all rows has no id; each is a conversation of one turn, equal ones are copies, as the SQL says."""
+    rows = [(k // 4, k % 4, "user", f"text {k // 8} {k % 4}") for k in range(400)] + [(None, k % 3, None if k % 5 == 0 else "user", f"text {k % 90} 0") for k in range(200)] + [(None, None, "user", "one"), (900, 0, "user", "two"), (None, 5, "user", "two")]
+    con = duckdb.connect()
+    con.execute("create table conversations as select unnest($1) as conv_id, unnest($2) as turn, unnest($3) as role, unnest($4) as text", [list(x) for x in zip(*rows)])
+    want = con.execute(queries.ORACLES["op3_chat"]).fetchall()
+    got = chat.maximal_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    alone = {r.text: (r.n_turns, r.n_copies) for r in got if r.conv_id is None}
+    assert "<|im_start|>user\ntext 3 0<|im_end|>\n" not in alone and alone["<|im_start|>user\none<|im_end|>\n"] == (1, 1)
+    assert [(r.conv_id, r.n_copies) for r in got if "two" in r.text] == [(900, 2)]
 
 
 def test_embeddings(spark):
