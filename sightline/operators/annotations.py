@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import Tag
+from .indexing import checkpointed
 
 MODES = ("POSITIVE", "NEGATIVE", "HARD_NEGATIVE", "UNSURE")
 TOMBSTONE = "TOMBSTONE"
@@ -65,6 +66,45 @@ def resolve(rows: DataFrame, items: DataFrame) -> DataFrame:
     return found.withColumn("item_id", F.coalesce(item, F.raise_error(F.lit("an annotation names no item")).cast("long"))).drop("_by_name", "_by_path", "_by_pk")
 
 
+#: Why an imported row is refused. Fixed values.
+NO_ADDRESS, UNKNOWN, NO_TAG, NO_BOX = "no address", "names no item", "no category or mode", "box without corners"
+
+
+def addressed(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows with the item that their identifier, else pk, else path names, and the error of those that can't be imported.
+
+    A row has one address, so one join on the address finds all items; of items that share one the least id is taken. Rows
+    without an address are spread over the join by hashes of their own. rows: any columns with category and mode, and
+    identifier, pk, path, is_box, x1, y1, x2, y2 where they have them; adds item_id and error (null: none).
+    """
+    has = lambda c: F.col(c) if c in rows.columns else F.lit(None)
+    address = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
+    given = F.coalesce(address("i:", has("identifier")), address("k:", has("pk")), address("p:", has("path")))
+    every = F.array(address("i:", F.col("identifier")), address("k:", F.col("item_id")), address("p:", F.col("path")))
+    known = items.select("item_id", F.explode(every).alias("_address")).where("_address is not null").groupBy("_address").agg(F.min("item_id").alias("_item"))
+    own = rows.drop("item_id", "error").withColumn("_given", given).withColumn("_address", F.coalesce("_given", F.concat(F.lit("-:"), F.monotonically_increasing_id().cast("string"))))
+    found = own.join(known, "_address", "left")
+    blank = lambda c: F.coalesce(F.trim(has(c).cast("string")) == "", F.lit(True))
+    corners = reduce(lambda a, b: a & b, [has(x).isNotNull() for x in BOX])
+    error = (
+        F.when(F.col("_given").isNull(), NO_ADDRESS).when(F.col("_item").isNull(), F.concat(F.substring("_given", 3, 1 << 30), F.lit(" " + UNKNOWN)))
+        .when(blank("category") | blank("mode"), NO_TAG).when(F.coalesce(has("is_box").cast("boolean"), F.lit(False)) & ~corners, NO_BOX)
+    )
+    return found.withColumn("error", error).withColumn("item_id", F.when(F.col("error").isNull(), F.col("_item"))).drop("_address", "_given", "_item")
+
+
+def import_batch(rows: DataFrame, items: DataFrame, batch_id: int, user: str, created_by: str = "tag-bulk") -> tuple[DataFrame, DataFrame]:
+    """(log rows, refused rows) of one import: what can be resolved as one replacing batch, the rest as it came with its ``error``.
+
+    Rows are resolved once and checkpointed; both results read that. Tombstones are log rows too: they take an item's tags of the category away.
+    """
+    done = checkpointed(addressed(rows, items))
+    good = done.where("error is null")
+    if "is_box" in rows.columns:  # corners of what isn't a box don't make it one
+        good = good.withColumns({x: F.when(F.col("is_box"), F.col(x)) for x in BOX if x in rows.columns})
+    return batch(good, batch_id, user, created_by=created_by), done.where("error is not null").drop("item_id")
+
+
 def tagged(annotations: DataFrame, tags: list[Tag]) -> DataFrame:
     """The annotations, boxes too, that are one of the tags."""
     return annotations.where(any_tag(tags))

@@ -784,6 +784,40 @@ def import_by_path(s, d):
     return A.resolve(rows, items).select("item_id", "event_id")
 
 
+_IMPORTED = """, rows as (select event_id, item_id, category, mode, is_box, x1, y1, x2, y2, case when event_id % 3 = 0 then concat('id-', item_id) end as identifier,
+  case when event_id % 3 = 1 then item_id + case when event_id % 13 = 0 then 1000000 else 0 end end as pk, case when event_id % 3 = 2 and event_id % 11 <> 0 then concat('img/', item_id, case when event_id % 5 = 0 then '' else '.v1.jpg' end) end as path,
+  case when event_id % 17 = 0 then ' ' else category end as tag, case when event_id % 7 = 0 then null else x2 end as right_x from alog),
+named as (select r.*, coalesce(a.item_id, b.item_id, c.item_id) as found, coalesce('i' || r.identifier, 'k' || r.pk, 'p' || r.path) as address from rows r
+  left join items a on r.identifier = a.identifier left join items b on r.pk = b.item_id left join items c on r.path = c.path),
+done as (select *, case when address is null then 'no address' when found is null then address[2:] || ' names no item' when trim(tag) = '' then 'no category or mode' when is_box and right_x is null then 'box without corners' end as error from named)"""
+
+
+def _to_import(s, d) -> DataFrame:
+    """Rows with addresses of all kinds, some of no item, some without a tag or a corner."""
+    n, number = F.col("event_id"), F.col("item_id").cast("string")
+    return derive(s, d, "alog").select(
+        "event_id", F.when(n % 3 == 0, F.concat(F.lit("id-"), number)).alias("identifier"), F.when(n % 3 == 1, F.col("item_id") + F.when(n % 13 == 0, 1000000).otherwise(0)).alias("pk"),
+        F.when((n % 3 == 2) & (n % 11 != 0), F.concat(F.lit("img/"), number, F.when(n % 5 == 0, "").otherwise(".v1.jpg"))).alias("path"),
+        F.when(n % 17 == 0, " ").otherwise(F.col("category")).alias("category"), "mode", "is_box", "x1", "y1", F.when(n % 7 != 0, F.col("x2")).alias("x2"), "y2",
+    )
+
+
+@query(sql(f"{_IMPORTED} select event_id, case when error is null then found end as item_id, case when error is null then category end as category, case when error is null then mode end as mode, case when error is null then is_box end as is_box, error from done", "alog", "items"))
+def import_with_refusals(s, d):
+    """What is imported, and what is refused and why."""
+    done = checkpointed(A.addressed(_to_import(s, d), derive(s, d, "items")))
+    good = lambda c: F.when(F.col("error").isNull(), F.col(c)).alias(c)
+    return done.select("event_id", "item_id", good("category"), good("mode"), good("is_box"), "error")
+
+
+@query(sql(f"{_IMPORTED}, into_log as (select found as item_id, category, mode, is_box, 1000000 as batch_id from done where error is null and event_id % 4 = 0), every as (select item_id, category, mode, is_box, batch_id from alog union all from into_log), newest as (select *, max(batch_id) filter (not is_box) over (partition by item_id, category) as latest from every) select category, mode, is_box, batch_id = 1000000 as imported, count(*) as n from newest where (is_box or batch_id >= latest) and mode <> 'TOMBSTONE' group by all", "alog", "items"))
+def import_into_log(s, d):
+    """An import as one more replacing batch of the log, and the state in force after it."""
+    added, _ = A.import_batch(_to_import(s, d).where("event_id % 4 = 0"), derive(s, d, "items"), 1000000, "me")
+    after = A.current(derive(s, d, "alog").unionByName(added, allowMissingColumns=True))
+    return after.groupBy("category", "mode", "is_box", (F.col("batch_id") == 1000000).alias("imported")).agg(F.count("*").alias("n"))
+
+
 @query(sql("select 'm' as model, item_id as row_idx, item_id from items", "items"))
 def register_output(s, d):
     items = derive(s, d, "items")
@@ -846,14 +880,14 @@ def scanned_items(s, d):
 # Streams
 
 
-def _streamed(s, d, job, read=annotation_stream.latest_version) -> DataFrame:
-    """Runs a streaming job over all there is of the log and returns the newest state that it wrote."""
+def _streamed(s, d, job, read=annotation_stream.latest_version, only: str = "true") -> DataFrame:
+    """Runs a streaming job over all there is of the log, or what ``only`` says, and returns the newest state that it wrote."""
     folder = f"{checkpoint_folder(s)}/stream-{uuid.uuid4()}"
     key, rocks = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     before = s.conf.get(key)
     s.conf.set(key, rocks)
     try:
-        job(derive(s, d, "alog", stream=True), f"{folder}/state", f"{folder}/offsets").awaitTermination()
+        job(derive(s, d, "alog", stream=True).where(only), f"{folder}/state", f"{folder}/offsets").awaitTermination()
     finally:
         s.conf.set(key, before)
     return read(s, f"{folder}/state")
@@ -864,6 +898,13 @@ def stream_category_counts(s, d):
     return _streamed(s, d, annotation_stream.running_counts)
 
 
+@query(sql("select category, mode, count(*) as n from cur group by all", "cur"))
+def stream_counts_resumed(s, d):
+    """Every other batch of the log compacted by a batch job, the others streamed on top of it."""
+    start = checkpointed(annotation_stream.compacted(derive(s, d, "alog").where("batch_id % 2 = 0")))
+    return _streamed(s, d, lambda log, target, offsets: annotation_stream.running_counts(log, target, offsets, start), only="batch_id % 2 = 1")
+
+
 @query(sql("select item_id, category, mode, is_box, batch_id, count(*) as n from cur group by all", "cur"))
 def stream_current_annotations(s, d):
     found = annotation_stream.in_force(_streamed(s, d, annotation_stream.current_annotations, annotation_stream.current_state))

@@ -27,6 +27,19 @@ class TagDeltas(StatefulProcessor):
         self.latest = handle.getValueState("latest", "batch long")
         self.tags = handle.getMapState("tags", "batch long, mode string", "n long")
 
+    def handleInitialState(self, key, rows: pd.DataFrame, timers) -> None:
+        """Takes over an item's compacted rows of a category, possibly in several pieces."""
+        rows = rows[~rows["is_box"]]
+        replaced = rows["batch_id"][rows["kind"] == "replace"]
+        if len(replaced):
+            latest = int(replaced.max())
+            if not self.latest.exists() or self.latest.get()[0] < latest:
+                self.latest.update((latest,))
+        for (batch, mode), n in rows.groupby(["batch_id", "mode"]).size().items():
+            at = (int(batch), mode)
+            old = self.tags.getValue(at)[0] if self.tags.containsKey(at) else 0
+            self.tags.updateValue(at, (old + int(n),))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         item, category = key
         changed: dict[str, int] = {}
@@ -62,24 +75,46 @@ class TagDeltas(StatefulProcessor):
         pass
 
 
-def tag_deltas(log: DataFrame) -> DataFrame:
-    """A stream of (item_id, category, mode, delta); needs the RocksDB state store."""
-    return log.select("item_id", "category", "batch_id", "kind", "mode", "is_box").groupBy("item_id", "category").transformWithStateInPandas(
-        statefulProcessor=TagDeltas(), outputStructType=DELTA, outputMode="Update", timeMode="None"
-    )
+def tag_deltas(log: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """A stream of (item_id, category, mode, delta) against what ``start`` holds; needs the RocksDB state store.
+
+    start: a compacted log as ``compacted`` or ``current_state`` gives it.
+    """
+    columns = ["item_id", "category", "batch_id", "kind", "mode", "is_box"]
+    return log.select(columns).groupBy("item_id", "category").transformWithStateInPandas(
+        statefulProcessor=TagDeltas(), outputStructType=DELTA, outputMode="Update", timeMode="None", initialState=None if start is None else start.select(columns).groupBy("item_id", "category"),
+    )
+
+
+def counted_tags(state: DataFrame) -> DataFrame:
+    """(category, mode, n) of a compacted log."""
+    return in_force(state).where(F.col("mode") != TOMBSTONE).groupBy("category", "mode").agg(F.count("*").alias("n"))
 
 
-def running_counts(log: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keeps (category, mode, n) as Parquet under ``target``/batch=k, the highest k being the state; the version before is kept too."""
+def running_counts(log: DataFrame, target: str, checkpoint: str, start: DataFrame | None = None) -> StreamingQuery:
+    """Keeps (category, mode, n) as Parquet under ``target``/batch=k, the highest k being the state; the version before is kept too.
+
+    With ``start``, a compacted log, counts begin with its own and the stream goes on from its rows: later batches replace
+    them and older rows that come late are ignored, as if the stream had read all of it. It is used by the first trigger
+    alone; a stream that goes on after a stop finds its state under ``checkpoint``.
+    """
 
     def apply(deltas: DataFrame, k: int) -> None:
         sums = deltas.groupBy("category", "mode").agg(F.sum("delta").alias("n"))
         before = latest_version(deltas.sparkSession, target, k)
+        if before is None and start is not None:
+            before = counted_tags(start)
         every = sums if before is None else before.unionByName(sums).groupBy("category", "mode").agg(F.sum("n").alias("n"))
         every.where("n <> 0").write.mode("overwrite").parquet(f"{target}/batch={k}")
         drop_versions(deltas.sparkSession, target, k - 1)
 
-    return tag_deltas(log).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
+    return tag_deltas(log, start).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(apply).start()
+
+
+def compacted(rows: DataFrame) -> DataFrame:
+    """The log rows in force, and the tombstones, which still outdate older rows that come late."""
+    kept = current(rows.withColumn("mode", F.when(F.col("mode") == TOMBSTONE, "\0" + TOMBSTONE).otherwise(F.col("mode"))))
+    return kept.withColumn("mode", F.regexp_replace("mode", "^\\x00", ""))
 
 
 def versions(spark: SparkSession, target: str) -> tuple:
@@ -138,8 +173,7 @@ def current_annotations(log: DataFrame, target: str, checkpoint: str) -> Streami
             touched = {r["part"] for r in rows.select(part).distinct().collect()}  # PARTS at most
             before = {p: x for p, x in parts(spark, target, k).items() if p in touched}
             every = rows.unionByName(spark.read.parquet(*(path for _, path in before.values()))) if before else rows
-            kept = current(every.withColumn("mode", F.when(F.col("mode") == TOMBSTONE, "\0" + TOMBSTONE).otherwise(F.col("mode"))))
-            kept = kept.withColumn("mode", F.regexp_replace("mode", "^\\x00", "")).select("*", part).repartition("part")
+            kept = compacted(every).select("*", part).repartition("part")
             kept.write.mode("overwrite").partitionBy("part").parquet(f"{target}/batch={k}")
         finally:
             rows.unpersist()

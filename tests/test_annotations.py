@@ -96,3 +96,21 @@ def test_deletions_and_renames(spark):
     assert sorted(r.name for r in A.rename(models, "x", "z").collect()) == ["y", "z"]
     assert [r.name for r in A.delete(models, "x").collect()] == ["y"]
     assert spark.createDataFrame([("  Blurry ",), (" ",)], "m string").select(X.custom_mode(F.col("m")).alias("m")).collect() == [("blurry",), (None,)]
+
+
+def test_imports_are_split_into_log_rows_and_refusals(spark):
+    items = spark.createDataFrame([(1, "a", "p"), (2, "b", "q"), (3, "b", None), (4, None, "q")], "item_id long, identifier string, path string")
+    rows = [
+        ("b", None, None, "x", "POSITIVE", None, None), (None, 4, None, " x ", "POSITIVE", False, None), (None, None, "q", "x", "TOMBSTONE", None, 5.0), ("a", 9, "zz", "y", "NEGATIVE", True, 1.0), ("a", None, None, "y", "NEGATIVE", True, None),
+        (None, None, None, "x", "POSITIVE", None, None), (None, None, None, "x", "POSITIVE", None, None), ("c", 1, "p", "x", "POSITIVE", None, None), (None, 7, None, "x", "POSITIVE", None, None), ("a", None, None, "  ", "POSITIVE", None, None), ("a", None, None, "x", None, None, None),
+    ]
+    df = spark.createDataFrame([(*r[:6], r[6], 1.0, 2.0, 3.0, k) for k, r in enumerate(rows)], "identifier string, pk long, path string, category string, mode string, is_box boolean, x1 double, y1 double, x2 double, y2 double, item_id long")
+    log, refused = A.import_batch(df, items, 8, "me")
+    got = sorted((r.item_id, r.category, r["mode"], r.is_box, r.x1) for r in log.collect())
+    assert got == [(1, "y", "NEGATIVE", True, 1.0), (2, "x", "POSITIVE", False, None), (2, "x", "TOMBSTONE", False, None), (4, "x", "POSITIVE", False, None)]
+    assert {(r.batch_id, r.kind, r.user_email) for r in log.collect()} == {(8, "replace", "me")}
+    assert sorted(r.error for r in refused.collect()) == ["7 names no item", "box without corners", "c names no item", "no address", "no address", "no category or mode", "no category or mode"]
+    narrow = spark.createDataFrame([("p", "x", "POSITIVE"), ("no", "x", "POSITIVE")], "path string, category string, mode string")
+    log, refused = A.import_batch(narrow, items, 8, "me")
+    assert [(r.item_id, r.is_box) for r in log.collect()] == [(1, False)] and [(r.path, r.error) for r in refused.collect()] == [("no", "no names no item")]
+    assert [x.count() for x in A.import_batch(narrow.limit(0), items, 8, "me")] == [0, 0]

@@ -59,3 +59,17 @@ def test_running_counts_equal_batch(spark, shuffled, tmp_path):
     got = sorted(tuple(r) for r in S.latest_version(spark, str(tmp_path / "out")).select("category", "mode", "n").collect())
     want = current(some_log(spark)).groupBy("category", "mode").agg(F.count("*").alias("n"))
     assert got == sorted(tuple(r) for r in want.collect())
+
+
+@pytest.mark.parametrize("first", ["batch_id < 10", "batch_id % 2 = 0", "batch_id >= 10", "batch_id % 3 > 0", "false", "true"])
+def test_counts_go_on_from_a_compacted_log(spark, tmp_path, first):
+    """Batch first, then stream, is as a batch of all, also where the stream brings rows older than those of the batch."""
+    rows = some_log(spark)
+    rows.where(f"not ({first})").repartition(2).write.parquet(str(tmp_path / "log"))
+    start = S.compacted(rows.where(first))
+    S.running_counts(stream(spark, str(tmp_path / "log")), str(tmp_path / "out"), str(tmp_path / "cp"), start).awaitTermination()
+    rows.where("batch_id = 19").withColumn("batch_id", F.lit(30).cast("long")).write.mode("append").parquet(str(tmp_path / "log"))  # after a stop
+    S.running_counts(stream(spark, str(tmp_path / "log")), str(tmp_path / "out"), str(tmp_path / "cp"), start).awaitTermination()
+    got = sorted(tuple(r) for r in S.latest_version(spark, str(tmp_path / "out")).select("category", "mode", "n").collect())
+    every = rows.union(rows.where("batch_id = 19").withColumn("batch_id", F.lit(30).cast("long")))
+    assert got == sorted(tuple(r) for r in current(every).groupBy("category", "mode").agg(F.count("*").alias("n")).collect())
