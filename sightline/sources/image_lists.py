@@ -2,26 +2,76 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
+from io import BufferedReader
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import export_path
 from ..operators.indexing import running_totals
+from .files import located, size_of
 
 IMAGE = r"\.(jpg|JPG|jpeg|JPEG|png|PNG)$"
 
 
-def scan_items(spark: SparkSession, train_dir: str, val_dir: str | None = None, reproducible: bool = True) -> DataFrame:
-    """(path, identifier, is_val) of the images under the directories; contents aren't read."""
+class Folder(InputPartition):
+    def __init__(self, path: str, deep: bool):
+        self.path, self.deep = path, deep
+
+
+class FolderReader(DataSourceReader):
+    """Files under a folder. The driver lists folders down to ``depth`` levels only; tasks list what is in them."""
+
+    def __init__(self, options: dict):
+        self.path, self.depth = options["path"], int(options.get("depth", 1))
+
+    def partitions(self) -> list[Folder]:
+        store, root = located(self.path.rstrip("/") or "/")
+        found, level = [], [root]
+        for _ in range(self.depth):
+            found += [Folder(x, False) for x in level]
+            level = [x.path for own in level for x in store.get_file_info(fs.FileSelector(own)) if x.type == fs.FileType.Directory]
+        return found + [Folder(x, True) for x in level]
+
+    def read(self, part: Folder) -> Iterator[pa.RecordBatch]:
+        store, _ = located(self.path)
+        own = [part.path]
+        while own:  # a folder at a time, so that a task holds the names of one
+            listing = store.get_file_info(fs.FileSelector(own.pop()))
+            files = [x for x in listing if x.type == fs.FileType.File]
+            own += [x.path for x in listing if part.deep and x.type == fs.FileType.Directory]
+            if files:
+                yield pa.RecordBatch.from_pydict({"path": pa.array([x.path for x in files]), "size": pa.array([x.size for x in files], pa.int64())})
+
+
+class FolderSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "folder_listing"
+
+    def schema(self) -> str:
+        return "path string, size long"
+
+    def reader(self, schema) -> FolderReader:
+        return FolderReader(self.options)
+
+
+def listed_files(spark: SparkSession, directory: str, depth: int = 1) -> DataFrame:
+    """(path, size) of all files under a directory, by path or URI; ``depth`` levels of folders become tasks that list the rest."""
+    spark.dataSource.register(FolderSource)
+    return spark.read.format("folder_listing").option("depth", depth).load(directory)
+
+
+def scan_items(spark: SparkSession, train_dir: str, val_dir: str | None = None, reproducible: bool = True, depth: int = 1) -> DataFrame:
+    """(path, identifier, is_val) of the images under the directories; contents aren't read, and the driver doesn't hold the listing."""
 
     def files(directory: str, is_val: bool) -> DataFrame:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory).select(F.regexp_replace("path", "^file:(//)?", "").alias("path"))
         name = F.sha2("path", 256) if reproducible else F.expr("uuid()")
-        return found.where(F.col("path").rlike(IMAGE)).select("path", name.alias("identifier"), F.lit(is_val).alias("is_val"))
+        return listed_files(spark, directory, depth).where(F.col("path").rlike(IMAGE)).select("path", name.alias("identifier"), F.lit(is_val).alias("is_val"))
 
     found = files(train_dir, False)
     return found.unionByName(files(val_dir, True)) if val_dir else found
@@ -39,13 +89,15 @@ class LineReader(DataSourceReader):
         self.path, self.step = options["path"], int(options.get("step", 64 << 20))
 
     def partitions(self) -> list[LineRange]:
-        size = os.path.getsize(self.path)
+        size = size_of(self.path)
         return [LineRange(a, min(a + self.step, size)) for a in range(0, size, self.step)] or [LineRange(0, 0)]
 
     def read(self, part: LineRange) -> Iterator[tuple[int, str]]:
-        with open(self.path, "rb") as f:
+        store, name = located(self.path)
+        with store.open_input_file(name) as raw:
             at = max(0, part.start - 1)
-            f.seek(at)
+            raw.seek(at)
+            f = BufferedReader(raw, 1 << 20)
             if part.start:
                 at += len(f.readline())  # the end of a line that began before
             while at < part.stop and (line := f.readline()):
@@ -68,8 +120,7 @@ class LineSource(DataSource):
 def numbered_lines(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
     """(row_idx, line) of a list file, numbered from 0.
 
-    A list of under 100 MB is one row while it is split; a large one, on a path that all executors see, is read by byte
-    ranges and numbered by prefix sums.
+    A list of under 100 MB is one row while it is split; a large one is read by byte ranges and numbered by prefix sums.
     """
     if large:
         spark.dataSource.register(LineSource)
@@ -107,13 +158,14 @@ def export_paths(items: DataFrame) -> DataFrame:
 
 
 def write_files(rows: DataFrame, folder: str) -> None:
-    """Rows (path, content): each content as a file under the folder, which all executors see, written by its own task."""
+    """Rows (path, content): each content as a file under the folder (a path that all executors see, or a URI), written by its own task."""
 
     def write(part: Iterator) -> None:
+        store, root = located(folder)
         for row in part:
-            path = os.path.join(folder, row["path"])
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path, "wb") as f:
+            path = f"{root}/{row['path']}"
+            store.create_dir(path.rpartition("/")[0], recursive=True)
+            with store.open_output_stream(path) as f:
                 f.write(row["content"])
 
     rows.select("path", "content").foreachPartition(write)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual
 from pyspark.sql import functions as F
 
 from sightline.functions import vectors as V
@@ -16,6 +17,23 @@ def test_scan(spark, tmp_path):
     assert len({r.identifier for r in rows}) == 5
 
 
+@pytest.mark.parametrize("depth", [0, 1, 2])
+def test_scans_are_listed_by_tasks(spark, tmp_path, depth):
+    """The same files whether the driver hands out the folder itself, its folders or theirs."""
+    names = [f"{a}/{b}/i{k}.jpg" for a in "xyz" for b in ("p", "q r", "ü") for k in range(3)] + ["top.png", "x/one.JPG", "x/p/no.gif", "z/deep/er/still/a.jpeg"]
+    for name in names:
+        (tmp_path / "d" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "d" / name).write_bytes(b"12")
+    (tmp_path / "d/empty/none").mkdir(parents=True)
+    for path in (str(tmp_path / "d"), f"file:{tmp_path}/d/"):
+        got = S.listed_files(spark, path, depth)
+        assert sorted(r.path for r in got.collect()) == sorted(f"{tmp_path}/d/{n}" for n in names) and {r["size"] for r in got.collect()} == {2}
+        assert len(S.FolderReader({"path": path, "depth": str(depth)}).partitions()) == {0: 1, 1: 5, 2: 16}[depth]
+    assert S.scan_items(spark, str(tmp_path / "d")).count() == len(names) - 1
+    with pytest.raises(Exception, match="nowhere"):
+        S.listed_files(spark, str(tmp_path / "nowhere")).collect()
+
+
 def test_lists(spark, tmp_path):
     (tmp_path / "image_list").write_text("train id-0 /a/b c.jpg\nval id-1 /d.jpg\n")
     assert [tuple(r) for r in S.read_image_list(spark, str(tmp_path / "image_list")).orderBy("row_idx").collect()] == [(0, "train", "id-0", "/a/b c.jpg"), (1, "val", "id-1", "/d.jpg")]
@@ -60,6 +78,45 @@ def test_files_are_written_as_they_are_read(spark, tmp_path):
     assert np.load(tmp_path / "none.npy").shape == (0,) and matrices.read_scores(spark, str(tmp_path / "none.npy")).count() == 0
 
 
+def test_matrices_in_parts(spark, tmp_path, monkeypatch):
+    """A folder by URI: written by runs of rows, committed by a list, read by ranges."""
+    x = np.random.default_rng(2).random((900, 3)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), float(v[0])) for i, v in enumerate(x)], "row_idx long, embedding array<float>, score double").repartition(4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # several tasks, although there are few rows
+    for path in (tmp_path.as_uri(), f"file:{tmp_path}", str(tmp_path)):
+        e, s = f"{path}/e-{len(path)}", f"{path}/s-{len(path)}"
+        matrices.write_embedding_matrix(rows, e, 3, parts=True)
+        got = matrices.read_embedding_matrix(spark, e, 900)
+        assert [list(r.embedding) for r in got.orderBy("row_idx").collect()] == x.tolist()
+        matrices.write_scores(rows, s, 900, parts=True)
+        assert [r.score for r in matrices.read_scores(spark, s).orderBy("row_idx").collect()] == x[:, 0].tolist()
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    files = [p for p, *_ in matrices.part_files(s)]
+    assert len(files) > 1 and np.load(__import__("io").BytesIO(b"".join(open(f, "rb").read() for f in files))).tolist() == x[:, 0].tolist()
+    open(f"{e}/rows-{0:015d}-{'0' * 32}.bin", "wb").write(b"left by a task that was lost")
+    assert matrices.read_embedding_matrix(spark, e, 900).count() == 900
+    matrices.write_scores(rows.limit(0), str(tmp_path / "none"), 0, parts=True)
+    assert matrices.read_scores(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="without gaps"):
+        matrices.write_scores(rows.where("row_idx <> 5"), str(tmp_path / "gap"), 899, parts=True)
+
+
+def test_a_range_of_rows_reads_only_its_bytes(spark, tmp_path, monkeypatch):
+    x = np.arange(4000, dtype=np.float32).reshape(1000, 4)
+    (tmp_path / "e.bin").write_bytes(x.tobytes())
+    reader = matrices.MatrixReader({"path": str(tmp_path / "e.bin"), "dim": "4"})
+    kept = [GreaterThan(("row_idx",), 10), LessThanOrEqual(("row_idx",), 600), GreaterThanOrEqual(("row_idx",), 20), LessThan(("row_idx",), 300), EqualTo(("embedding",), 1)]
+    assert list(reader.pushFilters(kept)) == kept[4:]
+    seen = []
+    monkeypatch.setattr(matrices, "read_range", lambda path, start, n: (seen.append((start, n)), open(path, "rb").read()[start : start + n])[1])
+    got = [r for p in reader.partitions() for b in reader.read(p) for r in b.column("row_idx").to_pylist()]
+    assert got == list(range(20, 300)) and seen == [(20 * 16, 280 * 16)]
+    monkeypatch.undo()
+    df = matrices.read_embedding_matrix(spark, f"file:{tmp_path}/e.bin", 1000)
+    assert [list(r.embedding) for r in df.where("row_idx between 7 and 8 and size(embedding) = 4").orderBy("row_idx").collect()] == x[7:9].tolist()
+    assert df.where("row_idx = 3").count() == 1 and df.where("row_idx > 999 or row_idx < 2").count() == 2 and df.where("row_idx > 5000").count() == 0
+
+
 def test_codec(spark):
     rows = spark.createDataFrame([(1, [1.5, -2.0]), (2, None)], "id long, v array<float>").withColumn("t", V.vectors_to_base64(F.col("v")))
     assert [(r.id, r.back) for r in rows.withColumn("back", V.vectors_from_base64(F.col("t"))).orderBy("id").collect()] == [(1, [1.5, -2.0]), (2, None)]
