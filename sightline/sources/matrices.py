@@ -15,9 +15,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (
-    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
-)
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .files import located, read_range, size_of
 
@@ -30,7 +28,8 @@ class Rows(InputPartition):
 class MatrixReader(DataSourceReader):
     """Row ranges of a file of fixed-size rows, or of a folder of such parts; tasks read the bytes of their own range.
 
-    Comparisons of row_idx with numbers are taken over: rows outside of them aren't read.
+    ``low`` and ``high`` bound the rows. They are options and not pushed filters: what a Python source takes over from one
+    query's filter is kept for the next query on the same data frame.
     """
 
     STEP = 1 << 16
@@ -38,20 +37,7 @@ class MatrixReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.dim, self.kind, self.skip = options["path"], int(options.get("dim", 1)), np.dtype(options.get("dtype", "<f4")), int(options.get("skip", 0))
         self.vector = options.get("vector", "true") == "true"
-        self.low, self.high = 0, None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if getattr(f, "attribute", None) != ("row_idx",) or type(getattr(f, "value", None)) is not int:
-                yield f
-            elif isinstance(f, GreaterThan | GreaterThanOrEqual | EqualTo | LessThan | LessThanOrEqual):
-                if isinstance(f, GreaterThan | GreaterThanOrEqual | EqualTo):
-                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
-                if isinstance(f, LessThan | LessThanOrEqual | EqualTo):
-                    stop = f.value + (not isinstance(f, LessThan))
-                    self.high = stop if self.high is None else min(self.high, stop)
-            else:
-                yield f
+        self.low, self.high = int(options.get("low", 0)), int(options["high"]) if "high" in options else None
 
     def partitions(self) -> list[Rows]:
         out, width = [], self.kind.itemsize * self.dim
@@ -174,17 +160,23 @@ class MatrixSource(DataSource):
 
 
 def _registered(spark: SparkSession) -> SparkSession:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MatrixSource)
     return spark
 
 
-def read_embedding_matrix(spark: SparkSession, path: str, rows: int) -> DataFrame:
-    """(row_idx, embedding) of a raw float32 matrix, a file or a folder of parts by path or URI; its width follows from its size and the number of listed rows."""
+def _bounds(low: int, high: int | None) -> dict[str, int]:
+    return {"low": max(0, low)} | ({} if high is None else {"high": high})
+
+
+def read_embedding_matrix(spark: SparkSession, path: str, rows: int, low: int = 0, high: int | None = None) -> DataFrame:
+    """(row_idx, embedding) of a raw float32 matrix, a file or a folder of parts by path or URI.
+
+    Its width follows from its size and the number of listed rows. Of a range of rows, from ``low`` to below ``high``, only its own bytes are read.
+    """
     size = sum(n for *_, n in part_files(path))
     if rows <= 0 or size % (4 * rows):
         raise ValueError(f"{size} bytes aren't {rows} rows of float32")
-    return _registered(spark).read.format("float_matrix").option("dim", size // (4 * rows)).load(path)
+    return _registered(spark).read.format("float_matrix").options(dim=size // (4 * rows), **_bounds(low, high)).load(path)
 
 
 def _write(rows: DataFrame, path: str, header: bytes, parts: bool, **options) -> None:
@@ -225,12 +217,12 @@ def npy_header(path: str) -> tuple[int, np.dtype, tuple[int, ...]]:
         return f.tell(), np.dtype(header["descr"]), header["shape"]
 
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """(row_idx, score) of a one-dimensional ``.npy`` array."""
+def read_scores(spark: SparkSession, path: str, low: int = 0, high: int | None = None) -> DataFrame:
+    """(row_idx, score) of a one-dimensional ``.npy`` array, or of its rows from ``low`` to below ``high``."""
     skip, kind, shape = npy_header(path)
     if len(shape) != 1:
         raise ValueError(f"{path} has shape {shape}, not one dimension")
-    return _registered(spark).read.format("float_matrix").options(vector="false", skip=skip, dtype=kind.str).load(path)
+    return _registered(spark).read.format("float_matrix").options(vector="false", skip=skip, dtype=kind.str, **_bounds(low, high)).load(path)
 
 
 def aligned(values: DataFrame, image_list: DataFrame, items: DataFrame) -> DataFrame:

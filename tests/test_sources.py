@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual
 from pyspark.sql import functions as F
 
 from sightline.functions import vectors as V
@@ -104,17 +103,19 @@ def test_matrices_in_parts(spark, tmp_path, monkeypatch):
 def test_a_range_of_rows_reads_only_its_bytes(spark, tmp_path, monkeypatch):
     x = np.arange(4000, dtype=np.float32).reshape(1000, 4)
     (tmp_path / "e.bin").write_bytes(x.tobytes())
-    reader = matrices.MatrixReader({"path": str(tmp_path / "e.bin"), "dim": "4"})
-    kept = [GreaterThan(("row_idx",), 10), LessThanOrEqual(("row_idx",), 600), GreaterThanOrEqual(("row_idx",), 20), LessThan(("row_idx",), 300), EqualTo(("embedding",), 1)]
-    assert list(reader.pushFilters(kept)) == kept[4:]
+    reader = matrices.MatrixReader({"path": str(tmp_path / "e.bin"), "dim": "4", "low": "20", "high": "300"})
     seen = []
     monkeypatch.setattr(matrices, "read_range", lambda path, start, n: (seen.append((start, n)), open(path, "rb").read()[start : start + n])[1])
     got = [r for p in reader.partitions() for b in reader.read(p) for r in b.column("row_idx").to_pylist()]
     assert got == list(range(20, 300)) and seen == [(20 * 16, 280 * 16)]
     monkeypatch.undo()
-    df = matrices.read_embedding_matrix(spark, f"file:{tmp_path}/e.bin", 1000)
-    assert [list(r.embedding) for r in df.where("row_idx between 7 and 8 and size(embedding) = 4").orderBy("row_idx").collect()] == x[7:9].tolist()
-    assert df.where("row_idx = 3").count() == 1 and df.where("row_idx > 999 or row_idx < 2").count() == 2 and df.where("row_idx > 5000").count() == 0
+    read = lambda **k: matrices.read_embedding_matrix(spark, f"file:{tmp_path}/e.bin", 1000, **k)
+    assert [list(r.embedding) for r in read(low=7, high=9).orderBy("row_idx").collect()] == x[7:9].tolist()
+    assert [read(**k).count() for k in ({}, {"low": 990}, {"high": 3}, {"low": 5000}, {"low": 5, "high": 5}, {"high": 9999})] == [1000, 10, 3, 0, 0, 1000]
+    df = read()
+    assert df.where("row_idx = 3").count() == 1 and df.where("row_idx > 998 or row_idx < 2").count() == 3  # one frame, several queries
+    np.save(tmp_path / "s.npy", x[:, 0])
+    assert [r.score for r in matrices.read_scores(spark, str(tmp_path / "s.npy"), 5, 8).orderBy("row_idx").collect()] == x[5:8, 0].tolist()
 
 
 def test_codec(spark):
