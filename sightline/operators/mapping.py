@@ -102,6 +102,28 @@ class CroppedImages:
         return np.stack(out).astype(np.float32) if out else np.empty((0, self.dim), np.float32)
 
 
+def embed_images(images: DataFrame, embedder: CroppedImages, id_col: str = "item_id", image_col: str = "image", crop_col: str | None = None, batch: int = 32) -> DataFrame:
+    """(item_id, embedding) of images, decoded or as bytes, each cropped to its struct (x1, y1, x2, y2) of fractions.
+
+    A null image has no embedding (null); a null crop, or one with a null in it, is the whole image. Images go to the model ``batch`` at a time.
+    """
+    kind = images.schema[id_col].dataType.simpleString()
+    crop = F.col(crop_col) if crop_col else F.lit(None).cast("struct<x1:double,y1:double,x2:double,y2:double>")
+    rows = images.select(F.col(id_col).alias("item_id"), F.col(image_col).alias("image"), crop.alias("crop"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embedder.open()
+        for whole in batches:
+            for a in range(0, whole.num_rows, batch):
+                part = whole.slice(a, batch)
+                given = [(x, None if c is None or None in c.values() else tuple(c[k] for k in ("x1", "y1", "x2", "y2"))) for x, c in zip(part.column("image").to_pylist(), part.column("crop").to_pylist(), strict=True)]
+                found = iter(embedder.embed([x for x in given if x[0] is not None]).tolist())
+                out = [None if x is None else next(found) for x, _ in given]
+                yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.array(out, pa.list_(pa.float32()))], ["item_id", "embedding"])
+
+    return rows.mapInArrow(run, f"item_id {kind}, embedding array<float>")
+
+
 def embed(items: DataFrame, embedder: Embedder, input_col: str, id_col: str = "item_id", batch: int = 32) -> DataFrame:
     """(item_id, embedding): one pass over the items, in batches; the embedder is opened once a task."""
     kind = items.schema[id_col].dataType.simpleString()

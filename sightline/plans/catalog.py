@@ -20,7 +20,7 @@ from ..operators import mapping as M
 from ..operators import ranking as R
 from ..operators import validation as G
 from ..operators.indexing import checkpoint_folder, checkpointed, running_totals
-from ..sources import image_lists, matrices, outputs
+from ..sources import image_lists, images, matrices, outputs
 from ..streaming import annotation_stream
 from .derived import derive, sql
 
@@ -877,6 +877,23 @@ def scanned_items(s, d):
     return found.select(F.concat_ws("/", F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1)).alias("path"), "is_val")
 
 
+@query(sql(""", pixel as (select item_id, k, c, floor(abs(embedding[k + 1]::double) * (1000 + 37 * c))::bigint % 256 as v from emb, range(64) a(k), range(3) b(c)),
+  shown as (select *, k // 8 as y, k % 8 as x from pixel where item_id % 3 = 0 or (item_id % 3 = 1 and k // 8 < 4 and k % 8 < 4) or (item_id % 3 = 2 and k // 8 >= 2 and k % 8 >= 2))
+  select item_id, c as i, round(avg(v)::float::double, 2) as x from shown group by item_id, c""", "emb"))
+def image_embeddings(s, d):
+    """Vectors written as small colour images, decoded again, cropped by item and pooled."""
+    folder = _local_folder(s)
+    emb = derive(s, d, "emb").select("item_id", V.doubles(F.col("embedding")).alias("v"))
+    value = lambda k: F.array(*(F.floor(F.abs(F.get("v", k)) * (1000 + 37 * c)) % 256 for c in range(3)))
+    values = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), value)).cast("array<int>")
+    images.write_images(emb.select(F.concat(F.col("item_id").cast("string"), F.lit(".png")).alias("path"), F.lit(8).alias("height"), F.lit(8).alias("width"), values.alias("values")), folder)
+    found = images.read_images(s, folder).withColumn("item_id", F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long"))
+    side = lambda a, b, c: F.element_at(F.array(*(F.lit(x) for x in (a, b, c))), (F.col("item_id") % 3 + 1).cast("int"))
+    found = found.withColumn("crop", F.struct(side(0.0, 0.0, 0.25).alias("x1"), side(0.0, 0.0, 0.25).alias("y1"), side(1.0, 0.5, 1.0).alias("x2"), side(1.0, 0.5, 1.0).alias("y2")))
+    pooled = M.embed_images(found, M.CroppedImages(images.pixels, lambda x: x, 3), crop_col="crop")
+    return pooled.select("item_id", F.posexplode("embedding").alias("i", "x")).select("item_id", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 2).alias("x"))
+
+
 # Streams
 
 

@@ -3,8 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import vectors as V
+from sightline.operators import mapping as M
 from sightline.sources import image_lists as S
-from sightline.sources import matrices, outputs
+from sightline.sources import images, matrices, outputs
 
 
 def test_scan(spark, tmp_path):
@@ -134,3 +135,19 @@ def test_outputs(spark):
     held = spark.createDataFrame([("d", "x", "p")], "dataset string, name string, scores_path string")
     jobs = spark.createDataFrame([("d", "x", "q", True, False), ("d", "y", "r", True, False), ("d", "z", "s", True, True)], "dataset string, name string, scores_path string, finished boolean, failed boolean")
     assert sorted((r.name, r.scores_path) for r in outputs.insert_if_absent(held, jobs).collect()) == [("x", "p"), ("y", "r")]
+
+
+def test_images_are_decoded_cropped_and_pooled(spark, tmp_path):
+    r = np.random.default_rng(5)
+    made = {"grey.png": r.integers(0, 256, (5, 7, 1)), "sub/colour.png": r.integers(0, 256, (6, 4, 3))}
+    rows = spark.createDataFrame([(k, *v.shape[:2], v.ravel().tolist()) for k, v in made.items()], "path string, height int, width int, values array<int>")
+    images.write_images(rows, f"{tmp_path}/i")
+    (tmp_path / "i/broken.png").write_bytes(b"no image")
+    found = images.read_images(spark, f"{tmp_path}/i")
+    got = {x.path.rpartition("/i/")[2]: x.image and images.pixels(x.image.asDict()) for x in found.collect()}
+    assert set(got) == {*made, "broken.png"} and got["broken.png"] is None and all((got[k] == v).all() for k, v in made.items())
+    crops = found.withColumn("crop", F.when(F.col("path").contains("grey"), F.struct(F.lit(0.2).alias("x1"), F.lit(0.0).alias("y1"), F.lit(0.5).alias("x2"), F.lit(0.41).alias("y2"))))
+    embedder = M.CroppedImages(images.pixels, lambda x: x, 1)
+    out = {x.item_id.rpartition("/")[2]: x.embedding for x in M.embed_images(crops, embedder, "path", crop_col="crop", batch=1).collect()}
+    assert out["broken.png"] is None and np.allclose(out["grey.png"], made["grey.png"][:2, 1:3].mean()) and np.allclose(out["colour.png"], made["sub/colour.png"].mean(axis=(0, 1)))
+    assert M.embed_images(found.limit(0), embedder, "path").count() == 0
