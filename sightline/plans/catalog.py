@@ -114,14 +114,14 @@ def retrieved_annotations(s, d):
     return A.retrieve(_current(s, d), ids, ["click", "view"], ["POSITIVE", "blurry"]).select("item_id", "category", "mode", "is_box")
 
 
-@query(sql("select case when category = 'click' then 'tap' else category end as category, mode, count(*) as n from cur group by all", "cur"))
+@query(sql("select item_id, is_box, case when category = 'click' then 'tap' else category end as category, mode, count(*) as n from cur group by all", "cur"))
 def rename_category(s, d):
-    return A.rename_category(_current(s, d), "click", "tap").groupBy("category", "mode").agg(F.count("*").alias("n"))
+    return A.rename_category(_current(s, d), "click", "tap").groupBy("item_id", "category", "mode", "is_box").agg(F.count("*").alias("n"))
 
 
-@query(sql("select category, mode, count(*) as n from cur where category <> 'click' group by all", "cur"))
+@query(sql("select item_id, category, mode, is_box, count(*) as n from cur where category <> 'click' group by all", "cur"))
 def delete_category(s, d):
-    return A.delete_category(_current(s, d), "click").groupBy("category", "mode").agg(F.count("*").alias("n"))
+    return A.delete_category(_current(s, d), "click").groupBy("item_id", "category", "mode", "is_box").agg(F.count("*").alias("n"))
 
 
 @query(sql("""select item_id, coalesce(string_agg(category || ':' || mode, ',' order by category, mode), '') as merged from (
@@ -161,28 +161,28 @@ def tag_lists(s, d):
     return text.select("event_id", F.explode(X.tags_of(F.col("tags"))).alias("t")).select("event_id", "t.category", "t.value")
 
 
-@query(sql(", more as (select item_id, case when item_id % 3 = 0 then 'active:m' else 'view' end as category, case when item_id % 3 = 0 then 'NEGATIVE' else 'POSITIVE' end as mode from items where is_val) select category, mode, count(*) as n from (select category, mode from cur union all select category, mode from more) group by all", "items", "cur"))
+@query(sql(", more as (select item_id, case when item_id % 3 = 0 then 'active:m' else 'view' end as category, case when item_id % 3 = 0 then 'NEGATIVE' else 'POSITIVE' end as mode from items where is_val) select item_id, category, mode, is_box, count(*) as n from (select item_id, category, mode, is_box from cur union all select item_id, category, mode, false from more) group by all", "items", "cur"))
 def validation_answers(s, d):
     """Answers of a validation, some as other negatives of the model, appended to the log."""
     items, log = derive(s, d, "items"), derive(s, d, "alog")
     asked = items.where("is_val").select("item_id", F.lit("view").alias("category"), F.lit("POSITIVE").alias("mode"), (F.col("item_id") % 3 == 0).alias("is_other_negative"))
-    return A.current(log.unionByName(A.validation_rows(asked, items, 1 << 40, "me", "m"), allowMissingColumns=True)).groupBy("category", "mode").agg(F.count("*").alias("n"))
+    return A.current(log.unionByName(A.validation_rows(asked, items, 1 << 40, "me", "m"), allowMissingColumns=True)).groupBy("item_id", "category", "mode", "is_box").agg(F.count("*").alias("n"))
 
 
-@query(sql("select category, mode, count(*) as n from cur where item_id not in (select item_id from items where item_id % 7 = 3) group by all", "cur", "items"))
+@query(sql("select item_id, category, mode, is_box, count(*) as n from cur where item_id not in (select item_id from items where item_id % 7 = 3) group by all", "cur", "items"))
 def delete_dataset(s, d):
     items = derive(s, d, "items").withColumn("dataset", F.when(F.col("item_id") % 7 == 3, "gone").otherwise("stays"))
-    return A.delete_dataset(_current(s, d), items, "gone").groupBy("category", "mode").agg(F.count("*").alias("n"))
+    return A.delete_dataset(_current(s, d), items, "gone").groupBy("item_id", "category", "mode", "is_box").agg(F.count("*").alias("n"))
 
 
-@query(sql("select case when name = 'model-3' then 'best' else name end as name, count(*) as n from models group by all", "models"))
+@query(sql("select case when name = 'model-3' then 'best' else name end as name, model_id, epoch from models", "models"))
 def rename_model(s, d):
-    return A.rename(derive(s, d, "models"), "model-3", "best").groupBy("name").agg(F.count("*").alias("n"))
+    return A.rename(derive(s, d, "models"), "model-3", "best").select("name", "model_id", "epoch")
 
 
-@query(sql("select name, count(*) as n from models where name <> 'model-3' group by all", "models"))
+@query(sql("select name, model_id, epoch from models where name <> 'model-3'", "models"))
 def delete_model(s, d):
-    return A.delete(derive(s, d, "models"), "model-3").groupBy("name").agg(F.count("*").alias("n"))
+    return A.delete(derive(s, d, "models"), "model-3").select("name", "model_id", "epoch")
 
 
 @query(sql("select event_id, case when event_id % 5 = 0 then null else lower(mode) end as mode from alog", "alog"))
@@ -382,12 +382,12 @@ def inverted_selection(s, d):
     return C.inverted(items.where("label in (1, 4)").select("item_id", F.col("label").alias("cluster")), items.where("item_id % 5 = 2")).select("item_id")
 
 
-@query(sql(", ranked as (select item_id, row_number() over (order by label desc, item_id) - 1 as rank, count(*) over () as n from items), slice as (select item_id from ranked where rank >= ceil(n * (1e0 - 0.6e0)) and rank < floor(n * (1e0 - 0.2e0))) select category, mode, count(*) as n from (select category, mode from cur where is_box or category <> 'click' or item_id not in (select item_id from slice) union all select 'click', 'HARD_NEGATIVE' from slice) group by all", "items", "cur"))
+@query(sql(", ranked as (select item_id, row_number() over (order by label desc, item_id) - 1 as rank, count(*) over () as n from items), slice as (select item_id from ranked where rank >= ceil(n * (1e0 - 0.6e0)) and rank < floor(n * (1e0 - 0.2e0))) select item_id, category, mode, is_box, count(*) as n from (select item_id, category, mode, is_box from cur where is_box or category <> 'click' or item_id not in (select item_id from slice) union all select item_id, 'click', 'HARD_NEGATIVE', false from slice) group by all", "items", "cur"))
 def bulk_tag(s, d):
     items, log = derive(s, d, "items"), derive(s, d, "alog")
     ranking = _ranked(items.select("item_id", F.col("label").cast("double").alias("dist")), "dot")
     tagged = A.set_tag(R.percentile_slice(ranking, 0.2, 0.6), 1 << 40, "me", "click", "HARD_NEGATIVE")
-    return A.current(log.unionByName(tagged, allowMissingColumns=True)).groupBy("category", "mode").agg(F.count("*").alias("n"))
+    return A.current(log.unionByName(tagged, allowMissingColumns=True)).groupBy("item_id", "category", "mode", "is_box").agg(F.count("*").alias("n"))
 
 
 @query(sql("select item_id, -1e0 as dist, row_number() over (order by item_id) - 1 as rank from items where not is_val", "items"))
@@ -831,12 +831,12 @@ def vector_codec(s, d):
     return emb.select("item_id", F.posexplode("back").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
 
 
-@query(sql("select case when is_val then 'val' else 'train' end as split, identifier, path from items", "items"))
+@query(sql("select row_number() over (order by item_id) - 1 as row_idx, case when is_val then 'val' else 'train' end as split, identifier, path from items", "items"))
 def image_list_file(s, d):
-    """An image list written and read again."""
+    """An image list written in order of the item and read again, its lines numbered."""
     path = f"{checkpoint_folder(s)}/image-list-{uuid.uuid4()}"
-    image_lists.write_image_list(derive(s, d, "items"), path)
-    return image_lists.read_image_list(s, path).drop("row_idx")
+    image_lists.write_image_list(derive(s, d, "items").orderBy("item_id").coalesce(1), path)
+    return image_lists.read_image_list(s, path)
 
 
 def _local_folder(s: SparkSession) -> str:
