@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.text import Tag
 from .annotations import any_tag, tagged
-from .indexing import checkpointed
+from .indexing import ROWS_PER_TASK, checkpointed, few_tasks
 from .items import predicted
 from .partials import matrix_of, summed
 from .ranking import first_rows, knn
@@ -80,11 +80,12 @@ def fit_svm_weights(train: DataFrame, embeddings: DataFrame, c: float = 0.1, ite
     sizes = sorted({r["size"] for r in counts}, key=lambda k: (-sum(r["count"] for r in counts if r["size"] == k), k))
     if not sizes or len([r for r in counts if r["size"] == sizes[0]]) < 2:
         raise ValueError("a positive and a negative item are needed")
-    dim = sizes[0]
-    rows = rows.where(F.col("size") == dim).select("y", "x")
+    dim, n = sizes[0], sum(r["count"] for r in counts)
+    tasks = -(-n // ROWS_PER_TASK)
+    rows = few_tasks(rows, n).where(F.col("size") == dim).select("y", "x")
 
     def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
-        value, slope = summed(rows, lambda b: svm_loss(matrix_of(b.column("x"), dim), b.column("y").to_numpy(), w), dim + 1)
+        value, slope = summed(rows, lambda b: svm_loss(matrix_of(b.column("x"), dim), b.column("y").to_numpy(), w), dim + 1, tasks=tasks)
         return c * value + 0.5 * float(w @ w), c * slope + w
 
     return lbfgs(objective, np.zeros(dim + 1), iterations)[0]

@@ -30,8 +30,11 @@ def matrix_of(column: pa.Array, dim: int) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False)[starts[:-1][good][:, None] + np.arange(dim)] if good.any() else np.empty((0, dim))
 
 
-def summed(rows: DataFrame, part: Callable[[pa.RecordBatch], tuple[float, np.ndarray]], size: int, fan: int = FAN) -> tuple[float, np.ndarray]:
-    """The sums of a value and of a vector of ``size`` numbers that ``part`` gives for each batch; ``fan`` vectors come to the driver."""
+def summed(rows: DataFrame, part: Callable[[pa.RecordBatch], tuple[float, np.ndarray]], size: int, fan: int = FAN, tasks: int | None = None) -> tuple[float, np.ndarray]:
+    """The sums of a value and of a vector of ``size`` numbers that ``part`` gives for each batch; ``fan`` vectors come to the driver.
+
+    Where the rows are known to be in no more than ``fan`` ``tasks``, these send their sums themselves.
+    """
 
     def table(pairs: Iterator[tuple[float, np.ndarray]]) -> pa.Table:
         value, slope = 0.0, np.zeros(size)
@@ -45,7 +48,9 @@ def summed(rows: DataFrame, part: Callable[[pa.RecordBatch], tuple[float, np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table(part(b) for b in batches).to_batches()
 
-    parts = merged(rows.mapInArrow(run, "value double, slope binary"), lambda batches: table(read(batches)).to_batches(), fan, whole=False)
+    parts = rows.mapInArrow(run, "value double, slope binary")
+    if tasks is None or tasks > fan:
+        parts = merged(parts, lambda batches: table(read(batches)).to_batches(), fan, whole=False)
     done = table(read(parts.toArrow().to_batches()))
     return done.column("value")[0].as_py(), np.frombuffer(done.column("slope")[0].as_buffer())
 
