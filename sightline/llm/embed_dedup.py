@@ -13,12 +13,16 @@ from pyspark.sql import functions as F
 
 from sightline.operators.indexing import checkpointed, counted, few_tasks
 
-from .common import ship
+from .common import sent_if_small, ship
 from .graph import parents, spanning
 
 COSINE = 0.95
 #: Distinct vectors that the coarse cells and the codebooks are fitted on at most: those with the least fingerprints.
 SAMPLE = 131_072
+#: Numbers that the sample holds at most, 256 MB; long vectors are fewer.
+SAMPLE_NUMBERS = 1 << 25
+#: A length with no more distinct vectors and numbers than these is indexed and searched in one task.
+SMALL, SMALL_NUMBERS = 1_024, 1 << 23
 #: Cells at most, vectors of the sample that a cell is fitted on at least, and distinct vectors that it should hold.
 MOST_CELLS, FITTED_ON, CELL_SIZE = 16_384, 8, 512
 PARTS, CODES = 8, 256
@@ -168,12 +172,12 @@ def compare(index: Quantiser, cell: int, queries: np.ndarray, vectors: np.ndarra
     return near[1][keep], near[0][keep]
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, reach: float = REACH, cell_size: int = CELL_SIZE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, reach: float = REACH, cell_size: int = CELL_SIZE, small: int = SMALL) -> DataFrame:
     """Links of vectors with a cosine of at least ``cosine``, found through a product-quantised inverted index.
 
     1. Equal vectors are one class with a number of copies.
     2. Vectors link with those of their own length. For each length, cells and codebooks are fitted on at most ``SAMPLE``
-       classes (one cell, and so no loss, where there are few). Every class is put into its nearest cell as codes of
+       classes (one cell, and so no loss, where there are few; a task then fits, codes and searches the length). Every class is put into its nearest cell as codes of
        its residual, with the distance that coding costs it.
     3. Every class is searched in its own cell and in those whose border is within reach. Looked-up distances are bounded
        by what coding cost, so within a probed cell no link is lost; candidates are decided by the exact cosine in doubles.
@@ -193,11 +197,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows, all_rows = counted(narrow.mapInArrow(_prepared, f"key {kind}, fp string, size int, raw binary"))
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("raw").alias("raw"))
     classes = few_tasks(checkpointed(classes.withColumn("no", F.monotonically_increasing_id())), all_rows.n, VECTORS_PER_TASK)
-    links = None
-    # a row per length
-    for r in classes.groupBy("size").agg(F.count("*").alias("classes")).where("classes > 1").orderBy("size").collect():
+    lengths = checkpointed(classes.groupBy("size").agg(F.count("*").alias("classes")).where("classes > 1"))
+    alone = (F.col("classes") <= small) & (F.col("classes") * F.col("size") <= SMALL_NUMBERS)
+    # any number of lengths with few vectors in one job, a task for each; the others' lengths are a row each
+    few, seen = counted(lengths.where(alone).select("size"))
+    links = checkpointed(_small_links(classes.join(sent_if_small(few, seen.n), "size", "left_semi"), cosine)) if seen.n else None
+    for r in lengths.where(~alone).orderBy("size").collect():
         alike = classes.where(F.col("size") == r["size"])
-        sample = matrix([bytes(x["raw"]) for x in alike.orderBy("fp").limit(SAMPLE).select("raw").collect()], r["size"])
+        most = max(CODES, min(SAMPLE, SAMPLE_NUMBERS // r["size"]))
+        sample = matrix([bytes(x["raw"]) for x in alike.orderBy("fp").limit(most).select("raw").collect()], r["size"])
         index = spark.sparkContext.broadcast(Quantiser(sample, max(1, min(MOST_CELLS, len(sample) // FITTED_ON, r["classes"] // cell_size))))
         found = checkpointed(_links(alike, index, cosine, reach))
         links = found if links is None else links.union(found)
@@ -217,6 +225,28 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     return found.select("key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "key").alias("component"))
 
 
+def _small_links(alike: DataFrame, cosine: float) -> DataFrame:
+    """Rows (no, n, other) as ``_links`` gives them, of lengths with few classes: one cell each, all in one task."""
+
+    def search(rows: pa.Table) -> pa.Table:
+        x = matrix(rows["raw"].to_pylist(), rows["size"][0].as_py())
+        no, copies = rows["no"].to_numpy(), rows["copies"].to_numpy()
+        q = Quantiser(x, 1)
+        codes, error = q.codes(x, np.zeros(len(x), np.int64))
+        links, forest = np.zeros(len(x), np.int64), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for a in range(0, len(x), SEARCHES):
+            i, j = compare(q, 0, x[a : a + SEARCHES], x, codes, error, cosine)
+            i, j = i[i + a != j] + a, j[i + a != j]
+            links += np.bincount(i, copies[j], len(x)).astype(np.int64)
+            forest.append(spanning(no[i], no[j]))
+        u, v = spanning(*(np.concatenate(ends) for ends in zip(*forest, strict=True)))
+        i = np.flatnonzero(links)
+        none = np.zeros(len(i), np.int64)
+        return pa.table({"no": np.concatenate([no[i], u]), "n": np.concatenate([links[i], np.zeros(len(u), np.int64)]), "other": pa.array(np.concatenate([none, v]), mask=np.arange(len(i) + len(v)) < len(i))})
+
+    return alike.select("size", "no", "copies", "raw").groupBy("size").applyInArrow(search, "no long, n long, other long")
+
+
 def _links(alike: DataFrame, index, cosine: float, reach: float) -> DataFrame:
     """Rows (no, n, other): links of a class found in one block pair, weighted by copies; forest edges to ``other``."""
     within = reach * radius(cosine) + 1e-9

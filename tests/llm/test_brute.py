@@ -160,12 +160,30 @@ def test_no_link_is_lost_over_many_cells(spark, dims, noise):
     near = base[r.integers(0, 60, 900)] + r.normal(size=(900, dims)) * noise * r.choice([0.3, 1, 1.1], 900)[:, None]
     x = np.vstack([base, near, near[:30], 4 * near[30:60]]).astype(np.float32)
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
-    got = embed_dedup.near_duplicates(rows, cell_size=16).toPandas().set_index("key").sort_index()
+    got = embed_dedup.near_duplicates(rows, cell_size=16, small=0).toPandas().set_index("key").sort_index()
     want, least = linked_vectors(x)
     assert got.n_links.tolist() == want.tolist() and (want > 0).sum() > 500
     assert got.component.tolist() == [least.get(i, i) for i in range(len(x))]
 
 
+@pytest.mark.parametrize("small", [0, 30, 1024])
+def test_links_of_many_lengths(spark, small):
+    """Forty lengths, some in one task each, others with cells of their own; as many copies in some."""
+    r = np.random.default_rng(9)
+    rows = []
+    for size in range(1, 13 if small == 0 else 41):
+        base = r.normal(size=(6, size))
+        rows += [base[k % 6] + r.normal(size=size) * 0.1 * (k % 5) for k in range(int(r.integers(1, 60)))] + [base[0]] * 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(6)
+    got = {x.key: (x.n_links, x.component) for x in embed_dedup.near_duplicates(df, small=small).collect()}
+    want = {}
+    for size in {len(v) for v in rows}:
+        ids = [i for i, v in enumerate(rows) if len(v) == size]
+        links, least = linked_vectors(np.stack([rows[i] for i in ids]))
+        want |= {i: (links[k], ids[least.get(k, k)]) for k, i in enumerate(ids)}
+    assert got == want
+
+
 def test_many_centres_are_fitted_in_groups():
     x = np.random.default_rng(3).normal(size=(9000, 8))
     centres = embed_dedup.nested_means(x, 1000)
