@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sightline.operators.indexing import checkpointed, counted
+from sightline.operators.partials import summed
 from sightline.operators.solvers import lbfgs
 
 from .common import ship
@@ -29,6 +30,8 @@ LONG_WORD = 100
 #: Runs of words that training text in several languages is spliced from, and the blocks that hold it.
 CHAIN = 10
 BLOCKS = 16
+#: Tasks that train; with more parameters than so many, their gradients are added up before they come to the driver.
+TASKS, SENT_NUMBERS = 8, 1 << 18
 BUCKETS = 1 << 14
 GRAMS = (2, 3, 4)
 LEXICON = 5000
@@ -308,7 +311,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     Every word of a document is taken to be of the document's language. Runs of words of different documents are spliced
     to chains, so that moves between languages are learnt as well. The likelihood and its gradient are summed over blocks
-    of chains by tasks, and the sums by one more task; the driver holds the parameters.
+    of chains by tasks; the driver holds the parameters.
     """
     ship(docs.sparkSession)
     segments, langs = _segments(docs, id_col, text_col, lang_col, most)
@@ -328,28 +331,20 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     chained = segments.withColumn("chain", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(max(1, seen.n // CHAIN)).cast("long")))
     chained = chained.withColumn("block", F.col("chain") % BLOCKS)
     blocks = chained.groupBy("block").applyInArrow(block, ", ".join(f"{x} binary" for x in names))
-    blocks = checkpointed(blocks)
+    blocks = checkpointed(blocks.repartition(TASKS))
     tokens = blocks.agg(F.sum(F.length("label")) / 8).first()[0]
 
     def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def part(batch: pa.RecordBatch) -> tuple[float, np.ndarray]:
             value, slope = 0.0, np.zeros(len(x))
-            for batch in batches:
-                for row in batch.to_pylist():
-                    v, g = _loss({k: np.frombuffer(b, np.int64) for k, b in row.items()}, x, n_langs)
-                    value, slope = value + v, slope + g
-            yield pa.RecordBatch.from_pydict({"value": pa.array([value]), "slope": pa.array([slope.tobytes()], pa.binary())})
-
-        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            value, slope = 0.0, np.zeros(len(x))
-            for batch in batches:
-                for row in batch.to_pylist():
-                    value, slope = value + row["value"], slope + np.frombuffer(row["slope"])
-            yield pa.RecordBatch.from_pydict({"value": pa.array([value]), "slope": pa.array([slope.tobytes()], pa.binary())})
-
-        schema = "value double, slope binary"
-        row = blocks.mapInArrow(part, schema).repartition(1).mapInArrow(merged, schema).collect()[0]  # one row
-        return row["value"] / tokens + PENALTY / 2 * float(x @ x), np.frombuffer(row["slope"]) / tokens + PENALTY * x
+            for row in batch.to_pylist():
+                v, g = _loss({k: np.frombuffer(b, np.int64) for k, b in row.items()}, x, n_langs)
+                value, slope = value + v, slope + g
+            return value, slope
+
+        few = len(x) <= SENT_NUMBERS
+        value, slope = summed(blocks, part, len(x), TASKS if few else 1, TASKS)
+        return value / tokens + PENALTY / 2 * float(x @ x), slope / tokens + PENALTY * x
 
     size = BUCKETS * n_langs + (n_langs + 1) * n_langs + n_langs * n_langs
     x, _, _ = lbfgs(objective, np.zeros(size), iterations=iterations, tolerance=1e-3)
