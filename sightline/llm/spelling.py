@@ -48,15 +48,17 @@ def letter_runs(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def crc_of_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray) -> np.ndarray:
     """The crc32 of each run, continued from the crc32 of what stands before it; all runs a byte at a time."""
-    state = before ^ np.uint32(0xFFFFFFFF)
     order = np.argsort(starts - ends, kind="stable")  # longest first
-    sizes = (ends - starts)[order]
+    first, sizes, state = starts[order], (ends - starts)[order], before[order] ^ np.uint32(0xFFFFFFFF)
     for k in range(min(int(sizes[0]), 64) if len(sizes) else 0):
-        own = order[: int(np.searchsorted(-sizes, -k))]  # of more than k bytes
-        state[own] = _CRC[(state[own] ^ data[starts[own] + k]) & np.uint32(255)] ^ (state[own] >> np.uint32(8))
-    done = state ^ np.uint32(0xFFFFFFFF)
-    for x in order[: int(np.searchsorted(-sizes, -64))]:
-        done[x] = zlib.crc32(data[starts[x] + 64 : ends[x]].tobytes(), int(done[x]))
+        n = int(np.searchsorted(-sizes, -k))  # of more than k bytes
+        own = state[:n]
+        state[:n] = _CRC[(own ^ data[first[:n] + k]) & np.uint32(255)] ^ (own >> np.uint32(8))
+    state ^= np.uint32(0xFFFFFFFF)
+    for x in range(int(np.searchsorted(-sizes, -64))):
+        state[x] = zlib.crc32(data[first[x] + 64 : first[x] + sizes[x]].tobytes(), int(state[x]))
+    done = np.empty_like(state)
+    done[order] = state
     return done
 
 
@@ -72,19 +74,17 @@ def spoilt_words(ids: pa.Array, texts: pa.Array) -> pa.Array:
     before = np.array([zlib.crc32(f"{x}:".encode()) for x in ids.to_pylist()], np.uint32)
     hashes = crc_of_runs(data, starts, ends, before[doc])
     keep = np.zeros(len(data) + 1, np.int8)
-    np.add.at(keep, starts, 1)
-    np.add.at(keep, ends, -1)
-    keep = np.cumsum(keep[:-1], dtype=np.int8).astype(bool)
-    first = np.cumsum(data & 0xC0 != 0x80)  # code points up to and with each byte
+    keep[starts] += 1
+    keep[ends] -= 1
+    keep = np.cumsum(keep[:-1], dtype=np.int8).view(bool)
+    sizes = ends - starts
     for x in np.flatnonzero((hashes % SPOILT == 0) & known[doc]):
-        a, b = int(starts[x]), int(ends[x])
-        base = int(first[a])
-        at = a + int(np.searchsorted(first[a:b], base + int(hashes[x]) % int(first[b - 1] - base + 1)))
-        keep[at] = False
-        if data[at] == _LEAD:
-            keep[at + 1] = False
-    sizes = np.append(0, np.cumsum(keep))
-    offsets = np.append(0, np.cumsum(sizes[ends] - sizes[starts])).astype(np.int64)
+        points = np.flatnonzero(data[starts[x] : ends[x]] & 0xC0 != 0x80)  # first bytes of code points
+        at = starts[x] + points[int(hashes[x]) % len(points)]
+        gone = 2 if data[at] == _LEAD else 1
+        keep[at : at + gone] = False
+        sizes[x] -= gone
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[keep].tobytes()))
 
 
