@@ -219,7 +219,7 @@ def segments_of(texts: pa.Array, draw: np.ndarray) -> Iterator[tuple[int, int, s
 
 
 def _segments(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int) -> tuple[DataFrame | None, list[str]]:
-    """(h, y, words): bounded training text from at most ``most`` documents, and the languages that y numbers."""
+    """(h, y, words): bounded training text from at most ``most`` different texts, and the languages that y numbers."""
     known = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
     counts = known.groupBy(F.col(lang_col).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
     if not counts:
@@ -229,7 +229,7 @@ def _segments(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most:
     number = F.create_map(*(F.lit(x) for y, lang in enumerate(langs) for x in (lang, y)))
     # a row's place among its language's rows, 1 at the quota; twice the quota is kept and cut afterwards
     share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], r["count"] / quota)))
-    rows = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h")).where(F.col("text").isNotNull())
+    rows = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h")).where(F.col("text").isNotNull())
     rows = rows.withColumn("u", (F.col("h").bitwiseAND((1 << 52) - 1) / float(1 << 52)) * share[F.col("lang")]).where("u < 2").select("u", "h", number[F.col("lang")].alias("y"), "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,9 +242,9 @@ def _segments(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most:
             })
 
     found = rows.mapInArrow(cut, "u double, h long, y int, k int, words string")
-    # documents by u; a few hundred bytes a row
-    found = found.orderBy("u", "h", "k", "words").limit(most * SEGMENTS)
-    return found.select(F.xxhash64("h", "k").alias("h"), "y", "words"), langs
+    # documents by u, copies of a text once, however many rows they are; a few hundred bytes a row
+    found = found.dropDuplicates(["y", "h", "k"]).orderBy("u", "h", "k", "y").limit(most * SEGMENTS)
+    return found.select(F.xxhash64("h", "k", "y").alias("h"), "y", "words"), langs
 
 
 def _lexicon(segments: DataFrame, n_langs: int) -> tuple[np.ndarray, np.ndarray]:

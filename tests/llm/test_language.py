@@ -128,7 +128,9 @@ def test_nothing_to_learn_from(spark):
 
 
 def test_the_sample_is_bounded(spark):
-    """A third of all rows is one labelled document; the others are learnt from nevertheless, in a bounded number of runs."""
-    rows = [(k, f"the old stone mill by the river {k}", "en") for k in range(300)] + [(1000, "die alte mühle an dem fluss", "de")] * 150
+    """A third of all rows are copies of one text, under one id and under many; it is learnt from once, and in a bounded number of runs."""
+    rows = [(k, f"the old stone mill by the river {k}", "en") for k in range(300)] + [(1000, "die alte mühle an dem fluss", "de")] * 75 + [(2000 + k, "die alte mühle an dem fluss", "de") for k in range(75)]
     segments, langs = language._segments(make(spark, rows), "doc_id", "text", "lang", 20)
     assert langs == ["de", "en"] and segments.count() <= 20 * language.SEGMENTS
+    segments, _ = language._segments(make(spark, rows), "doc_id", "text", "lang", 4000)
+    assert segments.where("words like 'die alte%'").count() == 1 and segments.where("words like 'the old%'").count() > 200
