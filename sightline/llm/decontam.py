@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.operators.indexing import checkpointed, counted, few_tasks
+from sightline.operators.indexing import checkpointed, counted, few_tasks, running_totals
 
 from .common import sent_if_small, ship
 from .shingles import shingle_sets, small_batches
@@ -20,18 +20,38 @@ CONTAINMENT = (75, 100)
 BROADCAST_SHINGLES = 2_000_000
 #: Items that may hold a shingle before it is taken into sketches only where an item has too few others.
 COMMON = 64
+#: Highest bits of a hash that the filters of the join tell apart, 8 MB a filter.
+FILTER_BITS = 26
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _rows(key: str):
-    """Rows (key, shingle)."""
+def hash_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit for each value of the highest ``bits`` bits: whether a row of ``shingle`` begins so. Its size is fixed, however many rows."""
+    place = hashes.select(F.shiftrightunsigned("shingle", 64 - bits).alias("place"))
+    words = place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("seen")).toArrow()
+    out = np.zeros(max(1, 1 << bits - 6), np.uint64)
+    out[words.column("word").to_numpy()] = words.column("seen").to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(seen: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes (unsigned) a filter lets through: all that it was made from, and few others."""
+    bits = len(seen).bit_length() + 5
+    place = hashes >> np.uint64(64 - bits)
+    return (seen[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _rows(key: str, seen=None):
+    """Rows (key, shingle); with a broadcast filter, of shingles that it lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             sets = shingle_sets(batch.column("text"))
+            if seen is not None:
+                sets = [x[may_hold(seen.value, x)] for x in sets]
             sizes = np.array([len(x) for x in sets], np.int64)
             at = np.repeat(np.arange(len(sets)), sizes)
             yield pa.RecordBatch.from_pydict({
@@ -51,12 +71,16 @@ def item_shingles(items: DataFrame, id_col: str = "item_id", text_col: str = "te
     """
     narrow = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("item is not null")
     kind = narrow.schema["item"].dataType.simpleString()
-    rows = checkpointed(narrow.mapInArrow(_rows("item"), f"item {kind}, shingle long").dropDuplicates(["item", "shingle"]))
-    common = checkpointed(rows.groupBy("shingle").agg(F.count("*").alias("items")).where(F.col("items") > COMMON).select("shingle", F.lit(True).alias("common")))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.col("common").isNotNull(), F.col("shingle") < 0, "shingle"))  # as unsigned numbers
+    rows, seen = counted(narrow.mapInArrow(_rows("item"), f"item {kind}, shingle long").dropDuplicates(["item", "shingle"]))
+    rows = few_tasks(rows, seen.n)
+    common, many = counted(rows.groupBy("shingle").agg(F.count("*").alias("items")).where(F.col("items") > COMMON).select("shingle", F.lit(True).alias("common")))
+    late = rows.join(sent_if_small(common, many.n), "shingle", "left").select("item", "shingle", F.col("common").isNotNull().alias("late"), (F.col("shingle") < 0).alias("high"))
+    # in one order of all rows, as unsigned numbers: an item of any size is sorted by as many tasks as it needs
+    placed = checkpointed(running_totals(late, ["item", "late", "high", "shingle"], index="at"))
+    sizes, number = counted(placed.groupBy("item").agg(F.count("*").alias("n"), F.min("at").alias("first")))
     need = F.greatest(F.lit(1), F.expr(f"({least[0]} * n + {least[1] - 1}) div {least[1]}"))
-    sized = rows.join(common, "shingle", "left").withColumn("rank", rank).join(rows.groupBy("item").agg(F.count("*").alias("n")), "item")
-    return checkpointed(sized.select("item", "n", "shingle", (F.col("rank") <= F.col("n") - need + 1).alias("in_sketch")))
+    sized = placed.join(sent_if_small(sizes, number.n), "item")
+    return checkpointed(sized.select("item", "n", "shingle", (F.col("at") - F.col("first") <= F.col("n") - need).alias("in_sketch")))
 
 
 def distinct_texts(items: DataFrame, text_col: str = "text") -> DataFrame:
@@ -123,7 +147,8 @@ def contaminated(
     verified by the exact number of shared shingles.
 
     Items whose shingles number at most ``broadcast_shingles`` are sent to the executors and documents are read once
-    without a shuffle; more items are joined on sketch hashes instead, then verified by a second join.
+    without a shuffle; more items are joined on sketch hashes instead, then verified by a second join, both behind
+    filters of fixed size that keep back shingles that no item has.
 
     Null and empty texts match nothing. An item of under five words is one shingle and matches only a document that is
     the same few words. Repeated rows of an id are one document with the largest overlap of them. Rows that repeat an item
@@ -161,14 +186,18 @@ def sent_index(rows: DataFrame, most: int):
 
 
 def joined_pairs(own: DataFrame, rows: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(row, item, n_item, n_shared) of rows (row, text) by joins: on sketch hashes, then on all shingles of candidates."""
-    texts = own.select("row", "text")
-    held = texts.mapInArrow(_rows("row"), "row long, shingle long")
+    """(row, item, n_item, n_shared) of rows (row, text) by joins: on sketch hashes, then on all shingles of candidates.
+
+    Tasks that read texts pass on only shingles that filters of the items' hashes let through, so what is shuffled is
+    about what can be met, not all that the documents hold.
+    """
+    texts, send = own.select("row", "text"), rows.sparkSession.sparkContext.broadcast
     sketch = rows.where("in_sketch").select("item", "shingle")
+    held = texts.mapInArrow(_rows("row", send(hash_filter(sketch))), "row long, shingle long")
     candidates, seen = counted(held.join(sketch, "shingle").select("row", "item").distinct())
     candidates = few_tasks(candidates, seen.n)
     asked, documents = counted(candidates.select("row").distinct())
-    again = texts.join(sent_if_small(few_tasks(asked, documents.n), documents.n), "row", "left_semi").mapInArrow(_rows("row"), "row long, shingle long")
+    again = texts.join(sent_if_small(few_tasks(asked, documents.n), documents.n), "row", "left_semi").mapInArrow(_rows("row", send(hash_filter(rows))), "row long, shingle long")
     # by candidate, not by shingle: what many documents hold isn't met by all of them
     whole = candidates.join(rows.select("item", F.col("n").alias("n_item"), "shingle"), "item")
     shared = whole.join(again, ["row", "shingle"]).groupBy("row", "item").agg(F.first("n_item").alias("n_item"), F.count("*").alias("n_shared"))

@@ -3,6 +3,7 @@
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,6 +98,43 @@ def test_decontamination_by_repeated_and_null_items(spark, most):
     assert sorted(r.doc_id for r in decontam.clean_documents(docs, items, broadcast_shingles=most).collect()) == [5, 6]
 
 
+def plain_pairs(docs, items):
+    """(document, item, shingles, shared) at 75 % containment, by comparing each document with each item."""
+    of = lambda words: {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    whole = {}
+    for item, text in items:
+        whole[item] = whole.get(item, set()) | of(text.split())
+    sets = [(d, of(text.split())) for d, text in docs]
+    found = [(d, i, len(x), len(x & own)) for d, own in sets for i, x in whole.items()]
+    return sorted(x for x in found if 4 * x[3] >= 3 * x[2])
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_decontamination_by_an_item_of_many_texts(spark, most):
+    rng = np.random.default_rng(5)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    boiler = text(12)
+    items = [(1, text(60)) for _ in range(150)] + [(k, f"{text(8)} {boiler}") for k in range(2, 150)]
+    large = " ".join(t for i, t in items if i == 1)
+    docs = [(1, large), (2, large[: len(large) * 4 // 5]), (3, large[: len(large) // 2]), (4, boiler)]
+    docs += [(k, f"{text(30)} {items[150 + k][1]} {text(30)}") for k in range(10, 60)] + [(k, text(300)) for k in range(100, 120)]
+    found = decontam.contaminated(make(spark, docs), spark.createDataFrame(items, "item_id long, text string"), broadcast_shingles=most)
+    want = plain_pairs(docs, items)
+    assert len(want) == 52 and sorted((r.key, r.item, r.n_item, r.n_shared) for r in found.collect()) == want
+
+
+@pytest.mark.parametrize("bits", [6, 12, decontam.FILTER_BITS])
+def test_filters_let_through_what_they_were_made_from(spark, bits):
+    rng = np.random.default_rng(bits)
+    own, other = rng.integers(-(1 << 63), 1 << 63, (2, 300))
+    seen = decontam.hash_filter(spark.createDataFrame([(int(x),) for x in own], "shingle long"), bits)
+    assert len(seen) == 1 << bits - 6 and decontam.may_hold(seen, own.view(np.uint64)).all()
+    kept = decontam.may_hold(seen, other.view(np.uint64))
+    firsts = {int(x) >> 64 - bits for x in own.view(np.uint64)}
+    assert kept.tolist() == [int(x) >> 64 - bits in firsts for x in other.view(np.uint64)]
+    assert not decontam.hash_filter(spark.createDataFrame([], "shingle long"), bits).any()
+
+
 def test_packing(docs, none):
     rows = packing.pack(docs).collect()
     assert packing.pack(none).count() == 0
