@@ -135,8 +135,8 @@ group by doc_id, item_id having 100 * count(*) >= 75 * any_value(n_item)""",
     "op3_chat": """with d as (select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
 t as (select *, case when conv_id is null then row_number() over () end as alone from d),
 p as (select conv_id, row_number() over w as k, count(*) over (partition by conv_id, alone) as n,
-  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '') over (partition by conv_id, alone order by turn, role, text rows unbounded preceding) as text
-  from t window w as (partition by conv_id, alone order by turn, role, text)),
+  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '') over (partition by conv_id, alone order by turn nulls first, role, text rows unbounded preceding) as text
+  from t window w as (partition by conv_id, alone order by turn nulls first, role, text)),
 whole as (select text, min(conv_id) as conv_id, count(*) as n_copies, any_value(n) as n_turns from p where k = n group by text)
 select conv_id, n_turns, n_copies, text from whole where not exists (select 1 from p where p.text = whole.text and p.k < p.n)""",
     "op4_licenses": _license_sql(),

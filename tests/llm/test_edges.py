@@ -208,6 +208,30 @@ def test_a_long_conversation(spark):
     assert [(r.conv_id, r.n_turns, r.n_copies) for r in got] == [(7, 60_000, 1)] and got[0].text.endswith("user\n59999<|im_end|>\n")
 
 
+def test_conversations_that_tasks_share(spark):
+    """One id holds a third of all rows; its snapshots and a fork of it are as long. All are cut over tasks, with repeated rows."""
+    hot = [(None if k < 50 and k % 7 == 0 else k // 2, ("user", "assistant")[k % 2], "same beginning " * 20 + str(k)) for k in range(900)]
+    rows = [(5, *t) for t in hot] + [(2, *t) for t in hot[:700]] + [(9, *t) for t in hot] + [(4, *t) for t in hot[:800]] + [(4, 999, "user", "another end"), (None, 0, "user", "alone")]
+    rows += rows[::3] + [(k, 0, "user", f"short {k % 20}") for k in range(100, 200)]
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    kept = {k: spark.conf.get(k) for k in settings}
+    con = duckdb.connect()
+    con.execute("create table conversations as select unnest($1) as conv_id, unnest($2) as turn, unnest($3) as role, unnest($4) as text", [list(x) for x in zip(*rows)])
+    want = con.execute(queries.ORACLES["op3_chat"]).fetchall()
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+        ordered = turns.repartitionByRange("conv_id", "turn", F.substring("role", 1, chat.BEGINNING), F.substring("text", 1, chat.BEGINNING))
+        assert ordered.where("conv_id = 5").select(F.spark_partition_id()).distinct().count() > 1
+        got = chat.maximal_conversations(turns).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert {r.conv_id: (r.n_turns, r.n_copies) for r in got if r.n_turns > 1} == {4: (801, 1), 5: (900, 2)}
+
+
 def test_null_ids_are_conversations_of_their_own(spark):
     """A third of all rows has no id; each is a conversation of one turn, equal ones are copies, as the SQL says."""
     rows = [(k // 4, k % 4, "user", f"text {k // 8} {k % 4}") for k in range(400)] + [(None, k % 3, None if k % 5 == 0 else "user", f"text {k % 90} 0") for k in range(200)] + [(None, None, "user", "one"), (900, 0, "user", "two"), (None, 5, "user", "two")]
