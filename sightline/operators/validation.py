@@ -241,6 +241,11 @@ def to_request(drawn: DataFrame) -> DataFrame:
     return drawn.where("not labelled").select("item_id", "weight").dropDuplicates(["item_id"])
 
 
+def labels_asked(drawn: DataFrame) -> DataFrame:
+    """One row: how many draws there were, and of how many distinct items, which is what labelling them costs."""
+    return drawn.agg(F.count("*").alias("num_draws"), F.count_distinct("item_id").alias("num_labeled"))
+
+
 def ais_loop(scores: DataFrame, truth: DataFrame, budget: int, seed: int = 0) -> dict[str, float]:
     """Estimates F1 with about ``budget`` labels: rounds of doubling size, each drawn by what the last ones taught.
 

@@ -536,6 +536,13 @@ def weighted_sample(s, d):
     return drawn.select("item_id", F.round("weight", 6).alias("weight"))
 
 
+@query(sql(f", w as (select item_id, {_worth_sql('score', 'score > 0.5e0', 0.3)} as w from scores), {_draws_sql('drawn', 'w', '2000', SEED)} select count(*) as num_draws, count(distinct item_id) as num_labeled from drawn", "scores"))
+def labels_asked(s, d):
+    """What it costs to label a weighted sample."""
+    scores = derive(s, d, "scores").select("item_id", "score")
+    return G.labels_asked(G.weighted_draws(scores.select("item_id", G.sawade_weight(F.col("score"), I.predicted(F.col("score")), 0.3).alias("w")), 2000, SEED))
+
+
 _ACTIVE = f"""known as (select item_id, label, score from val where item_id % 9 = 0), sizes as (select (select count(*) from known) as k, count(*) as n, count(*) filter (score > 0.5e0) as positive from val),
   asked as (select *, greatest(2 * k, 10) as budget from sizes), wide as (select *, (3 * (log2(budget / 10e0) + 1) * positive)::bigint as t0, floor(3 * (log2(budget / 10e0) + 1) * positive)::bigint as t from asked),
   domain as (select item_id, score from (select item_id, score, row_number() over (order by score desc, item_id) as r from val) , wide where t >= n or t = 0 or r <= t),
@@ -833,10 +840,20 @@ def vector_codec(s, d):
 
 @query(sql("select row_number() over (order by item_id) - 1 as row_idx, case when is_val then 'val' else 'train' end as split, identifier, path from items", "items"))
 def image_list_file(s, d):
-    """An image list written in order of the item and read again, its lines numbered."""
+    """An image list written in order of the item, a part a task, and read again, its lines numbered over all parts."""
     path = f"{checkpoint_folder(s)}/image-list-{uuid.uuid4()}"
-    image_lists.write_image_list(derive(s, d, "items").orderBy("item_id").coalesce(1), path)
-    return image_lists.read_image_list(s, path)
+    image_lists.write_image_list(derive(s, d, "items").orderBy("item_id"), path)
+    return image_lists.read_image_list(s, path, large=True)
+
+
+@query(sql("select row_number() over (order by item_id) - 1 as row_idx, path as line from items where not is_val", "items"))
+def file_list(s, d):
+    """Paths of training items, a blank line and those of validation items, written and read again: the list ends at the blank line."""
+    path = f"{checkpoint_folder(s)}/file-list-{uuid.uuid4()}"
+    lines = derive(s, d, "items").select("is_val", "item_id", F.concat(F.lit("  "), "path", F.lit("\t")).alias("value"))
+    blank = s.createDataFrame([(True, -1, " \t")], "is_val boolean, item_id long, value string")
+    lines.unionByName(blank).orderBy("is_val", "item_id").select("value").write.text(path)
+    return image_lists.read_file_list(s, path, large=True)
 
 
 def _local_folder(s: SparkSession) -> str:

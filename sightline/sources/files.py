@@ -23,6 +23,16 @@ def size_of(path: str) -> int:
     return info.size
 
 
+def parts_of(path: str) -> list[tuple[str, int]]:
+    """(path, size) of a file, or of the files in a folder in order of their names, without those that begin with _ or a dot."""
+    store, name = located(path)
+    info = store.get_file_info(name)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    found = [info] if info.type == fs.FileType.File else [x for x in store.get_file_info(fs.FileSelector(name)) if x.type == fs.FileType.File and x.base_name[0] not in "._"]
+    return [(x.path, x.size) for x in sorted(found, key=lambda x: x.base_name)]
+
+
 def read_range(path: str, start: int, length: int) -> bytes:
     """Bytes of a file from ``start`` on; no others are read."""
     store, name = located(path)

@@ -13,7 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import export_path
 from ..operators.indexing import running_totals
-from .files import located, size_of
+from .files import located, parts_of
 
 IMAGE = r"\.(jpg|JPG|jpeg|JPEG|png|PNG)$"
 
@@ -78,30 +78,35 @@ def scan_items(spark: SparkSession, train_dir: str, val_dir: str | None = None,
 
 
 class LineRange(InputPartition):
-    def __init__(self, start: int, stop: int):
-        self.start, self.stop = start, stop
+    def __init__(self, path: str, start: int, stop: int, before: int):
+        self.path, self.start, self.stop, self.before = path, start, stop, before
 
 
 class LineReader(DataSourceReader):
-    """Lines of one file by byte range: a line belongs to the range in which it begins."""
+    """Lines of a file, or of a folder's parts in order of their names, by byte range: a line belongs to the range in which it begins."""
 
     def __init__(self, options: dict):
         self.path, self.step = options["path"], int(options.get("step", 64 << 20))
 
     def partitions(self) -> list[LineRange]:
-        size = size_of(self.path)
-        return [LineRange(a, min(a + self.step, size)) for a in range(0, size, self.step)] or [LineRange(0, 0)]
+        found, before = [], 0
+        for path, size in parts_of(self.path):
+            found += [LineRange(path, a, min(a + self.step, size), before) for a in range(0, size, self.step)]
+            before += size
+        return found or [LineRange("", 0, 0, 0)]
 
     def read(self, part: LineRange) -> Iterator[tuple[int, str]]:
-        store, name = located(self.path)
-        with store.open_input_file(name) as raw:
+        if part.stop == 0:
+            return
+        store, _ = located(self.path)
+        with store.open_input_file(part.path) as raw:
             at = max(0, part.start - 1)
             raw.seek(at)
             f = BufferedReader(raw, 1 << 20)
             if part.start:
                 at += len(f.readline())  # the end of a line that began before
             while at < part.stop and (line := f.readline()):
-                yield at, line.decode().rstrip("\r\n")
+                yield part.before + at, line.decode().rstrip("\r\n")
                 at += len(line)
 
 
@@ -120,7 +125,8 @@ class LineSource(DataSource):
 def numbered_lines(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
     """(row_idx, line) of a list file, numbered from 0.
 
-    A list of under 100 MB is one row while it is split; a large one is read by byte ranges and numbered by prefix sums.
+    A list of under 100 MB is one row while it is split; a large one is read by byte ranges and numbered by prefix sums, and
+    may be a folder of parts, as written by many tasks: they follow each other in order of their names.
     """
     if large:
         spark.dataSource.register(LineSource)
@@ -146,8 +152,8 @@ def write_image_list(items: DataFrame, path: str) -> None:
 
 
 def read_file_list(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
-    """(row_idx, line): stripped lines up to the first blank one."""
-    lines = numbered_lines(spark, path, large).withColumn("line", F.trim("line"))
+    """(row_idx, line): lines up to the first blank one, without the white space around them."""
+    lines = numbered_lines(spark, path, large).withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
     blank = lines.where("line = ''").agg(F.min("row_idx").alias("stop"))
     return lines.crossJoin(F.broadcast(blank)).where("stop is null or row_idx < stop").drop("stop")
 

@@ -56,6 +56,22 @@ def test_large_lists_are_numbered_alike(spark, tmp_path, step):
         assert whole == ranges and len(whole) == 60
 
 
+def test_lists_of_parts(spark, tmp_path):
+    """Parts follow each other by name, whether or not they end with a line break; empty parts and other files don't count."""
+    (tmp_path / "list").mkdir()
+    for name, text in {"part-0": "a\nb", "part-1": "", "part-2": " c \n \t\u2003\n", "part-3": "d\n", "_SUCCESS": "x\n", ".part-0.crc": "y\n"}.items():
+        (tmp_path / "list" / name).write_text(text)
+    for step in (1, 3, 100):
+        reader = S.LineReader({"path": f"file:{tmp_path}/list", "step": step})
+        assert [x for _, x in sorted(row for part in reader.partitions() for row in reader.read(part))] == ["a", "b", " c ", " \t\u2003", "d"]
+    assert [tuple(r) for r in S.numbered_lines(spark, str(tmp_path / "list"), True).orderBy("row_idx").collect()] == list(enumerate(["a", "b", " c ", " \t\u2003", "d"]))
+    assert [tuple(r) for r in S.read_file_list(spark, str(tmp_path / "list"), True).orderBy("row_idx").collect()] == [(0, "a"), (1, "b"), (2, "c")]
+    (tmp_path / "empty").mkdir()
+    assert S.read_file_list(spark, str(tmp_path / "empty"), True).count() == 0
+    with pytest.raises(Exception, match="nowhere"):
+        S.numbered_lines(spark, str(tmp_path / "nowhere"), True).collect()
+
+
 def test_matrix_and_scores(spark, tmp_path):
     x = np.arange(12, dtype=np.float32).reshape(3, 4)
     (tmp_path / "embeddings.bin").write_bytes(x.tobytes())
