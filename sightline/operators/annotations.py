@@ -175,8 +175,8 @@ def tag_difference(before: Column, after: Column) -> Column:
 
 
 def merge_tags(tags: Column, added: Column, deleted: Column) -> Column:
-    """Without the deleted, with the added; of several tags of a category the last stays."""
-    merged = F.array_union(F.array_except(tags, deleted), added)
+    """Without the deleted, with the added as the last ones, wherever they stood before; of several tags of a category the last stays."""
+    merged = F.array_union(F.array_except(tags, F.array_union(deleted, added)), added)
     at = F.transform(merged, lambda t, i: F.struct(t.alias("tag"), i.alias("i")))
     kept = F.filter(at, lambda x: ~F.exists(at, lambda y: (y["tag"]["category"] == x["tag"]["category"]) & (y["i"] > x["i"])))
     return F.transform(kept, lambda x: x["tag"])

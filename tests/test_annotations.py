@@ -64,6 +64,13 @@ def test_merge_keeps_the_last_of_a_category(spark):
     assert [tuple(x) for x in row.m] == [("a", "Z")]
 
 
+def test_merge_lets_an_added_tag_win_that_was_there(spark):
+    """An item can hold several modes of a category, the added one before another."""
+    t = lambda *x: F.array(*[F.struct(F.lit(c).alias("category"), F.lit(v).alias("value")) for c, v in x])
+    row = spark.range(1).select(A.merge_tags(t(("a", "X"), ("a", "Y"), ("b", "Y")), t(("a", "X")), t(("b", "Y"))).alias("m")).first()
+    assert [tuple(x) for x in row.m] == [("a", "X")]
+
+
 def test_tag_difference(spark):
     t = lambda *x: F.array(*[F.struct(F.lit(c).alias("category"), F.lit(v).alias("value")) for c, v in x])
     row = spark.range(1).select(A.tag_difference(t(("a", "X"), ("b", "Y")), t(("a", "Z"))).alias("d")).first().d
