@@ -361,9 +361,18 @@ def top_k(rows: DataFrame, score: str, k: int, tie: str = "item_id") -> DataFram
 
 
 def grouped_top_k(rows: DataFrame, keys: list[str], score: str, k: int, tie: str = "item_id") -> DataFrame:
-    """The ``k`` highest of each group with their ``rank`` from 0; Spark drops a task's lower ones before it shuffles them."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
-    return rows.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
+    """The ``k`` highest of each group with their ``rank`` from 0: first of each task's own rows of a group, then of those.
+
+    A row's number is compared as it is, so that Spark drops a task's lower rows before it shuffles them; where ``k`` is too
+    large for that, the first step shuffles all rows, but spreads a group by the task that they come from.
+    """
+
+    def highest(some: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(F.desc(score), tie)
+        return some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    own = highest(rows.withColumn("_task", F.spark_partition_id()), *keys, "_task").drop("_task", "rank")
+    return highest(own, *keys).withColumn("rank", F.col("rank") - 1)
 
 
 class Reducer(Protocol):

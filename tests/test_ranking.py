@@ -142,6 +142,16 @@ def test_grouped_top_k(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("k", [4, 1500])
+def test_grouped_top_k_shuffles_what_tasks_have_left(spark, k):
+    """One group in several tasks: rows that others of their task outrank don't reach the task that ranks the group."""
+    rows = spark.range(0, 8000, 1, 4).select(F.col("id").alias("item_id"), F.lit(1).alias("k"), (F.col("id") % 7).alias("score"))
+    found = M.grouped_top_k(rows, ["k"], "score", k)
+    assert [(r["rank"], r.item_id) for r in found.orderBy("rank").collect()] == list(enumerate(sorted(range(8000), key=lambda x: (-(x % 7), x))[:k]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "SPARK_PARTITION_ID" in plan and ("WindowGroupLimit" in plan) == (k == 4)
+
+
 def test_reductions_of_ones_own(spark):
     class Widest:
         """Number of rows, and the first item with the longest text."""
