@@ -13,6 +13,8 @@ from ..operators.annotations import TOMBSTONE, current
 
 #: Parts of a compacted state.
 PARTS = 64
+#: Counts of (batch, mode) of a key that a trigger holds before it writes them to the state.
+HELD = 10_000
 DELTA = "item_id long, category string, mode string, delta long"
 
 
@@ -41,32 +43,45 @@ class TagDeltas(StatefulProcessor):
             self.tags.updateValue(at, (old + int(n),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        """Counts a trigger's rows before it asks the state store, which is called for what is left of them, not for each row."""
         item, category = key
         changed: dict[str, int] = {}
+        fresh: dict[tuple[int, str], int] = {}
 
         def count(mode: str, n: int) -> None:
             if mode != TOMBSTONE:
                 changed[mode] = changed.get(mode, 0) + n
 
-        latest = self.latest.get()[0] if self.latest.exists() else None
+        latest = known = self.latest.get()[0] if self.latest.exists() else None
+
+        def settle() -> None:
+            if latest != known:
+                self.latest.update((latest,))
+                for (batch, mode), (n,) in list(self.tags.iterator()):
+                    if batch < latest:
+                        count(mode, -n)
+                        self.tags.removeKey((batch, mode))
+            for at, n in fresh.items():
+                old = self.tags.getValue(at)[0] if self.tags.containsKey(at) else 0
+                self.tags.updateValue(at, (old + n,))
+                count(at[1], n)
+            fresh.clear()
+
         for f in rows:
-            for batch, kind, mode, is_box in f.sort_values("batch_id")[["batch_id", "kind", "mode", "is_box"]].itertuples(index=False):
-                batch = int(batch)
+            every = list(zip(*(f[x].tolist() for x in ("batch_id", "kind", "mode", "is_box")), strict=True))
+            newest = max((batch for batch, kind, _, is_box in every if kind == "replace" and not is_box), default=None)
+            if newest is not None and (latest is None or newest > latest):
+                latest = newest
+                fresh = {at: n for at, n in fresh.items() if at[0] >= latest}
+            for batch, _, mode, is_box in every:
                 if is_box:
                     count(mode, 1)
-                    continue
-                if latest is not None and batch < latest:
-                    continue
-                if kind == "replace" and (latest is None or batch > latest):
-                    latest = batch
-                    self.latest.update((latest,))
-                    for (b, m), (n,) in list(self.tags.iterator()):
-                        if b < latest:
-                            count(m, -n)
-                            self.tags.removeKey((b, m))
-                old = self.tags.getValue((batch, mode))[0] if self.tags.containsKey((batch, mode)) else 0
-                self.tags.updateValue((batch, mode), (old + 1,))
-                count(mode, 1)
+                elif latest is None or batch >= latest:
+                    fresh[batch, mode] = fresh.get((batch, mode), 0) + 1
+            if len(fresh) > HELD:
+                settle()
+                known = latest
+        settle()
         moved = [(item, category, m, n) for m, n in changed.items() if n]
         if moved:
             yield pd.DataFrame(moved, columns=["item_id", "category", "mode", "delta"])

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_annotations import LOG, log
@@ -61,6 +62,63 @@ def test_running_counts_equal_batch(spark, shuffled, tmp_path):
     assert got == sorted(tuple(r) for r in want.collect())
 
 
+class Held:
+    """A value or map state in memory that counts its calls."""
+
+    def __init__(self):
+        self.all, self.calls = {}, 0
+
+    def _of(self, key):
+        self.calls += 1
+        return self.all.get(key)
+
+    def exists(self):
+        return self._of(None) is not None
+
+    def get(self):
+        return self._of(None)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+    def containsKey(self, key):  # noqa: N802
+        return self._of(key) is not None
+
+    def getValue(self, key):  # noqa: N802
+        return self._of(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._of(key)
+        self.all[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self._of(key)
+        del self.all[key]
+
+    def iterator(self):
+        self.calls += 1
+        return iter(self.all.items())
+
+
+@pytest.mark.parametrize("most", [2, 10_000])
+def test_state_is_asked_for_what_is_left_of_a_trigger(monkeypatch, most):
+    """Three triggers of several pieces each, all of one key; the state store isn't called for each row."""
+    monkeypatch.setattr(S, "HELD", most, raising=False)
+    r, p, seen, total = random.Random(1), S.TagDeltas(), [], {}
+    p.latest, p.tags = Held(), Held()
+    for _ in range(3):
+        rows = [(r.randint(0, 400), r.choice(["replace", "append"]), r.choice(["POSITIVE", "NEGATIVE", "TOMBSTONE"]), r.random() < 0.1) for _ in range(3000)]
+        pieces = [pd.DataFrame(rows[k : k + 500], columns=["batch_id", "kind", "mode", "is_box"]) for k in range(0, 3000, 500)]
+        for f in p.handleInputRows((1, "a"), iter(pieces), None):
+            for mode, n in zip(f["mode"], f["delta"], strict=True):
+                total[mode] = total.get(mode, 0) + n
+        seen += rows
+        latest = max(b for b, kind, _, is_box in seen if kind == "replace" and not is_box)
+        alive = [mode for b, _, mode, is_box in seen if (is_box or b >= latest) and mode != "TOMBSTONE"]
+        assert {m: n for m, n in total.items() if n} == {m: alive.count(m) for m in set(alive)}
+    assert p.latest.calls + p.tags.calls < 300
+
+
 @pytest.mark.parametrize("first", ["batch_id < 10", "batch_id % 2 = 0", "batch_id >= 10", "batch_id % 3 > 0", "false", "true"])
 def test_counts_go_on_from_a_compacted_log(spark, tmp_path, first):
     """Batch first, then stream, is as a batch of all, also where the stream brings rows older than those of the batch."""
