@@ -698,30 +698,30 @@ job as (select *, case when first % 7 = 0 then 3 when first % 3 = 0 then 2 else
 
 def _job(s, d) -> DataFrame:
     rows = derive(s, d, "scores").select("item_id", F.struct("item_id", "score").alias("input"))
-    return checkpointed(M.map_chunks(rows, Moody(), "input", args=2.0, size=64, order=["item_id"], chunk_output="double"))
+    return M.map_chunks(rows, Moody(), "input", args=2.0, size=64, order=["item_id"], chunk_output="double")
 
 
 @query(sql(f"{_CHUNKED} select chunk, attempts, item_id as id, case when state = 'processed' and score >= 0.1e0 then score * 2 end as output, case when state = 'processed' and score >= 0.1e0 then 'processed' else 'skipped' end as status from placed join job using (chunk)", "scores"))
 def chunk_retries(s, d):
     """Elements of chunks that are tried again, or skipped whole after the last attempt."""
-    return M.elements(_job(s, d))
+    return M.elements(checkpointed(_job(s, d)))
 
 
 @query(sql(f"{_CHUNKED} select chunk, n, attempts, state as status, case when first % 7 = 0 then 'ValueError: no ' || first when first % 3 = 0 then 'RuntimeError: not yet' end as error, round(case when state = 'processed' then coalesce(total, 0) end, 6) as chunk_output from job", "scores"))
 def chunk_outputs(s, d):
     """What post-processing makes of each chunk, and the last failure."""
-    return _job(s, d).select("chunk", F.col("n").cast("long").alias("n"), "attempts", "status", "error", F.round("chunk_output", 6).alias("chunk_output"))
+    return checkpointed(_job(s, d)).select("chunk", F.col("n").cast("long").alias("n"), "attempts", "status", "error", F.round("chunk_output", 6).alias("chunk_output"))
 
 
 @query(sql(f"{_CHUNKED} select count(*) as chunks, sum(attempts)::bigint as attempts, sum(n)::bigint as n_total, sum(case when state = 'processed' then good else 0 end)::bigint as n_processed, sum(case when state = 'processed' then n - good else n end)::bigint as n_skipped from job", "scores"))
 def job_counts(s, d):
-    return M.job_counts(_job(s, d))
+    return checkpointed(M.job_counts(_job(s, d)))
 
 
 @query(sql(f"{_CHUNKED} select kind, name, count(*) as n from job, (values ('timing', 'scoring'), ('timing', 'total_time'), ('workers', 'all')) t(kind, name) where state = 'processed' group by all", "scores"))
 def job_profile(s, d):
     """How often each named timing was taken, and how many chunks all workers together have processed."""
-    done = _job(s, d)
+    done = checkpointed(_job(s, d))
     timings = M.timing_profile(done).select(F.lit("timing").alias("kind"), "name", "n")
     return timings.unionByName(M.utilisation(done).agg(F.sum("chunks").alias("n")).select(F.lit("workers").alias("kind"), F.lit("all").alias("name"), "n"))
 

@@ -2,6 +2,7 @@
 
 import statistics
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,43 @@ def test_errors_of_elements_are_short(spark):
     got = M.map_elements(rows, lambda x: 1 / (x - x) if x is not None and x == x else None, "x").collect()
     errors = [r.error for r in got if r.error]
     assert len(errors) == 180 and sum("Traceback" in e for e in errors) == 1 and errors[1] == "ZeroDivisionError: float division by zero"
+
+
+def test_chunks_are_sent_on_together(spark, monkeypatch):
+    """100 chunks in few record batches, which hold what each chunk gave at its time; numbers and structs come as Python's own."""
+    runs = []
+    rows = spark.range(1).select(F.col("id").alias("item_id"), F.struct(F.col("id").alias("a"), F.lit(1.5).alias("b")).alias("input"))
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: runs.append(run))
+
+    class Kept(M.Mapper):
+        def start(self, args):
+            return []
+
+        def chunk(self, inputs, job):
+            job[:] = [x["a"] for x in inputs]
+            if job[0] == 128:
+                raise ValueError("no")
+            return [None if x["b"] is None else x["b"] for x in inputs]
+
+        def finish(self, inputs, outputs, job):
+            return job, outputs
+
+    M.map_chunks(rows, Kept(), "input", chunk_output="array<bigint>")
+    n = 6400
+    given = pa.array([{"a": i, "b": None if i == 3 else i / 2} for i in range(n)], pa.struct([("a", pa.int64()), ("b", pa.float64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([5 << 33] * n), pa.array(range(n)), given], ["chunk", "id", "input"])
+    out = list(runs[0](iter([batch.slice(k, 1000) for k in range(0, n, 1000)])))
+    assert len(out) <= 3
+    found = [x for b in out for x in b.to_pylist()]
+    assert [x["chunk"] - (5 << 33) for x in found] == list(range(100)) and [x["n"] for x in found] == [64] * 100
+    for c, x in enumerate(found):
+        bad, ids = c == 2, range(64 * c, 64 * c + 64)
+        assert (x["status"], x["attempts"], x["chunk_output"]) == (("skipped", 3, None) if bad else ("processed", 1, list(ids)))
+        outputs = [None if bad or i == 3 else i / 2 for i in ids]
+        assert x["elements"] == [{"id": i, "output": y, "status": "skipped" if y is None else "processed"} for i, y in zip(ids, outputs, strict=True)]
+
+
+def test_values_of_is_to_pylist():
+    nested = pa.array([{"a": 1, "b": {"c": "x", "d": [1, 2]}}, None, {"a": None, "b": None}, {"a": 4, "b": {"c": None, "d": []}}])
+    for x in (nested, nested.slice(1), nested.slice(3), pa.array([1.5, None]), pa.array([1.5, 2.0]), pa.array([1, 2], pa.int8()), pa.array([True, None]), pa.array([]), pa.array(["a"])):
+        assert M.values_of(x) == x.to_pylist()
