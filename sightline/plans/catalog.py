@@ -704,7 +704,7 @@ def _job(s, d) -> DataFrame:
 @query(sql(f"{_CHUNKED} select chunk, attempts, item_id as id, case when state = 'processed' and score >= 0.1e0 then score * 2 end as output, case when state = 'processed' and score >= 0.1e0 then 'processed' else 'skipped' end as status from placed join job using (chunk)", "scores"))
 def chunk_retries(s, d):
     """Elements of chunks that are tried again, or skipped whole after the last attempt."""
-    return M.elements(checkpointed(_job(s, d)))
+    return M.elements(checkpointed(_job(s, d).select("chunk", "attempts", "elements")))
 
 
 @query(sql(f"{_CHUNKED} select chunk, n, attempts, state as status, case when first % 7 = 0 then 'ValueError: no ' || first when first % 3 = 0 then 'RuntimeError: not yet' end as error, round(case when state = 'processed' then coalesce(total, 0) end, 6) as chunk_output from job", "scores"))

@@ -135,6 +135,15 @@ def test_vectors_that_cannot_be_compared_have_no_distance(spark):
     assert {r.item_id: r.dist for r in R.distances(emb.where("item_id = 1"), query, "dot").collect()} == {1: 0.0}
 
 
+def test_positions_alone_need_no_python(spark):
+    df = spark.range(0, 3000, 1, 6).select((F.col("id") % 3).alias("k"), F.col("id").alias("v`.w"))
+    found = running_totals(df, [F.desc("k"), F.col("`v``.w`")])
+    assert found.columns == ["k", "v`.w", "row_no"] and found.schema["row_no"].dataType.simpleString() == "bigint"
+    want = sorted(((i % 3, i) for i in range(3000)), key=lambda x: (-x[0], x[1]))
+    assert [tuple(r) for r in found.orderBy("row_no").collect()] == [(*x, i) for i, x in enumerate(want)]
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_grouped_top_k(spark):
     rows = spark.range(100).select(F.col("id").alias("item_id"), (F.col("id") % 3).alias("k"), (F.col("id") % 7).alias("score"))
     got = sorted((r.k, r["rank"], r.item_id) for r in M.grouped_top_k(rows, ["k"], "score", 4).collect())
