@@ -721,7 +721,7 @@ def job_counts(s, d):
 @query(sql(f"{_CHUNKED} select kind, name, count(*) as n from job, (values ('timing', 'scoring'), ('timing', 'total_time'), ('workers', 'all')) t(kind, name) where state = 'processed' group by all", "scores"))
 def job_profile(s, d):
     """How often each named timing was taken, and how many chunks all workers together have processed."""
-    done = checkpointed(_job(s, d))
+    done = checkpointed(_job(s, d).select("worker", "status", "seconds", "timings"))
     timings = M.timing_profile(done).select(F.lit("timing").alias("kind"), "name", "n")
     return timings.unionByName(M.utilisation(done).agg(F.sum("chunks").alias("n")).select(F.lit("workers").alias("kind"), F.lit("all").alias("name"), "n"))
 
