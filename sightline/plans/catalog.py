@@ -710,7 +710,7 @@ def chunk_retries(s, d):
 @query(sql(f"{_CHUNKED} select chunk, n, attempts, state as status, case when first % 7 = 0 then 'ValueError: no ' || first when first % 3 = 0 then 'RuntimeError: not yet' end as error, round(case when state = 'processed' then coalesce(total, 0) end, 6) as chunk_output from job", "scores"))
 def chunk_outputs(s, d):
     """What post-processing makes of each chunk, and the last failure."""
-    return checkpointed(_job(s, d)).select("chunk", F.col("n").cast("long").alias("n"), "attempts", "status", "error", F.round("chunk_output", 6).alias("chunk_output"))
+    return checkpointed(_job(s, d).select("chunk", F.col("n").cast("long").alias("n"), "attempts", "status", "error", F.round("chunk_output", 6).alias("chunk_output")))
 
 
 @query(sql(f"{_CHUNKED} select count(*) as chunks, sum(attempts)::bigint as attempts, sum(n)::bigint as n_total, sum(case when state = 'processed' then good else 0 end)::bigint as n_processed, sum(case when state = 'processed' then n - good else n end)::bigint as n_skipped from job", "scores"))
